@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import bpe, media, packing, token_store
+from plumbline.llm import bpe, media, packing, quality, token_store, toxicity
 from plumbline.llm._text import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -17,6 +17,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"]))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
 
@@ -35,7 +39,11 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(media.text_media(_read(spark, sf_dir, "documents")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_best_fit_packing, op5_token_store, op8_bpe, op9_media)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"]))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op5_token_store, op8_bpe, op9_media, op10_quality)}
 
 #: No operator here is within SQL's reach at whole-table cost; each is tested against brute force.
 ORACLE_SQL: dict[str, str] = {}
