@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at a time inside a task.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _MASK = (1 << 64) - 1
 WHITE = np.zeros(256, dtype=bool)
@@ -118,10 +118,13 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     lens = ends - starts
     first = np.cumsum(lens) - lens
     total = int(lens.sum())
-    pos = np.arange(total, dtype=np.int64) - np.repeat(first, lens)
-    at = pos + np.repeat(starts, lens)
-    pos &= 4095
+    whole = np.int32 if max(total, len(data)) < 1 << 31 else np.int64
+    pos = np.arange(total, dtype=whole)
+    pos -= np.repeat(first.astype(whole), lens)
+    at = pos + np.repeat(starts.astype(whole), lens)
     value = BYTE_CODE[data[at]]
+    del at
+    pos &= 4095
     value *= _POWERS[pos]
     h = np.add.reduceat(value, first)
     h ^= lens.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -130,9 +133,10 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 def expand(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Concatenated index ranges [start, start + len)."""
-    total = int(lens.sum())
-    first = np.cumsum(lens) - lens
-    return np.arange(total, dtype=np.int64) + np.repeat(starts - first, lens)
+    first = np.cumsum(lens, dtype=np.int64) - lens
+    out = np.repeat(starts - first, lens)
+    out += np.arange(len(out))
+    return out
 
 
 def row_sums(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:

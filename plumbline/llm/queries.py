@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, media, packing, quality, token_store, toxicity
+from plumbline.llm import bpe, media, packing, quality, token_store, topk, toxicity
 from plumbline.llm._text import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -25,6 +26,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), TOKENIZER, capacity=4096, end_id=1)
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-store")
     token_store.write(_read(spark, sf_dir, "documents"), folder, TOKENIZER, end_id=1)
@@ -43,7 +48,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op5_token_store, op8_bpe, op9_media, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_top_k, op5_token_store, op8_bpe, op9_media, op10_quality)}
 
-#: No operator here is within SQL's reach at whole-table cost; each is tested against brute force.
-ORACLE_SQL: dict[str, str] = {}
+#: The others are tested against brute force: SQL has no form for them, or none that whole tables allow.
+ORACLE_SQL: dict[str, str] = {
+    "op3_exact_top_k": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+}

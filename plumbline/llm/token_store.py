@@ -68,7 +68,7 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, n_docs: int, size:
         return b""
 
 
-def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, level: int = 3, dict_size: int = 32 << 10, sample_docs: int = 1000, sample_chars: int = 20_000) -> None:
+def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, level: int = 1, dict_size: int = 32 << 10, sample_docs: int = 1000, sample_chars: int = 20_000) -> None:
     """Write the ids of every whole text in ascending doc_id order.
 
     A null text counts as empty (the end id alone); a null doc_id sorts first.

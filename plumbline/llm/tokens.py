@@ -112,14 +112,14 @@ def encode_words(words: list[str], pieces: PieceEncoder, odd: PieceEncoder) -> t
 class WordTable:
     """Ids of the words met so far, by word hash; at most `limit` words are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_200_000):
         self.encode_new, self.limit = encode, limit
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.slot = np.zeros(0, np.int64)
-        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.slot = np.zeros(0, np.int32)
+        self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all rows' texts, and the number of ids of each row."""
@@ -139,12 +139,11 @@ class WordTable:
             new = first[~known]
             buffer = data.tobytes()
             flat, count = self.encode_new([buffer[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
-            slots = len(self.count) + np.arange(len(new))
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(count) - count])
-            self.count, self.flat = np.concatenate([self.count, count]), np.concatenate([self.flat, flat])
-            keys, slot = np.concatenate([self.keys, uniq[~known]]), np.concatenate([self.slot, slots])
-            order = np.argsort(keys, kind="stable")
-            self.keys, self.slot = keys[order], slot[order]
+            slots = len(self.count) + np.arange(len(new), dtype=np.int32)
+            self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(count) - count).astype(np.int32)])
+            self.count, self.flat = np.concatenate([self.count, count.astype(np.int32)]), np.concatenate([self.flat, flat])
+            into = np.searchsorted(self.keys, uniq[~known])
+            self.keys, self.slot = np.insert(self.keys, into, uniq[~known]), np.insert(self.slot, into, slots)
             at = np.searchsorted(self.keys, uniq)
         slot = self.slot[at][inverse]
         count = self.count[slot]

@@ -265,7 +265,8 @@ def learn_lexicon(texts: list[str], y: np.ndarray, max_terms: int = 400, least:
         if heads_in[1][h] >= 2 * common and telling(len(set().union(*(before[w] for w in by_head[h]))), heads_in[1][h], heads_in[0][h]):
             while longer := [x for x in by_head if len(x) == len(h) + 1 and x.startswith(h) and heads_in[1][x] >= 0.98 * heads_in[1][h]]:
                 h = longer[0]  # as long as nearly all its words have it
-            stems.append(h)
+            if h not in stems:
+                stems.append(h)
     left = sorted((w for w in terms if not any(w.startswith(s) for s in stems)), key=lambda w: (-toxic[w], w))
     return sorted(left[:max_terms]), stems
 
