@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, media, packing, quality, token_store, topk, toxicity
+from plumbline.llm import bpe, media, packing, quality, suffix_dedup, token_store, topk, toxicity
 from plumbline.llm._text import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(_read(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "token-store")
     token_store.write(_read(spark, sf_dir, "documents"), folder, TOKENIZER, end_id=1)
@@ -48,7 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_top_k, op5_token_store, op8_bpe, op9_media, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_top_k, op4_suffix_dedup, op5_token_store, op8_bpe, op9_media, op10_quality)}
 
 #: The others are tested against brute force: SQL has no form for them, or none that whole tables allow.
 ORACLE_SQL: dict[str, str] = {
