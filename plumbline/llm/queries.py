@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, media, packing, quality, suffix_dedup, token_store, topk, toxicity
+from plumbline.llm import bpe, jaccard_join, media, packing, quality, suffix_dedup, token_store, topk, toxicity
 from plumbline.llm._text import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -40,6 +40,10 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read(spark, folder, TOKENIZER)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode_digests(_read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -52,7 +56,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_top_k, op4_suffix_dedup, op5_token_store, op8_bpe, op9_media, op10_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_top_k, op4_suffix_dedup, op5_token_store, op7_jaccard_join, op8_bpe, op9_media, op10_quality)}
 
 #: The others are tested against brute force: SQL has no form for them, or none that whole tables allow.
 ORACLE_SQL: dict[str, str] = {
