@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from plumbline.plans import cleaning_queries, temporal_queries, text_queries, vector_queries  # noqa: F401
+from plumbline.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "theme_share_rank_by_year"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
