@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 LATEX = r"\$[^$]*\$"
 TAG = r"<[^>]+>"
 ARTICLES = r"^(?:on\s+(?:a\s+|an\s+|the\s+)?|a\s+|an\s+|the\s+)+"
-ALPHA_WORD = r"\b[a-z][a-z]+\b"
+ALPHA_WORD = r"(?U)\b[a-z][a-z]+\b"
 ANY_WORD = r"(?U)\b\w\w+\b"
 LABEL_WORDS, LABEL_PART = 3, 14
 

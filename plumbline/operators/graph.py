@@ -20,7 +20,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     spark = edges.sparkSession
     folder = shared_dir(spark, "components")
     kind = edges.schema[a].dataType.simpleString()
-    now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
+    # The edges are used several times a round: they are made once.
+    edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct().write.parquet(f"{folder}/edges")
+    now = spark.read.schema(f"u {kind}, v {kind}").parquet(f"{folder}/edges")
     before = None
     for k in range(rounds):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
