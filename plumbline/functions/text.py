@@ -12,6 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 # Patterns that results depend on.
 LATEX = r"\$[^$]*\$"
@@ -26,7 +27,7 @@ def _collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -177,7 +178,7 @@ def lemma(word: str) -> str:
     return word
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def lemmas(s: pd.Series) -> pd.Series:
     """Base form of each word of an array; words met before are looked up."""
     known: dict[str, str] = {}

@@ -75,8 +75,8 @@ def nearest(vectors: DataFrame, id_column: str, vector: str, cents: DataFrame, t
 def _nearest_in_cells(frame, id_column, vector, cents, topic, exclude):
     """Each row meets the centroids of one cell at a time; the best of the cells wins."""
     cells = -(-cents.count() // MAX_BROADCAST)
-    packed = cents.groupBy(F.pmod(F.xxhash64(topic), F.lit(cells)).alias("cell")).agg(F.array_sort(F.collect_list(F.struct(F.col(topic).alias("t"), F.col("centroid").alias("c")))).alias("cs"))
-    rows = frame.withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).cast("long")).join(packed, "cell")
+    packed = cents.groupBy(F.pmod(F.xxhash64(topic), F.lit(cells)).cast("long").alias("cell")).agg(F.array_sort(F.collect_list(F.struct(F.col(topic).alias("t"), F.col("centroid").alias("c")))).alias("cs"))
+    rows = frame.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))).join(packed, "cell")
     allowed = F.filter("cs", lambda s: s["t"] != F.col(exclude)) if exclude else F.col("cs")
     scored = F.transform(allowed, lambda s: F.struct(F.round(dot(F.col(vector), s["c"]), 12).alias("sim"), (-s["t"]).alias("o"), s["t"].alias("t")))
     best = rows.select(id_column, *([exclude] if exclude else []), F.array_max(scored).alias("b"))

@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def read_stream(spark: SparkSession, folder: str, table: str, max_files: int = 16) -> DataFrame:
-    """Parquet files of a folder as a stream, a bounded number per micro-batch."""
-    schema = spark.read.parquet(f"{folder}/{table}").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).option("pathGlobFilter", table if table.endswith(".parquet") else "*.parquet").parquet(folder)
+def read_stream(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
+    """The Parquet files of a folder as a stream, a bounded number per micro-batch.
+
+    Times without zone become times of the session's zone, which watermarks
+    ask for.
+    """
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    return stream.select(*(F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else F.col(f.name) for f in schema.fields))
 
 
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
