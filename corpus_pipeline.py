@@ -14,6 +14,9 @@ from plumbline.llm import jaccard_join, packing, quality, suffix_dedup, toxicity
 from plumbline.llm.queries import TOKENIZER
 from plumbline.storage import shared_dir
 
+#: Goes before the columns that a stage adds for its own use, so that those of the documents stay as they are.
+OWN = "__stage_"
+
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -21,12 +24,12 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below its threshold."""
-    return toxicity.score(docs, _labels(spark, sf_dir)).filter("predicted = 0").select(*docs.columns)
+    return toxicity.score(docs, _labels(spark, sf_dir), prefix=OWN).filter(f"{OWN}predicted = 0").select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches its threshold."""
-    return quality.score(docs, _labels(spark, sf_dir)).filter("predicted = 1").select(*docs.columns)
+    return quality.score(docs, _labels(spark, sf_dir), prefix=OWN).filter(f"{OWN}predicted = 1").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,10 +42,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that an earlier text holds; n_chars follows."""
-    cut = suffix_dedup.deduplicate(docs)
+    cut = suffix_dedup.deduplicate(docs, prefix=OWN)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+        cut = cut.withColumn("n_chars", F.when(F.col(f"{OWN}n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
     return cut.select(*docs.columns)
 
 
