@@ -158,3 +158,8 @@ def citation_panel(rows: DataFrame, per: list[str], cites: str) -> DataFrame:
         F.round(F.avg((F.col(cites) == 0).cast("double")), 6).alias("uncited"),
         F.max(F.least(F.col("_r").cast("long"), F.col(cites).cast("long"))).alias("h_index"),
     )
+
+
+def number_by_size(counted: DataFrame, item: str, value: str) -> DataFrame:
+    """Items numbered from 0, the largest first; ties by name.  One row per item comes in."""
+    return counted.withColumn("topic_id", F.row_number().over(Window.orderBy(F.desc(value), item)) - 1)

@@ -195,15 +195,15 @@ def citation_panel(spark, sf_dir):
     return O.citation_panel(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("cites")), ["brand"], "cites")
 
 
-@query("""SELECT event_type, date_trunc('hour', ts) AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+@query("""SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def events_tumbling(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    return e.groupBy("event_type", F.date_trunc("hour", "ts").alias("window_start")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return e.groupBy("event_type", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss").alias("window_start")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)
-SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2""")
+SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS n, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first_ts, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last_ts FROM s GROUP BY 1, 2""")
 def events_sessions(spark, sf_dir):
     from pyspark.sql import Window
 
@@ -211,4 +211,25 @@ def events_sessions(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("_p", F.lag("ts").over(order))
     near = F.col("ts") - F.col("_p") <= F.expr("INTERVAL 30 MINUTES")
     e = e.withColumn("_f", F.when(F.coalesce(near, F.lit(False)), 0).otherwise(1)).withColumn("session", F.sum("_f").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+    return e.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), *(F.date_format(f("ts"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(n) for f, n in ((F.min, "first_ts"), (F.max, "last_ts"))))
+
+
+@query(f"""WITH {_ORDERS}, c AS (SELECT theme, count(*) AS n FROM o GROUP BY 1) SELECT theme, n, CAST(row_number() OVER (ORDER BY n DESC, theme) - 1 AS INTEGER) AS topic_id FROM c""")
+def theme_numbering(spark, sf_dir):
+    return O.number_by_size(O.counts(_orders(spark, sf_dir), "theme", name="n"), "theme", "n")
+
+
+@query(f"""WITH {_RANKED}, z AS (SELECT theme, y, share, row_number() OVER (PARTITION BY theme ORDER BY share DESC, y) AS n FROM r)
+SELECT theme, string_agg(y || ':' || CAST(round(share * 1000000) AS BIGINT), ',' ORDER BY y) AS series, max(y) FILTER (n = 1) AS peak FROM z GROUP BY theme""")
+def drift_series(spark, sf_dir):
+    r = _ranked(spark, sf_dir)
+    point = F.concat_ws(":", F.col("y").cast("string"), F.round(F.col("share") * 1000000).cast("long").cast("string"))
+    series = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", point.alias("p")))), lambda s: s["p"]), ",")
+    return r.groupBy("theme").agg(series.alias("series")).join(O.peak(r, "theme", "y").select("theme", "peak"), "theme")
+
+
+@query()
+def streamgraph_payload(spark, sf_dir):
+    from plumbline.sources.io import payload
+
+    return payload(_ranked(spark, sf_dir).select("theme", "y", "papers", "share"), ["theme", "y"])

@@ -167,3 +167,10 @@ def lemma_terms(spark, sf_dir):
 def topic_labels(spark, sf_dir):
     lists = O.word_lists(_source_top(spark, sf_dir), ["source"])
     return lists.select("source", O.fallback_label(F.col("top_words")).alias("label"), T.clean_label(F.array_join("top_words", " ")).alias("clean"))
+
+
+@query("""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract('<section id="abstract"><h2>Abstract</h2>' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || '</section>', '<section id="abstract">(.*?)</section>', 1), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))[10:], '') AS abstract FROM pages""")
+def page_abstract_extract(spark, sf_dir):
+    """The abstract of a page built around each page's heading."""
+    page = F.concat(F.lit('<script>x</script><section id="abstract"><h2>Abstract</h2>'), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("</section>"))
+    return table(spark, sf_dir, "pages").select("page_id", html.abstract(page).alias("abstract"))

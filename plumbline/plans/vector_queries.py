@@ -74,6 +74,15 @@ def unit_vectors(spark, sf_dir):
     return u.select("vec_id", F.round(O.norm(F.col("u")), 6).alias("length"), F.round(F.col("u")[0], 6).alias("head"))
 
 
+@query(f"""WITH {_CENTROIDS}, a AS (SELECT c.label AS anchor, c.c AS a FROM c WHERE c.label % 3 = 0), s AS (SELECT c.label AS topic_id, anchor, round(list_inner_product(c.c, a), 12) AS sim FROM c CROSS JOIN a),
+k AS (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY sim DESC, anchor) AS k FROM s) SELECT topic_id, anchor, round(sim, 6) AS sim FROM k WHERE k = 1""")
+def seed_theme_mapping(spark, sf_dir):
+    """Each topic's nearest theme anchor; here every third topic's centroid is an anchor."""
+    cents = _centroids(spark, sf_dir)
+    near = O.nearest(cents.withColumnRenamed("label", "topic_id"), "topic_id", "centroid", cents.filter("label % 3 = 0"), "label")
+    return near.select("topic_id", F.col("nearest").alias("anchor"), F.round("sim", 6).alias("sim"))
+
+
 @query()
 def kmeans_topics(spark, sf_dir):
     return O.cluster(_embeddings(spark, sf_dir), "embedding", k=10, outlier_below=0.05).select("vec_id", "label", "topic_id")
