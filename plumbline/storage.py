@@ -8,10 +8,24 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir; below a local one only where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return posixpath.join(base or "file:///tmp/plumbline-shared", f"{name}-{uuid.uuid4().hex}")
+    path = posixpath.join(base or "file:///tmp/plumbline-shared", f"{name}-{uuid.uuid4().hex}")
+    _made.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Delete the shared folders that this process made; call it when no result of theirs is read any more."""
+    n = 0
+    while _made:
+        fs, p = _fs(spark, _made.pop())
+        n += bool(fs.delete(p, True))
+    return n
 
 
 def _fs(spark: SparkSession, path: str):

@@ -96,6 +96,13 @@ def test_overwrite_own_input(spark, tmp_path):
     assert [r["present"] for r in storage.status(spark, [path, path + "-no"]).collect()] == [True, False]
 
 
+def test_clean_up(spark):
+    path = storage.shared_dir(spark, "some")
+    spark.range(2).write.parquet(path)
+    assert storage.exists(spark, path) and storage.clean_up(spark) >= 1
+    assert not storage.exists(spark, path)
+
+
 def test_html(spark):
     pages = ['<meta property="og:title" content="A &amp; B | Site"><title>C</title><div role="paragraph">One.</div><div role="paragraph">Two.</div>', "<title>C</title><section id='abstract'><h2>Abstract</h2> Text <b>x</b></section>", "<script>var a='<title>no</title>'</script><p>one<p>two</p>", None]
     df = spark.createDataFrame([(p,) for p in pages], "h string")
