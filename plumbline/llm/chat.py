@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm._text import shared_dir
+from plumbline.storage import shared_dir
 
 # The template's names of common roles; other roles stand behind a tilde.
 ROLES = {"user": "User", "assistant": "Assistant", "system": "System"}
@@ -73,9 +73,14 @@ def chosen_paths(messages: DataFrame, branches: int = 1, rounds: int = 40) -> Da
     parents = nodes.select("conv", F.col("parent").alias("node")).filter("node is not null").distinct()
     best = Window.partitionBy("conv").orderBy(F.col("total").desc(), "node")
     path = rooted.join(parents, ["conv", "node"], "left_anti").withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("conv", "branch", "node", "turns", F.lit(0).cast("long").alias("back"))
+    # Each step adds the ancestors at the next power of two and is written, so plans stay small.
+    path.write.parquet(f"{folder}/path/0")
+    schema = path.schema
     for k, level in enumerate(levels[:-1]):
+        path = spark.read.schema(schema).parquet(*(f"{folder}/path/{i}" for i in range(k + 1)))
         above = path.join(level.filter("hop is not null").select("conv", "node", "hop"), ["conv", "node"]).select("conv", "branch", F.col("hop").alias("node"), "turns", (F.col("back") + (1 << k)).alias("back"))
-        path = path.unionByName(above)
+        above.select(*schema.fieldNames()).write.parquet(f"{folder}/path/{k + 1}")
+    path = spark.read.schema(schema).parquet(*(f"{folder}/path/{i}" for i in range(len(levels))))
     return path.select("conv", "branch", (F.col("turns") - 1 - F.col("back")).alias("position"), "node")
 
 
