@@ -60,16 +60,21 @@ def chosen_paths(messages: DataFrame, branches: int = 1, rounds: int = 40) -> Da
     there = nodes.select("conv", F.col("node").alias("parent"), F.col("node").alias("hop"))
     linked = nodes.join(there, ["conv", "parent"], "left")
     jump = linked.select("conv", "node", "hop", F.lit(1).cast("long").alias("turns"), F.col("score").alias("total"))
-    levels = []
+    levels, schema, before = [], jump.schema, None
     for k in range(rounds):
-        jump.write.parquet(f"{folder}/{k}")
-        jump = spark.read.parquet(f"{folder}/{k}")
+        jump.write.parquet(f"{folder}/jump/{k}")
+        jump = spark.read.schema(schema).parquet(f"{folder}/jump/{k}")
         levels.append(jump)
-        if jump.filter("hop is not null").limit(1).count() == 0:
+        todo = jump.filter("hop is not null")
+        left = todo.count()
+        if left == 0 or left == before:  # none, or only those of circles
             break
-        on = jump.select("conv", F.col("node").alias("hop"), F.col("hop").alias("_hop"), F.col("turns").alias("_turns"), F.col("total").alias("_total"))
-        jump = jump.join(on, ["conv", "hop"], "left").select("conv", "node", F.col("_hop").alias("hop"), (F.col("turns") + F.coalesce("_turns", F.lit(0))).alias("turns"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
-    rooted = levels[-1].filter("hop is null")
+        before = left
+        # Only messages that haven't met their root go on; those that have are still met by others.
+        met = spark.read.schema(schema).parquet(*(f"{folder}/jump/{i}" for i in range(k))).filter("hop is null").unionByName(jump) if k else jump
+        on = met.select("conv", F.col("node").alias("hop"), F.col("hop").alias("_hop"), F.col("turns").alias("_turns"), F.col("total").alias("_total"))
+        jump = todo.join(on, ["conv", "hop"]).select("conv", "node", F.col("_hop").alias("hop"), (F.col("turns") + F.col("_turns")).alias("turns"), (F.col("total") + F.col("_total")).alias("total"))
+    rooted = spark.read.schema(schema).parquet(*(f"{folder}/jump/{i}" for i in range(len(levels)))).filter("hop is null")
     parents = nodes.select("conv", F.col("parent").alias("node")).filter("node is not null").distinct()
     best = Window.partitionBy("conv").orderBy(F.col("total").desc(), "node")
     path = rooted.join(parents, ["conv", "node"], "left_anti").withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("conv", "branch", "node", "turns", F.lit(0).cast("long").alias("back"))
