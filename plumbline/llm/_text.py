@@ -7,8 +7,6 @@ passes over bytes and no Python string is made per word.
 
 from __future__ import annotations
 
-import posixpath
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -38,27 +36,6 @@ BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.
 _POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
 
 
-def shared_dir(spark, name: str) -> str:
-    """A fresh folder in the place all executors share.
-
-    It is spark.checkpoint.dir; only where that is unset (tests, local runs)
-    a folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file:///tmp/plumbline-shared"
-    return posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
-
-
-def ensure_checkpoint_dir(spark) -> None:
-    """Point checkpoint() at spark.checkpoint.dir, or at a local folder where unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(posixpath.dirname(shared_dir(spark, "x")))
-
-
 def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._text import expand, hash_words, mix, shared_dir, slices, split_words, string_bytes
-from plumbline.llm.components import components
+from plumbline.llm._text import expand, hash_words, mix, slices, split_words, string_bytes
+from plumbline.operators.graph import components
+from plumbline.storage import shared_dir
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 COORDINATES, DEPTH, MAX_DEPTH = 64, 2, 8
