@@ -11,12 +11,22 @@ def counts(rows: DataFrame, *keys: str, name: str = "papers") -> DataFrame:
     return rows.na.drop(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+def labels(counted: DataFrame, label: str, value: str = "papers") -> DataFrame:
+    """Distinct labels of a counted table.
+
+    The sum is asked for so that the counts stay in the plan: its shuffle is
+    then the one that the other uses of the table have, and rows are read
+    once.
+    """
+    return counted.groupBy(label).agg(F.sum(value).alias("_t")).filter("_t >= 0").select(label)
+
+
 def dense(counted: DataFrame, row: str, column: str, value: str = "papers") -> DataFrame:
     """Every pair of a row's and a column's distinct values, 0 where there was none.
 
     Both sides of the product are distinct labels of an already counted table.
     """
-    grid = counted.select(row).distinct().crossJoin(counted.select(column).distinct())
+    grid = labels(counted, row, value).crossJoin(labels(counted, column, value))
     return grid.join(counted, [row, column], "left").withColumn(value, F.coalesce(value, F.lit(0)))
 
 
@@ -70,7 +80,7 @@ def growth(counted: DataFrame, item: str, start: str, step: int, value: str = "p
     share then, else up, down or flat (within `flat` percent).
     """
     shared = shares(counted, start, value=value, digits=12)
-    had = counted.select((F.col(start) + step).alias(start)).distinct().withColumn("_had", F.lit(True))
+    had = labels(counted, start, value).select((F.col(start) + step).alias(start), F.lit(True).alias("_had"))
     before = shared.select(item, (F.col(start) + step).alias(start), F.col("share").alias("_before"))
     out = shared.join(had, start, "left").join(before, [item, start], "left")
     pct = (F.col("share") / F.col("_before") - 1) * 100
@@ -80,14 +90,16 @@ def growth(counted: DataFrame, item: str, start: str, step: int, value: str = "p
     return out.withColumn("share", F.round("share", 6)).drop("_had", "_before")
 
 
-def came_and_went(counted: DataFrame, item: str, start: str, step: int) -> DataFrame:
+def came_and_went(counted: DataFrame, item: str, start: str, step: int, value: str = "papers") -> DataFrame:
     """(period, item, change): items without rows in the period before, and items that the period lost."""
-    have = counted.select(F.col(start), item).distinct()
-    periods = counted.select(F.col(start)).distinct()
-    earlier = have.select((F.col(start) + step).alias(start), item).join(periods, start, "left_semi")
-    came = have.join(periods.select((F.col(start) + step).alias(start)), start, "left_semi").join(earlier, [start, item], "left_anti")
-    went = earlier.join(have, [start, item], "left_anti")
-    return came.withColumn("change", F.lit("emerging")).unionByName(went.withColumn("change", F.lit("faded")))
+    order = Window.partitionBy(item).orderBy(start)
+    near = counted.withColumns({"_prev": F.lag(start).over(order), "_next": F.lead(start).over(order)})
+    now, following = F.col(start), (F.col(start) + step).cast(counted.schema[start].dataType)
+    change = lambda name, at, needs, hit: F.when(hit, F.struct(at.alias("at"), needs.alias("needs"), F.lit(name).alias("change")))
+    came = change("emerging", now, now - step, F.coalesce(F.col("_prev") != now - step, F.lit(True)))
+    went = change("faded", following, following, F.coalesce(F.col("_next") != following, F.lit(True)))
+    both = near.select(item, F.explode(F.filter(F.array(came, went), lambda x: x.isNotNull())).alias("x")).select(item, "x.*")
+    return both.join(labels(counted, start, value).withColumnRenamed(start, "needs"), "needs", "left_semi").select(F.col("at").alias(start), item, "change")
 
 
 def steepest(shared: DataFrame, item: str, period: str, share: str = "share", step: int | None = None) -> DataFrame:

@@ -27,21 +27,22 @@ def vocabulary(terms: DataFrame, min_df: int, max_features: int | None = None) -
 def class_counts(terms: DataFrame, cls: list[str], min_df: int) -> DataFrame:
     """(class, term, n) over terms in at least min_df documents.
 
-    Terms are summed by class first, so the document frequency joins a table
-    of classes by terms and not the documents' own.
+    Terms are summed by class first; the document frequency is then a window
+    over a term's few classes, and both share one shuffle with what follows.
     """
     by = terms.groupBy(*cls, "term").agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("_df"))
-    df = by.groupBy("term").agg(F.sum("_df").alias("df")).filter(F.col("df") >= min_df)
-    return by.join(df, "term").select(*cls, "term", "n")
+    kept = by.withColumn("df", F.sum("_df").over(Window.partitionBy("term"))).filter(F.col("df") >= min_df)
+    return kept.select(*cls, "term", "n")
 
 
 def class_tfidf(counts: DataFrame, cls: list[str]) -> DataFrame:
     """(class, term, n, w): share within the class times ln(1 + mean tokens per class / tokens of the term)."""
     per_class = counts.groupBy(*cls).agg(F.sum("n").alias("_c"))
-    per_term = counts.groupBy("term").agg(F.sum("n").alias("_f"))
     whole = per_class.agg((F.sum("_c") / F.count(F.lit(1))).alias("_a"))  # one row
     w = F.col("n") / F.col("_c") * F.log1p(F.col("_a") / F.col("_f"))
-    return counts.join(per_class, cls).join(per_term, "term").crossJoin(F.broadcast(whole)).select(*cls, "term", "n", w.alias("w"))
+    # A class may hold a third of all terms: its total comes by a join, not by a window over it.
+    by_term = counts.withColumn("_f", F.sum("n").over(Window.partitionBy("term")))
+    return by_term.join(per_class, cls).crossJoin(F.broadcast(whole)).select(*cls, "term", "n", w.alias("w"))
 
 
 def top_terms(weights: DataFrame, cls: list[str], k: int, digits: int = 9) -> DataFrame:
