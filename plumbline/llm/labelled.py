@@ -9,13 +9,14 @@ scored whole like all others).
 
 from __future__ import annotations
 
+import gc
 import math
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_ROWS, MAX_CHARS = 8000, 40_000
+MAX_ROWS, MAX_CHARS = 4000, 20_000
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -23,6 +24,12 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def release() -> None:
+    """Give the memory of a fit back to the system: the driver lives on."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def fit_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[pa.Table, float]:
     """Texts with their 0/1 label, and the log odds to add for the classes' true shares.
 

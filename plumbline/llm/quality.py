@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm._text import hash_words, mix, slices, split_words, string_bytes
-from plumbline.llm.labelled import MAX_CHARS, MAX_ROWS, fit_sample, held_out
+from plumbline.llm.labelled import MAX_CHARS, MAX_ROWS, fit_sample, held_out, release
 
 BITS = 18
 THRESHOLD = 0.7
@@ -95,8 +95,8 @@ def fit(sample: pa.Table, epochs: int = 3, seed: int = 7) -> np.ndarray:
         f, _, words = features(data[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]]))
         at, count = np.unique(f, return_counts=True)
         x = SCALE * count / max(1, words[0])
-        examples.append((np.r_[at, _length_feature(words) % size, size], np.r_[x, 1.0, 1.0]))
-    examples = [(np.unique(a), np.bincount(np.unique(a, return_inverse=True)[1], weights=x)) for a, x in examples]
+        at, place = np.unique(np.r_[at, _length_feature(words), size], return_inverse=True)
+        examples.append((at.astype(np.int32), np.bincount(place, weights=np.r_[x, 1.0, 1.0]).astype(np.float32)))
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(y)):
@@ -116,28 +116,30 @@ def scores(weights: np.ndarray, shift: float, data: np.ndarray, offsets: np.ndar
     return 1 / (1 + np.exp(-np.clip(dot + shift, -35, 35)))
 
 
-def score(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, fit_docs: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, fit_docs: DataFrame | None = None, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """All columns of `docs` (or those in `keep`) with score (0 to 1) and predicted (1 where score >= threshold).
 
-    A null text scores as an empty one.  Columns named score or predicted in
-    `docs` are replaced.  Without labels of both classes the score is the
+    A null text scores as an empty one.  Columns of the added names (`prefix`
+    goes before them) in `docs` are replaced.  Without labels of both classes the score is the
     labels' share of 1 (0.5 without labels).
     """
     sample, shift = fit_sample(fit_docs if fit_docs is not None else docs, labels, target, max_rows, max_chars)
     weights = docs.sparkSession.sparkContext.broadcast(fit(sample).astype(np.float32))
-    return apply_scores(docs, lambda data, offsets: scores(weights.value, shift, data, offsets), threshold, keep)
+    del sample
+    release()
+    return apply_scores(docs, lambda data, offsets: scores(weights.value, shift, data, offsets), threshold, keep, prefix)
 
 
-def apply_scores(docs: DataFrame, rate, threshold: float, keep: list[str] | None = None) -> DataFrame:
+def apply_scores(docs: DataFrame, rate, threshold: float, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """Add score and predicted from `rate(bytes, offsets)` over each chunk of whole texts."""
     from pyspark.sql.types import StructType
 
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
-    frame = docs.select(*names, F.col("text").alias("_text"))
-    out = StructType(frame.schema.fields[:-1] + StructType.fromDDL("score double, predicted int").fields)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in (f"{prefix}score", f"{prefix}predicted")]
+    frame = docs.select(*names, F.col("text").cast("string").alias("__plumbline_text"))
+    out = StructType(frame.schema.fields[:-1] + StructType.fromDDL(f"{prefix}score double, {prefix}predicted int").fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "__plumbline_text"):
             p = rate(*string_bytes(part.column(len(names))))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=out.fieldNames())
 

@@ -251,12 +251,12 @@ def longest_previous_factor(data: bytes) -> np.ndarray:
     n = len(text)
     if not n:
         return np.zeros(0, np.int64)
-    rank = text.astype(np.int64) + 1
+    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
     span = 1
     while span < n and rank.max() < n:
         after = np.zeros(n, dtype=np.int64)
         after[: n - span] = rank[span:]
-        rank = np.unique(rank * (n + 257) + after, return_inverse=True)[1].astype(np.int64) + 1
+        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
         span *= 2
     order = np.argsort(rank, kind="stable")
 
@@ -431,13 +431,14 @@ def _match_bytes(length: int):
     return run
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, prefix: str = "") -> DataFrame:
     """Documents without bytes that a string of `length` bytes repeats from earlier on.
 
     Returns all columns of `docs` (doc_id alone unless with_text), the text
     without the removed bytes (halves of cut characters dropped), and n_bytes,
     n_removed, n_spans (maximal removed runs) and kept_sha256 of the remaining
-    bytes.  A null text counts as empty and stays null; a null doc_id comes
+    bytes (`prefix` goes before these names, which are replaced in `docs`).  A
+    null text counts as empty and stays null; a null doc_id comes
     before all others.  Rows that repeat doc_id and text are one document
     listed twice and give equal rows; rows that repeat only doc_id are ordered
     by a hash of their text.  An empty table gives an empty one.
@@ -447,7 +448,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
 
     spark = docs.sparkSession
     n = partitions(spark)
-    added = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    added = tuple(prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
     names = [c for c in docs.columns if c not in added] if with_text else ["doc_id"]
     frame = docs.select(*dict.fromkeys([*names, "text"]))
     frame = frame.withColumn("text", F.col("text").cast("string"))
@@ -456,7 +457,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
     matched = found.repartition(n, "bucket").mapInArrow(_match_runs, PACKED)
     fetched = marked.groupBy("__slot").cogroup(matched.groupBy("bucket")).applyInArrow(_fetch(length, n), PACKED)
     spans = fetched.repartition(n, "bucket").mapInArrow(_match_bytes(length), PACKED)
-    out = StructType(frame.select(*names).schema.fields + StructType.fromDDL("n_bytes long, n_removed long, n_spans long, kept_sha256 string").fields)
+    out = StructType(frame.select(*names).schema.fields + StructType.fromDDL(", ".join(f"{c} {k}" for c, k in zip(added, ("long", "long", "long", "string"), strict=True))).fields)
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         schema = to_arrow_schema(out)
@@ -501,7 +502,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
         if with_text:
             null = left.column("text").is_null().to_pylist()
             columns["text"] = pa.array([None if z else x for z, x in zip(null, texts, strict=True)], pa.string())
-        columns |= {"n_bytes": pa.array(sizes), "n_removed": pa.array(n_removed), "n_spans": pa.array(n_spans), "kept_sha256": pa.array(digests)}
+        columns |= dict(zip(added, map(pa.array, (sizes, n_removed, n_spans, digests)), strict=True))
         return pa.table({f.name: columns[f.name].cast(f.type) for f in schema}, schema=schema)
 
     return marked.groupBy("__slot").cogroup(spans.groupBy("bucket")).applyInArrow(cut, out)

@@ -15,15 +15,14 @@ them into a probability.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from plumbline.llm._text import hash_words, slices, string_bytes
-from plumbline.llm.labelled import MAX_CHARS, MAX_ROWS, fit_sample
+from plumbline.llm.labelled import MAX_CHARS, MAX_ROWS, fit_sample, release
 from plumbline.llm.quality import apply_scores
 
 THRESHOLD = 0.3
@@ -65,8 +64,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _CODE, _AFTER = _tables()
 
 
-def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded letters of all words (without marks inside), word starts, ends, rows and the number of quotation marks before each word in its row.
+def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Folded letters of all words (without marks inside), word starts, ends and rows, and the number of quotation marks in its row before each word and in all.
 
     Folding drops case and the accents of Latin letters, reads disguise
     characters as letters and leaves out points, dashes and stars, so a word
@@ -92,7 +91,8 @@ def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first = np.flatnonzero(np.r_[True, piece[at][1:] != piece[at][:-1]]) if len(at) else np.zeros(0, np.int64)
     rows = np.searchsorted(offsets, at[first], side="right") - 1
     quotes = np.r_[0, np.cumsum(quote)]
-    return code[at].astype(np.uint8), first, np.r_[first[1:], len(at)] if len(at) else first, rows, quotes[at[first]] - quotes[offsets[rows]]
+    begin = quotes[offsets[rows]]
+    return code[at].astype(np.uint8), first, np.r_[first[1:], len(at)] if len(at) else first, rows, quotes[at[first]] - begin, quotes[offsets[rows + 1]] - begin
 
 
 def fold(word: str) -> bytes:
@@ -214,66 +214,120 @@ class Lexicon:
         return self.kind[state]
 
 
-def _words(text: str) -> list[str]:
-    return re.findall(r"[^\W\d_]+", text.lower())
-
-
-def learn_lexicon(texts: list[str], y: np.ndarray, max_terms: int = 400, least: int = 4, ratio: float = 30.0) -> tuple[list[str], list[str]]:
+class _Sample:
+    """Folded words of labelled texts as arrays; equal texts count once, toxic if any copy is."""
+
+    def __init__(self, sample: pa.Table):
+        firsts: dict[bytes, int] = {}
+        letters, starts, ends, rows, base = [], [], [], [], 0
+        toxic: list[int] = []
+        for batch in slices(sample.to_batches()):
+            data, offsets = string_bytes(batch.column(batch.schema.get_field_index("text")))
+            y = batch.column(batch.schema.get_field_index("y")).to_pylist()
+            number = np.full(len(y), -1)
+            raw = data.tobytes()
+            for i, label in enumerate(y):
+                key = sha256(raw[offsets[i] : offsets[i + 1]]).digest()
+                if key in firsts:
+                    toxic[firsts[key]] |= label
+                else:
+                    number[i] = firsts[key] = len(toxic)
+                    toxic.append(label)
+            w, s, e, r, *_ = coded(data, offsets)
+            plain = np.r_[0, np.cumsum(w > 26)]
+            keep = (number[r] >= 0) & (plain[e] == plain[s])
+            letters.append(w)
+            starts.append((s[keep] + base).astype(np.int32))
+            ends.append((e[keep] + base).astype(np.int32))
+            rows.append(number[r[keep]].astype(np.int32))
+            base += len(w)
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.letters, self.starts, self.ends, self.rows = join(letters).astype(np.uint8), join(starts), join(ends), join(rows)
+        self.lens, self.y = self.ends - self.starts, np.array(toxic, dtype=np.int64)
+        self.words = hash_words(self.letters, self.starts, self.ends)
+        same = np.r_[False, self.rows[1:] == self.rows[:-1]] if len(self.rows) else np.zeros(0, bool)
+        self.before = np.where(same, np.roll(self.words, 1), np.uint64(0))
+
+    def text(self, i: int, length: int | None = None) -> str:
+        s = self.starts[i]
+        return "".join(chr(96 + c) for c in self.letters[s : s + length if length else self.ends[i]])
+
+    def table(self, keys: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
+        """Per different key of the words `at`: its first word, texts of either class, words before it and words in toxic texts."""
+        uniq, first, group = np.unique(keys, return_index=True, return_inverse=True)
+        group = group.astype(np.int32)
+        pair = np.unique(group.astype(np.int64) * len(self.y) + self.rows[at])
+        label = self.y[pair % len(self.y)]
+        out = {"first": at[first], "group": group}
+        out["toxic"], out["other"] = (np.bincount(pair[label == k] // len(self.y), minlength=len(uniq)) for k in (1, 0))
+        bad = self.y[self.rows[at]] == 1
+        for name, values in (("contexts", self.before), ("words", self.words)):
+            order = np.lexsort((values[at][bad], group[bad]))
+            g, v = group[bad][order], values[at][bad][order]
+            new = np.r_[True, (g[1:] != g[:-1]) | (v[1:] != v[:-1])] if len(g) else np.zeros(0, bool)
+            out[name] = np.bincount(g[new], minlength=len(uniq))
+        return out
+
+
+def learn_lexicon(sample: pa.Table, max_terms: int = 400, least: int = 4, ratio: float = 30.0) -> tuple[list[str], list[str]]:
     """Terms and stems whose share of toxic texts is `ratio` times that of the others.
 
     Equal texts count once, and a word needs at least `least` different words
     before it in toxic texts, so that copies of one text lend no weight.  A
     stem is the shortest beginning (4 to 8 letters) of many different words
-    that holds to the same measure; words that a stem covers are no terms.
+    that holds to the same measure, lengthened as far as nearly all of them
+    agree; words that a stem covers are no terms.
     """
-    firsts: dict[str, int] = {}
-    for text, label in zip(texts, y.tolist(), strict=True):
-        firsts[text or ""] = max(label, firsts.get(text or "", 0))
-    n = [sum(1 for v in firsts.values() if v == k) for k in (0, 1)]
+    w = _Sample(sample)
+    n = [int((w.y == k).sum()) for k in (0, 1)]
     if not n[0] or not n[1]:
         return [], []
-    before: dict[str, set[str]] = {}
-    toxic = Counter()
-    for text, label in firsts.items():
-        if label:
-            words = _words(text)
-            toxic.update({w for w in words if len(w) > 3})
-            for prev, w in zip(["", *words], words, strict=False):
-                if len(w) > 3:
-                    before.setdefault(w, set()).add(prev)
-    by_head: dict[str, list[str]] = {}
-    for w in before:
-        for i in range(4, min(9, len(w))):
-            by_head.setdefault(w[:i], []).append(w)
-    by_head = {h: ws for h, ws in by_head.items() if len(ws) >= least}
-    words_in, heads_in = [Counter(), Counter()], [Counter(), Counter()]
-    for text, label in firsts.items():
-        words = {w for w in _words(text) if w in before or w[:4] in by_head}
-        words_in[label].update(words)
-        heads_in[label].update({w[:i] for w in words for i in range(4, min(9, len(w) + 1)) if w[:i] in by_head})
-
-    def telling(contexts: int, pos: int, neg: int) -> bool:
-        return contexts >= least and min(contexts, pos) / n[1] >= ratio * (neg + 1) / n[0]
-
-    terms = {w for w, p in before.items() if telling(len(p), words_in[1][w], words_in[0][w])}
+
+    def telling(t: dict[str, np.ndarray]) -> np.ndarray:
+        seen = np.minimum(t["contexts"], t["toxic"])
+        return (seen >= least) & (seen / n[1] >= ratio * (t["other"] + 1) / n[0])
+
+    long = np.flatnonzero(w.lens > 3).astype(np.int32)
+    if not len(long):
+        return [], []
+    words = w.table(w.words[long], long)
+    terms = {w.text(i): int(c) for i, c in zip(words["first"][telling(words)], words["toxic"][telling(words)], strict=True)}
+    common = np.zeros(len(w.lens), dtype=np.int64)
+    common[long] = words["toxic"][words["group"]]
     stems: list[str] = []
-    for h in sorted(by_head, key=lambda h: (len(h), h)):
-        if h in terms or any(h.startswith(s) for s in stems):
-            continue
+    left = long[w.lens[long] > 4]
+    for size in range(4, 9):
+        at = left[w.lens[left] >= size]
+        if not len(at):
+            break
+        t = w.table(hash_words(w.letters, w.starts[at], w.starts[at] + size), at)
+        most = np.zeros(len(t["first"]), dtype=np.int64)
+        np.maximum.at(most, t["group"], common[at])
         # Met in far more texts than its commonest word: else that word is the term.
-        common = max(toxic[w] for w in by_head[h])
-        if heads_in[1][h] >= 2 * common and telling(len(set().union(*(before[w] for w in by_head[h]))), heads_in[1][h], heads_in[0][h]):
-            while longer := [x for x in by_head if len(x) == len(h) + 1 and x.startswith(h) and heads_in[1][x] >= 0.98 * heads_in[1][h]]:
-                h = longer[0]  # as long as nearly all its words have it
-            if h not in stems:
-                stems.append(h)
-    left = sorted((w for w in terms if not any(w.startswith(s) for s in stems)), key=lambda w: (-toxic[w], w))
-    return sorted(left[:max_terms]), stems
+        chosen = telling(t) & (t["words"] >= least) & (t["toxic"] >= 2 * most)
+        for k in np.flatnonzero(chosen):
+            head = w.text(t["first"][k], size)
+            if head in terms:
+                continue
+            mine = at[t["group"] == k]
+            for longer in range(size + 1, 9):
+                fits = mine[w.lens[mine] >= longer]
+                if not len(fits):
+                    break
+                u = w.table(hash_words(w.letters, w.starts[fits], w.starts[fits] + longer), fits)
+                best = int(u["toxic"].argmax())
+                if u["toxic"][best] < 0.98 * t["toxic"][k]:
+                    break
+                head = w.text(u["first"][best], longer)
+            stems.append(head)
+        left = at[~chosen[t["group"]]]
+    kept = sorted((x for x in terms if not any(x.startswith(s) for s in stems)), key=lambda x: (-terms[x], x))
+    return sorted(kept[:max_terms]), sorted(set(stems))
 
 
 def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row, kind and context weight of each hit, and the number of words of each row."""
-    letters, starts, ends, rows, quotes = coded(data, offsets)
+    letters, starts, ends, rows, quotes, in_row = coded(data, offsets)
     n_rows = len(offsets) - 1
     words = np.bincount(rows, minlength=n_rows)
     if not len(starts):
@@ -291,7 +345,9 @@ def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     row_end = np.searchsorted(rows, rows[at], side="right")
     lo, hi = np.maximum(at - WINDOW, row_first), np.minimum(at + WINDOW + 1, row_end)
     # Quoted: an odd number of marks before it, and a mark within the window to each side.
-    quoted = (quotes[at] % 2 == 1) & (quotes[lo] < quotes[at]) & (quotes[hi - 1] > quotes[at])
+    opened = quotes[at] - np.where(lo == row_first, 0, quotes[lo])
+    closed = np.where(hi == row_end, in_row[at], quotes[hi - 1]) - quotes[at]
+    quoted = (quotes[at] % 2 == 1) & (opened > 0) & (closed > 0)
     weight = np.where(quoted, 0.4, 1.0) * np.where(said[hi] > said[lo], np.where(quoted, 0.5, 0.8), 1.0)
     weight *= 1 + 0.2 * (you[hi] > you[lo]) + 0.1 * np.minimum(5, hit[hi] - hit[lo] - 1)
     return rows[at], kind, weight, words
@@ -336,8 +392,8 @@ class Model:
     """A lexicon with the weights that turn its hits into a probability."""
 
     def __init__(self, sample: pa.Table, shift: float):
-        texts, y = sample.column("text").to_pylist(), sample.column("y").to_numpy()
-        self.terms, self.stems = learn_lexicon(texts, y)
+        y = sample.column("y").to_numpy()
+        self.terms, self.stems = learn_lexicon(sample)
         self.shift = shift
         lexicon = Lexicon(self.terms, self.stems)
         x = np.concatenate([features(lexicon, *string_bytes(b.column(b.schema.get_field_index("text")))) for b in slices(sample.to_batches())]) if len(y) else np.zeros((0, len(PRIOR)))
@@ -353,13 +409,15 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
 
 
-def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, fit_docs: DataFrame | None = None, keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, fit_docs: DataFrame | None = None, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """All columns of `docs` (or those in `keep`) with score (0 to 1) and predicted (1 where score >= threshold).
 
     A null text scores as an empty one; repeated rows score alike.  Columns
-    named score or predicted in `docs` are replaced.  Without labels of both
+    of the added names (`prefix` goes before them) in `docs` are replaced.  Without labels of both
     classes nothing is in the lexicon and the score is the labels' share of 1.
     """
     sample, shift = fit_sample(fit_docs if fit_docs is not None else docs, labels, target, max_rows, max_chars)
     model = docs.sparkSession.sparkContext.broadcast(Model(sample, shift))
-    return apply_scores(docs, lambda data, offsets: model.value.scores(data, offsets), threshold, keep)
+    del sample
+    release()
+    return apply_scores(docs, lambda data, offsets: model.value.scores(data, offsets), threshold, keep, prefix)
