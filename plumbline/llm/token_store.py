@@ -30,6 +30,8 @@ from plumbline.llm._text import partitions, slices, string_bytes
 from plumbline.llm.tokens import library_table, vocabulary, with_end
 
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
+#: Ranges up to this number are found by an expression; beyond it Spark samples the rows for them.
+MAX_CUTS = 1000
 BLOCKS = "part int, block int, dict_sha256 string, doc_ids array<bigint>, offsets array<bigint>, n_tokens array<bigint>, payload binary"
 
 
@@ -83,9 +85,12 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, le
     dictionary = train_dictionary(docs, tokenizer_path, end_id, n_docs, dict_size, sample_docs, sample_chars)
     digest = sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "dict_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
-    # The range of a row by binary search in the sorted cuts; no pass over the texts is needed for it.
-    part = _range_of(F.col("doc_id"), cuts)
-    placed = docs.withColumn("part", part).repartitionById(len(cuts) + 1, "part").sortWithinPartitions("doc_id", "text")
+    if len(cuts) <= MAX_CUTS:
+        # The range of a row by binary search in the sorted cuts; no pass over the texts is needed for it.
+        placed = docs.withColumn("part", _range_of(F.col("doc_id"), cuts)).repartitionById(len(cuts) + 1, "part")
+    else:
+        placed = docs.repartitionByRange(n, "doc_id").withColumn("part", F.spark_partition_id())
+    placed = placed.sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, width = library_table(tokenizer_path), _width(tokenizer_path)

@@ -30,6 +30,8 @@ THRESHOLD = 0.3
 WINDOW = 8
 #: Misspellings of terms from this length on are counted apart: few other words are so near to them.
 LONG_TERM = 7
+#: Weight of a misspelled term against a right one where the sample has no say.
+MISSPELLED = 0.9
 #: Weights towards which the fit is drawn: logs and presence of exact, misspelled, stem and long misspelled hits, rate, few words.
 PRIOR = np.array([1.0, 0.3, 0.5, 1.0, 2.5, 0.8, 1.5, 2.5, 1.0, 0.0])
 
@@ -110,7 +112,9 @@ class Lexicon:
 
     NONE, EXACT, FUZZY, STEM, LONG_FUZZY = 0, 1, 2, 3, 4
 
-    def __init__(self, terms: list[str], stems: list[str], min_fuzzy: int = 5):
+    def __init__(self, terms: list[str], stems: list[str], min_fuzzy: int = 5, innocent: np.ndarray | None = None):
+        #: Hashes of words that are a letter off a term but stand in harmless texts.
+        self.innocent = np.zeros(0, np.uint64) if innocent is None else innocent
         self.terms, self.stems = sorted({fold(t) for t in terms} - {b""}), sorted({fold(s) for s in stems} - {b""})
         self.child: list[dict[int, int]] = [{}]
         self.term_at: list[bool] = [False]
@@ -335,6 +339,7 @@ def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     keys = hash_words(letters, starts, ends)
     uniq, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
     kinds = lexicon.match(letters, starts[first], ends[first])
+    kinds[np.isin(kinds, (Lexicon.FUZZY, Lexicon.LONG_FUZZY)) & np.isin(uniq, lexicon.innocent)] = Lexicon.NONE
     at = np.flatnonzero(kinds[inverse])
     kind = kinds[inverse[at]]
     reporting, address = _cue_hashes()
@@ -363,6 +368,16 @@ def _cue_hashes() -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def near_words(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Hashes of the words of chosen rows that are a letter off a term."""
+    letters, starts, ends, row, *_ = coded(data, offsets)
+    keep = rows[row] if len(row) else np.zeros(0, bool)
+    starts, ends = starts[keep], ends[keep]
+    uniq, first = np.unique(hash_words(letters, starts, ends), return_index=True)
+    kinds = lexicon.match(letters, starts[first], ends[first])
+    return uniq[np.isin(kinds, (Lexicon.FUZZY, Lexicon.LONG_FUZZY))]
+
+
 def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Per row: logs of the weighted exact, misspelled, stem and long misspelled hits, their presence, their rate per word, and if it has few words."""
     rows, kind, weight, words = hits(lexicon, data, offsets)
@@ -372,10 +387,10 @@ def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     return np.concatenate([np.log1p(sums), np.minimum(sums, 1), np.sqrt(rate), (words[:, None] < 10)], axis=1).astype(float)
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton steps, drawn to PRIOR by a ridge; the last weight is the intercept."""
+def fit_weights(x: np.ndarray, y: np.ndarray, prior: np.ndarray = PRIOR, ridge: float = 0.5, rounds: int = 30) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn to `prior` by a ridge; the last weight is the intercept."""
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    prior = np.r_[PRIOR, 0.0]
+    prior = prior if len(prior) == x.shape[1] else np.r_[prior, 0.0]
     w = prior.copy()
     penalty = np.full(len(w), ridge)
     penalty[-1] = 1e-3
@@ -389,22 +404,36 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, rounds: int =
 
 
 class Model:
-    """A lexicon with the weights that turn its hits into a probability."""
+    """A lexicon with the weights that turn its hits into a probability.
+
+    Words near a term that harmless texts of the sample hold are no
+    misspellings.  What is left of these is weighed like the terms themselves
+    (by MISSPELLED), as far as the sample doesn't speak against it: a sample
+    may hold none.
+    """
 
     def __init__(self, sample: pa.Table, shift: float):
         y = sample.column("y").to_numpy()
         self.terms, self.stems = learn_lexicon(sample)
         self.shift = shift
+        parts = [(*string_bytes(b.column(b.schema.get_field_index("text"))), b.column(b.schema.get_field_index("y")).to_numpy()) for b in slices(sample.to_batches())]
         lexicon = Lexicon(self.terms, self.stems)
-        x = np.concatenate([features(lexicon, *string_bytes(b.column(b.schema.get_field_index("text")))) for b in slices(sample.to_batches())]) if len(y) else np.zeros((0, len(PRIOR)))
-        self.weights = fit_weights(x, y.astype(float))
+        self.innocent = np.unique(np.concatenate([near_words(lexicon, data, offsets, label == 0) for data, offsets, label in parts] or [lexicon.innocent]))
+        lexicon.innocent = self.innocent
+        x = np.concatenate([features(lexicon, data, offsets) for data, offsets, _ in parts] or [np.zeros((0, len(PRIOR)))])
+        first = fit_weights(x, y.astype(float))
+        prior = first.copy()
+        for exact, others in ((0, (1, 3)), (4, (5, 7))):  # logs, then presence
+            for k in others:
+                prior[k] = MISSPELLED * first[exact]
+        self.weights = fit_weights(x, y.astype(float), prior)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_lexicon"}
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if "_lexicon" not in self.__dict__:
-            self._lexicon = Lexicon(self.terms, self.stems)
+            self._lexicon = Lexicon(self.terms, self.stems, innocent=self.innocent)
         dot = features(self._lexicon, data, offsets) @ self.weights[:-1] + self.weights[-1] + self.shift
         return 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
 
