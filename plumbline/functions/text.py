@@ -21,6 +21,7 @@ ARTICLES = r"^(?:on\s+(?:a\s+|an\s+|the\s+)?|a\s+|an\s+|the\s+)+"
 ALPHA_WORD = r"(?U)\b[a-z][a-z]+\b"
 ANY_WORD = r"(?U)\b\w\w+\b"
 LABEL_WORDS, LABEL_PART = 3, 14
+JOINING_WORDS = ["in", "with", "for", "of", "on", "to", "from", "the", "a", "an", "into", "via", "using", "based", "and", "or", "at", "by"]
 
 
 def _collapse(c: Column) -> Column:
@@ -93,6 +94,7 @@ def joined(list_: Column, by: str = "; ") -> Column:
 
 
 def author_line(names: Column, most: int = 4) -> Column:
+    names = F.filter(F.transform(names, lambda n: clean_author(n, "{4}")), lambda n: n != "")
     line = F.array_join(F.slice(names, 1, most), ", ")
     return F.coalesce(F.when(F.size(names) > most, F.concat(line, F.lit(", et al."))).otherwise(line), F.lit(""))
 
@@ -109,22 +111,23 @@ def split_words(c: Column) -> Column:
 def clean_label(c: Column) -> Column:
     """A model's label in at most three capitalised words.
 
-    First line, without quotes, marks and a leading "label:"; run-on words of
-    over 14 letters are cut at capitals; "and" and "&" go, and so do joining
-    words at the ends.
+    First line, without quotes, end marks and a leading "label:"; a single
+    run-on word of over 14 letters is cut at its capitals; "and" and "&" go;
+    after the cut to three words, joining words go from both ends.
     """
-    line = F.trim(F.split(F.coalesce(c, F.lit("")), r"\n")[0])
-    line = F.regexp_replace(F.trim(F.regexp_replace(line, "[\"'`*.]", "")), r"(?i)^(?:label|topic|theme|category)\s*:\s*", "")
-    words = F.filter(F.split(line, r"\s+"), lambda w: w != "")
-    cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LABEL_PART, F.split(F.regexp_replace(w, "([a-z])([A-Z])", "$1 $2"), " ")).otherwise(F.array(w))))
-    kept = F.slice(F.filter(cut, lambda w: ~F.lower(w).isin("&", "and", "+", "/")), 1, LABEL_WORDS)
-    joining = F.array(*map(F.lit, ("of", "for", "in", "on", "with", "to", "the", "a", "an", "by", "from", "via", "using")))
-    # Joining words at the ends: the first and last other word bound what stays.
-    place = F.transform(kept, lambda w, i: F.when(F.array_contains(joining, F.lower(w)), F.lit(None)).otherwise(i))
-    inner = F.filter(place, lambda p: p.isNotNull())
-    first, last = F.array_min(inner), F.array_max(inner)
-    trimmed = F.when(F.size(inner) > 0, F.slice(kept, first + 1, last - first + 1)).otherwise(F.array().cast("array<string>"))
-    return F.array_join(F.transform(trimmed, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), " ")
+    line = F.trim(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\n")[0])
+    line = F.regexp_replace(F.regexp_replace(line, "^[\"'`]+|[\"'`]+$", ""), "[.:;,]+$", "")
+    line = F.trim(F.regexp_replace(line, r"(?i)^(?:topic label|label|topic name|topic):", ""))
+    run_on = ~line.contains(" ") & (F.length(line) > LABEL_PART)
+    line = F.when(run_on, F.regexp_replace(line, "(?<=[a-z])(?=[A-Z])", " ")).otherwise(line)
+    line = F.regexp_replace(line, r"(?i)\s*&\s*|\s+and\s+", " ")
+    kept = F.slice(F.filter(F.split(line, r"\s+"), lambda w: w != ""), 1, LABEL_WORDS)
+    joining = F.array(*map(F.lit, JOINING_WORDS))
+    # What stays lies between the first and the last word that isn't a joining word.
+    place = F.filter(F.transform(kept, lambda w, i: F.when(~F.array_contains(joining, F.lower(w)), i)), lambda p: p.isNotNull())
+    first, last = F.array_min(place), F.array_max(place)
+    trimmed = F.when(F.size(place) > 0, F.slice(kept, first + 1, last - first + 1)).otherwise(F.array().cast("array<string>"))
+    return F.initcap(F.array_join(trimmed, " "))
 
 
 def bucket(year: Column, width: int = 5) -> Column:
@@ -151,8 +154,10 @@ def tokens(c: Column, pattern: str = ALPHA_WORD) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(pattern), F.lit(0))
 
 
-# Words whose base form the rules below would miss.
-IRREGULAR = {"data": "data", "criteria": "criterion", "analyses": "analysis", "hypotheses": "hypothesis", "children": "child", "people": "people", "series": "series", "species": "species", "wrote": "write", "written": "write", "built": "build", "made": "make", "found": "find", "software": "software"}
+# Shorthand words and their base forms.
+SHORTHAND = {"apps": "app", "devs": "dev", "libs": "lib", "repos": "repo", "vms": "vm", "uis": "ui", "guis": "gui", "apis": "api", "ides": "ide", "llms": "llm", "dnns": "dnn", "cnns": "cnn", "rnns": "rnn", "asts": "ast"}
+# Words whose base form the rules below would miss.
+IRREGULAR = SHORTHAND | {"data": "data", "criteria": "criterion", "analyses": "analysis", "hypotheses": "hypothesis", "children": "child", "people": "people", "series": "series", "species": "species", "wrote": "write", "written": "write", "built": "build", "made": "make", "found": "find", "software": "software"}
 
 
 def lemma(word: str) -> str:
@@ -207,10 +212,10 @@ def log_fold_change(share: Column, before: Column, most: float = 2.0) -> Column:
 
 
 def text_color(color: Column) -> Column:
-    """Black or white, whichever reads better on a #rrggbb colour."""
-    part = lambda i: F.conv(F.substring(color, i, 2), 16, 10).cast("double")
-    light = (part(2) * 0.299 + part(4) * 0.587 + part(6) * 0.114) / 255
-    return F.when(light > 0.6, "#222222").otherwise("#ffffff")
+    """Black or white, whichever reads better on a #rrggbb or rgb(r, g, b) colour."""
+    numbers = F.regexp_extract_all(color, F.lit(r"[\d.]+"), F.lit(0))
+    part = lambda i: F.when(color.startswith("#"), F.conv(F.substring(color, 2 * i + 2, 2), 16, 10).cast("double")).otherwise(F.try_element_at(numbers, F.lit(i + 1)).cast("double"))
+    return F.when(part(0) * 0.299 + part(1) * 0.587 + part(2) * 0.114 > 140, "#1a1a1a").otherwise("#ffffff")
 
 
 def rgba(color: Column, alpha: float) -> Column:

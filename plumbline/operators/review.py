@@ -52,6 +52,12 @@ def accuracy(ratings: DataFrame, group: str, right: Column) -> DataFrame:
     return out.select(group, "n", "k", F.round(F.col("k") / F.col("n"), 6).alias("accuracy"), F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
+def pool(assigned: DataFrame, papers: DataFrame, topics: DataFrame) -> DataFrame:
+    """Papers with an abstract, with their topic's label and words: what raters draw from."""
+    joined = assigned.join(papers, "dblp_key").join(topics, "topic_id", "left")
+    return joined.filter(F.trim(F.coalesce("abstract", F.lit(""))) != "")
+
+
 def pending(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return rows.join(done.select(key).distinct(), key, "left_anti")
 

@@ -129,6 +129,20 @@ def inflection(counted: DataFrame, item: str, period: str, least: int, value: st
     return steepest(shares(counted.join(big, period, "left_semi"), period, value=value, digits=9), item, period)
 
 
+def selector_shares(rows: DataFrame, period: str, selectors: dict[str, object], digits: int = 9) -> DataFrame:
+    """(name, period, papers, share) of each selector (a condition) over all rows of each period, in one pass; 0 where none match."""
+    names = list(selectors)
+    total = rows.filter(F.col(period).isNotNull()).groupBy(period).agg(F.count(F.lit(1)).alias("_n"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(f"_{i}") for i, c in enumerate(selectors.values())))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"_{i}").alias("papers")) for i, n in enumerate(names)))).alias("s")
+    return total.select(period, "_n", each).select("s.name", period, "s.papers", F.round(F.col("s.papers") / F.col("_n"), digits).alias("share"), F.col("_n").alias("total"))
+
+
+def milestones(rows: DataFrame, period: str, selectors: dict[str, object], from_year: int, step: int) -> DataFrame:
+    """When each selector (a theme, or a list of topics) rose most, among all rows of a period."""
+    shared = selector_shares(rows, period, selectors).filter(F.col(period) >= from_year)
+    return steepest(shared, "name", period, step=step)
+
+
 def stack(shared: DataFrame, bucket: str, order: str, share: str = "share") -> DataFrame:
     """Where each item's band begins when shares are stacked."""
     below = Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

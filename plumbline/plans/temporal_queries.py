@@ -233,3 +233,11 @@ def streamgraph_payload(spark, sf_dir):
     from plumbline.sources.io import payload
 
     return payload(_ranked(spark, sf_dir).select("theme", "y", "papers", "share"), ["theme", "y"])
+
+
+@query(f"""WITH {_PARTS}, n AS (SELECT y, count(*) AS n, count(*) FILTER (theme = 'PROMO') AS a, count(*) FILTER (topic IN ('Brand#1', 'Brand#7', 'Brand#20')) AS b FROM lp GROUP BY 1),
+c AS (SELECT 'promo' AS theme, y, round(a / n, 9) AS share FROM n UNION ALL SELECT 'brands', y, round(b / n, 9) FROM n), s AS (SELECT * FROM c WHERE y >= 1996), {_RISE}
+SELECT n.theme AS name, n.y AS period, round(n.rise, 6) AS rise, n.share AS after, s.share AS before FROM n_ n LEFT JOIN s ON s.theme = n.theme AND s.y = n.y - 1 WHERE n.n = 1""".replace("\nn AS (SELECT *, row_number()", "\nn_ AS (SELECT *, row_number()"))
+def milestone_onsets(spark, sf_dir):
+    named = {"promo": F.col("theme") == "PROMO", "brands": F.col("topic").isin("Brand#1", "Brand#7", "Brand#20")}
+    return O.milestones(_parts(spark, sf_dir), "y", named, 1996, 1).select("name", "period", "rise", "after", "before")

@@ -11,11 +11,11 @@ TITLE_TIERS = [
     r"""(?is)<meta[^>]+name=["']citation_title["'][^>]+content=["']([^"']*)["']""",
     r"(?is)<title[^>]*>([^<]*)</title>",
 ]
-ABSTRACT_TIERS = [
-    r"""(?is)<div[^>]+role=["']paragraph["'][^>]*>(.*?)</div>""",
-    r"""(?is)<div[^>]+class=["'][^"']*abstractSection[^"']*["'][^>]*>(.*?)</div>""",
-    r"""(?is)<section[^>]+id=["']abstract["'][^>]*>(.*?)</section>""",
-]
+SECTION = r"""(?is)<section\b[^>]*\bid=["']abstract["'][^>]*>(.*?)</section>"""
+ROLE_PARAGRAPH = r"""(?is)<(\w+)\b[^>]*\brole=["']paragraph["'][^>]*>(.*?)</\1>"""
+FULL_DIV = r"""(?is)<div\b(?=[^>]*abstractSection)(?=[^>]*abstractInFull)[^>]*>(.*?)</div>"""
+ANY_DIV = r"""(?is)<div\b(?=[^>]*abstractSection)[^>]*>(.*?)</div>"""
+PARAGRAPH = r"(?is)<p\b[^>]*>(.*?)(?:</p>|(?=<p\b)|$)"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
 
 
@@ -41,10 +41,21 @@ def title(html: Column) -> Column:
 
 
 def abstract(html: Column) -> Column:
-    """Text of the first tier that has any; a leading "abstract" goes; null where none has."""
-    code_free = without_code(F.coalesce(html, F.lit("")))
-    parts = [F.array_join(F.transform(F.regexp_extract_all(code_free, F.lit(t), F.lit(1)), lambda x: plain(x)), " ") for t in ABSTRACT_TIERS]
-    return F.coalesce(*(F.nullif(F.regexp_replace(F.trim(p), r"(?i)^abstract\s*:?\s*", ""), F.lit("")) for p in parts))
+    """The first tier that has text: paragraphs by role in the abstract's section, paragraphs of the
+    abstract's div (the full one first), all text of the section; null where none has.
+
+    Parts that say only "abstract" don't count, and the section's leading "abstract" goes.
+    """
+    page = without_code(F.coalesce(html, F.lit("")))
+
+    def texts(block: Column, pattern: str, group: int) -> Column:
+        parts = F.transform(F.regexp_extract_all(block, F.lit(pattern), F.lit(group)), lambda x: plain(x))
+        return F.array_join(F.filter(parts, lambda x: (x != "") & (F.lower(x) != "abstract")), " ")
+
+    section = F.regexp_extract(page, SECTION, 1)
+    whole = F.trim(F.regexp_replace(plain(section), "(?i)^abstract", ""))
+    tiers = [texts(section, ROLE_PARAGRAPH, 2), texts(F.regexp_extract(page, FULL_DIV, 1), PARAGRAPH, 1), texts(F.regexp_extract(page, ANY_DIV, 1), PARAGRAPH, 1), whole]
+    return F.coalesce(*(F.nullif(t, F.lit("")) for t in tiers))
 
 
 def paragraphs(html: Column) -> Column:

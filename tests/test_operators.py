@@ -24,8 +24,10 @@ def test_text_functions(spark):
     assert one(spark, T.doi_of_url(a), "https://x/doi/10.1145/ABC?x=1", "https://x/doi/abs/10.1145/1", "https://x/") == ["10.1145/abc", "abs/10.1145/1", None]
     assert one(spark, T.loose_key(a), "On the Criteria: A Study!", "The A Team") == ["criteria a study", "team"]
     assert one(spark, T.clean_label(a), "testing & debugging of web apps", "MachineLearningModels", "in the loop") == ["Testing Debugging", "Machine Learning Models", "Loop"]
+    assert one(spark, T.clean_label(a), '"Label: REST APIs."', "of the\nsecond line", "Code Review and Merge Queues") == ["Rest Apis", "", "Code Review Merge"]
+    assert [T.lemma(w) for w in ("apis", "studies", "classes", "testing", "mapped", "analysis")] == ["api", "study", "class", "test", "map", "analysis"]
     assert one(spark, T.short_label(T.split_words(a)), "x, y", "a,b,c,d") == ["x · y", "a · b · c"]
-    assert one(spark, T.text_color(a), "#000000", "#ffffff") == ["#ffffff", "#222222"]
+    assert one(spark, T.text_color(a), "#000000", "#ffffff", "rgb(250, 250, 250)") == ["#ffffff", "#1a1a1a", "#1a1a1a"]
     assert one(spark, T.rgba(a, 0.5), "#0a10ff") == ["rgba(10,16,255,0.5)"]
     assert one(spark, T.escape_script(a), "</script>") == ["<\\/script>"]
 

@@ -104,12 +104,12 @@ def test_clean_up(spark):
 
 
 def test_html(spark):
-    pages = ['<meta property="og:title" content="A &amp; B | Site"><title>C</title><div role="paragraph">One.</div><div role="paragraph">Two.</div>', "<title>C</title><section id='abstract'><h2>Abstract</h2> Text <b>x</b></section>", "<script>var a='<title>no</title>'</script><p>one<p>two</p>", None]
+    pages = ['<meta property="og:title" content="A &amp; B | Site"><title>C</title><section id="abstract"><h2>Abstract</h2><div role="paragraph">One.</div><div role="paragraph">Two.</div></section>', "<title>C</title><section id='abstract'><h2>Abstract</h2> Text <b>x</b></section>", "<script>var a='<title>no</title>'</script><p>one<p>two</p>", None, '<div class="abstractSection abstractInFull"><p>Abstract</p><p>Full.</p></div>']
     df = spark.createDataFrame([(p,) for p in pages], "h string")
     h = F.col("h")
     got = df.select(html.title(h), html.abstract(h), html.paragraphs(h)).collect()
     assert [r[0] for r in got][:2] == ["A & B", "C"]
-    assert [r[1] for r in got] == ["One. Two.", "Text x", None, None]
+    assert [r[1] for r in got] == ["One. Two.", "Text x", None, None, "Full."]
     assert got[2][2] == ["one", "two"] and got[3][2] == []
 
 
