@@ -241,3 +241,15 @@ SELECT n.theme AS name, n.y AS period, round(n.rise, 6) AS rise, n.share AS afte
 def milestone_onsets(spark, sf_dir):
     named = {"promo": F.col("theme") == "PROMO", "brands": F.col("topic").isin("Brand#1", "Brand#7", "Brand#20")}
     return O.milestones(_parts(spark, sf_dir), "y", named, 1996, 1).select("name", "period", "rise", "after", "before")
+
+
+@query("SELECT DISTINCT event_id, user_id, event_type, value FROM events")
+def events_stream_distinct(spark, sf_dir):
+    """The events read as a stream, without repeats, written by a run over all files at hand."""
+    from plumbline.storage import shared_dir
+    from plumbline.streaming import events
+
+    folder = shared_dir(spark, "events")
+    stream = events.distinct_events(events.read_stream(spark, f"{sf_dir}/events.parquet"), late="60 days")
+    events.run_available(stream.select("event_id", "user_id", "event_type", "value"), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")

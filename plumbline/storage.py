@@ -38,6 +38,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def is_file(spark: SparkSession, path: str) -> bool:
+    fs, p = _fs(spark, path)
+    return fs.exists(p) and not fs.getFileStatus(p).isDirectory()
+
+
 def status(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Which artifacts are there: (path, present)."""
     return spark.createDataFrame([(p, exists(spark, p)) for p in paths], "path string, present boolean")

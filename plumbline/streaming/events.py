@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from plumbline.storage import exists, is_file, overwrite
+
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
     """The Parquet files of a folder as a stream, a bounded number per micro-batch.
@@ -14,7 +16,12 @@ def read_stream(spark: SparkSession, path: str, max_files: int = 16) -> DataFram
     ask for.
     """
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    if is_file(spark, path):  # a stream reads folders: take the file alone from its own
+        folder, _, name = path.rstrip("/").rpartition("/")
+        stream = stream.option("pathGlobFilter", name).parquet(folder)
+    else:
+        stream = stream.parquet(path)
     return stream.select(*(F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.simpleString() == "timestamp_ntz" else F.col(f.name) for f in schema.fields))
 
 
@@ -43,8 +50,6 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
 
 def upsert_latest(stream: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
     """Keep one row per key in the table at `target`: each micro-batch replaces the rows of its keys."""
-    from plumbline.storage import exists, overwrite
-
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         if exists(spark, target):
