@@ -25,7 +25,7 @@ PieceEncoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _SPLIT = regex.compile("\n|" + PIECES)
 #: Words of these characters alone are lower-cased and cut here; the library cuts all others.
-_PLAIN = regex.compile("[!-~¡-ɏ]*")
+_PLAIN = regex.compile("[\n!-~¡-ɏ]*")
 _SPECIAL = "<|"
 
 
@@ -82,24 +82,18 @@ def library_words(path: str) -> PieceEncoder:
     return encode
 
 
-def encode_words(words: list[str], pieces: PieceEncoder, odd: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
-    """Flat ids and counts of white-space-delimited words.
+def encode_words(joined: str, pieces: PieceEncoder, odd: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids and counts of white-space-delimited words, given with a line end between.
 
     `pieces` encodes the pre-tokens of plain words; `odd` encodes whole words
     that hold other characters or the strings of special tokens.
     """
+    if plain(joined):
+        return _encode_plain(joined, joined.count("\n") + 1, pieces)
+    words = joined.split("\n")
     is_plain = np.array([plain(w) for w in words], dtype=bool)
-    cuts = _SPLIT.findall("\n".join(w for w, p in zip(words, is_plain, strict=True) if p).lower())
-    number: dict[str, int] = {"\n": 0}
-    seq = np.fromiter((number.setdefault(c, len(number)) for c in cuts), dtype=np.int64, count=len(cuts))
-    flat, counts = pieces(list(number)[1:]) if len(number) > 1 else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-    counts = np.r_[0, counts]
-    starts = np.cumsum(counts) - counts
-    plain_ids = flat[expand(starts[seq], counts[seq])] if len(seq) else flat[:0]
-    word_of = np.cumsum(seq == 0)
-    plain_counts = np.bincount(word_of, weights=counts[seq], minlength=int(is_plain.sum())).astype(np.int64) if len(seq) else np.zeros(int(is_plain.sum()), np.int64)
-    if is_plain.all():
-        return plain_ids, plain_counts
+    some = [w for w, p in zip(words, is_plain, strict=True) if p]
+    plain_ids, plain_counts = _encode_plain("\n".join(some), len(some), pieces) if some else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
     odd_ids, odd_counts = odd([w for w, p in zip(words, is_plain, strict=True) if not p])
     all_counts = np.zeros(len(words), dtype=np.int64)
     all_counts[is_plain], all_counts[~is_plain] = plain_counts, odd_counts
@@ -109,10 +103,22 @@ def encode_words(words: list[str], pieces: PieceEncoder, odd: PieceEncoder) -> t
     return np.concatenate([plain_ids, odd_ids])[expand(source, all_counts)], all_counts
 
 
+def _encode_plain(joined: str, n: int, pieces: PieceEncoder) -> tuple[np.ndarray, np.ndarray]:
+    cuts = _SPLIT.findall(joined.lower())
+    different = dict.fromkeys(["\n", *cuts])
+    number = dict(zip(different, range(len(different)), strict=True))
+    seq = np.fromiter(map(number.__getitem__, cuts), dtype=np.int64, count=len(cuts))
+    flat, counts = pieces(list(different)[1:]) if len(different) > 1 else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    counts = np.r_[0, counts]
+    starts = np.cumsum(counts) - counts
+    word_of = np.cumsum(seq == 0)
+    return flat[expand(starts[seq], counts[seq])], np.bincount(word_of, weights=counts[seq], minlength=n).astype(np.int64)
+
+
 class WordTable:
     """Ids of the words met so far, by word hash; at most `limit` words are kept."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], limit: int = 1_200_000):
+    def __init__(self, encode: Callable[[str], tuple[np.ndarray, np.ndarray]], limit: int = 2_000_000):
         self.encode_new, self.limit = encode, limit
         self.clear()
 
@@ -137,8 +143,7 @@ class WordTable:
                 self.clear()
                 known[:] = False
             new = first[~known]
-            buffer = data.tobytes()
-            flat, count = self.encode_new([buffer[s:e].decode() for s, e in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            flat, count = self.encode_new(_joined(data, starts[new], ends[new]))
             slots = len(self.count) + np.arange(len(new), dtype=np.int32)
             self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(count) - count).astype(np.int32)])
             self.count, self.flat = np.concatenate([self.count, count.astype(np.int32)]), np.concatenate([self.flat, flat])
@@ -150,6 +155,14 @@ class WordTable:
         return self.flat[expand(self.start[slot], count)], row_sums(count, rows, n)
 
 
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
+    """The words as one text with a line end between."""
+    lens = ends - starts + 1
+    out = data[np.minimum(expand(starts, lens), len(data) - 1)]
+    out[np.cumsum(lens) - 1] = 10
+    return out[:-1].tobytes().decode()
+
+
 @functools.lru_cache(maxsize=2)
 def library_table(path: str) -> WordTable:
     pieces, odd = library_pieces(path), library_words(path)
