@@ -37,6 +37,8 @@ from plumbline.llm._text import BYTE_CODE, expand, mix, partitions, slices, stri
 LENGTH, GRAM = 100, 32
 #: Different runs of one anchor within a task that make the anchor a common one.
 COMMON = 256
+#: Runs that a task holds at a time for its pre-aggregation.
+HELD_RUNS = 1_500_000
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _LOW = 22  # bits of a position within a segment
@@ -283,32 +285,39 @@ def _mark(docs: DataFrame, slots: int) -> DataFrame:
     return docs.withColumns({"__doc": doc, "__tie": tie, "__slot": F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")})
 
 
-def _collect_runs(length: int, gram: int, buckets: int):
+def _collect_runs(length: int, gram: int, buckets: int, most: int, held: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        parts = []
+        here = TaskContext.get().partitionId() % buckets
+        parts, n = [], 0
         for data, offsets, doc, tie, slot, base in segments(batches, length):
             row, lo, hi, anchor, content = runs(data, offsets, length, gram)
             parts.append({"anchor": anchor, "content": content, "doc": doc[row], "tie": tie[row], "slot": slot[row], "pos": (lo - offsets[row] + base[row]).astype(np.int32), "size": (hi - lo + length).astype(np.int32)})
-        t = join(parts, RUN)
-        del parts
-        new = first_of(t, ["anchor", "content"])
-        here = TaskContext.get().partitionId() % buckets
-        yield _batch(list(packed_rows(SPAN, take(t, ~new), np.full(int((~new).sum()), here))))
-        t = take(t, new)
-        new = np.r_[True, t["anchor"][1:] != t["anchor"][:-1]] if size(t) else np.zeros(0, bool)
-        common = group_sizes(new) > COMMON
-        asked = take(t, common) | {"common": np.ones(int(common.sum()), np.int8)}
-        yield _batch(list(packed_rows(ASKED, asked, np.full(int(common.sum()), here))))
-        # Of a common anchor one run of size 0 goes on, to say so to the runs of other tasks.
-        t["size"] = np.where(common, 0, t["size"])
-        t = take(t, ~common | new)
-        yield _batch(list(packed_rows(RUN, t, (t["anchor"] >> np.uint64(20)).astype(np.int64) % buckets)))
+            n += len(row)
+            if n >= held:
+                yield from _first_runs(join(parts, RUN), here, buckets, most)
+                parts, n = [], 0
+        yield from _first_runs(join(parts, RUN), here, buckets, most)
 
     return run
 
 
+def _first_runs(t: Table, here: int, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Pre-aggregate a task's runs: spans of later runs of equal content, requests of common anchors, and the runs that go on."""
+    new = first_of(t, ["anchor", "content"])
+    yield _batch(list(packed_rows(SPAN, take(t, ~new), np.full(int((~new).sum()), here))))
+    t = take(t, new)
+    new = np.r_[True, t["anchor"][1:] != t["anchor"][:-1]] if size(t) else np.zeros(0, bool)
+    common = group_sizes(new) > most
+    asked = take(t, common) | {"common": np.ones(int(common.sum()), np.int8)}
+    yield _batch(list(packed_rows(ASKED, asked, np.full(int(common.sum()), here))))
+    # Of a common anchor one run of size 0 goes on, to say so to the runs of other tasks.
+    t["size"] = np.where(common, 0, t["size"])
+    t = take(t, ~common | new)
+    yield _batch(list(packed_rows(RUN, t, (t["anchor"] >> np.uint64(20)).astype(np.int64) % buckets)))
+
+
 def _by_bucket(batches: Iterable[pa.RecordBatch]) -> dict[int, list[tuple]]:
     found: dict[int, list[tuple]] = {}
     for b in batches:
@@ -317,25 +326,29 @@ def _by_bucket(batches: Iterable[pa.RecordBatch]) -> dict[int, list[tuple]]:
     return found
 
 
-def _match_runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _match_runs(most: int):
     """Of each anchor: later runs of equal content are spans; different runs are asked for."""
-    found = _by_bucket(batches)
-    spans = [unpack(SPAN, n, p) for n, p, _ in found.get(SPAN, [])]
-    asked = [unpack(ASKED, n, p) for n, p, _ in found.get(ASKED, [])]
-    t = join([unpack(RUN, n, p) for n, p, _ in found.get(RUN, [])], RUN)
-    told = np.unique(t["anchor"][t["size"] == 0])
-    t = take(t, t["size"] > 0)
-    new = first_of(t, ["anchor", "content"])
-    spans.append({k: v[~new] for k, v in t.items() if k not in ("anchor", "content")})
-    t = take(t, new)
-    new = np.r_[True, t["anchor"][1:] != t["anchor"][:-1]] if size(t) else np.zeros(0, bool)
-    many = group_sizes(new)
-    common = np.isin(t["anchor"], told) | (many > 16 * COMMON)
-    keep = common | (many > 1)
-    asked.append(take(t, keep) | {"common": common[keep].astype(np.int8)})
-    for kind, tables in ((SPAN, spans), (ASKED, asked)):
-        whole = join(tables, kind)
-        yield _batch(list(packed_rows(kind, whole, whole["slot"])))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _by_bucket(batches)
+        spans = [unpack(SPAN, n, p) for n, p, _ in found.get(SPAN, [])]
+        asked = [unpack(ASKED, n, p) for n, p, _ in found.get(ASKED, [])]
+        t = join([unpack(RUN, n, p) for n, p, _ in found.get(RUN, [])], RUN)
+        told = np.unique(t["anchor"][t["size"] == 0])
+        t = take(t, t["size"] > 0)
+        new = first_of(t, ["anchor", "content"])
+        spans.append({k: v[~new] for k, v in t.items() if k not in ("anchor", "content")})
+        t = take(t, new)
+        new = np.r_[True, t["anchor"][1:] != t["anchor"][:-1]] if size(t) else np.zeros(0, bool)
+        many = group_sizes(new)
+        common = np.isin(t["anchor"], told) | (many > 16 * most)
+        keep = common | (many > 1)
+        asked.append(take(t, keep) | {"common": common[keep].astype(np.int8)})
+        for kind, tables in ((SPAN, spans), (ASKED, asked)):
+            whole = join(tables, kind)
+            yield _batch(list(packed_rows(kind, whole, whole["slot"])))
+
+    return run
 
 
 def _fetch(length: int, buckets: int):
@@ -431,7 +444,7 @@ def _match_bytes(length: int):
     return run
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, prefix: str = "") -> DataFrame:
+def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, prefix: str = "", common: int = COMMON, held: int = HELD_RUNS) -> DataFrame:
     """Documents without bytes that a string of `length` bytes repeats from earlier on.
 
     Returns all columns of `docs` (doc_id alone unless with_text), the text
@@ -453,8 +466,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
     frame = docs.select(*dict.fromkeys([*names, "text"]))
     frame = frame.withColumn("text", F.col("text").cast("string"))
     marked = _mark(frame, 4 * n)
-    found = marked.select("text", "__doc", "__tie", "__slot").mapInArrow(_collect_runs(length, gram, n), PACKED)
-    matched = found.repartition(n, "bucket").mapInArrow(_match_runs, PACKED)
+    found = marked.select("text", "__doc", "__tie", "__slot").mapInArrow(_collect_runs(length, gram, n, common, held), PACKED)
+    matched = found.repartition(n, "bucket").mapInArrow(_match_runs(common), PACKED)
     fetched = marked.groupBy("__slot").cogroup(matched.groupBy("bucket")).applyInArrow(_fetch(length, n), PACKED)
     spans = fetched.repartition(n, "bucket").mapInArrow(_match_bytes(length), PACKED)
     out = StructType(frame.select(*names).schema.fields + StructType.fromDDL(", ".join(f"{c} {k}" for c, k in zip(added, ("long", "long", "long", "string"), strict=True))).fields)

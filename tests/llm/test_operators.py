@@ -81,7 +81,8 @@ def test_pair_index_on_any_text(text):
 def test_word_table_forgets_and_goes_on():
     calls = []
 
-    def encode(words):
+    def encode(joined):
+        words = joined.split("\n")
         calls.append(len(words))
         return np.array([len(w) for w in words], np.uint32), np.ones(len(words), np.int64)
 
@@ -252,10 +253,9 @@ def repeats(odd_rows):
     return rows + [(2000 + i, "ab" * 150) for i in range(3)]
 
 
-@pytest.mark.parametrize("common", [suffix_dedup.COMMON, 1])
-def test_suffix_dedup(spark, repeats, common, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "COMMON", common)
-    got = suffix_dedup.deduplicate(frame(spark, repeats).repartition(3), with_text=False).toPandas()
+@pytest.mark.parametrize("common,held", [(suffix_dedup.COMMON, suffix_dedup.HELD_RUNS), (1, suffix_dedup.HELD_RUNS), (suffix_dedup.COMMON, 100)])
+def test_suffix_dedup(spark, repeats, common, held):
+    got = suffix_dedup.deduplicate(frame(spark, repeats).repartition(3), with_text=False, common=common, held=held).toPandas()
     rows = [(-(1 << 63) if r[0] != r[0] else int(r[0]), *r[1:]) for r in got.itertuples(index=False)]
     assert sorted(rows) == brute_dedup(repeats)
 
