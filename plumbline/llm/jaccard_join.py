@@ -30,8 +30,8 @@ from plumbline.storage import shared_dir
 
 SHINGLE, SIMILARITY, RECALL = 5, 0.8, 0.9999
 COORDINATES, DEPTH, MAX_DEPTH = 64, 2, 8
-#: Nodes of a part or group that are compared in one block.
-BLOCK = 512
+#: Nodes of a part or group that are compared in one block; of long texts fewer, so many shingles count as one.
+BLOCK, LONG = 512, 4096
 #: An estimate from the coordinates is short of the truth by more than this in about one of 10,000 pairs.
 SLACK = 0.2
 
@@ -125,14 +125,16 @@ def children(key: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np
     return at, mix(mix(key[at] + value * np.uint64(0x9E3779B97F4A7C15)) + coordinate.astype(np.uint64))
 
 
-def _groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole groups of sorted rows, many small groups at a time."""
+def _groups(batches: Iterable[pa.RecordBatch], keys: list[str], size: int = 8 << 20) -> Iterator[pa.Table]:
+    """Tables of whole groups of sorted rows, many small groups at a time: about `size` bytes."""
     held: list[pa.RecordBatch] = []
     n = 0
     for batch in batches:
+        if not batch.num_rows:
+            continue
         held.append(batch)
-        n += batch.num_rows
-        if n < rows:
+        n += batch.nbytes
+        if n < size:
             continue
         table = pa.Table.from_batches(held)
         last = [table.column(k)[table.num_rows - 1].as_py() for k in keys]
@@ -143,7 +145,7 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: list[str], rows: int = 20_0
         if cut:
             yield table.slice(0, cut)
             table = table.slice(cut)
-        held, n = table.to_batches(), table.num_rows
+        held, n = table.to_batches(), table.nbytes
     if n:
         yield pa.Table.from_batches(held)
 
@@ -190,10 +192,10 @@ def _sets(docs: DataFrame) -> DataFrame:
             raw = np.full(len(counts), None, dtype=object)
             raw[full] = [s.tobytes() for s in sketch]
             node = fingerprints(sets, counts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(raw.tolist(), pa.binary())], names=["doc", "node", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(counts, pa.int64()), pa.array(raw.tolist(), pa.binary())], names=["doc", "node", "n_shingles", "sketch"])
 
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc")
-    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, node long, sketch binary")
+    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, node long, n_shingles long, sketch binary")
 
 
 def _paths(nodes: DataFrame, runs: int, depth: int, similarity: float, with_key: bool = False) -> DataFrame:
@@ -285,7 +287,7 @@ def _exact(grouped: DataFrame, similarity: float) -> DataFrame:
     dealt = _cells(sets, "grp", "size", BLOCK).repartition(*keys).sortWithinPartitions(*keys, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, keys, 2000):
+        for table in _groups(batches, keys):
             nodes, copies, own = (table.column(c).to_numpy() for c in ("node", "copies", "_own"))
             i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
             raw = table.column("shingles").to_pylist()
@@ -326,7 +328,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     sets = spark.read.parquet(f"{folder}/sets")
     full = sets.filter("sketch is not null")
     # Documents of equal sets are one node: its size and least document are pre-aggregated.
-    full.groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("sketch").alias("sketch")).write.parquet(f"{folder}/nodes")
+    full.groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")).write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
     found = []
     paths = _paths(nodes, runs_for(recall, similarity, DEPTH), DEPTH, similarity)
@@ -347,7 +349,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     for e in found[1:]:
         edges = edges.unionByName(e)
     groups = components(edges).withColumnRenamed("root", "grp")
-    sized = groups.join(groups.groupBy("grp").agg(F.count(F.lit(1)).alias("size")), "grp").join(nodes.select("node", "rep", "copies"), "node")
+    members = groups.join(nodes.select("node", "rep", "copies", "n_shingles"), "node")
+    weight = F.greatest(F.count(F.lit(1)), F.floor(F.sum("n_shingles") / LONG)).cast("long")
+    sized = members.join(members.groupBy("grp").agg(weight.alias("size")), "grp")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     texts = docs.select(key.alias("rep"), F.col("text").cast("string").alias("text"))
     _exact(sized.join(texts, "rep").select("grp", "size", "node", "copies", "text"), similarity).write.parquet(f"{folder}/links")
