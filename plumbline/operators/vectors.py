@@ -114,20 +114,33 @@ def silhouette(vectors: DataFrame, topic: str, vector: str) -> DataFrame:
     of the topic's unit vectors, so no pairs are made.
     """
     length = norm(F.col(vector))
-    rows = vectors.withColumn("_u", F.transform(vector, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0))).withColumn("_id", F.monotonically_increasing_id())
-    sums = rows.select(topic, F.posexplode("_u").alias("i", "x")).groupBy(topic, "i").agg(F.sum("x").alias("s")).groupBy(topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("s"))
-    sizes = rows.groupBy(topic).agg(F.count(F.lit(1)).alias("n"))
-    stats = sums.join(sizes, topic)
-    if stats.count() > MAX_BROADCAST:
+    rows = vectors.filter(F.col(topic).isNotNull() & F.col(vector).isNotNull()).select(topic, F.transform(vector, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0)).alias("_u"))
+    sums = rows.select(topic, F.posexplode("_u").alias("i", "x")).groupBy(topic, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
+    stats = sums.groupBy(topic).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("s")).orderBy(topic).limit(MAX_BROADCAST + 1).collect()
+    if len(stats) > MAX_BROADCAST:
         raise ValueError("too many topics for a silhouette by topic sums")
-    packed = stats.agg(F.collect_list(F.struct(F.col(topic).alias("t"), "n", "s")).alias("all"))  # bounded by MAX_BROADCAST
-    own = F.filter("all", lambda t: t["t"] == F.col(topic))[0]
-    others = F.filter("all", lambda t: t["t"] != F.col(topic))
-    a = F.when(own["n"] > 1, (own["n"] - dot(F.col("_u"), own["s"])) / (own["n"] - 1))
-    b = F.array_min(F.transform(others, lambda t: 1 - dot(F.col("_u"), t["s"]) / t["n"]))
-    scored = rows.crossJoin(F.broadcast(packed)).select(topic, a.alias("a"), b.alias("b"))
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")))
-    return scored.groupBy(topic).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("silhouette"))
+    names, sizes = np.array([r[topic] for r in stats]), np.array([r["n"] for r in stats], dtype=np.float64)
+    table = vectors.sparkSession.sparkContext.broadcast((names, sizes, np.array([r["s"] for r in stats], dtype=np.float64).reshape(len(stats), -1)))
+
+    def run(batches):
+        names, n, s = table.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            own = np.searchsorted(names, batch[topic].to_numpy())
+            at = np.arange(len(batch))
+            near = np.stack(batch["_u"].to_numpy()) @ s.T
+            rest = 1 - near / n
+            a = (n[own] - near[at, own]) / np.maximum(n[own] - 1, 1)
+            rest[at, own] = np.inf
+            b = rest.min(axis=1)
+            alone = (n[own] < 2) | ~np.isfinite(b)
+            top = np.maximum(a, b)
+            value = np.where(alone | (top == 0), 0.0, (b - a) / np.where(alone | (top == 0), 1.0, top))
+            yield pd.DataFrame({topic: batch[topic].to_numpy(), "value": value})
+
+    scored = rows.mapInPandas(run, f"{topic} {vectors.schema[topic].dataType.simpleString()}, value double")
+    return scored.groupBy(topic).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("silhouette"))
 
 
 def coverage(sims: DataFrame, sim: str = "sim", below: tuple[float, ...] = (0.2, 0.3, 0.4)) -> DataFrame:
