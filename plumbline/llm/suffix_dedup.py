@@ -172,9 +172,15 @@ def segments(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[tuple[n
 
 
 def first_of(t: Table, keys: list[str]) -> np.ndarray:
-    """Order t by keys, document and position in place; True for the first of equal keys."""
+    """Order t by keys, document and position in place, once where a document is listed twice; True for the first of equal keys."""
     order = np.lexsort((t["pos"], t["tie"], t["doc"], *(t[k] for k in reversed(keys))))
     t.update(take(t, order))
+    once = np.ones(len(order), dtype=bool)
+    if len(order):
+        once[1:] = np.logical_or.reduce([t[k][1:] != t[k][:-1] for k in (*keys, "doc", "tie", "pos")])
+    if not once.all():
+        t.update(take(t, once))
+        order = order[once]
     new = np.ones(len(order), dtype=bool)
     if len(order):
         new[1:] = np.logical_or.reduce([t[k][1:] != t[k][:-1] for k in keys])

@@ -277,6 +277,18 @@ def test_rows_listed_twice(spark):
     assert got[got["doc_id"] == 2]["n_removed"].tolist() == [len(text)] and got[got["doc_id"] == 3]["n_removed"].tolist() == [0, 0]
 
 
+@pytest.mark.parametrize("common,held", [(suffix_dedup.COMMON, suffix_dedup.HELD_RUNS), (1, suffix_dedup.HELD_RUNS), (suffix_dedup.COMMON, 1)])
+def test_rows_listed_twice_keep_the_first_copy(spark, common, held):
+    rng = random.Random(11)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, a, b, c, d = text(150), text(300), text(200), text(250), text(90)
+    rows = [(1, a)] * 3 + [(2, passage + b)] * 2 + [(3, "x" + a + "y")] * 2 + [(4, c + passage)] * 2 + [(5, d)] * 2 + [(None, text(400))] * 2 + [(6, passage), (7, a), (7, a)]
+    want = [(i, "xy" if i == 3 else c if i == 4 else "" if i in (6, 7) else t) for i, t in rows]
+    for df in (frame(spark, rows).repartition(6), frame(spark, rows).coalesce(1)):
+        out = suffix_dedup.deduplicate(df, common=common, held=held).collect()
+        assert sorted((key(r["doc_id"]), r["text"]) for r in out) == sorted((key(i), t) for i, t in want)
+
+
 def test_long_text_in_segments(spark, monkeypatch):
     rng = np.random.default_rng(0)
     text = bytes(rng.integers(97, 123, 30_000, dtype=np.uint8)).decode()
