@@ -5,8 +5,9 @@ are one node.  A node's set is embedded as min-hash coordinates; a run splits
 all nodes on a sampled coordinate, then each part on another, and so on: a
 path.  One coordinate is chosen for each part and sometimes a second, 1/0.8 on
 average, so that a pair of similarity 0.8 is expected to share one path at any
-depth.  Parts of bounded size are compared by brute force, and runs repeat
-until the expected recall of a pair reaches its target.
+depth.  Parts of bounded size are compared by brute force; the nodes of larger
+ones are split deeper.  At each depth runs repeat until the expected recall of
+a pair reaches its target, so the deeper the more of them.
 
 Pairs that a part's estimate doesn't rule out join nodes to candidate groups;
 within these all pairs of nodes are compared exactly.  A part or group beyond
@@ -103,13 +104,29 @@ def sketches(sets: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def runs_for(recall: float, similarity: float, depth: int) -> int:
-    """Runs after which a pair of this similarity has met with this probability."""
+def _survives(drawn: float, similarity: float, depth: int) -> float:
+    """Chance that a pair whose coordinates agree in this share is in one part after `depth` splits of a run."""
     survives = 1.0
     for _ in range(depth):
-        x = similarity * survives
+        x = drawn * survives
         survives = 1 - (1 - x) * (1 - (1 / similarity - 1) * x)
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survives)))
+    return survives
+
+
+def runs_for(recall: float, similarity: float, depth: int) -> int:
+    """Runs after which a pair of this similarity has met with this probability."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - _survives(similarity, similarity, depth))))
+
+
+def runs_at(recall: float, similarity: float, depth: int) -> int:
+    """The same over all sketches that such a pair may have: some agree in fewer coordinates than it would be expected to."""
+    agree = np.arange(COORDINATES + 1)
+    share = np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in agree.tolist()])
+    apart = np.array([1 - _survives(k / COORDINATES, similarity, depth) for k in agree.tolist()])
+    runs = runs_for(recall, similarity, depth)
+    while (share * apart**runs).sum() > 1 - recall:
+        runs += 1
+    return runs
 
 
 def children(key: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -198,8 +215,8 @@ def _sets(docs: DataFrame) -> DataFrame:
     return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, node long, n_shingles long, sketch binary")
 
 
-def _paths(nodes: DataFrame, runs: int, depth: int, similarity: float, with_key: bool = False) -> DataFrame:
-    """(key, node) of each node's parts after `depth` splits in all runs; or one split further from the column key."""
+def _paths(nodes: DataFrame, runs: int, depth: int, similarity: float) -> DataFrame:
+    """(key, node) of each node's parts after `depth` splits in all runs."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,15 +224,14 @@ def _paths(nodes: DataFrame, runs: int, depth: int, similarity: float, with_key:
                 continue
             sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, COORDINATES)
             node = batch.column(0).to_numpy()
-            for r in range(1 if with_key else runs):
-                key = batch.column(2).to_numpy().view(np.uint64) if with_key else np.full(len(node), mix(np.array([r + 1], np.uint64))[0])
-                row = np.arange(len(node))
-                for _ in range(1 if with_key else depth):
+            for r in range(runs):
+                key, row = np.full(len(node), mix(np.array([r + 1], np.uint64))[0]), np.arange(len(node))
+                for _ in range(depth):
                     at, key = children(key, sketch[row], similarity)
                     row = row[at]
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[row])], names=["key", "node"])
 
-    return nodes.select("node", "sketch", *(["key"] if with_key else [])).mapInArrow(run, "key long, node long").distinct()
+    return nodes.select("node", "sketch").mapInArrow(run, "key long, node long").distinct()
 
 
 def _candidates(parts: DataFrame, similarity: float) -> DataFrame:
@@ -330,10 +346,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     # Documents of equal sets are one node: its size and least document are pre-aggregated.
     full.groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")).write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
-    found = []
-    paths = _paths(nodes, runs_for(recall, similarity, DEPTH), DEPTH, similarity)
+    found, some = [], nodes
+    # What pairs may be missed is shared by all depths: however deep the large parts go, the sum is 1 - recall.
+    each = 1 - (1 - recall) / (MAX_DEPTH - DEPTH + 1)
     for depth in range(DEPTH, MAX_DEPTH + 1):
-        paths.write.parquet(f"{folder}/paths{depth}")
+        _paths(some, runs_at(each, similarity, depth), depth, similarity).write.parquet(f"{folder}/paths{depth}")
         paths = spark.read.parquet(f"{folder}/paths{depth}")
         sizes = paths.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         large = F.col("n") > 4 * BLOCK
@@ -342,9 +359,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
         found.append(_candidates(parts, similarity))
         if not more:
             break
-        # Parts that are still large are split further; where splitting ends, the grid of blocks takes them.
-        deeper = paths.join(sizes.filter(large).select("key"), "key").join(nodes.select("node", "sketch"), "node")
-        paths = _paths(deeper, 1, 1, similarity, with_key=True)
+        # The nodes of parts that are still large start anew, with the more runs that a deeper split asks for: a pair
+        # that has met is in a part compared here or has both its nodes among them.  Where splitting ends, the grid of
+        # blocks takes the large parts.
+        hot = paths.join(sizes.filter(large).select("key"), "key").select("node").distinct()
+        some = nodes.join(hot, "node", "left_semi")
     edges = found[0]
     for e in found[1:]:
         edges = edges.unionByName(e)

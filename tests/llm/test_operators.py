@@ -399,6 +399,21 @@ def test_recall_of_runs():
     assert met >= 398
 
 
+def test_recall_in_large_parts(spark, monkeypatch):
+    """Pairs at the threshold, each of whose parts is split down to MAX_DEPTH, are all found."""
+    rows = []
+    for i in range(600):
+        shared, own = [f"p{i}w{k}" for k in range(84)], [[f"p{i}{x}{k}" for k in range(10)] for x in "ab"]
+        rows += [(2 * i + x, " ".join(shared + o)) for x, o in enumerate(own)]
+    monkeypatch.setattr(jaccard_join, "BLOCK", 0.25)
+    assert classes(frame(spark, rows).repartition(4)) == sorted((d, d - d % 2, 1) for d, _ in rows)
+
+
+def test_runs_grow_with_depth():
+    runs = [jaccard_join.runs_at(0.9999, 0.8, d) for d in range(jaccard_join.DEPTH, jaccard_join.MAX_DEPTH + 1)]
+    assert runs == sorted(set(runs)) and all(jaccard_join.runs_for(0.9999, 0.8, d) <= r for d, r in enumerate(runs, jaccard_join.DEPTH))
+
+
 # ---- classifiers
 
 
