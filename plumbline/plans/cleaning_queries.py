@@ -101,6 +101,14 @@ def text_fields(spark, sf_dir):
     return C.text_fields(rows, compose=False).select("doc_id", "has_abstract", "text")
 
 
+@query(f"WITH t AS (SELECT doc_id, substr(text, 1, 30) AS title, CASE WHEN doc_id % 4 > 0 THEN substr(text, 31) END AS abstract FROM documents) SELECT doc_id, length(coalesce(abstract, '')) > 0 AS has_abstract, trim({_NORM.format(x='title')} || ' ' || {_NORM.format(x=chr(99) + 'oalesce(abstract, ' + chr(39) * 2 + ')')}) AS text FROM t")
+def text_fields_whole_text(spark, sf_dir):
+    """text_fields with all that follows the title as the abstract."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select("doc_id", F.substring("text", 1, 30).alias("title"), F.when(F.col("doc_id") % 4 > 0, F.expr("substring(text, 31)")).alias("abstract"))
+    return C.text_fields(rows, compose=False).select("doc_id", "has_abstract", "text")
+
+
 _LINK = "CASE doc_id % 5 WHEN 0 THEN 'https://x.org/' || doc_id ELSE NULL END AS ee, CASE doc_id % 5 WHEN 1 THEN '10.1/' || doc_id ELSE NULL END AS doi, CASE doc_id % 5 WHEN 2 THEN 'http://y.org/' || doc_id WHEN 3 THEN 'db/conf/' || doc_id ELSE NULL END AS url"
 
 
