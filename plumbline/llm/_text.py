@@ -33,7 +33,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _rng = np.random.default_rng(20240229)
 BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_POWERS = np.cumprod(np.full(4096, 0x9E3779B97F4A7C15, dtype=np.uint64))
+#: Bytes of a run that are hashed by one chain of steps.
+HASH_BLOCK = 256
 
 
 def partitions(spark) -> int:
@@ -88,24 +89,70 @@ def split_words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = W
     return starts, ends, rows
 
 
+def _loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one little-endian number; bytes past the end are 0."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), "<u8", buffer=padded, strides=(1,))
+
+
+#: Keeps the first k of eight bytes.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+
+
+def _hash_runs(loads: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Hash of each run: its length, then eight bytes at a time, mixed in between."""
+    h = mix(lens.astype(np.uint64) + np.uint64(0xC2B2AE3D27D4EB4F))
+    at, step = np.arange(len(starts)), 0
+    while len(at):
+        some = mix(h[at] ^ (loads[starts[at] + step] & _KEEP[np.minimum(lens[at] - step, 8)]))
+        h[at] = some
+        step += 8
+        at = at[lens[at] > step]
+    return h
+
+
 def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte run [start, end); runs are in order and don't overlap."""
+    """64-bit hash of each byte run [start, end), none empty.
+
+    Every eight bytes pass through a mixing step of their own, so neither the
+    order nor the place of parts is lost.  Long runs are hashed by blocks,
+    each mixed with its number, so no run takes a pass of its own.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    lens = ends - starts
-    first = np.cumsum(lens) - lens
-    total = int(lens.sum())
-    whole = np.int32 if max(total, len(data)) < 1 << 31 else np.int64
-    pos = np.arange(total, dtype=whole)
-    pos -= np.repeat(first.astype(whole), lens)
-    at = pos + np.repeat(starts.astype(whole), lens)
-    value = BYTE_CODE[data[at]]
-    del at
-    pos &= 4095
-    value *= _POWERS[pos]
-    h = np.add.reduceat(value, first)
-    h ^= lens.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return mix(h)
+    loads, lens = _loads(data), ends - starts
+    out = np.empty(len(starts), dtype=np.uint64)
+    long = lens > HASH_BLOCK
+    out[~long] = _hash_runs(loads, starts[~long], lens[~long])
+    if long.any():
+        n = -(-lens[long] // HASH_BLOCK)
+        first = np.cumsum(n) - n
+        number = np.arange(int(n.sum())) - np.repeat(first, n)
+        at = np.repeat(starts[long], n) + number * HASH_BLOCK
+        parts = _hash_runs(loads, at, np.minimum(np.repeat(ends[long], n) - at, HASH_BLOCK))
+        parts = mix(parts ^ mix(number.astype(np.uint64) + np.uint64(1)))
+        out[long] = mix(np.add.reduceat(parts, first) ^ mix(lens[long].astype(np.uint64)))
+    return out
+
+
+def same_runs(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, other: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Is each run [start, start + len) of `data` equal, byte for byte, to the one at `others` in `other` (which has as many bytes there)?"""
+    same = np.ones(len(starts), dtype=bool)
+    if not len(starts):
+        return same
+    a, b = _loads(data), _loads(other) if other is not data else None
+    b = a if b is None else b
+    short = np.flatnonzero(lens <= HASH_BLOCK)
+    at, step = short, 0
+    while len(at):
+        keep = _KEEP[np.minimum(lens[at] - step, 8)]
+        same[at] &= (a[starts[at] + step] & keep) == (b[others[at] + step] & keep)
+        step += 8
+        at = at[(lens[at] > step) & same[at]]
+    for i in np.flatnonzero(lens > HASH_BLOCK).tolist():
+        n = lens[i]
+        same[i] = np.array_equal(data[starts[i] : starts[i] + n], other[others[i] : others[i] + n])
+    return same
 
 
 def expand(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

@@ -2,7 +2,8 @@
 
 A text is cut at ASCII white space, which no token of such a vocabulary
 spans.  Each different word is encoded once per Python worker and found again
-by hash in a compact sorted table, so the cost of a repeated word is a lookup.
+by hash and bytes in a compact sorted table, so the cost of a repeated word is
+a lookup.
 Two encoders plug in: the tokenizers library, and the pair occurrence index
 of `bpe`.
 """
@@ -16,7 +17,7 @@ from collections.abc import Callable, Iterable
 import numpy as np
 import regex
 
-from plumbline.llm._text import expand, hash_words, row_sums, split_words
+from plumbline.llm._text import expand, hash_words, row_sums, same_runs, split_words
 
 #: Encodes a list of pre-tokens: flat ids and the number of ids of each.
 PieceEncoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
@@ -116,16 +117,34 @@ def _encode_plain(joined: str, n: int, pieces: PieceEncoder) -> tuple[np.ndarray
 
 
 class WordTable:
-    """Ids of the words met so far, by word hash; at most `limit` words are kept."""
+    """Ids of the words met so far, by word hash and bytes.
 
-    def __init__(self, encode: Callable[[str], tuple[np.ndarray, np.ndarray]], limit: int = 2_000_000):
-        self.encode_new, self.limit = encode, limit
+    At most `limit` words of `limit_bytes` bytes are kept.  The hash only
+    proposes a known word: a word counts as one if its bytes are the same, and
+    is encoded for itself if another word has its hash.
+    """
+
+    def __init__(self, encode: Callable[[str], tuple[np.ndarray, np.ndarray]], limit: int = 2_000_000, limit_bytes: int = 48 << 20, hashes=hash_words):
+        self.encode_new, self.limit, self.limit_bytes, self.hashes = encode, limit, limit_bytes, hashes
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
         self.slot = np.zeros(0, np.int32)
         self.flat, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.bytes, self.at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _add(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        joined = _joined(data, starts, ends)
+        flat, count = self.encode_new(joined.tobytes().decode())
+        slots = len(self.count) + np.arange(len(keys), dtype=np.int32)
+        size = (ends - starts).astype(np.int32)
+        self.at = np.concatenate([self.at, len(self.bytes) + np.cumsum(size + 1, dtype=np.int64) - size - 1])
+        self.bytes, self.size = np.concatenate([self.bytes, joined, [np.uint8(10)]]), np.concatenate([self.size, size])
+        self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(count) - count).astype(np.int32)])
+        self.count, self.flat = np.concatenate([self.count, count.astype(np.int32)]), np.concatenate([self.flat, flat])
+        into = np.searchsorted(self.keys, keys)
+        self.keys, self.slot = np.insert(self.keys, into, keys), np.insert(self.slot, into, slots)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all rows' texts, and the number of ids of each row."""
@@ -133,34 +152,38 @@ class WordTable:
         n = len(offsets) - 1
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        uniq, first, inverse = np.unique(hash_words(data, starts, ends), return_index=True, return_inverse=True)
+        uniq, first, inverse = np.unique(self.hashes(data, starts, ends), return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, uniq)
         known = np.zeros(len(uniq), dtype=bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == uniq[inside]
         if not known.all():
-            if len(self.keys) + int((~known).sum()) > self.limit:
+            new = first[~known]
+            if len(self.keys) + len(new) > self.limit or len(self.bytes) + int((ends[new] - starts[new] + 1).sum()) > self.limit_bytes:
                 self.clear()
                 known[:] = False
-            new = first[~known]
-            flat, count = self.encode_new(_joined(data, starts[new], ends[new]))
-            slots = len(self.count) + np.arange(len(new), dtype=np.int32)
-            self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(count) - count).astype(np.int32)])
-            self.count, self.flat = np.concatenate([self.count, count.astype(np.int32)]), np.concatenate([self.flat, flat])
-            into = np.searchsorted(self.keys, uniq[~known])
-            self.keys, self.slot = np.insert(self.keys, into, uniq[~known]), np.insert(self.slot, into, slots)
+                new = first
+            self._add(data, uniq[~known], starts[new], ends[new])
             at = np.searchsorted(self.keys, uniq)
         slot = self.slot[at][inverse]
-        count = self.count[slot]
-        return self.flat[expand(self.start[slot], count)], row_sums(count, rows, n)
-
-
-def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> str:
-    """The words as one text with a line end between."""
+        lens = ends - starts
+        same = lens == self.size[slot]
+        same[same] = same_runs(data, starts[same], lens[same], self.bytes, self.at[slot[same]])
+        flat, start, count = self.flat, self.start[slot], self.count[slot]
+        if not same.all():
+            odd, odd_count = self.encode_new(_joined(data, starts[~same], ends[~same]).tobytes().decode())
+            start, count = start.astype(np.int64), count.copy()
+            start[~same], count[~same] = len(flat) + np.cumsum(odd_count) - odd_count, odd_count
+            flat = np.concatenate([flat, odd])
+        return flat[expand(start, count)], row_sums(count, rows, n)
+
+
+def _joined(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words' bytes with a line end between."""
     lens = ends - starts + 1
     out = data[np.minimum(expand(starts, lens), len(data) - 1)]
     out[np.cumsum(lens) - 1] = 10
-    return out[:-1].tobytes().decode()
+    return out[:-1]
 
 
 @functools.lru_cache(maxsize=2)
