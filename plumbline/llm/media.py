@@ -2,12 +2,15 @@
 
 Netpbm (P1-P6) and uncompressed BMP (8, 24, 32 bit) are decoded; arrays are
 resized by area means taken from integral images; difference hashes and NPY
-tiles are made from them.
+tiles are made from them.  Media that is null, cut short, empty, of another
+format or whose header promises more than its bytes hold has no pixels: its
+digests of pixels are null and it gives no tile.
 """
 
 from __future__ import annotations
 
 import io
+import math
 import re
 import struct
 import zlib
@@ -38,9 +41,11 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     kind, width, height = int(m[1]), int(m[2]), int(m[3])
     bitmap = kind in (1, 4)
     at = m.end(3) if bitmap else m.end()
-    most = 1 if bitmap else int(m[4])
+    most = 1 if bitmap else int(m[4] or 0)
+    if not 0 < most < 1 << 16:
+        raise ValueError("Netpbm without a largest value")
     shape = (height, width, 3) if kind in (3, 6) else (height, width)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
     body = raw[at + 1 :]
     if kind == 4:
         bits = np.unpackbits(np.frombuffer(body, np.uint8, height * -(-width // 8)).reshape(height, -1), axis=1)[:, :width]
@@ -91,7 +96,22 @@ def decode_bmp(raw: bytes) -> np.ndarray:
 
 
 def decode(raw: bytes) -> np.ndarray:
-    return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
+    """Pixels of an image; ValueError where it has none."""
+    try:
+        pixels = decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
+    except (struct.error, OverflowError, IndexError) as e:
+        raise ValueError(f"not a whole image: {e}") from e
+    if not pixels.size:
+        raise ValueError("an image without pixels")
+    return pixels
+
+
+def decoded(raw: bytes | None) -> np.ndarray | None:
+    """Pixels of an image, or None where it has none."""
+    try:
+        return decode(raw) if raw is not None else None
+    except ValueError:
+        return None
 
 
 def area_resize(pixels: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -130,88 +150,79 @@ def npy_tiles(pixels: np.ndarray, tile: int) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def tiles(media: DataFrame, column: str = "media", height: int = 64, width: int = 64, tile: int = 32, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Images area-resized to height x width, as NPY tiles with the image's difference hash.
-
-    One row per tile: tile_y, tile_x, npy (binary), dhash.  A row whose media
-    is null or can't be decoded gives no tile.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    frame = media.select(*keep, column)
-    out = StructType(frame.select(*keep).schema.fields + StructType.fromDDL("tile_y int, tile_x int, npy binary, dhash string").fields)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = to_arrow_schema(out)
-        for batch in slices(batches, column):
-            rows, made = [], []
-            for i, raw in enumerate(batch.column(len(keep)).to_pylist()):
-                try:
-                    pixels = decode(raw or b"")
-                except (ValueError, struct.error, TypeError):
-                    continue
-                if not pixels.size:
-                    continue
-                small = np.clip(np.round(area_resize(pixels, height, width)), 0, 65535).astype(pixels.dtype)
-                cut = npy_tiles(small, tile)
-                rows += [i] * len(cut)
-                made += [(y, x, b, difference_hash(pixels)) for y, x, b in cut]
-            kept = [batch.column(i).take(pa.array(rows, pa.int64())) for i in range(len(keep))]
-            columns = list(zip(*made, strict=True)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[len(keep) :], strict=True))], schema=schema)
-
-    return frame.mapInArrow(run, out)
-
-
-def text_media(docs: DataFrame, width: int = 64, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def text_media(docs: DataFrame, width: int = 64, bmp_from: int = 8192, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Each whole text's UTF-8 bytes as an 8-bit grey image `width` samples wide.
 
-    Bytes 0 fill the last row; an empty or null text gives one row of zeros.
-    Adds n_bytes (without the filling) and media (PGM).
+    Texts of fewer than `bmp_from` bytes are PGM, longer ones BMP (whose
+    palette is then small beside the samples).  Bytes 0 fill the last row; an
+    empty or null text gives one row of zeros.  Adds n_bytes (without the
+    filling) and media; repeated rows give equal rows, an empty table none.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    frame = docs.select(*keep, "text")
+    frame = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     out = StructType(frame.select(*keep).schema.fields + StructType.fromDDL("n_bytes long, media binary").fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
-        for batch in slices(batches):
+        for batch in slices(batches, "__text"):
             data, offsets = string_bytes(batch.column(len(keep)))
             sizes = np.diff(offsets)
             media = []
             for a, n in zip(offsets[:-1].tolist(), sizes.tolist(), strict=True):
                 pixels = np.zeros((max(1, -(-n // width)), width), np.uint8)
                 pixels.reshape(-1)[:n] = data[a : a + n]
-                media.append(encode_netpbm(pixels))
+                media.append(encode_netpbm(pixels) if n < bmp_from else encode_bmp(pixels))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), pa.array(sizes), pa.array(media, pa.binary())], schema=schema)
 
     return frame.mapInArrow(run, out)
 
 
 FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+TILES = "tiles array<struct<tile_y: int, tile_x: int, npy: binary>>"
 
 
-def media_features(media: DataFrame, keep: tuple[str, ...] = ("doc_id", "n_bytes"), tail: int = 64) -> DataFrame:
-    """Digests of the samples read back from the stored bytes, of the stored bytes, and the difference hash."""
+def media_features(media: DataFrame, column: str = "media", keep: tuple[str, ...] = ("doc_id", "n_bytes"), tail: int = 64, height: int = 16, width: int = 32, tile: int = 16) -> DataFrame:
+    """Digests of the samples and of the stored bytes, the difference hash, and the NPY tiles of the image area-resized to height x width.
+
+    One row per row of `media`, which may repeat.  Where there are no pixels,
+    payload_bytes, payload_sha256, tail_crc32 and feature are null and there
+    are no tiles; media_bytes and media_sha256 are null for null media only.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
-    frame = media.select(*keep, F.col("media"))
-    out = StructType(frame.select(*keep).schema.fields + StructType.fromDDL(FEATURES).fields)
+    frame = media.select(*keep, F.col(column).alias("__media"))
+    out = StructType(frame.select(*keep).schema.fields + StructType.fromDDL(f"{FEATURES}, {TILES}").fields)
+
+    def made(raw: bytes | None) -> tuple:
+        stored = (None, None) if raw is None else (len(raw), sha256(raw).hexdigest())
+        pixels = decoded(raw)
+        if pixels is None:
+            return None, None, None, *stored, None, []
+        payload = pixels.tobytes()
+        small = np.clip(np.round(area_resize(pixels, height, width)), 0, 65535).astype(pixels.dtype)
+        cut = [{"tile_y": y, "tile_x": x, "npy": b} for y, x, b in npy_tiles(small, tile)]
+        return len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), *stored, difference_hash(pixels), cut
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = to_arrow_schema(out)
-        for batch in slices(batches, "media"):
-            rows = []
-            for raw in batch.column(len(keep)):
-                raw = raw.as_py()
-                pixels = decode(raw)
-                payload = pixels.tobytes()
-                rows.append((len(payload), sha256(payload).hexdigest(), zlib.crc32(payload[-tail:]), len(raw), sha256(raw).hexdigest(), difference_hash(pixels)))
-            made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[len(keep) :], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *made], schema=schema)
+        for batch in slices(batches, "__media"):
+            rows = [made(raw.as_py()) for raw in batch.column(len(keep))]
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(schema)[len(keep) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *columns], schema=schema)
 
     return frame.mapInArrow(run, out)
+
+
+def tiles(featured: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per tile of what media_features returns: tile_y, tile_x, npy and the image's difference hash as dhash."""
+    return featured.select(*keep, F.explode("tiles").alias("_tile"), F.col("feature").alias("dhash")).select(*keep, "_tile.*", "dhash")
+
+
+def store_texts(docs: DataFrame, folder: str) -> None:
+    """Write each whole text as an image to the table `media`, read that back, and write features and tiles to the table `features`."""
+    spark = docs.sparkSession
+    text_media(docs).write.option("compression", "zstd").parquet(f"{folder}/media")
+    media_features(spark.read.parquet(f"{folder}/media")).write.option("compression", "zstd").parquet(f"{folder}/features")

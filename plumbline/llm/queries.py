@@ -60,7 +60,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_features(media.text_media(_read(spark, sf_dir, "documents")))
+    folder = shared_dir(spark, "media")
+    media.store_texts(_read(spark, sf_dir, "documents"), folder)
+    return spark.read.parquet(f"{folder}/features").drop("tiles")
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The ten operators against brute force, round trips and held-out rows, with odd tables."""
 
 import hashlib
+import io
 import random
 import zlib
 
@@ -71,6 +72,60 @@ def test_ids_equal_the_library(odd_rows):
         assert bpe.decode(TOK, np.array(w, dtype=np.int64)) == tokens.load(TOK).decode(w, skip_special_tokens=False)
 
 
+def twisted(k):
+    """Two words of the letters a and b, each other's complement, that sums of powers can't tell apart."""
+    x, y = "a", "b"
+    for _ in range(k):
+        x, y = x + y, y + x
+    return x, y
+
+
+#: Long words of the same blocks in another order.
+LIKE = ["ab" * 2048 + "cd" * 2048, "cd" * 2048 + "ab" * 2048, *twisted(10), *twisted(12), "x" * 512, "x" * 513]
+
+
+@pytest.mark.parametrize("hashes", [tokens.hash_words, lambda data, starts, ends: np.zeros(len(starts), np.uint64)])
+def test_words_of_like_hash(hashes):
+    texts = [*LIKE, "a bb ccc", "ccc a bb", "".join(LIKE)]
+    want = tokens.reference_ids(TOK, texts)
+    for made in (tokens.library_table(TOK), bpe.pair_table(TOK)):
+        table = tokens.WordTable(made.encode_new, hashes=hashes)
+        for some in (texts, texts[::-1]):
+            ids, counts = table.encode(*string_bytes(pa.array(some, pa.string())))
+            at = np.r_[0, np.cumsum(counts)]
+            assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == (want if some is texts else want[::-1])
+
+
+def test_words_of_like_blocks(spark):
+    rows = list(enumerate(LIKE))
+    docs = frame(spark, rows)
+    want = [ids + [1] for ids in tokens.reference_ids(TOK, LIKE)]
+    crc = {i: zlib.crc32(np.array(w, "<u4").tobytes()) for i, w in enumerate(want)}
+    got = bpe.encode_decode_digests(docs, TOK).collect()
+    assert {r["doc_id"]: r["ids_sha256"] for r in got} == {i: hashlib.sha256(" ".join(map(str, w[:-1])).encode()).hexdigest() for i, w in enumerate(want)}
+    assert {r["doc_id"]: r["ids_crc32"] for r in packing.pack(docs, TOK, capacity=8192).collect()} == crc
+    folder = shared_dir(spark, "t")
+    token_store.write(docs, folder, TOK)
+    assert {r["doc_id"]: r["ids_crc32"] for r in token_store.read(spark, folder, TOK).collect()} == crc
+    assert classes(docs) == [(i, i, 0) for i in range(len(rows))]
+    out = suffix_dedup.deduplicate(docs, with_text=False).collect()
+    assert sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out) == brute_dedup(rows)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.binary(min_size=1, max_size=700), min_size=1, max_size=6))
+def test_hashes_and_bytes(runs):
+    runs = [*runs, runs[0]]
+    lens = np.array([len(r) for r in runs])
+    data, ends = np.frombuffer(b"".join(runs), np.uint8), np.cumsum(lens)
+    hashes = tokens.hash_words(data, ends - lens, ends).tolist()
+    for a in range(len(runs)):
+        for b in range(len(runs)):
+            assert (hashes[a] == hashes[b]) == (runs[a] == runs[b])
+            if lens[a] == lens[b]:
+                assert tokens.same_runs(data, ends[[a]] - lens[[a]], lens[[a]], data, ends[[b]] - lens[[b]])[0] == (runs[a] == runs[b])
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_pair_index_on_any_text(text):
@@ -535,7 +590,34 @@ def test_media_query(odd, odd_rows, empty):
     rows = [(-(1 << 63) if r[0] != r[0] else int(r[0]), *r[1:5]) for r in got.itertuples(index=False)]
     assert sorted(rows) == sorted(want)
     assert got.groupby("payload_sha256")["feature"].nunique().max() == 1
-    assert media.text_media(empty).count() == 0
+    assert media.text_media(empty).count() == 0 and media.media_features(media.text_media(empty)).count() == 0
+
+
+def test_media_is_stored_and_read_back(spark, odd, odd_rows):
+    folder = shared_dir(spark, "media")
+    media.store_texts(odd, folder)
+    stored = {(r["doc_id"], r["n_bytes"]): bytes(r["media"]) for r in spark.read.parquet(f"{folder}/media").collect()}
+    assert {m[:2] for m in stored.values()} == {b"P5", b"BM"}
+    rows = spark.read.parquet(f"{folder}/features").collect()
+    assert len(rows) == len(odd_rows)
+    for r in rows:
+        raw = stored[r["doc_id"], r["n_bytes"]]
+        if r["doc_id"] not in (16, 17):
+            assert (r["media_bytes"], r["media_sha256"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+            small = np.concatenate([np.load(io.BytesIO(t["npy"])) for t in r["tiles"]], axis=1)
+            assert (small == np.round(media.area_resize(media.decode(raw), 16, 32))).all()
+
+
+def test_media_without_pixels(spark):
+    whole = media.encode_bmp(np.zeros((3, 5), np.uint8))
+    broken = [None, b"", b"GIF89a", b"P5\n", b"P5\n9 9\n255\nabc", b"P5\n99999999999 99999999999\n255\n", b"P4\n9999999999 99999999999\n", b"P5\n0 0\n255\n", b"P5\n1 1\n99999\nab", b"P2\n2 2\n255\n1 2 3", b"P2\n1 1\n255\nx", b"P6\n1 1\n255\nab", b"BM", whole[:40], whole[:-1], whole[:18] + b"\xff\xff\xff\x7f" * 2 + whole[26:]]
+    df = spark.createDataFrame([(i, 0, b) for i, b in enumerate(broken)] + [(99, 0, whole)], "doc_id long, n_bytes long, media binary")
+    rows = {r["doc_id"]: r for r in media.media_features(df).collect()}
+    for i, b in enumerate(broken):
+        r = rows[i]
+        assert (r["payload_bytes"], r["payload_sha256"], r["tail_crc32"], r["feature"], r["tiles"]) == (None, None, None, None, []), (i, b)
+        assert r["media_bytes"] == (None if b is None else len(b))
+    assert rows[99]["payload_bytes"] == 15 and len(rows) == len(broken) + 1
 
 
 @settings(max_examples=100, deadline=None)
@@ -566,8 +648,6 @@ def test_area_resize():
 def test_tiles(spark):
     x = np.random.default_rng(0).integers(0, 256, (80, 50), dtype=np.uint8)
     df = spark.createDataFrame([(1, media.encode_netpbm(x)), (2, b"no image"), (3, None)], "doc_id long, media binary")
-    rows = media.tiles(df, height=40, width=40, tile=32).collect()
-    import io
-
+    rows = media.tiles(media.media_features(df, keep=("doc_id",), height=40, width=40, tile=32)).collect()
     assert sorted((r["doc_id"], r["tile_y"], r["tile_x"], np.load(io.BytesIO(r["npy"])).shape) for r in rows) == [(1, 0, 0, (32, 32)), (1, 0, 1, (32, 8)), (1, 1, 0, (8, 32)), (1, 1, 1, (8, 8))]
     assert {r["dhash"] for r in rows} == {media.difference_hash(x)}
