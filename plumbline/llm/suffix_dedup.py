@@ -2,23 +2,30 @@
 
 Every byte covered by a string of `length` bytes that also starts earlier
 (smaller document, or same document and earlier position) is removed; the
-first copy stays.  The corpus is never sorted as a whole:
+first copy stays.  The corpus is never sorted as a whole; hashes only propose
+which parts of it may repeat, and every removal is read from the longest
+previous factors of such parts:
 
 1. Each window of `length` bytes has an anchor: the least hashed gram within
    it.  Equal windows have equal anchors at equal places, so a window can only
    repeat where its anchor's gram repeats.  Consecutive windows with one
-   anchor form a run.  Runs of equal bytes are pre-aggregated by hash within
-   each task, then by anchor: all but the first are later copies in full.
-2. Different runs that share an anchor go, with their bytes, to the task of
-   that anchor.  A suffix array of the runs' text (prefix doubling as far as
-   `length` asks) and the previous and next smaller text positions in suffix
-   order give each window's longest previous factor; windows whose factor
-   reaches `length` are later copies.
-3. The spans found are joined back to their documents and cut out.
-
-An anchor with very many different runs is split into its single windows,
-keyed by their content, so no task has to hold a common passage's whole
-surroundings.  What travels between tasks are packed arrays.
+   anchor form a run.
+2. A run whose hash an earlier run has is taken to follow it.  Runs that
+   follow one another in both texts form stretches, which meet the bytes of
+   their source: within a task at once, else where the later document is.
+3. Different runs that share an anchor go, with their bytes, to the task of
+   that anchor.  An anchor with very many different runs is split into its
+   single windows, keyed by their content, so no task has to hold a common
+   passage's whole surroundings.
+4. Wherever such parts meet, they are laid out in document order.  A suffix
+   array (prefix doubling as far as `length` asks) and the previous and next
+   smaller text positions in suffix order give each window's longest previous
+   factor; windows whose factor reaches `length` are later copies.
+5. The spans found are joined back to their documents and cut out.
+
+What travels between tasks are packed arrays.  No byte is removed without
+equal bytes before it; two different runs of one 64-bit hash and one anchor
+could at most hide a later copy.
 """
 
 from __future__ import annotations
@@ -32,27 +39,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._text import BYTE_CODE, expand, mix, partitions, slices, string_bytes
+from plumbline.llm._text import BYTE_CODE, expand, hash_words, mix, partitions, slices, string_bytes
 
 LENGTH, GRAM = 100, 32
 #: Different runs of one anchor within a task that make the anchor a common one.
 COMMON = 256
-#: Runs that a task holds at a time for its pre-aggregation.
-HELD_RUNS = 1_500_000
+#: Runs that a task holds at a time, with their texts, for its pre-aggregation.
+HELD_RUNS = 750_000
+#: Bytes of text for each bucket of anchors; documents are dealt to four times as many slots.
+BUCKET_BYTES = 8 << 20
+#: Bytes whose suffixes are sorted at a time, and of a stretch that are handled in one piece.
+LOT, PIECE = 1 << 20, 1 << 18
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _LOW = 22  # bits of a position within a segment
 SEGMENT = 2 << 20
 
-SPAN, RUN, ASKED, BYTES = 1, 0, 2, 3
+RUN, SPAN, ASKED, BYTES, FOLLOW, SOURCE = range(6)
+_PLACE = ("doc:i8", "tie:i8", "slot:i4", "pos:i4", "size:i4")
 #: Columns of packed arrays by kind of row.
 FIELDS = {
-    RUN: ("anchor:u8", "content:u8", "doc:i8", "tie:i4", "slot:i4", "pos:i4", "size:i4"),
-    SPAN: ("doc:i8", "tie:i4", "slot:i4", "pos:i4", "size:i4"),
-    ASKED: ("anchor:u8", "doc:i8", "tie:i4", "slot:i4", "pos:i4", "size:i4", "common:i1"),
-    BYTES: ("anchor:u8", "doc:i8", "tie:i4", "slot:i4", "pos:i4", "size:i4"),
+    RUN: ("anchor:u8", "content:u8", *_PLACE),
+    SPAN: _PLACE,
+    ASKED: ("anchor:u8", *_PLACE, "common:i1"),
+    BYTES: ("anchor:u8", *_PLACE),
+    FOLLOW: (*_PLACE, "sdoc:i8", "stie:i8", "sslot:i4", "spos:i4"),
+    SOURCE: _PLACE,
 }
-PACKED = "bucket int, kind int, rows long, packed binary, raw binary"
+PACKED = "bucket int, kind int, slot int, rows long, packed binary, raw binary"
 Table = dict[str, np.ndarray]
 
 
@@ -72,7 +86,7 @@ def pack(kind: int, t: Table) -> bytes:
     for f in FIELDS[kind]:
         name, code = f.split(":")
         a = t[name].astype(f"<{code}")
-        if name == "doc":
+        if name in ("doc", "sdoc"):
             a = np.diff(a, prepend=a.dtype.type(0))
         out.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
     return _zstd()[0].compress(b"".join(out))
@@ -84,7 +98,7 @@ def unpack(kind: int, rows: int, packed: bytes) -> Table:
         name, code = f.split(":")
         width = int(code[1])
         a = np.ascontiguousarray(raw[at : at + rows * width].reshape(width, rows).T).reshape(-1).view(f"<{code}")
-        out[name] = np.cumsum(a, dtype=np.int64) if name == "doc" else a
+        out[name] = np.cumsum(a, dtype=np.int64) if name in ("doc", "sdoc") else a
         at += rows * width
     return out
 
@@ -101,8 +115,8 @@ def size(t: Table) -> int:
     return len(t["doc"])
 
 
-def packed_rows(kind: int, t: Table, bucket: np.ndarray, raw: list | None = None) -> Iterator[tuple]:
-    """One (bucket, kind, rows, packed, raw) row for each bucket; rows in document order within it."""
+def packed_rows(kind: int, t: Table, bucket: np.ndarray, raw: list | None = None, slot: int = 0) -> Iterator[tuple]:
+    """One (bucket, kind, slot, rows, packed, raw) row for each bucket; rows in document order within it."""
     order = np.lexsort((t["pos"], t["tie"], t["doc"], bucket))
     t, bucket = take(t, order), bucket[order]
     if not len(bucket):
@@ -110,15 +124,28 @@ def packed_rows(kind: int, t: Table, bucket: np.ndarray, raw: list | None = None
     edges = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]).tolist()
     for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
         part = take(t, slice(a, b))
-        yield int(bucket[a]), kind, b - a, pack(kind, part), _zstd()[0].compress(b"".join(raw[i] for i in order[a:b])) if raw is not None else None
+        yield int(bucket[a]), kind, slot, b - a, pack(kind, part), _zstd()[0].compress(b"".join(raw[i] for i in order[a:b])) if raw is not None else None
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = [("bucket", pa.int32()), ("kind", pa.int32()), ("rows", pa.int64()), ("packed", pa.binary()), ("raw", pa.binary())]
-    columns = list(zip(*rows, strict=True)) or [[]] * 5
+    types = [("bucket", pa.int32()), ("kind", pa.int32()), ("slot", pa.int32()), ("rows", pa.int64()), ("packed", pa.binary()), ("raw", pa.binary())]
+    columns = list(zip(*rows, strict=True)) or [[]] * 6
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, types, strict=True)], names=[n for n, _ in types])
 
 
+def _by_kind(batches: Iterable[pa.RecordBatch]) -> dict[int, list[tuple]]:
+    """(slot, rows, packed, raw) of each row, by kind."""
+    found: dict[int, list[tuple]] = {}
+    for b in batches:
+        for kind, *rest in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("kind", "slot", "rows", "packed", "raw")), strict=True):
+            found.setdefault(kind, []).append(tuple(rest))
+    return found
+
+
+def _all(found: dict[int, list[tuple]], kind: int) -> Table:
+    return join([unpack(kind, n, p) for _, n, p, _ in found.get(kind, [])], kind)
+
+
 # ---- runs
 
 
@@ -197,22 +224,39 @@ def group_sizes(new: np.ndarray) -> np.ndarray:
 # ---- suffix order and longest previous factors
 
 
+def _ranks(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
+    """Ranks from 1 of pairs of numbers, the second below 2**bits."""
+    n = len(high)
+    at = max(1, n.bit_length())
+    if int(high.max(initial=0)).bit_length() + bits + at < 64:  # pair and position in one number: a plain sort
+        packed = np.sort((high << bits | low) << at | np.arange(n))
+        order, key = packed & ((1 << at) - 1), packed >> at
+        new = key[1:] != key[:-1]
+    else:
+        order = np.lexsort((low, high))
+        new = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
+    rank = np.ones(n, dtype=np.int64)
+    rank[order[1:]] += np.cumsum(new)
+    return rank
+
+
 def prefix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all suffixes by their first 8, 16, ... bytes, up to the last power of two within depth."""
-    n = len(data)
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(np.uint64)
-    head = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
-        head = (head << np.uint64(8)) | padded[k : n + k]
-    rank = np.unique(head, return_inverse=True)[1].astype(np.int64) + 1
-    out, span = [(8, rank)], 8
-    while 2 * span <= depth:
-        after = np.zeros(n, dtype=np.int64)
-        after[: max(0, n - span)] = rank[span:]
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
+    """Ranks of all suffixes by their first 4, 8, 16, ... bytes, up to the last power of two within depth (4 at least); 0 past the end."""
+    n, span = len(data), 4
+    head = np.zeros(n + 4, dtype=np.int64)
+    head[:n] = data.astype(np.int64) + 1
+    pairs = head[:-1] << 9 | head[1:]
+    levels = []
+    high, low, bits = pairs[:n], pairs[2 : n + 2], 18
+    while True:
+        rank = np.zeros(n + max(depth, 4), dtype=np.int32 if n < 1 << 30 else np.int64)
+        rank[:n] = _ranks(high, low, bits)
+        levels.append((span, rank))
+        if 2 * span > depth:
+            return levels
+        high, bits = rank[:n].astype(np.int64), n.bit_length()
+        low = rank[span : n + span].astype(np.int64)
         span *= 2
-        out.append((span, rank))
-    return out
 
 
 def nearest_smaller(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,55 +275,128 @@ def nearest_smaller(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return previous(a), len(a) - 1 - previous(a[::-1])[::-1]
 
 
-def repeats_earlier(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each start (ascending, at least length bytes before the text's end): does its longest previous factor reach `length`?
+def previous_factors(data: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """For each start (ascending) the length, up to `depth`, of the longest string that also begins at an earlier start; overlaps allowed.
 
-    Previous factors are looked for among the given starts.
+    The longest previous factor at a position is shared with the previous or
+    the next smaller position in suffix order.
     """
+    n = len(data)
     if not len(starts):
-        return np.zeros(0, dtype=bool)
-    span, rank = prefix_ranks(data, length)[-1]
-    left, right = rank[starts], rank[starts + length - span]
-    order = np.lexsort((right, left))  # suffix order as far as `length` bytes tell; ties in text order
-    common = np.zeros(len(order), dtype=bool)  # is the common prefix with the suffix before at least `length`?
-    common[1:] = (left[order[1:]] == left[order[:-1]]) & (right[order[1:]] == right[order[:-1]])
-    block = np.cumsum(~common)
-    before, after = nearest_smaller(order)
-    n = len(order)
-    reach = (before >= 0) & (block[np.maximum(before, 0)] == block)
-    reach |= (after < n) & (block[np.minimum(after, n - 1)] == block)
-    out = np.zeros(n, dtype=bool)
-    out[order] = reach
+        return np.zeros(0, np.int64)
+    levels = prefix_ranks(data, depth)
+    span, rank = levels[-1]
+    # Suffix order as far as `depth` bytes tell; ties in text order.
+    left, right = rank[starts].astype(np.int64), rank[starts + max(0, depth - span)].astype(np.int64)
+    bits = n.bit_length()
+    if 3 * bits < 64:
+        order = np.sort((left << bits | right) << bits | np.arange(len(starts))) & ((1 << bits) - 1)
+    else:
+        order = np.lexsort((right, left))
+    out = np.zeros(len(starts), dtype=np.int64)
+    for near in nearest_smaller(order):
+        some = np.flatnonzero((near >= 0) & (near < len(order)) & (out[order] < depth))
+        out[order[some]] = np.maximum(out[order[some]], _common(data, levels, starts[order[some]], starts[order[near[some]]], depth))
     return out
 
 
+def _common(data: np.ndarray, levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
+    """Length of the common prefix of the suffixes at i and j, up to `depth`."""
+    length = np.zeros(len(i), dtype=np.int64)
+    most = np.minimum(depth, len(data) - np.maximum(i, j))
+    last = len(levels[0][1]) - 1
+    for span, rank in reversed(levels):
+        same = rank[np.minimum(i + length, last)] == rank[np.minimum(j + length, last)]
+        length += span * same
+    for _ in range(3):
+        at = np.flatnonzero(length < most)
+        at = at[data[i[at] + length[at]] == data[j[at] + length[at]]]
+        length[at] += 1
+    return np.minimum(length, most)
+
+
 def longest_previous_factor(data: bytes) -> np.ndarray:
-    """The length of the longest string at each position that also starts earlier (overlaps allowed), by suffix array and nearest smaller positions."""
-    text = np.frombuffer(data, np.uint8)
-    n = len(text)
-    if not n:
-        return np.zeros(0, np.int64)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    span = 1
-    while span < n and rank.max() < n:
-        after = np.zeros(n, dtype=np.int64)
-        after[: n - span] = rank[span:]
-        rank = np.unique(rank * (n + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-        span *= 2
-    order = np.argsort(rank, kind="stable")
+    """The length of the longest string at each position that also starts earlier (overlaps allowed)."""
+    return previous_factors(np.frombuffer(data, np.uint8), np.arange(len(data)), len(data))
+
+
+# ---- parts that may repeat: tables with doc, tie, slot, pos, size and at, the place of their bytes in a buffer
+
+
+def later_copies(data: np.ndarray, parts: Table, length: int) -> Table:
+    """Spans of the parts' windows whose longest previous factor reaches `length`; no window is in two parts."""
+    parts = take(parts, np.lexsort((parts["pos"], parts["tie"], parts["doc"])))
+    sizes = parts["size"].astype(np.int64)
+    text = data[expand(parts["at"], sizes)]
+    n = sizes - length + 1
+    row = np.repeat(np.arange(len(n)), n)
+    shift = expand(np.zeros(len(n), np.int64), n)
+    hit = previous_factors(text, (np.cumsum(sizes) - sizes)[row] + shift, length) >= length
+    row, shift = row[hit], shift[hit]
+    new = np.r_[True, (row[1:] != row[:-1]) | (shift[1:] != shift[:-1] + 1)] if len(row) else np.zeros(0, bool)
+    head = np.flatnonzero(new)
+    last = np.r_[head[1:], len(row)] - 1
+    span = take(parts, row[head])
+    span["pos"], span["at"] = (span["pos"] + shift[head]).astype(np.int32), span["at"] + shift[head]
+    span["size"] = (shift[last] - shift[head] + length).astype(np.int32)
+    return span
+
+
+def merged(parts: Table, length: int) -> Table:
+    """Parts whose windows follow each other or overlap as one."""
+    place = parts["at"] - parts["pos"]
+    order = np.lexsort((parts["pos"], place, parts["tie"], parts["doc"]))
+    t, place = take(parts, order), place[order]
+    group = np.cumsum(np.r_[False, (t["doc"][1:] != t["doc"][:-1]) | (t["tie"][1:] != t["tie"][:-1]) | (place[1:] != place[:-1])]) << 32
+    end = np.maximum.accumulate(group + t["pos"] + t["size"])
+    new = np.r_[True, (group + t["pos"])[1:] > end[:-1] - length + 1]
+    head = np.flatnonzero(new)
+    out = take(t, head)
+    out["size"] = (end[np.r_[head[1:], len(end)] - 1] - group[head] - out["pos"]).astype(np.int32)
+    return out
 
-    def common(i: int, j: int) -> int:
-        m = n - max(i, j)
-        other = np.flatnonzero(text[i : i + m] != text[j : j + m])
-        return int(other[0]) if len(other) else m
 
-    before, after = nearest_smaller(order)
-    out = np.zeros(n, np.int64)
-    for k, p in enumerate(order.tolist()):
-        out[p] = max(common(p, int(order[q])) if 0 <= q < n else 0 for q in (int(before[k]), int(after[k])))
+def stretches(t: Table, length: int) -> Table:
+    """Runs that follow each other, and whose sources do, as one; t also has sdoc, stie, sslot and spos, and places at and sat."""
+    t = take(t, np.lexsort((t["pos"], t["tie"], t["doc"])))
+    if not size(t):
+        return t
+    new = np.ones(size(t), dtype=bool)
+    new[1:] = t["pos"][1:] > t["pos"][:-1] + t["size"][:-1] - length + 1
+    for a in (t["doc"], t["tie"], t["sdoc"], t["stie"], t["pos"] - t["spos"], t["at"] - t["pos"], t["sat"] - t["spos"]):
+        new[1:] |= a[1:] != a[:-1]
+    head = np.flatnonzero(new)
+    last = np.r_[head[1:], len(new)] - 1
+    out = take(t, head)
+    out["size"] = (t["pos"][last] + t["size"][last] - t["pos"][head]).astype(np.int32)
     return out
 
 
+def _sources(t: Table) -> Table:
+    return {k: t["s" + k] for k in ("doc", "tie", "slot", "pos", "at")} | {"size": t["size"]}
+
+
+def confirmed(data: np.ndarray, t: Table, length: int) -> Table:
+    """Spans of later copies in stretches and their sources, lot by lot."""
+    t = stretches(t, length)
+    # Pieces of long stretches overlap, so that each window is in one.
+    n = -(-(t["size"].astype(np.int64) - length + 1) // PIECE)
+    row = np.repeat(np.arange(len(n)), n)
+    shift = expand(np.zeros(len(n), np.int64), n) * PIECE
+    t = take(t, row)
+    for k in ("pos", "spos", "at", "sat"):
+        t[k] = t[k] + shift
+    t["size"] = np.minimum(t["size"] - shift, PIECE + length - 1)
+    t = take(t, np.lexsort((t["spos"], t["stie"], t["sdoc"])))
+    lot = np.cumsum(2 * t["size"]) // LOT
+    spans = []
+    for k in np.unique(lot).tolist():
+        some = take(t, slice(*np.searchsorted(lot, [k, k + 1]).tolist()))
+        both = {k: np.concatenate([some[k], v]) for k, v in _sources(some).items()}
+        spans.append(later_copies(data, merged(both, length), length))
+    return {k: np.concatenate([x[k] for x in spans]) if spans else t[k][:0] for k in ("doc", "tie", "slot", "pos", "size", "at")}
+
+
 # ---- the stages
 
 
@@ -287,33 +404,55 @@ def _mark(docs: DataFrame, slots: int) -> DataFrame:
     """Add the key a document is known by: its id, a tie-break where ids repeat, and the slot that it is dealt to."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     repeated = docs.groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    tie = F.hash("text") if repeated else F.lit(0)
+    tie = F.xxhash64("text") if repeated else F.lit(0).cast("long")
     return docs.withColumns({"__doc": doc, "__tie": tie, "__slot": F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")})
 
 
+def _followers(t: Table, new: np.ndarray) -> Table:
+    """The rows of t that aren't the first of their group, each with the first as its source; `new` marks the firsts."""
+    later = np.flatnonzero(~new)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[later] if len(later) else later
+    own = take(t, later)
+    return own | {"s" + k: t[k][first] for k in ("doc", "tie", "slot", "pos", "at") if k in t}
+
+
 def _collect_runs(length: int, gram: int, buckets: int, most: int, held: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         here = TaskContext.get().partitionId() % buckets
-        parts, n = [], 0
+        parts, texts, n, base_at = [], [], 0, 0
         for data, offsets, doc, tie, slot, base in segments(batches, length):
             row, lo, hi, anchor, content = runs(data, offsets, length, gram)
-            parts.append({"anchor": anchor, "content": content, "doc": doc[row], "tie": tie[row], "slot": slot[row], "pos": (lo - offsets[row] + base[row]).astype(np.int32), "size": (hi - lo + length).astype(np.int32)})
+            parts.append({"anchor": anchor, "content": content, "doc": doc[row], "tie": tie[row], "slot": slot[row], "pos": (lo - offsets[row] + base[row]).astype(np.int32), "size": (hi - lo + length).astype(np.int32), "at": lo + base_at})
+            texts.append(data)
             n += len(row)
-            if n >= held:
-                yield from _first_runs(join(parts, RUN), here, buckets, most)
-                parts, n = [], 0
-        yield from _first_runs(join(parts, RUN), here, buckets, most)
+            base_at += len(data)
+            if n >= held or base_at >= 64 * held:
+                yield from _first_runs(parts, texts, here, length, buckets, most)
+                parts, texts, n, base_at = [], [], 0, 0
+        if parts:
+            yield from _first_runs(parts, texts, here, length, buckets, most)
 
     return run
 
 
-def _first_runs(t: Table, here: int, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Pre-aggregate a task's runs: spans of later runs of equal content, requests of common anchors, and the runs that go on."""
+def _first_runs(parts: list[Table], texts: list[np.ndarray], here: int, length: int, buckets: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Pre-aggregate a task's runs: spans of later copies within the task, requests of common anchors, and the runs that go on."""
+    t = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    data = np.concatenate(texts)
     new = first_of(t, ["anchor", "content"])
-    yield _batch(list(packed_rows(SPAN, take(t, ~new), np.full(int((~new).sum()), here))))
-    t = take(t, new)
+    follow = _followers(t, new)
+    if size(follow):
+        spans = confirmed(data, follow, length)
+        yield _batch(list(packed_rows(SPAN, spans, np.full(size(spans), here))))
+        # What has been found needs to go no further: the first copy does.
+        gone = np.zeros(len(data) + 1, dtype=np.int32)
+        np.add.at(gone, spans["at"], 1)
+        np.add.at(gone, spans["at"] + spans["size"] - length + 1, -1)
+        done = np.r_[0, np.cumsum(np.cumsum(gone) > 0)]
+        windows = t["size"] - length + 1
+        t = take(t, new | (done[t["at"] + windows] - done[t["at"]] < windows))
     new = np.r_[True, t["anchor"][1:] != t["anchor"][:-1]] if size(t) else np.zeros(0, bool)
     common = group_sizes(new) > most
     asked = take(t, common) | {"common": np.ones(int(common.sum()), np.int8)}
@@ -324,132 +463,139 @@ def _first_runs(t: Table, here: int, buckets: int, most: int) -> Iterator[pa.Rec
     yield _batch(list(packed_rows(RUN, t, (t["anchor"] >> np.uint64(20)).astype(np.int64) % buckets)))
 
 
-def _by_bucket(batches: Iterable[pa.RecordBatch]) -> dict[int, list[tuple]]:
-    found: dict[int, list[tuple]] = {}
-    for b in batches:
-        for kind, rows, packed, raw in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("kind", "rows", "packed", "raw")), strict=True):
-            found.setdefault(kind, []).append((rows, packed, raw))
-    return found
-
-
 def _match_runs(most: int):
-    """Of each anchor: later runs of equal content are spans; different runs are asked for."""
+    """Of each anchor: later runs of equal content follow the first; different runs are asked for."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _by_bucket(batches)
-        spans = [unpack(SPAN, n, p) for n, p, _ in found.get(SPAN, [])]
-        asked = [unpack(ASKED, n, p) for n, p, _ in found.get(ASKED, [])]
-        t = join([unpack(RUN, n, p) for n, p, _ in found.get(RUN, [])], RUN)
+        found = _by_kind(batches)
+        spans, asked, t = (_all(found, kind) for kind in (SPAN, ASKED, RUN))
         told = np.unique(t["anchor"][t["size"] == 0])
         t = take(t, t["size"] > 0)
         new = first_of(t, ["anchor", "content"])
-        spans.append({k: v[~new] for k, v in t.items() if k not in ("anchor", "content")})
+        follow = _followers(t, new)
         t = take(t, new)
         new = np.r_[True, t["anchor"][1:] != t["anchor"][:-1]] if size(t) else np.zeros(0, bool)
         many = group_sizes(new)
         common = np.isin(t["anchor"], told) | (many > 16 * most)
         keep = common | (many > 1)
-        asked.append(take(t, keep) | {"common": common[keep].astype(np.int8)})
-        for kind, tables in ((SPAN, spans), (ASKED, asked)):
-            whole = join(tables, kind)
-            yield _batch(list(packed_rows(kind, whole, whole["slot"])))
+        asked = {k: np.concatenate([asked[k], v]) for k, v in (take(t, keep) | {"common": common[keep].astype(np.int8)}).items() if k in asked}
+        for kind, whole, to in ((SPAN, spans, "slot"), (ASKED, asked, "slot"), (FOLLOW, follow, "sslot")):
+            yield _batch(list(packed_rows(kind, whole, whole[to])))
 
     return run
 
 
 def _fetch(length: int, buckets: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = _by_bucket(right.to_batches())
-        out = [(n, SPAN, rows, p, None) for n, (rows, p, _) in enumerate(found.get(SPAN, []))]
-        ask = join([unpack(ASKED, n, p) for n, p, _ in found.get(ASKED, [])], ASKED)
+    """At a slot: bytes of the runs asked for, to their anchors, and of the sources of stretches, to the slots of these."""
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        me = key[0].as_py()
+        found = _by_kind(right.to_batches())
+        out = [(n % buckets, SPAN, me, rows, p, None) for n, (_, rows, p, _) in enumerate(found.get(SPAN, []))]
+        ask, follow = _all(found, ASKED), _all(found, FOLLOW)
+        if left.num_rows and (size(ask) or size(follow)):
+            data, offsets, row_of = _index(left)
+            raw = data.tobytes()
         if size(ask) and left.num_rows:
-            data, offsets, at = _located(left, ask)
-            one = np.flatnonzero(ask["common"] == 0)
-            runs_ = take(ask, one)
+            ask["at"] = offsets[row_of(ask)] + ask["pos"]
+            runs_ = take(ask, ask["common"] == 0)
             # Windows of common anchors, each under its own content; of equal ones here the first.
             many = np.flatnonzero(ask["common"])
             n = ask["size"][many] - length + 1
             row = np.repeat(many, n)
             shift = expand(np.zeros(len(n), np.int64), n)
-            w = take(ask, row) | {"pos": (ask["pos"][row] + shift).astype(np.int32), "size": np.full(len(row), length, np.int32)}
-            start = at[row] + shift
-            w["anchor"], w["_start"] = _window_hashes(data, start, length), start
+            w = take(ask, row) | {"pos": (ask["pos"][row] + shift).astype(np.int32), "size": np.full(len(row), length, np.int32), "at": ask["at"][row] + shift}
+            w["anchor"] = hash_words(data, w["at"], w["at"] + length)
             new = first_of(w, ["anchor"])
-            later = take(w, ~new)
-            out += [(len(out), SPAN, r, p, None) for _, _, r, p, _ in packed_rows(SPAN, later, np.zeros(size(later), np.int64))]
+            spans = confirmed(data, _followers(w, new), length)
+            out += packed_rows(SPAN, spans, np.full(size(spans), me % buckets), slot=me)
             w = take(w, new)
-            whole = {f: np.concatenate([runs_[f], w[f]]) for f in ("anchor", "doc", "tie", "slot", "pos", "size")}
-            begin = np.concatenate([at[one], w["_start"]])
-            raw = data.tobytes()
-            cut = [raw[b : b + s] for b, s in zip(begin.tolist(), whole["size"].tolist(), strict=True)]
-            out += list(packed_rows(BYTES, whole, (whole["anchor"] >> np.uint64(20)).astype(np.int64) % buckets, cut))
-        return pa.Table.from_batches([_batch([(b % buckets, *rest) for b, *rest in out])])
+            whole = {f: np.concatenate([runs_[f], w[f]]) for f in ("anchor", "doc", "tie", "slot", "pos", "size", "at")}
+            out += packed_rows(BYTES, whole, (whole["anchor"] >> np.uint64(20)).astype(np.int64) % buckets, _cut(raw, whole))
+        if size(follow) and left.num_rows:
+            follow["sat"] = offsets[row_of(_sources(follow | {"sat": follow["spos"]}))] + follow["spos"]
+            follow = stretches(follow | {"at": follow["pos"]}, length)
+            for slot in np.unique(follow["slot"]).tolist():
+                mine = take(follow, follow["slot"] == slot)
+                out += packed_rows(FOLLOW, mine, np.full(size(mine), slot % buckets), slot=slot)
+                if slot != me:
+                    parts = merged(_sources(mine), length)
+                    out += packed_rows(SOURCE, parts, np.full(size(parts), slot % buckets), _cut(raw, parts), slot=slot)
+        return pa.Table.from_batches([_batch(out)])
 
     return run
 
 
-def _located(left: pa.Table, t: Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The documents' bytes and offsets, and for each entry of t the place of its position in them."""
+def _cut(raw: bytes, t: Table) -> list[bytes]:
+    return [raw[a : a + n] for a, n in zip(t["at"].tolist(), t["size"].tolist(), strict=True)]
+
+
+def _index(left: pa.Table):
+    """The documents' bytes and offsets, and a function that gives the row of each entry of a table; of documents listed twice the first row."""
     data, offsets = string_bytes(left.column("text"))
     doc, tie = left.column("__doc").to_numpy(), left.column("__tie").to_numpy()
     order = np.lexsort((tie, doc))
     key = np.empty(len(doc), dtype=[("d", "i8"), ("t", "i8")])
     key["d"], key["t"] = doc[order], tie[order]
-    want = np.empty(size(t), dtype=key.dtype)
-    want["d"], want["t"] = t["doc"], t["tie"]
-    row = order[np.minimum(np.searchsorted(key, want), len(key) - 1)]
-    return data, offsets, offsets[row] + t["pos"]
 
+    def row_of(t: Table) -> np.ndarray:
+        want = np.empty(size(t), dtype=key.dtype)
+        want["d"], want["t"] = t["doc"], t["tie"]
+        return order[np.minimum(np.searchsorted(key, want), len(key) - 1)]
+
+    return data, offsets, row_of
 
-def _window_hashes(data: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
-    out = np.zeros(len(start), dtype=np.uint64)
-    weight = np.cumprod(np.full(length, _P, dtype=np.uint64))
-    for k in range(length):
-        out += BYTE_CODE[data[start + k]] * weight[k]
-    return mix(out)
+
+def _with_bytes(found: dict[int, list[tuple]], kind: int) -> tuple[Table, np.ndarray]:
+    """All rows of a kind with their place in the bytes that came with them."""
+    t = _all(found, kind)
+    data = np.frombuffer(b"".join(_zstd()[1].decompress(raw) for *_, raw in found.get(kind, [])), np.uint8)
+    t["at"] = np.cumsum(t["size"], dtype=np.int64) - t["size"]
+    return t, data
 
 
 def _match_bytes(length: int):
+    """Later copies among the runs of each anchor; what is for a slot alone goes on to it."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _by_bucket(batches)
-        spans = [unpack(SPAN, n, p) for n, p, _ in found.get(SPAN, [])]
-        tables, texts = [], []
-        for n, p, raw in found.get(BYTES, []):
-            tables.append(unpack(BYTES, n, p))
-            texts.append(_zstd()[1].decompress(raw))
-        t = join(tables, BYTES)
+        found = _by_kind(batches)
+        yield _batch([(slot, kind, slot, *rest) for kind in (SPAN, FOLLOW, SOURCE) for slot, *rest in found.get(kind, [])])
+        t, data = _with_bytes(found, BYTES)
         if size(t):
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            begin = np.cumsum(t["size"], dtype=np.int64) - t["size"]
-            # Equal anchors need to meet, others need not: groups of anchors of some MB are sorted at a time.
+            # Equal anchors need to meet, others need not: groups of anchors of some size are sorted at a time.
             order = np.argsort(t["anchor"], kind="stable")
             edge = np.flatnonzero(np.r_[True, t["anchor"][order][1:] != t["anchor"][order][:-1]])
             amount = np.add.reduceat(t["size"][order].astype(np.int64), edge)
-            lot = np.repeat(np.cumsum(amount) // SEGMENT, np.diff(np.r_[edge, len(order)]))
-            for k in np.unique(lot):
-                at = order[lot == k]
-                at = at[np.lexsort((t["pos"][at], t["tie"][at], t["doc"][at]))]
-                some = take(t, at)
-                text = data[expand(begin[at], some["size"].astype(np.int64))]
-                n = some["size"].astype(np.int64) - length + 1
-                row = np.repeat(np.arange(len(at)), n)
-                shift = expand(np.zeros(len(n), np.int64), n)
-                first = np.cumsum(some["size"], dtype=np.int64) - some["size"]
-                hit = repeats_earlier(text, first[row] + shift, length)
-                row, shift = row[hit], shift[hit]
-                new = np.r_[True, (row[1:] != row[:-1]) | (shift[1:] != shift[:-1] + 1)] if len(row) else np.zeros(0, bool)
-                head = np.flatnonzero(new)
-                last = np.r_[head[1:], len(row)] - 1
-                span = take(some, row[head])
-                span["pos"] = (span["pos"] + shift[head]).astype(np.int32)
-                span["size"] = (shift[last] - shift[head] + length).astype(np.int32)
-                spans.append(span)
-        whole = join(spans, SPAN)
-        yield _batch(list(packed_rows(SPAN, whole, whole["slot"])))
+            lot = np.repeat(np.cumsum(amount) // LOT, np.diff(np.r_[edge, len(order)]))
+            for k in np.unique(lot).tolist():
+                spans = later_copies(data, take(t, order[slice(*np.searchsorted(lot, [k, k + 1]).tolist())]), length)
+                yield _batch(list(packed_rows(SPAN, spans, spans["slot"])))
 
     return run
 
 
+def _followed(found: dict[int, list[tuple]], data: np.ndarray, offsets: np.ndarray, row_of, me: int, length: int) -> Table:
+    """Spans of the stretches of a slot's documents, by their sources' bytes."""
+    t = _all(found, FOLLOW)
+    if not size(t):
+        return _all({}, SPAN)
+    source, raw = _with_bytes(found, SOURCE)
+    t["at"] = offsets[row_of(t)] + t["pos"]
+    here = t["sslot"] == me  # sources among the slot's own documents
+    t["sat"] = np.zeros(size(t), np.int64)
+    t["sat"][here] = offsets[row_of(_sources(take(t, here)))] + t["spos"][here]
+    if not here.all():
+        key = np.empty(size(source), dtype=[("d", "i8"), ("t", "i8"), ("p", "i8")])
+        key["d"], key["t"], key["p"] = source["doc"], source["tie"], source["pos"]
+        order = np.argsort(key)
+        want = np.empty(int((~here).sum()), dtype=key.dtype)
+        want["d"], want["t"], want["p"] = t["sdoc"][~here], t["stie"][~here], t["spos"][~here]
+        part = order[np.searchsorted(key[order], want, side="right") - 1]
+        t["sat"][~here] = len(data) + source["at"][part] + t["spos"][~here] - source["pos"][part]
+    spans = confirmed(np.concatenate([data, raw]), t, length)
+    return take(spans, spans["slot"] == me)
+
+
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = True, prefix: str = "", common: int = COMMON, held: int = HELD_RUNS) -> DataFrame:
     """Documents without bytes that a string of `length` bytes repeats from earlier on.
 
@@ -466,37 +612,38 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
-    n = partitions(spark)
     added = tuple(prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
     names = [c for c in docs.columns if c not in added] if with_text else ["doc_id"]
     frame = docs.select(*dict.fromkeys([*names, "text"]))
     frame = frame.withColumn("text", F.col("text").cast("string"))
+    # Buckets of some MB, however few shuffle partitions the session asks for.
+    n = max(partitions(spark), -(-(frame.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     marked = _mark(frame, 4 * n)
     found = marked.select("text", "__doc", "__tie", "__slot").mapInArrow(_collect_runs(length, gram, n, common, held), PACKED)
-    matched = found.repartition(n, "bucket").mapInArrow(_match_runs(common), PACKED)
+    matched = found.repartitionById(n, "bucket").mapInArrow(_match_runs(common), PACKED)
     fetched = marked.groupBy("__slot").cogroup(matched.groupBy("bucket")).applyInArrow(_fetch(length, n), PACKED)
-    spans = fetched.repartition(n, "bucket").mapInArrow(_match_bytes(length), PACKED)
+    spans = fetched.repartitionById(n, "bucket").mapInArrow(_match_bytes(length), PACKED)
     out = StructType(frame.select(*names).schema.fields + StructType.fromDDL(", ".join(f"{c} {k}" for c, k in zip(added, ("long", "long", "long", "string"), strict=True))).fields)
 
-    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+    def cut(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         schema = to_arrow_schema(out)
-        found = _by_bucket(right.to_batches())
-        t = join([unpack(SPAN, k, p) for k, p, _ in found.get(SPAN, [])], SPAN)
         if not left.num_rows:
             return schema.empty_table()
-        data, offsets = string_bytes(left.column("text"))
+        found = _by_kind(right.to_batches())
+        data, offsets, row_of = _index(left)
+        t = _all(found, SPAN)
+        more = _followed(found, data, offsets, row_of, key[0].as_py(), length)
+        t = {k: np.concatenate([v, more[k]]) for k, v in t.items()}
         rows = left.num_rows
         sizes = np.diff(offsets)
         gone = np.zeros(len(data) + 1, dtype=np.int32)
         if size(t):
             # A document listed twice has its spans at every listing.
             doc, tie = left.column("__doc").to_numpy(), left.column("__tie").to_numpy()
-            alike = np.unique(np.stack([doc, tie.astype(np.int64)], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
+            alike = np.unique(np.stack([doc, tie], axis=1), axis=0, return_inverse=True)[1].reshape(-1)
             first = np.zeros(alike.max() + 1, np.int64)
             first[alike[::-1]] = np.arange(rows)[::-1]
-            _, _, at = _located(left, t)
-            row = np.searchsorted(offsets, at, side="right") - 1
-            inside = at - offsets[row]
+            row, inside = row_of(t), t["pos"]
             by_class = np.argsort(alike[row], kind="stable")
             cls = alike[row][by_class]
             lo, hi = np.searchsorted(cls, alike, side="left"), np.searchsorted(cls, alike, side="right")

@@ -344,6 +344,36 @@ def test_rows_listed_twice_keep_the_first_copy(spark, common, held):
         assert sorted((key(r["doc_id"]), r["text"]) for r in out) == sorted((key(i), t) for i, t in want)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 5), min_size=1, max_size=12), st.integers(0, 2**31), st.sampled_from([(1 << 20, 1 << 18), (40, 8), (1, 1)]))
+def test_stretches_in_lots_and_pieces(picks, seed, sizes):
+    """Proposals of any window's first copy, merged to stretches and cut to lots, give the brute-force spans."""
+    rng, length = random.Random(seed), 6
+    blocks = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 30))) for _ in range(6)]
+    texts = ["".join(blocks[(p + k) % 6] for k in range(rng.randint(1, 4))) for p in picks]
+    data, offsets = string_bytes(pa.array(texts))
+    raw, first, rows = data.tobytes(), {}, []
+    for d in range(len(texts)):
+        for p in range(len(texts[d]) - length + 1):
+            w = texts[d][p : p + length]
+            if w in first:
+                rows.append((d, p, *first[w]))
+            else:
+                first[w] = (d, p)
+    doc, pos, sdoc, spos = (np.array(c, np.int64) for c in (zip(*rows) if rows else [[]] * 4))
+    t = {"doc": doc, "tie": doc * 0, "slot": doc * 0, "pos": pos, "size": doc * 0 + length, "at": offsets[doc] + pos}
+    t |= {"sdoc": sdoc, "stie": doc * 0, "sslot": doc * 0, "spos": spos, "sat": offsets[sdoc] + spos}
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix_dedup, "LOT", sizes[0])
+        m.setattr(suffix_dedup, "PIECE", sizes[1])
+        spans = suffix_dedup.confirmed(data, t, length)
+    got = [bytearray(len(x)) for x in texts]
+    for d, p, n, at in zip(*(spans[k].tolist() for k in ("doc", "pos", "size", "at")), strict=True):
+        got[d][p : p + n] = b"x" * n
+        assert raw[at : at + n] == texts[d][p : p + n].encode()
+    assert [sum(map(bool, g)) for g in got] == [want[2] for want in brute_dedup(list(enumerate(texts)), length)]
+
+
 def test_long_text_in_segments(spark, monkeypatch):
     rng = np.random.default_rng(0)
     text = bytes(rng.integers(97, 123, 30_000, dtype=np.uint8)).decode()
@@ -359,15 +389,15 @@ def test_long_text_in_segments(spark, monkeypatch):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.binary(max_size=40).map(lambda b: bytes(97 + c % 3 for c in b)))
+@given(st.binary(max_size=40).map(lambda b: bytes(c % 3 for c in b)))
 def test_longest_previous_factor(data):
     n = len(data)
     want = [max((next((m for m in range(n - p, 0, -1) if data[j : j + m] == data[p : p + m]), 0) for j in range(p)), default=0) for p in range(n)]
     assert suffix_dedup.longest_previous_factor(data).tolist() == want
-    for length in (8, 9, 16):
+    for length in (1, 3, 8, 9, 16):
         if n >= length:
             starts = np.arange(n - length + 1)
-            assert suffix_dedup.repeats_earlier(np.frombuffer(data, np.uint8), starts, length).tolist() == [w >= length for w in want[: n - length + 1]]
+            assert suffix_dedup.previous_factors(np.frombuffer(data, np.uint8), starts, length).tolist() == [min(length, w) for w in want[: n - length + 1]]
 
 
 @given(st.lists(st.integers(0, 1000), unique=True, max_size=40))
