@@ -5,11 +5,13 @@ deviation.  By Cauchy-Schwarz the distance of two vectors is at least
 sum(len * ((m - m')^2 + (s - s')^2)), so their inner product is at most
 sum(len * (m * m' + s * s')).  For a block of queries and a block of
 candidates the bounds are taken coarse to fine; only pairs whose bound still
-reaches the query's k-th best known score get their exact product.
+reaches the query's k-th best known score get their exact product.  While most
+pairs are left a level is one matrix product over all, then one pair at a time.
 
-Queries and candidates meet in a grid of blocks of bounded size; each cell
-gives the best k of its candidates for each query, and a ranked window merges
-the cells.  No side is broadcast.
+Queries and candidates meet in a grid of blocks of bounded size, of which
+there are at least as many as tasks can run at once; each cell gives the best
+k of its candidates for each query, and a ranked window merges the cells.  No
+side is broadcast.
 """
 
 from __future__ import annotations
@@ -19,10 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CANDIDATE_ROWS, QUERY_ROWS = 16_384, 4_096
+#: Most and fewest candidates of a cell, and most queries.
+CANDIDATE_ROWS, LEAST_ROWS, QUERY_ROWS = 32_768, 2_048, 16_384
 LEVELS = (1, 2, 4, 8, 16)
 #: Queries handled at a time within a cell.
 STRIPE = 128
+#: Share of pairs below which those left are taken one by one.
+SPARSE = 1 / 16
 _EXACT = float(1 << 53)
 
 
@@ -49,8 +54,13 @@ def segment_statistics(x: np.ndarray, segments: int) -> np.ndarray:
     return np.concatenate([mean * np.sqrt(lens), deviation * np.sqrt(lens)], axis=1)
 
 
-def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, candidate id, score) of each query's k best candidates other than itself."""
+def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, tally: dict[str, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, candidate row, score) of each query's k best candidates of other ids; ties to the smaller id.
+
+    `tally` counts all pairs and those that reached their exact product.
+    """
+    by_id = np.argsort(ids, kind="stable")
+    ids, x = ids[by_id], x[by_id]
     d, n = x.shape[1], len(x)
     levels = [s for s in LEVELS if s < d] or [1]
     stats_x = [segment_statistics(x, s) for s in levels]
@@ -69,19 +79,47 @@ def best_of_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarr
         score = np.einsum("qd,qnd->qn", qs, x[near])
         score[ids[near] == qi[:, None]] = -np.inf
         least = np.sort(score, axis=1)[:, seeds - k] if seeds >= k else np.full(len(qs), -np.inf)
-        least = least - slack - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0))
-        row, col = np.nonzero(stats_q[0] @ stats_x[0].T >= least[:, None])
-        for sq, sx in zip(stats_q[1:], stats_x[1:], strict=True):
-            row, col = _survivors(row, col, sq, sx, least)
-        keep = qi[row] != ids[col]
-        row, col = row[keep], col[keep]
-        exact = _products(row, col, qs, x, big)
-        order = np.lexsort((ids[col], -exact, row))
-        row, col, exact = row[order], col[order], exact[order]
-        first = np.searchsorted(row, row, side="left")
-        top = np.arange(len(row)) - first < k
-        found.append((qi[row[top]], ids[col[top]], exact[top]))
-    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (q_ids[:0], ids[:0], q_ids[:0])
+        least = (least - slack - 1e-9 * np.abs(np.where(np.isfinite(least), least, 0)))[:, None]
+        left = ids[None, :] != qi[:, None]
+        for level, (sq, sx) in enumerate(zip(stats_q, stats_x, strict=True), 1):
+            left &= (bound if level - 1 == middle else sq @ sx.T) >= least
+            if big or np.count_nonzero(left) < SPARSE * left.size:
+                break
+        many = np.count_nonzero(left)
+        if big or many < SPARSE * left.size:
+            row, col = np.nonzero(left)
+            for sq, sx in zip(stats_q[level:], stats_x[level:], strict=True):
+                row, col = _survivors(row, col, sq, sx, least[:, 0])
+            many = len(row)
+            exact = _products(row, col, qs, x, big)
+        else:
+            product = qs @ x.T
+            left &= product >= least
+            row, col = np.nonzero(left)
+            exact = product[row, col].astype(np.int64)
+        if tally is not None:
+            tally["pairs"], tally["exact"] = tally.get("pairs", 0) + left.size, tally.get("exact", 0) + many
+        keep = _best(row, exact, k)
+        found.append((row[keep] + at, by_id[col[keep]], exact[keep]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True)) if found else (by_id[:0], by_id[:0], by_id[:0])
+
+
+def _best(row: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k highest scores, of equal ones the first; rows ascend."""
+    if not len(row):
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    out = []
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(row)], strict=True):
+        s = score[a:b]
+        if b - a > k:
+            least = np.partition(s, b - a - k)[b - a - k]
+            above = np.flatnonzero(s > least)
+            at = np.r_[above, np.flatnonzero(s == least)[: k - len(above)]]
+        else:
+            at = np.arange(b - a)
+        out.append(a + at)
+    return np.concatenate(out)
 
 
 def _survivors(row, col, sq, sx, least):
@@ -114,30 +152,39 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_column: str = "ve
     """query_id, rank (from 1), vec_id and score of each query's k best other rows; ties to the smaller id.
 
     `is_query` is a predicate on the id.  Rows without id or usable vector
-    take no part; vectors of different lengths aren't compared.  Of rows that
-    repeat an id the one with the least vector counts.  Fewer than k
-    candidates give fewer rows, an empty table none.
+    take no part; vectors of different lengths aren't compared.  Every row is
+    a candidate and, where its id is asked for, a query: rows that repeat an
+    id rank beside each other, equal ones once for each, and the best k are
+    those of all rows of a query's id.  Fewer than k candidates give fewer
+    rows, an empty table none.
     """
     table = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).alias("_raw"))
     named = vectors.select(F.col(id_column).alias("vec_id")).agg(F.count("vec_id"), F.count(F.when(is_query, 1))).first()
-    cells, blocks = max(1, -(-named[0] // candidate_rows)), max(1, -(-named[1] // query_rows))
-    ready = table.filter(F.col("vec_id").isNotNull() & usable(F.col("_raw"))).groupBy("vec_id").agg(F.min(quantized(F.col("_raw"), factor)).alias("v")).withColumn("dim", F.size("v"))
+    blocks = max(1, -(-named[1] // query_rows))
+    at_once = 2 * vectors.sparkSession.sparkContext.defaultParallelism
+    cells = max(1, -(-named[0] // candidate_rows), min(-(-at_once // blocks), named[0] // LEAST_ROWS))
+    # Equal rows are one with a number of copies.
+    ready = table.filter(F.col("vec_id").isNotNull() & usable(F.col("_raw"))).select("vec_id", quantized(F.col("_raw"), factor).alias("v")).groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("copies")).withColumn("dim", F.size("v"))
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = ready.withColumn("cell", F.pmod(F.xxhash64("vec_id"), F.lit(cells)).cast("int")).withColumn("block", numbers(blocks))
-    queries = ready.filter(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.lit(blocks)).cast("int")).withColumn("cell", numbers(cells))
+    candidates = ready.withColumn("cell", F.pmod(F.xxhash64("vec_id", "v"), F.lit(cells)).cast("int")).withColumn("block", numbers(blocks))
+    queries = ready.filter(is_query).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "vec_id", "v"), F.lit(blocks)).cast("int")).withColumn("cell", numbers(cells))
     key = ["dim", "cell", "block"]
+    names = ["query_id", "vec_id", "score", "copies"]
 
-    def matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         values = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-        return t.column("vec_id").to_numpy(), values.reshape(t.num_rows, -1)
+        return t.column("vec_id").to_numpy(), values.reshape(t.num_rows, -1), t.column("copies").to_numpy()
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            got = [np.zeros(0, np.int64)] * 3
-        else:
-            got = best_of_block(*matrix(left), *matrix(right), k)
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.int64())})
-
-    partial = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(cell, "query_id long, vec_id long, score long")
+        got = [np.zeros(0, np.int64)] * 4
+        if left.num_rows and right.num_rows:
+            (q_ids, q, q_copies), (ids, x, copies) = columns(left), columns(right)
+            row, col, score = best_of_block(q_ids, q, ids, x, k)
+            # More copies than places change nothing.
+            got = [q_ids[row], ids[col], score, np.minimum(q_copies[row], k) * np.minimum(copies[col], k)]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(names, got, strict=True)})
+
+    partial = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInArrow(cell, ", ".join(f"{n} long" for n in names))
+    each = partial.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("copies"), F.lit(k)).cast("int"))))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return partial.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -245,24 +245,36 @@ def test_token_store(spark, odd, odd_rows, empty, cuts, monkeypatch):
 def test_top_k(spark, blocks):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=12).tolist()) for i in range(150)] + [(200 + i, [0.5] * 12) for i in range(80)]
-    rows += [(300, None), (301, [1.0, None] + [0.0] * 10), (302, [float("nan")] * 12), (303, [float("inf")] * 12), (None, [1.0] * 12), (304, []), (350, [0.1] * 3), (351, [0.3] * 3), (50, rows[50][1])]
+    rows += [(300, None), (301, [1.0, None] + [0.0] * 10), (302, [float("nan")] * 12), (303, [float("inf")] * 12), (None, [1.0] * 12), (304, []), (350, [0.1] * 3), (351, [0.3] * 3)]
+    rows += [(50, rows[50][1]), (50, rows[51][1]), (7, rows[7][1]), (7, rows[100][1])] + [(9, rows[9][1])] * 7
     df = spark.createDataFrame([(*r, "a", "b") for r in rows], "vec_id long, embedding array<float>, score string, cell string")
     got = topk.top_k(df, F.col("vec_id") % 50 == 0, k=5, candidate_rows=blocks[0], query_rows=blocks[1]).toPandas()
-    seen, vecs = set(), {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or not np.isfinite(x) for x in v) or i in seen:
-            continue
-        seen.add(i)
-        vecs[i] = [int(np.floor(256 * float(np.float32(x)))) for x in v]
+    vecs = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in sorted(vecs):
-        if q % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(vecs[q], vecs[c], strict=True)), c) for c in vecs if c != q and len(vecs[c]) == len(vecs[q]))
-            want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:5])]
+    for q in sorted({i for i, _ in vecs if i % 50 == 0}):
+        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for i, v in vecs for c, w in vecs if i == q != c and len(v) == len(w))
+        want += [(q, r + 1, c, -s) for r, (s, c) in enumerate(scored[:5])]
     assert sorted(map(tuple, got[["query_id", "rank", "vec_id", "score"]].to_numpy().tolist())) == sorted(want)
     assert topk.top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_pairs_are_pruned():
+    """Of smooth vectors in clusters most pairs never reach their exact product; of noise none may be lost."""
+    rng = np.random.default_rng(4)
+    centres = np.repeat(rng.normal(scale=200, size=(40, 8)), 8, axis=1)
+    smooth = np.floor(centres[rng.integers(0, 40, 3000)] + rng.normal(scale=5, size=(3000, 64)))
+    noise = np.floor(rng.normal(scale=100, size=(3000, 64)))
+    for x, most in ((smooth, 0.2), (noise, 1.0)):
+        ids, tally = np.arange(3000), {}
+        row, col, score = topk.best_of_block(ids[:200], x[:200], ids, x, 5, tally)
+        assert tally["pairs"] == 200 * 3000 and tally["exact"] <= most * tally["pairs"]
+        full = x[:200] @ x.T
+        full[ids[:200], ids[:200]] = -np.inf
+        for q in range(200):
+            want = sorted((-v, c) for c, v in enumerate(full[q]))[:5]
+            assert sorted((-int(v), int(c)) for c, v in zip(col[row == q], score[row == q], strict=True)) == want
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.integers(1, 20), st.integers(0, 2**31))
 def test_bounds_hold(d, seed):
@@ -278,7 +290,7 @@ def test_large_components():
     q = np.array([[1e18, 1e18]])
     ids, x = np.array([1, 2]), np.array([[1e18, -1e18], [1e19, 1e19]])
     got = topk.best_of_block(np.array([0]), q, ids, x, 2)
-    assert got[2].tolist() == [(1 << 63) - 1, 0]
+    assert dict(zip(got[1].tolist(), got[2].tolist(), strict=True)) == {1: (1 << 63) - 1, 0: 0}
 
 
 # ---- suffix dedup
