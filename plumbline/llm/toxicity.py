@@ -7,10 +7,12 @@ edit.  Trie and automata are intersected into one deterministic automaton,
 built state by state as words need it and run over all different words of a
 chunk at once, so misspelled terms cost no more than right ones.
 
-Each hit is weighed by a window of words around it: quotation marks and words
-of reporting lower it, words of direct address and further hits raise it.  A
-logistic regression over the sums of exact, misspelled and stem hits turns
-them into a probability.
+Each hit is weighed by a window of words around it: quotation marks and cues
+of reporting lower it, cues of direct address and further hits raise it.
+Cues are a few fixed words and, in any language, those that labelled texts
+hold near hits in one class far more often than in the other.  A logistic
+regression over the sums of exact, misspelled and stem hits turns them into a
+probability.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from plumbline.llm._text import hash_words, slices, string_bytes
+from plumbline.llm._text import expand, hash_words, slices, string_bytes
 from plumbline.llm.labelled import MAX_CHARS, MAX_ROWS, fit_sample, release
 from plumbline.llm.quality import apply_scores
 
@@ -30,6 +32,10 @@ THRESHOLD = 0.3
 WINDOW = 8
 #: Misspellings of terms from this length on are counted apart: few other words are so near to them.
 LONG_TERM = 7
+#: Letters that stand apart and are read as one word.
+SPACED = 4
+#: Texts of a class in which a learned cue stands near hits, and how many times its share in the other class it has there.
+CUE_TEXTS, CUE_RATIO = 5, 6.0
 #: Weight of a misspelled term against a right one where the sample has no say.
 MISSPELLED = 0.9
 #: Weights towards which the fit is drawn: logs and presence of exact, misspelled, stem and long misspelled hits, rate, few words.
@@ -71,7 +77,8 @@ def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
     Folding drops case and the accents of Latin letters, reads disguise
     characters as letters and leaves out points, dashes and stars, so a word
-    with such marks between its letters is one word.
+    with such marks between its letters is one word; so are four or more
+    letters in a row that stand apart.
     """
     code = _CODE[data]
     accent = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
@@ -94,7 +101,17 @@ def coded(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     rows = np.searchsorted(offsets, at[first], side="right") - 1
     quotes = np.r_[0, np.cumsum(quote)]
     begin = quotes[offsets[rows]]
-    return code[at].astype(np.uint8), first, np.r_[first[1:], len(at)] if len(at) else first, rows, quotes[at[first]] - begin, quotes[offsets[rows + 1]] - begin
+    ends = np.r_[first[1:], len(at)] if len(at) else first
+    before, in_row = quotes[at[first]] - begin, quotes[offsets[rows + 1]] - begin
+    # Letters that stand apart, SPACED of them or more, are one word.
+    single = ends - first == 1
+    follows = np.r_[False, single[1:] & single[:-1] & (rows[1:] == rows[:-1])] if len(first) else single
+    head = np.flatnonzero(~follows)
+    many = np.diff(np.r_[head, len(first)])
+    apart = np.repeat(many >= SPACED, many)
+    keep = ~(apart & follows)
+    last = np.r_[np.flatnonzero(keep)[1:], len(first)] - 1 if len(first) else head
+    return code[at].astype(np.uint8), first[keep], ends[last], rows[keep], before[keep], in_row[keep]
 
 
 def fold(word: str) -> bytes:
@@ -107,14 +124,21 @@ class Lexicon:
 
     A state of the automaton is a set of (trie node, edits) pairs; numbers are
     given in order of first use.  From `min_fuzzy` letters on, a term is also
-    met with one letter wrong, missing, added or two neighbours exchanged.
+    met with one letter wrong, missing, added or two neighbours exchanged;
+    from `min_mild` on with a letter added or two exchanged: a letter wrong or
+    missing makes other words of short ones.
     """
 
     NONE, EXACT, FUZZY, STEM, LONG_FUZZY = 0, 1, 2, 3, 4
 
-    def __init__(self, terms: list[str], stems: list[str], min_fuzzy: int = 5, innocent: np.ndarray | None = None):
+    #: What was done to a term: nothing, an edit of longer terms, one of short terms too.
+    RIGHT, EDITED, MILD = 0, 1, 2
+
+    def __init__(self, terms: list[str], stems: list[str], min_fuzzy: int = 5, min_mild: int = 4, innocent: np.ndarray | None = None, cues: tuple[np.ndarray, np.ndarray] | None = None):
         #: Hashes of words that are a letter off a term but stand in harmless texts.
         self.innocent = np.zeros(0, np.uint64) if innocent is None else innocent
+        #: Hashes of cues of reporting and of address.
+        self.cues = _cue_hashes() if cues is None else cues
         self.terms, self.stems = sorted({fold(t) for t in terms} - {b""}), sorted({fold(s) for s in stems} - {b""})
         self.child: list[dict[int, int]] = [{}]
         self.term_at: list[bool] = [False]
@@ -140,7 +164,7 @@ class Lexicon:
         for node, kids in enumerate(self.child):
             for k in kids.values():
                 self.depth[k] = self.depth[node] + 1
-        self.min_fuzzy = min_fuzzy
+        self.min_fuzzy, self.min_mild = min_fuzzy, min_mild
         self.number: dict[frozenset, int] = {}
         self.states: list[frozenset] = []
         self.table = np.full((64, CLASSES), -1, dtype=np.int32)
@@ -153,7 +177,7 @@ class Lexicon:
         out = set(items)
         for node, edits, _ in items:
             if node >= 0 and edits == 0:
-                out |= {(k, 1, -1) for k in self.child[node].values() if self.longest[k] >= self.min_fuzzy}
+                out |= {(k, self.EDITED, -1) for k in self.child[node].values() if self.longest[k] >= self.min_fuzzy}
         return frozenset(out)
 
     def _state(self, items: frozenset) -> int:
@@ -164,9 +188,9 @@ class Lexicon:
                 self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
                 self.kind = np.concatenate([self.kind, np.zeros_like(self.kind)])
             exact = any(node >= 0 and self.term_at[node] and e == 0 and m < 0 for node, e, m in items)
-            near = any(node >= 0 and self.term_at[node] and e == 1 and m < 0 and self.depth[node] >= self.min_fuzzy for node, e, m in items)
+            near = any(node >= 0 and self.term_at[node] and e and m < 0 and self.depth[node] >= (self.min_mild if e == self.MILD else self.min_fuzzy) for node, e, m in items)
             stem = (-1, 0, -1) in items or any(node >= 0 and self.stem_at[node] and e == 0 and m < 0 for node, e, m in items)
-            far = near and any(node >= 0 and self.term_at[node] and e == 1 and m < 0 and self.depth[node] >= LONG_TERM for node, e, m in items)
+            far = near and any(node >= 0 and self.term_at[node] and e and m < 0 and self.depth[node] >= LONG_TERM for node, e, m in items)
             self.kind[n] = self.EXACT if exact else self.STEM if stem else self.LONG_FUZZY if far else self.FUZZY if near else self.NONE
         return self.number[items]
 
@@ -178,20 +202,20 @@ class Lexicon:
                 continue
             if owed >= 0:  # the second of two exchanged letters
                 if c == owed:
-                    items.add((node, 1, -1))
+                    items.add((node, self.MILD, -1))
                 continue
             if edits == 0 and self.stem_at[node]:
                 items.add((-1, 0, -1))
             kids = self.child[node]
             if c in kids:
                 items.add((kids[c], edits, -1))
-            if edits == 0 and self.longest[node] >= self.min_fuzzy:
-                items.add((node, 1, -1))
+            if edits == 0 and self.longest[node] >= self.min_mild:
+                items.add((node, self.MILD, -1))
                 for letter, k in kids.items():
                     if letter != c and self.longest[k] >= self.min_fuzzy:
-                        items.add((k, 1, -1))
-                        if c in self.child[k]:
-                            items.add((self.child[k][c], 1, letter))
+                        items.add((k, self.EDITED, -1))
+                    if letter != c and c in self.child[k] and self.longest[k] >= self.min_mild:
+                        items.add((self.child[k][c], self.MILD, letter))
         to = self._state(self._closed(items))
         self.table[state, c] = to
         return to
@@ -273,7 +297,7 @@ class _Sample:
         return out
 
 
-def learn_lexicon(sample: pa.Table, max_terms: int = 400, least: int = 4, ratio: float = 30.0) -> tuple[list[str], list[str]]:
+def learn_lexicon(sample: pa.Table, least: int = 4, ratio: float = 30.0) -> tuple[list[str], list[str]]:
     """Terms and stems whose share of toxic texts is `ratio` times that of the others.
 
     Equal texts count once, and a word needs at least `least` different words
@@ -295,7 +319,7 @@ def learn_lexicon(sample: pa.Table, max_terms: int = 400, least: int = 4, ratio:
     if not len(long):
         return [], []
     words = w.table(w.words[long], long)
-    terms = {w.text(i): int(c) for i, c in zip(words["first"][telling(words)], words["toxic"][telling(words)], strict=True)}
+    terms = {w.text(i) for i in words["first"][telling(words)]}
     common = np.zeros(len(w.lens), dtype=np.int64)
     common[long] = words["toxic"][words["group"]]
     stems: list[str] = []
@@ -325,8 +349,7 @@ def learn_lexicon(sample: pa.Table, max_terms: int = 400, least: int = 4, ratio:
                 head = w.text(u["first"][best], longer)
             stems.append(head)
         left = at[~chosen[t["group"]]]
-    kept = sorted((x for x in terms if not any(x.startswith(s) for s in stems)), key=lambda x: (-terms[x], x))
-    return sorted(kept[:max_terms]), sorted(set(stems))
+    return sorted(x for x in terms if not any(x.startswith(s) for s in stems)), sorted(set(stems))
 
 
 def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -342,13 +365,9 @@ def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     kinds[np.isin(kinds, (Lexicon.FUZZY, Lexicon.LONG_FUZZY)) & np.isin(uniq, lexicon.innocent)] = Lexicon.NONE
     at = np.flatnonzero(kinds[inverse])
     kind = kinds[inverse[at]]
-    reporting, address = _cue_hashes()
-    cue = np.where(np.isin(uniq, reporting), 1, 0) + np.where(np.isin(uniq, address), 2, 0)
-    cue_word = cue[inverse]
-    said, you, hit = (np.r_[0, np.cumsum(m)] for m in (cue_word == 1, cue_word == 2, kinds[inverse] > 0))
-    row_first = np.searchsorted(rows, rows[at], side="left")
-    row_end = np.searchsorted(rows, rows[at], side="right")
-    lo, hi = np.maximum(at - WINDOW, row_first), np.minimum(at + WINDOW + 1, row_end)
+    reporting, address = lexicon.cues
+    said, you, hit = (np.r_[0, np.cumsum(m[inverse])] for m in (np.isin(uniq, reporting), np.isin(uniq, address), kinds > 0))
+    row_first, row_end, lo, hi = _windows(rows, at)
     # Quoted: an odd number of marks before it, and a mark within the window to each side.
     opened = quotes[at] - np.where(lo == row_first, 0, quotes[lo])
     closed = np.where(hi == row_end, in_row[at], quotes[hi - 1]) - quotes[at]
@@ -358,6 +377,49 @@ def hits(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return rows[at], kind, weight, words
 
 
+def _windows(rows: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and end of the row of each word `at`, and of its window there."""
+    row_first = np.searchsorted(rows, rows[at], side="left")
+    row_end = np.searchsorted(rows, rows[at], side="right")
+    return row_first, row_end, np.maximum(at - WINDOW, row_first), np.minimum(at + WINDOW + 1, row_end)
+
+
+def learn_cues(lexicon: Lexicon, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of reporting and address cues: the fixed words, and words near hits that harmless or toxic texts hold far more often than the others."""
+    near, labels = [[], []], [0, 0]
+    for data, offsets, y in parts:
+        letters, starts, ends, rows, *_ = coded(data, offsets)
+        words = hash_words(letters, starts, ends)
+        uniq, first, inverse = np.unique(words, return_index=True, return_inverse=True)
+        hit = lexicon.match(letters, starts[first], ends[first])[inverse] > 0
+        at = np.flatnonzero(hit)
+        _, _, lo, hi = _windows(rows, at)
+        around = expand(lo, hi - lo)
+        around = around[~hit[around]]
+        for k in (0, 1):
+            labels[k] += int((y[np.unique(rows[at])] == k).sum())
+            mine = around[y[rows[around]] == k]
+            # Each word once for a text.
+            order = np.lexsort((words[mine], rows[mine]))
+            w, r = words[mine][order], rows[mine][order]
+            new = np.r_[True, (w[1:] != w[:-1]) | (r[1:] != r[:-1])] if len(w) else np.zeros(0, bool)
+            near[k].append(w[new])
+    seen = [np.unique(np.concatenate(n) if n else np.zeros(0, np.uint64), return_counts=True) for n in near]
+    out = []
+    for k, fixed in enumerate(_cue_hashes()):
+        word, many = seen[k]
+        other = np.zeros(len(word))
+        at = np.searchsorted(seen[1 - k][0], word)
+        inside = at < len(seen[1 - k][0])
+        there = np.flatnonzero(inside)[seen[1 - k][0][at[inside]] == word[inside]]
+        other[there] = seen[1 - k][1][at[there]]
+        share = (many + 0.5) / (labels[k] + 1) / ((other + 0.5) / (labels[1 - k] + 1))
+        out.append(np.unique(np.r_[fixed, word[(many >= CUE_TEXTS) & (share >= CUE_RATIO)]]))
+    # What tells of both tells of neither.
+    both = np.intersect1d(*out)
+    return np.setdiff1d(out[0], both), np.setdiff1d(out[1], both)
+
+
 def _cue_hashes() -> tuple[np.ndarray, np.ndarray]:
     out = []
     for words in (REPORTING, ADDRESS):
@@ -420,6 +482,7 @@ class Model:
         lexicon = Lexicon(self.terms, self.stems)
         self.innocent = np.unique(np.concatenate([near_words(lexicon, data, offsets, label == 0) for data, offsets, label in parts] or [lexicon.innocent]))
         lexicon.innocent = self.innocent
+        self.cues = lexicon.cues = learn_cues(lexicon, parts)
         x = np.concatenate([features(lexicon, data, offsets) for data, offsets, _ in parts] or [np.zeros((0, len(PRIOR)))])
         first = fit_weights(x, y.astype(float))
         prior = first.copy()
@@ -433,7 +496,7 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if "_lexicon" not in self.__dict__:
-            self._lexicon = Lexicon(self.terms, self.stems, innocent=self.innocent)
+            self._lexicon = Lexicon(self.terms, self.stems, innocent=self.innocent, cues=self.cues)
         dot = features(self._lexicon, data, offsets) @ self.weights[:-1] + self.weights[-1] + self.shift
         return 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
 
@@ -441,9 +504,10 @@ class Model:
 def score(docs: DataFrame, labels: DataFrame, target: str = "toxic", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, fit_docs: DataFrame | None = None, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """All columns of `docs` (or those in `keep`) with score (0 to 1) and predicted (1 where score >= threshold).
 
-    A null text scores as an empty one; repeated rows score alike.  Columns
-    of the added names (`prefix` goes before them) in `docs` are replaced.  Without labels of both
-    classes nothing is in the lexicon and the score is the labels' share of 1.
+    A null text scores as an empty one; repeated rows score alike; an empty
+    table gives an empty one.  Columns of the added names (`prefix` goes
+    before them) in `docs` are replaced.  Without labels of both classes
+    nothing is in the lexicon and the score is the labels' share of 1.
     """
     sample, shift = fit_sample(fit_docs if fit_docs is not None else docs, labels, target, max_rows, max_chars)
     model = docs.sparkSession.sparkContext.broadcast(Model(sample, shift))
