@@ -34,15 +34,17 @@ def fit_sample(docs: DataFrame, labels: DataFrame, target: str, max_rows: int =
     """Texts with their 0/1 label, and the log odds to add for the classes' true shares.
 
     Null labels are ignored; of several labels of one doc_id the highest
-    counts.
+    counts, and of several texts the least: what comes to the driver is
+    max_rows rows of max_chars characters at most.  Empty tables give an empty
+    sample.
     """
     known = labels.filter(F.col(target).isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(target).cast("int").alias("y"))
     shares = {r[0]: r[1] for r in known.groupBy("y").count().collect()}
     order = F.xxhash64("doc_id")
     some = [known.filter(F.col("y") == y).withColumn("_o", order).orderBy("_o", "doc_id").limit(max_rows // 2).select("doc_id", "y") for y in (0, 1)]
     chosen = some[0].unionByName(some[1])  # at most max_rows rows of two numbers
-    rows = docs.filter(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y").toArrow()
-    rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    rows = docs.filter(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y").toArrow()
+    rows = rows.sort_by([("doc_id", "ascending")])
     got = [sum(1 for v in rows.column("y").to_pylist() if v == y) for y in (0, 1)]
     shift = math.log((shares.get(1, 0) + 0.5) / (shares.get(0, 0) + 0.5)) - math.log((got[1] + 0.5) / (got[0] + 0.5))
     return rows, shift

@@ -1,7 +1,7 @@
 """Quality classifier: logistic regression on hashed word n-grams.
 
 Words are the white-space-delimited runs of a text.  Hashed into `BITS` bits
-are each lower-cased word, and 1- to 3-grams of word shapes: runs of upper
+are 1- to 3-grams of lower-cased words, and of word shapes: runs of upper
 case, lower case, digits and each punctuation mark, with a mark on a word
 equal to the one before it.  A feature's value is its share of the text's
 words.  Weights are learned by follow-the-regularised-leader updates per
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from plumbline.llm._text import hash_words, mix, slices, split_words, string_bytes
 from plumbline.llm.labelled import MAX_CHARS, MAX_ROWS, fit_sample, held_out, release
 
-BITS = 18
+BITS = 20
 THRESHOLD = 0.7
 #: Values are shares of words; this brings typical texts to a length of about 1.
 SCALE = 8.0
@@ -32,12 +32,12 @@ _SHAPE[65:91], _SHAPE[97:123], _SHAPE[128:], _SHAPE[48:58] = 65, 97, 97, 48
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers (words x 4 streams), their rows, and words per row."""
+    """Feature numbers (words x 6 streams: word and shape 1- to 3-grams that end there), their rows, and words per row."""
     starts, ends, rows = split_words(data, offsets)
     n_rows = len(offsets) - 1
     words = np.bincount(rows, minlength=n_rows)
     if not len(starts):
-        return np.zeros((0, 4), np.int64), rows, words
+        return np.zeros((0, 6), np.int64), rows, words
     plain = hash_words(_LOWER[data], starts, ends)
     same = np.zeros(len(starts), dtype=bool)
     same[1:] = (plain[1:] == plain[:-1]) & (rows[1:] == rows[:-1])
@@ -47,14 +47,18 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     keep[starts] = True
     kept = np.r_[0, np.cumsum(keep)]
     s = hash_words(shape[keep], kept[starts], kept[ends])
-    s = mix(s + same.astype(np.uint64))
     first = np.r_[True, rows[1:] != rows[:-1]]
-    one = np.where(first, np.uint64(1), np.roll(s, 1))
-    two = np.where(first | np.roll(first, 1), np.uint64(2), np.roll(s, 2))
-    bigram = mix(s * np.uint64(3) + one)
-    trigram = mix(bigram * np.uint64(5) + two)
+    grams = [*_grams(plain, first), *_grams(mix(s + same.astype(np.uint64)), first)]
     mask = np.uint64((1 << BITS) - 1)
-    return np.stack([plain & mask, mix(s) & mask, bigram & mask, trigram & mask], axis=1).astype(np.int64), rows, words
+    return np.stack([mix(g + np.uint64(i)) & mask for i, g in enumerate(grams)], axis=1).astype(np.int64), rows, words
+
+
+def _grams(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each entry, of it with the one before and with the two before; `first` marks where a row begins."""
+    one = np.where(first, np.uint64(1), np.roll(h, 1))
+    two = np.where(first | np.roll(first, 1), np.uint64(2), np.roll(h, 2))
+    pair = mix(h * np.uint64(3) + one)
+    return h, pair, mix(pair * np.uint64(5) + two)
 
 
 def _length_feature(words: np.ndarray) -> np.ndarray:
@@ -119,9 +123,10 @@ def scores(weights: np.ndarray, shift: float, data: np.ndarray, offsets: np.ndar
 def score(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = THRESHOLD, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS, fit_docs: DataFrame | None = None, keep: list[str] | None = None, prefix: str = "") -> DataFrame:
     """All columns of `docs` (or those in `keep`) with score (0 to 1) and predicted (1 where score >= threshold).
 
-    A null text scores as an empty one.  Columns of the added names (`prefix`
-    goes before them) in `docs` are replaced.  Without labels of both classes the score is the
-    labels' share of 1 (0.5 without labels).
+    A null text scores as an empty one; repeated rows score alike; an empty
+    table gives an empty one.  Columns of the added names (`prefix` goes
+    before them) in `docs` are replaced.  Without labels of both classes the
+    score is the labels' share of 1 (0.5 without labels).
     """
     sample, shift = fit_sample(fit_docs if fit_docs is not None else docs, labels, target, max_rows, max_chars)
     weights = docs.sparkSession.sparkContext.broadcast(fit(sample).astype(np.float32))

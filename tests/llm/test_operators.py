@@ -557,7 +557,7 @@ def edits(a, b):
 @settings(max_examples=300, deadline=None)
 @given(st.text("abc", min_size=1, max_size=8))
 def test_automaton_is_edit_distance(word):
-    terms = ["abcab", "cabba", "bca", "aabbccab"]
+    terms = ["abcab", "cabba", "bca", "aabbccab", "bbca"]
     lex = toxicity.Lexicon(terms, ["ccc"])
     letters = np.frombuffer(toxicity.fold(word), np.uint8)
     kind = int(lex.match(letters, np.array([0]), np.array([len(letters)]))[0])
@@ -566,11 +566,129 @@ def test_automaton_is_edit_distance(word):
     elif word.startswith("ccc"):
         assert kind == lex.STEM
     else:
-        near = [t for t in terms if len(t) >= 5 and edits(word, t) == 1]
+        mild = {word[:i] + word[i + 1 :] for i in range(len(word))} | {word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)}
+        near = [t for t in terms if (len(t) >= 5 and edits(word, t) == 1) or (len(t) == 4 and t in mild)]
         assert (kind in (lex.FUZZY, lex.LONG_FUZZY)) == bool(near)
         assert (kind == lex.LONG_FUZZY) == any(len(t) >= toxicity.LONG_TERM for t in near)
 
 
+def test_letters_apart_and_short_terms():
+    lex = toxicity.Lexicon(["idiot", "scum"], [])
+
+    def kinds(text):
+        return toxicity.hits(lex, *string_bytes(pa.array([text])))[1].tolist()
+
+    assert kinds("an i d i o t here") == kinds("an I-D-I-O-T here") == kinds("i d i o t") == [lex.EXACT]
+    assert kinds("scumm sucm sccum") == [lex.FUZZY] * 3 and kinds("scam slum cum scu") == []
+    rows, kind, _, words = toxicity.hits(lex, *string_bytes(pa.array(["a b c", "s c", "u m", "x y z i d i o t", "s c u m"])))
+    assert rows.tolist() == [4] and words.tolist() == [3, 2, 2, 1, 1]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["idiot", "idoit", "scum", "said", "you", '"', "plain", "word", "x", "zitronex", "other"]), max_size=30), min_size=1, max_size=4))
+def test_hits_and_windows(texts):
+    """Hits, their context weights and word counts against a word-by-word version."""
+    lex = toxicity.Lexicon(["idiot", "scum"], ["zitr"])
+    kinds = {"idiot": lex.EXACT, "scum": lex.EXACT, "idoit": lex.FUZZY, "zitronex": lex.STEM}
+    want, counts = [], []
+    for r, text in enumerate(texts):
+        words, marks, total = [], [], text.count('"')
+        apart = []
+        for i, w in enumerate(text):
+            if w != '"':
+                apart.append(w == "x")
+                words.append(w)
+                marks.append(text[:i].count('"'))
+        at = 0
+        while at < len(words):  # letters apart, read as one word
+            n = 0
+            while at + n < len(words) and apart[at + n]:
+                n += 1
+            if n >= toxicity.SPACED:
+                words[at : at + n], marks[at : at + n], apart[at : at + n] = ["x" * n], [marks[at]], [False]
+            at += 1
+        counts.append(len(words))
+        for i, w in enumerate(words):
+            if w not in kinds:
+                continue
+            lo, hi = max(0, i - toxicity.WINDOW), min(len(words), i + toxicity.WINDOW + 1)
+            opened = marks[i] - (0 if lo == 0 else marks[lo])
+            closed = (total if hi == len(words) else marks[hi - 1]) - marks[i]
+            quoted = marks[i] % 2 == 1 and opened > 0 and closed > 0
+            near = words[lo:hi]
+            weight = (0.4 if quoted else 1.0) * ((0.5 if quoted else 0.8) if {"said", "word"} & set(near) else 1.0)
+            weight *= 1 + 0.2 * ("you" in near) + 0.1 * min(5, sum(x in kinds for x in near) - 1)
+            want.append((r, kinds[w], round(weight, 9)))
+    rows, kind, weight, words = toxicity.hits(lex, *string_bytes(pa.array([" ".join(t) for t in texts])))
+    assert list(zip(rows.tolist(), kind.tolist(), weight.round(9).tolist(), strict=True)) == want and words.tolist() == counts
+
+
+def test_cues_are_learned():
+    """Words that stand near hits in harmless texts alone lower a hit, whatever the language."""
+    texts = [f"la palabra idiot aparece citada aqui n{i}" for i in range(20)] + [f"sois todos idiot m{i}" for i in range(20)]
+    y = [0] * 20 + [1] * 20
+    lex = toxicity.Lexicon(["idiot"], [])
+    lex.cues = toxicity.learn_cues(lex, [(*string_bytes(pa.array(texts)), np.array(y))])
+    weight = toxicity.hits(lex, *string_bytes(pa.array(["palabra idiot", "todos idiot", "nada idiot"])))[2]
+    assert weight[0] < weight[2] < weight[1]
+
+
+def test_ftrl_updates():
+    """Against updates written out one coordinate at a time, with numbers alone."""
+    import math
+
+    rng = random.Random(9)
+    model, z, n = quality.Ftrl(12, alpha=0.2, beta=0.7, l1=0.05, l2=0.3), {}, {}
+
+    def weight(i):
+        v = z.get(i, 0.0)
+        return 0.0 if abs(v) <= 0.05 else -(v - math.copysign(0.05, v)) / ((0.7 + math.sqrt(n.get(i, 0.0))) / 0.2 + 0.3)
+
+    for _ in range(300):
+        at = sorted(rng.sample(range(12), rng.randint(1, 5)))
+        x, y = [rng.uniform(0, 2) for _ in at], float(rng.random() < 0.4)
+        p = 1 / (1 + math.exp(-sum(weight(i) * v for i, v in zip(at, x, strict=True))))
+        assert abs(model.update(np.array(at), np.array(x), y) - p) < 1e-12
+        for i, v in zip(at, x, strict=True):
+            g = (p - y) * v
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / 0.2 * weight(i)
+            n[i] = n.get(i, 0.0) + g * g
+    assert np.allclose(model.weights(), [weight(i) for i in range(12)], atol=1e-12)
+
+
+def test_quality_scores_are_sparse_dot_products():
+    rng = np.random.default_rng(6)
+    weights = rng.normal(size=(1 << quality.BITS) + 1)
+    texts = ["one two THREE two", None, "", "one", "Two two! two, 4x4 çé", "one two THREE two"]
+    got = quality.scores(weights, 0.25, *string_bytes(pa.array(texts, pa.string())))
+    for i, t in enumerate(texts):
+        f, _, words = quality.features(*string_bytes(pa.array([t], pa.string())))
+        dot = sum(weights[j] for j in f.ravel().tolist()) * quality.SCALE / max(1, int(words[0])) + weights[int(quality._length_feature(words)[0])] + weights[-1] + 0.25
+        assert abs(got[i] - 1 / (1 + np.exp(-dot))) < 1e-9
+    assert got[0] == got[5] and got[1] == got[2]
+
+
+def test_word_grams_are_hashed():
+    """Words that follow one another in another order have the same 1-grams and other 2- and 3-grams; texts don't run into each other."""
+    f, rows, words = quality.features(*string_bytes(pa.array(["a b c d", "b a d c", "A B c d", "a b", "c d"])))
+    f = [f[rows == r] for r in range(5)]
+    assert words.tolist() == [4, 4, 4, 2, 2]
+    assert sorted(f[0][:, 0]) == sorted(f[1][:, 0]) and not set(f[0][1:, 1]) & set(f[1][1:, 1]) and not set(f[0][2:, 2]) & set(f[1][2:, 2])
+    assert (f[0][:, :3] == f[2][:, :3]).all() and not (f[0][:2, 3] == f[2][:2, 3]).any()
+    assert (f[0][:2] == f[3]).all() and (f[0][2:, 0] == f[4][:, 0]).all() and (f[0][3, 1], f[0][2, 1]) != (f[4][1, 1], f[4][0, 1])
+    assert all(len(set(x)) == 4 for x in f[0][:, :3].T)
+
+
+def test_fit_sample_is_bounded(spark):
+    from plumbline.llm.labelled import fit_sample
+
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(3, "b"), (5, None), (None, "n")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (3, 0), (5, 1), (7, 1), (None, 1)], "doc_id long, toxic int")
+    rows, _ = fit_sample(docs, labels, "toxic", max_rows=10)
+    assert rows.to_pylist() == [{"doc_id": 1, "text": "text 0", "y": 1}, {"doc_id": 3, "text": "b", "y": 0}]
+    assert fit_sample(docs.limit(0), labels.limit(0), "toxic")[0].num_rows == 0
+
+
 def test_disguises_and_quotation():
     lex = toxicity.Lexicon(["idiot", "pathetic"], ["lowei"])
 
