@@ -237,7 +237,7 @@ def _paths(nodes: DataFrame, runs: int, depth: int, similarity: float) -> DataFr
 def _candidates(parts: DataFrame, similarity: float) -> DataFrame:
     """Edges (a, b) that span the nodes of each part whose estimated similarity isn't too low."""
     keys = ["key", "i", "j"]
-    dealt = _cells(parts, "key", "n", 4 * BLOCK)
+    dealt = _cells(parts, "key", "n", BLOCK)
     dealt = dealt.repartition(*keys).sortWithinPartitions(*keys, "node")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

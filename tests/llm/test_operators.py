@@ -462,6 +462,16 @@ def test_near_duplicates(odd, odd_rows, empty):
     assert jaccard_join.near_duplicates(empty).count() == 0
 
 
+def test_recall_on_a_whole_table(spark):
+    """Every class and every link of the 0.01 table, sets compared by brute force over their common shingles."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text").collect()]
+    want = {d: (c, n) for d, c, n in brute_classes(rows)}
+    got = {d: (c, n) for d, c, n in classes(frame(spark, rows).repartition(4))}
+    links = sum(n for _, n in want.values())
+    assert links > 100 and sum(n for _, n in got.values()) >= 0.999 * links
+    assert sum(got[d] == want[d] for d in want) >= 0.999 * len(want)
+
+
 def test_large_groups_as_grids(spark, monkeypatch):
     rng = random.Random(2)
     base = [f"w{rng.random()}" for _ in range(120)]
