@@ -45,15 +45,15 @@ LENGTH, GRAM = 100, 32
 #: Different runs of one anchor within a task that make the anchor a common one.
 COMMON = 256
 #: Runs that a task holds at a time, with their texts, for its pre-aggregation.
-HELD_RUNS = 750_000
+HELD_RUNS = 400_000
 #: Bytes of text for each bucket of anchors; documents are dealt to four times as many slots.
 BUCKET_BYTES = 8 << 20
-#: Bytes whose suffixes are sorted at a time, and of a stretch that are handled in one piece.
-LOT, PIECE = 1 << 20, 1 << 18
+#: Bytes whose suffixes are sorted at a time, and of a stretch that are handled in one piece: what a processor's cache holds.
+LOT, PIECE = 40_000, 10_000
 _P = 0x9E3779B97F4A7C15
 _P_INVERSE = pow(_P, -1, 1 << 64)
 _LOW = 22  # bits of a position within a segment
-SEGMENT = 2 << 20
+SEGMENT = 1 << 20
 
 RUN, SPAN, ASKED, BYTES, FOLLOW, SOURCE = range(6)
 _PLACE = ("doc:i8", "tie:i8", "slot:i4", "pos:i4", "size:i4")
@@ -224,54 +224,57 @@ def group_sizes(new: np.ndarray) -> np.ndarray:
 # ---- suffix order and longest previous factors
 
 
-def _ranks(high: np.ndarray, low: np.ndarray, bits: int) -> np.ndarray:
-    """Ranks from 1 of pairs of numbers, the second below 2**bits."""
-    n = len(high)
+def _sorted(keys: list[np.ndarray], bits: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of positions by several numbers below 2**bits (the first below 2**first), ties by position, and where a key differs from the one before."""
+    n = len(keys[0])
     at = max(1, n.bit_length())
-    if int(high.max(initial=0)).bit_length() + bits + at < 64:  # pair and position in one number: a plain sort
-        packed = np.sort((high << bits | low) << at | np.arange(n))
-        order, key = packed & ((1 << at) - 1), packed >> at
-        new = key[1:] != key[:-1]
-    else:
-        order = np.lexsort((low, high))
-        new = (high[order[1:]] != high[order[:-1]]) | (low[order[1:]] != low[order[:-1]])
-    rank = np.ones(n, dtype=np.int64)
-    rank[order[1:]] += np.cumsum(new)
-    return rank
-
-
-def prefix_ranks(data: np.ndarray, depth: int) -> list[tuple[int, np.ndarray]]:
-    """Ranks of all suffixes by their first 4, 8, 16, ... bytes, up to the last power of two within depth (4 at least); 0 past the end."""
+    if first + bits * (len(keys) - 1) + at <= 64:  # keys and position in one number: a plain sort
+        packed = keys[0].astype(np.uint64)
+        for k in keys[1:]:
+            packed = packed << np.uint64(bits) | k.astype(np.uint64)
+        packed = np.sort(packed << np.uint64(at) | np.arange(n, dtype=np.uint64))
+        order, key = (packed & np.uint64((1 << at) - 1)).astype(np.int64), packed >> np.uint64(at)
+        return order, key[1:] != key[:-1]
+    order = np.lexsort(keys[::-1])
+    return order, np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
+
+
+def prefix_ranks(data: np.ndarray, depth: int) -> tuple[int, list[tuple[int, np.ndarray]]]:
+    """Ranks of all suffixes by their first 4, 4r, 4rr, ... bytes as far as `depth` (4 at least), 0 past the end; and r, 3 for short texts, else 2."""
     n, span = len(data), 4
+    bits = n.bit_length()
+    ratio = 3 if 4 * bits <= 64 else 2
     head = np.zeros(n + 4, dtype=np.int64)
-    head[:n] = data.astype(np.int64) + 1
+    head[:n] = data
+    head[:n] += 1
     pairs = head[:-1] << 9 | head[1:]
-    levels = []
-    high, low, bits = pairs[:n], pairs[2 : n + 2], 18
+    levels, keys, width, first = [], [pairs[:n], pairs[2 : n + 2]], 18, 18
     while True:
-        rank = np.zeros(n + max(depth, 4), dtype=np.int32 if n < 1 << 30 else np.int64)
-        rank[:n] = _ranks(high, low, bits)
+        order, new = _sorted(keys, width, first)
+        rank = np.zeros(n + ratio * max(depth, 4), dtype=np.int32 if n < 1 << 30 else np.int64)
+        rank[order] = np.r_[1, 1 + np.cumsum(new)] if n else 0
         levels.append((span, rank))
-        if 2 * span > depth:
-            return levels
-        high, bits = rank[:n].astype(np.int64), n.bit_length()
-        low = rank[span : n + span].astype(np.int64)
-        span *= 2
+        if ratio * span > depth:
+            return ratio, levels
+        keys, width, first = [rank[k * span : n + k * span] for k in range(ratio)], bits, bits
+        span *= ratio
 
 
 def nearest_smaller(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the previous and the next smaller value (-1 and len(a) for none), by pointer jumping."""
 
     def previous(v: np.ndarray) -> np.ndarray:
-        v = np.r_[np.iinfo(np.int64).min, v]
-        p = np.arange(-1, len(v) - 1)
+        v = np.r_[np.iinfo(v.dtype).min, v]
+        p = np.arange(-1, len(v) - 1, dtype=v.dtype)
         p[0] = 0
-        todo = np.arange(1, len(v))
+        todo = np.flatnonzero(v[:-1] > v[1:]) + 1
         while len(todo):
-            todo = todo[v[p[todo]] > v[todo]]
-            p[todo] = p[p[todo]]
+            at = p[p[todo]]
+            p[todo] = at
+            todo = todo[v[at] > v[todo]]
         return p[1:] - 1
 
+    a = a.astype(np.int32) if len(a) < 1 << 30 else a
     return previous(a), len(a) - 1 - previous(a[::-1])[::-1]
 
 
@@ -284,35 +287,32 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, depth: int) -> np.nda
     n = len(data)
     if not len(starts):
         return np.zeros(0, np.int64)
-    levels = prefix_ranks(data, depth)
+    ratio, levels = prefix_ranks(data, depth)
     span, rank = levels[-1]
     # Suffix order as far as `depth` bytes tell; ties in text order.
-    left, right = rank[starts].astype(np.int64), rank[starts + max(0, depth - span)].astype(np.int64)
-    bits = n.bit_length()
-    if 3 * bits < 64:
-        order = np.sort((left << bits | right) << bits | np.arange(len(starts))) & ((1 << bits) - 1)
-    else:
-        order = np.lexsort((right, left))
+    rest = max(0, depth - span)
+    order, _ = _sorted([rank[starts + k] for k in sorted({0, min(span, rest), rest})], n.bit_length(), n.bit_length())
     out = np.zeros(len(starts), dtype=np.int64)
     for near in nearest_smaller(order):
         some = np.flatnonzero((near >= 0) & (near < len(order)) & (out[order] < depth))
-        out[order[some]] = np.maximum(out[order[some]], _common(data, levels, starts[order[some]], starts[order[near[some]]], depth))
+        out[order[some]] = np.maximum(out[order[some]], _common(data, ratio, levels, starts[order[some]], starts[order[near[some]]], depth))
     return out
 
 
-def _common(data: np.ndarray, levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
+def _common(data: np.ndarray, ratio: int, levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray, depth: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at i and j, up to `depth`."""
     length = np.zeros(len(i), dtype=np.int64)
     most = np.minimum(depth, len(data) - np.maximum(i, j))
-    last = len(levels[0][1]) - 1
     for span, rank in reversed(levels):
-        same = rank[np.minimum(i + length, last)] == rank[np.minimum(j + length, last)]
-        length += span * same
+        for _ in range(ratio - 1):
+            at = np.minimum(length, most)
+            length += span * (rank[i + at] == rank[j + at])
+    length = np.minimum(length, most)
     for _ in range(3):
         at = np.flatnonzero(length < most)
         at = at[data[i[at] + length[at]] == data[j[at] + length[at]]]
         length[at] += 1
-    return np.minimum(length, most)
+    return length
 
 
 def longest_previous_factor(data: bytes) -> np.ndarray:
