@@ -335,7 +335,7 @@ def later_copies(data: np.ndarray, parts: Table, length: int) -> Table:
     row, shift = row[hit], shift[hit]
     new = np.r_[True, (row[1:] != row[:-1]) | (shift[1:] != shift[:-1] + 1)] if len(row) else np.zeros(0, bool)
     head = np.flatnonzero(new)
-    last = np.r_[head[1:], len(row)] - 1
+    last = np.r_[head[1:], len(row)][: len(head)] - 1
     span = take(parts, row[head])
     span["pos"], span["at"] = (span["pos"] + shift[head]).astype(np.int32), span["at"] + shift[head]
     span["size"] = (shift[last] - shift[head] + length).astype(np.int32)

@@ -356,6 +356,14 @@ def test_rows_listed_twice_keep_the_first_copy(spark, common, held):
         assert sorted((key(r["doc_id"]), r["text"]) for r in out) == sorted((key(i), t) for i, t in want)
 
 
+def test_parts_without_copies():
+    data = np.frombuffer(b"abcdefghij", np.uint8)
+    parts = {k: np.array([v]) for k, v in (("doc", 1), ("tie", 0), ("slot", 0), ("pos", 0), ("size", 10), ("at", 0))}
+    assert suffix_dedup.size(suffix_dedup.later_copies(data, parts, 4)) == 0
+    none = {k: v[:0] for k, v in parts.items()} | {k: np.zeros(0, np.int64) for k in ("sdoc", "stie", "sslot", "spos", "sat")}
+    assert suffix_dedup.size(suffix_dedup.confirmed(data, none, 4)) == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 5), min_size=1, max_size=12), st.integers(0, 2**31), st.sampled_from([(1 << 20, 1 << 18), (40, 8), (1, 1)]))
 def test_stretches_in_lots_and_pieces(picks, seed, sizes):
