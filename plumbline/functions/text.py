@@ -21,6 +21,7 @@ ARTICLES = r"^(?:on\s+(?:a\s+|an\s+|the\s+)?|a\s+|an\s+|the\s+)+"
 ALPHA_WORD = r"(?U)\b[a-z][a-z]+\b"
 ANY_WORD = r"(?U)\b\w\w+\b"
 LABEL_WORDS, LABEL_PART = 3, 14
+LABEL_PREFIXES = ["Topic label:", "Label:", "Topic:", "Topic name:"]
 JOINING_WORDS = ["in", "with", "for", "of", "on", "to", "from", "the", "a", "an", "into", "via", "using", "based", "and", "or", "at", "by"]
 
 
@@ -111,13 +112,15 @@ def split_words(c: Column) -> Column:
 def clean_label(c: Column) -> Column:
     """A model's label in at most three capitalised words.
 
-    First line, without quotes, end marks and a leading "label:"; a single
+    First line, without quotes, end marks and leading prefixes such as
+    "label:", each taken off once and in turn; a single
     run-on word of over 14 letters is cut at its capitals; "and" and "&" go;
     after the cut to three words, joining words go from both ends.
     """
     line = F.trim(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\n")[0])
     line = F.regexp_replace(F.regexp_replace(line, "^[\"'`]+|[\"'`]+$", ""), "[.:;,]+$", "")
-    line = F.trim(F.regexp_replace(line, r"(?i)^(?:topic label|label|topic name|topic):", ""))
+    for prefix in LABEL_PREFIXES:
+        line = F.trim(F.regexp_replace(line, f"(?i)^{prefix}", ""))
     run_on = ~line.contains(" ") & (F.length(line) > LABEL_PART)
     line = F.when(run_on, F.regexp_replace(line, "(?<=[a-z])(?=[A-Z])", " ")).otherwise(line)
     line = F.regexp_replace(line, r"(?i)\s*&\s*|\s+and\s+", " ")

@@ -70,8 +70,12 @@ def match_titles(papers: DataFrame, candidates: DataFrame, id_column: str, work_
 
 
 def upsert(rows: DataFrame, recovered: DataFrame, key: str, columns: list[str], keep_old_if_null: tuple[str, ...] = ("doi",)) -> DataFrame:
-    """Recovered values overwrite those of their row; of `keep_old_if_null` only where there is one.  has_doi follows."""
-    new = recovered.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_hit"))
+    """Recovered values overwrite those of their row; of `keep_old_if_null` only where there is one.  has_doi follows.
+
+    Of several recovered rows of one key the one with the highest values, in
+    the order of `columns`, counts; no row of `rows` is multiplied.
+    """
+    new = latest(recovered.select(key, *columns), key, [F.col(c).desc_nulls_last() for c in columns]).select(key, *(F.col(c).alias(f"_new_{c}") for c in columns), F.lit(True).alias("_hit"))
     out = rows.join(new, key, "left")
     for c in columns:
         value = F.coalesce(F.col(f"_new_{c}"), F.col(c)) if c in keep_old_if_null else F.col(f"_new_{c}")
@@ -93,8 +97,8 @@ def in_order(rows: DataFrame, order: DataFrame, key: str) -> DataFrame:
 
 
 def lookup(rows: DataFrame, table: DataFrame, key: str, value: str, default: str) -> DataFrame:
-    """A column from a lookup table, with a default for keys that it lacks or leaves blank."""
-    named = table.select(key, value).dropDuplicates([key])
+    """A column from a lookup table, with a default for keys that it lacks or leaves blank; of several values of a key the least that isn't blank."""
+    named = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.when(F.trim(value) != "", F.col(value))).alias(value))
     return rows.drop(value).join(named, key, "left").withColumn(value, F.coalesce(F.nullif(F.trim(F.col(value)), F.lit("")), F.lit(default)))
 
 
@@ -110,22 +114,31 @@ def assert_references(used: DataFrame, known: DataFrame, key: str) -> None:
         raise ValueError("references don't agree: " + ", ".join(f"{r[0]} ({r[1]})" for r in bad))
 
 
+#: Values that are put into batches together, on average.
+BATCHED = 10_000
+
+
 def batches(values: DataFrame, column: str, most: int = 100, max_chars: int = 4000, part: Column | None = None) -> DataFrame:
     """Values packed greedily, in order, into batches of at most `most` values and `max_chars` characters with separators.
 
     The running total restarts whenever the next value doesn't fit, which no
-    window expresses; it is folded over each part's sorted list.  `part` bounds
-    that list (default: one of 64 by hash).
+    window expresses; each part is one pass over its sorted values.  `part`
+    bounds it (default: by hash, as many parts as keep to BATCHED values).
     """
-    part = F.pmod(F.xxhash64(column), F.lit(64)) if part is None else part
-    lists = values.select(part.alias("part"), F.col(column).alias("v")).groupBy("part").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    zero = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).alias("chars"), F.array().cast("array<struct<batch:int,v:string>>").alias("out"))
-
-    def step(acc: Column, v: Column) -> Column:
-        size = F.length(v) + 1
-        full = (acc["n"] >= most) | ((acc["n"] > 0) & (acc["chars"] + size > max_chars))
-        b = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(b.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, size).otherwise(acc["chars"] + size).alias("chars"), F.concat(acc["out"], F.array(F.struct(b.alias("batch"), v.alias("v")))).alias("out"))
-
-    folded = lists.select("part", F.aggregate("vs", zero, step)["out"].alias("out"))
-    return folded.select("part", F.inline("out")).withColumnRenamed("v", column)
+    import pandas as pd
+
+    if part is None:
+        part = F.pmod(F.xxhash64(column), F.lit(max(1, -(-values.count() // BATCHED))))
+
+    def fill(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("v")
+        batch, n, chars, out = 0, 0, 0, []
+        for size in frame["v"].str.len() + 1:
+            if n >= most or (n and chars + size > max_chars):
+                batch, n, chars = batch + 1, 0, 0
+            n, chars = n + 1, chars + size
+            out.append(batch)
+        return pd.DataFrame({"part": frame["part"], "batch": out, column: frame["v"]})
+
+    rows = values.filter(F.col(column).isNotNull()).select(part.cast("long").alias("part"), F.col(column).alias("v"))
+    return rows.groupBy("part").applyInPandas(fill, f"part long, batch int, {column} string")

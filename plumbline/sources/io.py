@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from plumbline import schemas
 from plumbline.functions import text as X
+from plumbline.operators.match import latest
 
 
 def read_records(spark: SparkSession, path: str, row_tag: str = "inproceedings") -> DataFrame:
@@ -107,7 +108,7 @@ def append_reviews(df: DataFrame, path: str) -> None:
 
 
 def update_reviews(log: DataFrame, changed: DataFrame, key: str = "dblp_key") -> DataFrame:
-    """The log with changed verdicts in place of the old ones."""
+    """The log with changed verdicts in place of the old ones; of several changes of a key the one with the highest values, column by column, counts."""
     columns = [c for c in log.columns if c != key]
-    new = changed.select(key, *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_hit"))
+    new = latest(changed, key, [F.col(c).desc_nulls_last() for c in columns]).select(key, *(F.col(c).alias(f"_{c}") for c in columns), F.lit(True).alias("_hit"))
     return log.join(new, key, "left").select(key, *(F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in columns))

@@ -48,19 +48,29 @@ def ask(fetch: Fetcher, values: list[str], attempts: int = 4, sleep: Callable[[f
     return [(status, None)]
 
 
-def scan(requests: DataFrame, fetch: Fetcher, per_second: float = 8.0) -> DataFrame:
-    """(cache_key, status, body) of each request; each task keeps to its share of the rate."""
+def scan(requests: DataFrame, fetch: Fetcher, per_second: float = 8.0, lanes: int = 4, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(cache_key, status, body) of each request.
+
+    Requests go through `lanes` tasks, each at its share of `per_second`, so
+    the rate holds for the whole job.  A lane whose budget is spent (429
+    without a wait) asks no more: its other requests have no row and stay
+    pending.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spent = False
         for frame in frames:
             rows = []
             for key, values in zip(frame["cache_key"], frame["values"], strict=True):
+                if spent:
+                    break
                 for status, body in ask(fetch, list(values)):
                     rows.append((key, status, body))
-                    time.sleep(1 / per_second)
+                    spent |= status == 429
+                    sleep(lanes / per_second)
             yield pd.DataFrame(rows, columns=["cache_key", "status", "body"])
 
-    return requests.mapInPandas(run, "cache_key string, status int, body string")
+    return requests.repartition(lanes).mapInPandas(run, "cache_key string, status int, body string")
 
 
 def parsed(answers: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.storage import exists, is_file, overwrite
+from plumbline.operators.match import latest
+from plumbline.storage import exists, is_file
 
 
 def read_stream(spark: SparkSession, path: str, max_files: int = 16) -> DataFrame:
@@ -37,8 +38,9 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours")
     return agg.select("user_id", F.col("session_window.start").alias("first_ts"), F.col("session_window.end").alias("end_ts"), "n")
 
 
-def distinct_events(events: DataFrame, late: str = "2 hours") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def distinct_events(events: DataFrame, late: str | None = "2 hours") -> DataFrame:
+    """One row per event; repeats are known for as long as `late`, or in the whole run where that is None."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if late else events.dropDuplicates(["event_id"])
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
@@ -48,14 +50,30 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     return q
 
 
-def upsert_latest(stream: DataFrame, target: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Keep one row per key in the table at `target`: each micro-batch replaces the rows of its keys."""
+def upsert_latest(stream: DataFrame, target: str, key: str, checkpoint: str, order: list[str], buckets: int = 64) -> StreamingQuery:
+    """Keep one row per key in the table at `target`, the one with the highest values of `order`; rows without key go.
+
+    The table lies in `buckets` folders by hash of the key; a micro-batch
+    rewrites only those that its keys are in.  A micro-batch that is run again
+    changes nothing.
+    """
+
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        if exists(spark, target):
-            batch = batch.unionByName(spark.read.parquet(target).join(batch.select(key).distinct(), key, "left_anti"))
-        overwrite(batch, target)
+        by = [*(F.col(c).desc_nulls_last() for c in order), *(F.col(c).desc_nulls_last() for c in batch.columns if c not in (key, *order))]
+        new = latest(batch, key, by).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in new.select("_bucket").distinct().collect()]  # at most `buckets`
+        if touched:
+            old = spark.read.schema(new.schema).parquet(target).filter(F.col("_bucket").isin(touched)).select(*new.columns) if exists(spark, target) else None
+            rows = latest(new.unionByName(old), key, by) if old is not None else new
+            rows.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("_bucket").parquet(target)
+        new.unpersist()
 
     q = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return q
+
+
+def read_latest(spark: SparkSession, target: str) -> DataFrame:
+    """The table that upsert_latest keeps."""
+    return spark.read.parquet(target).drop("_bucket")
