@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from plumbline.functions import stats
 
+from plumbline.storage import shared_dir
+
 
 def hit_rate(papers: DataFrame, venue: str, doi: Column, matched: Column, abstract: Column, year: str) -> DataFrame:
     """Per venue: counts with and without DOI, matched, with abstract; rates; first and last year."""
@@ -67,13 +70,24 @@ def summary(log: DataFrame, group: str = "group") -> DataFrame:
     return log.rollup(group).agg(*(F.count_if(F.col("correct") == v).alias(n) for v, n in (("y", "right"), ("n", "wrong"), ("s", "skipped"))), *(F.count_if((F.col("correct") == "n") & (F.col("error_type") == e)).alias(n) for e, n in (("g", "wrong_group"), ("t", "wrong_topic"), ("b", "both"))))
 
 
+# Fixed value: how a note names the group that a row should be in.
+NOTE = r"[Ss]hould be\s+([^:;]+?)(?:\s+or\s+|\s*[:;]|$)"
+#: Most groups of a registry; it is a list that people keep by hand.
+MAX_GROUPS = 1000
+
+
 def suggested_group(log: DataFrame, registry: DataFrame, key: str, notes: str = "notes") -> DataFrame:
     """(key, suggestion): the first group in registry order that a note's "should be X" names, or that names it."""
-    said = log.select(key, F.lower(F.trim(F.regexp_extract(notes, r"[Ss]hould be\s+([^:;]+?)(?:\s+or\s+|\s*[:;]|$)", 1))).alias("_s")).filter("_s <> ''")
-    name = F.lower("group")
-    # The registry is a fixed list of some ten groups.
-    hits = said.join(F.broadcast(registry.select("group", "order")), F.col("_s").contains(name) | name.contains(F.col("_s")))
-    return hits.groupBy(key).agg(F.min_by("group", "order").alias("suggestion"))
+    said = log.select(key, F.lower(F.trim(F.regexp_extract(notes, NOTE, 1))).alias("_s")).filter("_s <> ''")
+    groups = [(r[0], r[1]) for r in registry.select("group", "order").filter("`group` is not null").orderBy("order", "group").limit(MAX_GROUPS + 1).collect()]
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"a registry of more than {MAX_GROUPS} groups")
+    if not groups:
+        return said.select(key, F.lit(None).cast("string").alias("suggestion")).limit(0)
+    # The registry as one array: the first of its names that fits, without pairs of notes and groups.
+    names = F.array(*(F.lit(g) for g, _ in groups))
+    fits = F.filter(names, lambda g: F.col("_s").contains(F.lower(g)) | F.lower(g).contains(F.col("_s")))
+    return said.filter(F.size(fits) > 0).select(key, fits[0].alias("suggestion"), F.array_position(names, fits[0]).alias("_o")).groupBy(key).agg(F.min_by("suggestion", "_o").alias("suggestion"))
 
 
 def milestones(log: DataFrame) -> DataFrame:
@@ -90,20 +104,20 @@ def registry(papers: DataFrame, groups: DataFrame, group: str = "group") -> Data
     return out.withColumn("share", F.round(F.coalesce(F.try_divide(F.col("papers"), total), F.lit(0.0)), 6))
 
 
-def ecdf(rows: DataFrame, value: str, key: str, buckets: int = 1000) -> DataFrame:
-    """(key, value, ecdf): place over number, ties by key.
+def ecdf(rows: DataFrame, value: str, key: str) -> DataFrame:
+    """(key, value, ecdf): place over number, ties by key; null values have none.
 
-    Values are first dealt to ranges, so that the running place is a window
-    within a range plus the sizes of the ranges below, never one over all
-    rows in one task.
+    Rows are dealt to ranges of (value, key) and written, so that the running
+    place is a window within a range plus the sizes of the ranges below.
+    Neither an outlier nor a value that most rows share fills one range.
     """
+    spark = rows.sparkSession
+    folder = shared_dir(spark, "ecdf")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = rows.filter(F.col(value).isNotNull()).select(F.col(key), F.col(value))
-    lo, hi = r.agg(F.min(value), F.max(value)).first()
-    if lo is None:
-        return r.withColumn("ecdf", F.lit(1.0))
-    width = float(hi - lo) or 1.0
-    dealt = r.withColumn("_r", F.least(F.floor((F.col(value) - lo) / width * buckets), F.lit(buckets - 1)).cast("long"))
-    sizes = dealt.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    r.repartitionByRange(n, value, key).withColumn("_r", F.spark_partition_id()).write.parquet(folder)
+    dealt = spark.read.schema(StructType([*r.schema.fields, StructField("_r", IntegerType())])).parquet(folder)
+    sizes = dealt.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))  # one row per range
     below = sizes.select("_r", F.sum("_n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)).alias("_below"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
     place = F.row_number().over(Window.partitionBy("_r").orderBy(value, key))
-    return dealt.join(F.broadcast(below), "_r").select(key, value, F.round((F.coalesce("_below", F.lit(0)) + place) / F.col("_all"), 9).alias("ecdf"))
+    return dealt.withColumn("_place", place).join(below, "_r").select(key, value, F.round((F.coalesce("_below", F.lit(0)) + F.col("_place")) / F.col("_all"), 9).alias("ecdf"))

@@ -27,11 +27,27 @@ def stratum_plan(rows: DataFrame, stratum: str, forced: list[str], size: int, ca
     return counts.crossJoin(F.broadcast(totals)).select(stratum, "n", k.cast("long").alias("k"))  # totals is one row
 
 
+#: Hexadecimal digits of the hash that deal a stratum's rows to ranges.
+RANGE_DIGITS = 4
+
+
 def stratified(rows: DataFrame, stratum: str, key: str, forced: list[str], size: int, cap: int, seed: int = 42) -> DataFrame:
-    """All rows with in_fit: is the row among the first k of its stratum in hash order?"""
-    plan = stratum_plan(rows, stratum, forced, size, cap)
-    order = Window.partitionBy(stratum).orderBy(hash_order(F.col(key), seed), key)
-    return rows.filter(F.col(stratum).isNotNull()).withColumn("_rank", F.row_number().over(order)).join(plan.select(stratum, "k"), stratum).withColumn("in_fit", F.col("_rank") <= F.col("k")).drop("_rank", "k")
+    """All rows with in_fit: is the row among the first k of its stratum in hash order?  Rows that repeat a key go together.
+
+    No stratum is sorted whole: counts by ranges of the hash tell in which
+    range the k-th row is, the rows of that range alone are ranked, and each
+    row is compared with the last one taken.
+    """
+    k = stratum_plan(rows, stratum, forced, size, cap).select(stratum, "k")
+    hashed = rows.filter(F.col(stratum).isNotNull()).withColumn("_h", F.struct(hash_order(F.col(key), seed).alias("h"), F.col(key).alias("key")))
+    spread = F.substring("_h.h", 1, RANGE_DIGITS)
+    counts = hashed.groupBy(stratum, spread.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(stratum).orderBy("_p"))).join(k, stratum)
+    edge = upto.filter((F.col("_upto") - F.col("_n") < F.col("k")) & (F.col("k") <= F.col("_upto"))).select(stratum, "_p", (F.col("k") - F.col("_upto") + F.col("_n")).alias("_need"))
+    near = hashed.select(stratum, "_h", spread.alias("_p")).join(edge, [stratum, "_p"])
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy(stratum).orderBy("_h"))).filter("_rank <= _need")
+    last = ranked.groupBy(stratum).agg(F.max("_h").alias("_last"))  # one row per stratum
+    return hashed.join(last, stratum, "left").withColumn("in_fit", F.coalesce(F.col("_h") <= F.col("_last"), F.lit(False))).drop("_h", "_last").select(stratum, *(c for c in rows.columns if c != stratum), "in_fit")
 
 
 def equal_per_group(rows: DataFrame, group: str, key: str, n: int, groups: int, seed: int = 42) -> DataFrame:

@@ -174,15 +174,25 @@ def net_flow(flows: DataFrame, bucket: str, least: int = 5) -> DataFrame:
 
 
 def citation_panel(rows: DataFrame, per: list[str], cites: str) -> DataFrame:
-    """Median, mean, total, share uncited and h-index of a group's citations."""
-    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*per).orderBy(F.desc(cites))))
-    return ranked.groupBy(*per).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.median(cites), 6).alias("median_cites"),
-        F.round(F.avg(cites), 6).alias("mean_cites"),
-        F.sum(cites).alias("total_cites"),
-        F.round(F.avg((F.col(cites) == 0).cast("double")), 6).alias("uncited"),
-        F.max(F.least(F.col("_r").cast("long"), F.col(cites).cast("long"))).alias("h_index"),
+    """Median, mean, total, share uncited and h-index of a group's citations; nulls count in n alone.
+
+    All come from the counts of rows by group and number of citations, so no
+    group's rows meet in one task.
+    """
+    counted = rows.groupBy(*per, F.col(cites).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    known = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+    up = Window.partitionBy(*per).orderBy(F.col("_v").asc_nulls_first())
+    placed = counted.withColumns({"_upto": F.sum(known).over(up), "_all": F.sum(known).over(Window.partitionBy(*per))})
+    at = lambda place: F.max(F.when((F.col("_upto") - known <= place) & (place < F.col("_upto")), F.col("_v")))
+    middle = (at(F.floor((F.col("_all") - 1) / 2)) + at(F.floor(F.col("_all") / 2))) / 2
+    total = F.sum(F.col("_v") * F.col("_n"))
+    return placed.groupBy(*per).agg(
+        F.sum("_n").alias("n"),
+        F.round(middle.cast("double"), 6).alias("median_cites"),
+        F.round(F.try_divide(total, F.sum(known)), 6).alias("mean_cites"),
+        total.alias("total_cites"),
+        F.round(F.try_divide(F.sum(F.when(F.col("_v") == 0, F.col("_n")).otherwise(0)), F.sum(known)), 6).alias("uncited"),
+        F.max(F.when(F.col("_v").isNotNull(), F.least(F.col("_all") - F.col("_upto") + known, F.col("_v").cast("long")))).alias("h_index"),
     )
 
 

@@ -45,13 +45,13 @@ def nearest(vectors: DataFrame, id_column: str, vector: str, cents: DataFrame, t
     column whose topic is passed over.
     """
     spark = vectors.sparkSession
-    n = cents.count()
+    rows = cents.orderBy(topic).limit(MAX_BROADCAST + 1).collect()
+    n = len(rows)
     frame = vectors.select(id_column, *([exclude] if exclude else []), vector)
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]]
     schema = ", ".join([*kinds, f"nearest {cents.schema[topic].dataType.simpleString()}", "sim double"])
     if n > MAX_BROADCAST:
         return _nearest_in_cells(frame, id_column, vector, cents, topic, exclude)
-    rows = cents.orderBy(topic).collect()  # at most MAX_BROADCAST
     names = np.array([r[topic] for r in rows])
     table = spark.sparkContext.broadcast((names, np.array([r["centroid"] for r in rows], dtype=np.float64).reshape(n, -1)))
 

@@ -94,16 +94,9 @@ def normalize_text_nfkc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.normalize(F.col("text"))).alias("norm_md5"))
 
 
-@query(f"WITH t AS (SELECT doc_id, substr(text, 1, 30) AS title, CASE WHEN doc_id % 4 > 0 THEN substr(text, 31, 60) END AS abstract FROM documents) SELECT doc_id, length(coalesce(abstract, '')) > 0 AS has_abstract, trim({_NORM.format(x='title')} || ' ' || {_NORM.format(x=chr(99) + 'oalesce(abstract, ' + chr(39) * 2 + ')')}) AS text FROM t")
-def text_fields(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    rows = d.select("doc_id", F.substring("text", 1, 30).alias("title"), F.when(F.col("doc_id") % 4 > 0, F.substring("text", 31, 60)).alias("abstract"))
-    return C.text_fields(rows, compose=False).select("doc_id", "has_abstract", "text")
-
-
 @query(f"WITH t AS (SELECT doc_id, substr(text, 1, 30) AS title, CASE WHEN doc_id % 4 > 0 THEN substr(text, 31) END AS abstract FROM documents) SELECT doc_id, length(coalesce(abstract, '')) > 0 AS has_abstract, trim({_NORM.format(x='title')} || ' ' || {_NORM.format(x=chr(99) + 'oalesce(abstract, ' + chr(39) * 2 + ')')}) AS text FROM t")
-def text_fields_whole_text(spark, sf_dir):
-    """text_fields with all that follows the title as the abstract."""
+def text_fields(spark, sf_dir):
+    """The first 30 characters as the title, all that follows as the abstract."""
     d = table(spark, sf_dir, "documents")
     rows = d.select("doc_id", F.substring("text", 1, 30).alias("title"), F.when(F.col("doc_id") % 4 > 0, F.expr("substring(text, 31)")).alias("abstract"))
     return C.text_fields(rows, compose=False).select("doc_id", "has_abstract", "text")
@@ -285,8 +278,7 @@ _LOG = "SELECT doc_id, lang AS \"group\", CASE doc_id % 3 WHEN 0 THEN 'y' WHEN 1
 
 
 def _log(spark, sf_dir):
-    table(spark, sf_dir, "documents").createOrReplaceTempView("_plumbline_documents")
-    return spark.sql(_LOG.format(t="STRING").replace('"group"', "`group`").replace("FROM documents", "FROM _plumbline_documents"))
+    return spark.sql(_LOG.format(t="STRING").replace('"group"', "`group`").replace("FROM documents", "FROM {docs}"), docs=table(spark, sf_dir, "documents"))
 
 
 _LOG_SQL = _LOG.format(t="VARCHAR")

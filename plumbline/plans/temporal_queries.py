@@ -250,6 +250,6 @@ def events_stream_distinct(spark, sf_dir):
     from plumbline.streaming import events
 
     folder = shared_dir(spark, "events")
-    stream = events.distinct_events(events.read_stream(spark, f"{sf_dir}/events.parquet"), late="60 days")
+    stream = events.distinct_events(events.read_stream(spark, f"{sf_dir}/events.parquet"), late=None)
     events.run_available(stream.select("event_id", "user_id", "event_type", "value"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")

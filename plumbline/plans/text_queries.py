@@ -8,6 +8,7 @@ from plumbline.functions import text as T
 from plumbline.operators import terms as O
 from plumbline.plans.registry import query, table
 from plumbline.sources import html
+from plumbline.storage import shared_dir
 
 _TERMS = r"""w AS (SELECT doc_id, lang, source, unnest(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z]+'))) AS term FROM documents),
 t AS (SELECT doc_id, lang, source, term, count(*) AS tf FROM w GROUP BY 1, 2, 3, 4)"""
@@ -49,7 +50,10 @@ _SOURCE_TOP = f"{_TERMS}, {_weights('source', 3)}, s AS (SELECT source, term, ra
 
 
 def _source_top(spark, sf_dir):
-    return _top(spark, sf_dir, ["source"], 3, 10)
+    """The ten words of each source, written: a small table, which would else be made anew from all texts in each use."""
+    folder = shared_dir(spark, "source-top")
+    _top(spark, sf_dir, ["source"], 3, 10).write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 @query(f"WITH {_SOURCE_TOP} SELECT count(*) AS n_words, count(DISTINCT term) AS n_unique, round(count(DISTINCT term) / count(*), 6) AS diversity FROM s")
@@ -131,14 +135,8 @@ def _reindexed(d, text):
     return d.select("doc_id").join(index, "doc_id", "left").select("doc_id", T.inverted_index_text(F.coalesce("index", F.create_map().cast("map<string,array<int>>"))).alias("rebuilt"))
 
 
-@query("SELECT doc_id, nullif(array_to_string(list_filter(string_split_regex(substr(text, 1, 200), '\\s+'), lambda x: x <> ''), ' '), '') AS rebuilt FROM documents")
-def inverted_index_reconstruct(spark, sf_dir):
-    """The first 200 characters only, as in its SQL; inverted_index_whole_text takes all."""
-    return _reindexed(table(spark, sf_dir, "documents"), F.substring("text", 1, 200))
-
-
 @query("SELECT doc_id, nullif(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' '), '') AS rebuilt FROM documents")
-def inverted_index_whole_text(spark, sf_dir):
+def inverted_index_reconstruct(spark, sf_dir):
     """Every word of every text, by way of its inverted index."""
     return _reindexed(table(spark, sf_dir, "documents"), F.col("text"))
 
