@@ -12,9 +12,17 @@ _made: list[str] = []
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir; below a local one only where that is unset."""
+    """A fresh folder below spark.checkpoint.dir.
+
+    Where that is unset, below a local one if the session runs in one process;
+    a cluster has no folder that all its machines share unless it names one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    path = posixpath.join(base or "file:///tmp/plumbline-shared", f"{name}-{uuid.uuid4().hex}")
+    if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        base = "file:///tmp/plumbline-shared"
+    path = posixpath.join(base, f"{name}-{uuid.uuid4().hex}")
     _made.append(path)
     return path
 

@@ -129,8 +129,8 @@ def test_streams(spark, tmp_path):
     assert spark.sql("select sum(n) from tumbling").collect()[0][0] == batch.agg(F.sum("n")).collect()[0][0]
     q = events.sessions(stream).writeStream.outputMode("append").format("memory").queryName("sessions").trigger(availableNow=True).start()
     q.awaitTermination()
-    events.upsert_latest(stream.select("user_id", "value"), str(tmp_path / "latest"), "user_id", str(tmp_path / "cp2"))
-    assert storage.exists(spark, str(tmp_path / "latest"))
+    events.upsert_latest(stream.select("user_id", "ts", "value"), str(tmp_path / "latest"), "user_id", str(tmp_path / "cp2"), ["ts"])
+    assert events.read_latest(spark, str(tmp_path / "latest")).count() == e.select("user_id").distinct().count()
 
 
 def test_flows(spark, tmp_path):
