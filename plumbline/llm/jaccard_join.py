@@ -198,8 +198,13 @@ def _cells(frame: DataFrame, group: str, size: str, block: int) -> DataFrame:
     return frame.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}).drop("_other")
 
 
+def _keys() -> dict:
+    """What a row is known by: its id (the least number for null) and a hash of its text."""
+    return {"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "text_key": F.xxhash64(F.col("text").cast("string"))}
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc, node (fingerprint of the set), and the node's coordinates."""
+    """doc, text_key, node (fingerprint of the set), and the node's coordinates."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
@@ -209,10 +214,10 @@ def _sets(docs: DataFrame) -> DataFrame:
             raw = np.full(len(counts), None, dtype=object)
             raw[full] = [s.tobytes() for s in sketch]
             node = fingerprints(sets, counts).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array(counts, pa.int64()), pa.array(raw.tolist(), pa.binary())], names=["doc", "node", "n_shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(node), pa.array(counts, pa.int64()), pa.array(raw.tolist(), pa.binary())], names=["doc", "text_key", "node", "n_shingles", "sketch"])
 
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc")
-    return docs.select(key, F.col("text").cast("string").alias("text")).mapInArrow(run, "doc long, node long, n_shingles long, sketch binary")
+    keys = _keys()
+    return docs.select(keys["doc"].alias("doc"), F.col("text").cast("string").alias("text"), keys["text_key"].alias("text_key")).mapInArrow(run, "doc long, text_key long, node long, n_shingles long, sketch binary")
 
 
 def _paths(nodes: DataFrame, runs: int, depth: int, similarity: float) -> DataFrame:
@@ -338,13 +343,41 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     doc_id has a null class_id unless its class holds another id.  An empty
     table gives an empty one.
     """
+    full, alone, classes = _classes(docs, similarity, recall)
+    doc_id = F.when(F.col("doc") != -(1 << 63), F.col("doc"))
+    own = alone.select(doc_id.alias("doc_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+    return full.select("doc", "node").join(classes, "node").select(doc_id.alias("doc_id"), F.when(~F.col("first.no_id"), F.col("first.doc")).alias("class_id"), "n_links").unionByName(own)
+
+
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """Of each class of near duplicates one row with all its columns: that of the least id (null last), then of the least hash of its text.
+
+    A class is a chain of links, so a text may go that is near to a text that
+    goes and not to the one that stays.  Texts without words stay; rows that
+    repeat both id and text are one.  An empty table gives an empty one.
+    """
+    full, _, classes = _classes(docs, similarity, recall)
+    row = full.select("node", F.struct(_no_id().alias("no_id"), "doc", "text_key").alias("row"))
+    later = row.join(classes.select("node", "first"), "node").filter("row <> first").select("row.doc", "row.text_key").distinct()
+    keyed = docs.withColumns({f"__{k}": v for k, v in _keys().items()})
+    kept = keyed.join(later.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key")), ["__doc", "__text_key"], "left_anti")
+    repeated = keyed.groupBy("__doc", "__text_key").count().filter("count > 1").limit(1).count() > 0
+    return (kept.dropDuplicates(["__doc", "__text_key"]) if repeated else kept).select(*docs.columns)
+
+
+def _no_id():
+    return F.col("doc") == -(1 << 63)
+
+
+def _classes(docs: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows with words (doc, text_key, node), rows without, and of each node: the first row of its class (no_id, doc, text_key) and its links."""
     spark = docs.sparkSession
     folder = shared_dir(spark, "near-duplicates")
     _sets(docs).write.parquet(f"{folder}/sets")
     sets = spark.read.parquet(f"{folder}/sets")
     full = sets.filter("sketch is not null")
     # Documents of equal sets are one node: its size and least document are pre-aggregated.
-    full.groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch")).write.parquet(f"{folder}/nodes")
+    full.groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.max("sketch").alias("sketch"), F.min(F.struct(_no_id().alias("no_id"), "doc", "text_key")).alias("first")).write.parquet(f"{folder}/nodes")
     nodes = spark.read.parquet(f"{folder}/nodes")
     found, some = [], nodes
     # What pairs may be missed is shared by all depths: however deep the large parts go, the sum is 1 - recall.
@@ -377,9 +410,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, recall: flo
     links = spark.read.parquet(f"{folder}/links")
     roots = components(links)
     total = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    known = nodes.select("node", "rep", "copies").join(roots, "node", "left").join(total, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = known.groupBy("root").agg(F.min(F.when(F.col("rep") != -(1 << 63), F.col("rep"))).alias("class_id"))
-    classes = known.join(least, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    doc_id = F.when(F.col("doc") != -(1 << 63), F.col("doc"))
-    alone = sets.filter("sketch is null").select(doc_id.alias("doc_id"), doc_id.alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return full.select("doc", "node").join(classes, "node").select(doc_id.alias("doc_id"), "class_id", "n_links").unionByName(alone)
+    known = nodes.select("node", "first", "copies").join(roots, "node", "left").join(total, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = known.groupBy("root").agg(F.min("first").alias("first"))
+    classes = known.drop("first").join(least, "root").select("node", "first", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return full, sets.filter("sketch is null"), classes
