@@ -3,6 +3,9 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of documents.  Between stages the rows are written as
 Parquet and read again.
+
+In all stages a null text counts as an empty one, further columns are kept
+whatever their names, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -23,25 +26,27 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below its threshold."""
+    """Documents whose toxicity score is below its threshold; repeated rows stay or go together."""
     return toxicity.score(docs, _labels(spark, sf_dir), prefix=OWN).filter(f"{OWN}predicted = 0").select(*docs.columns)
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score reaches its threshold."""
+    """Documents whose quality score reaches its threshold; repeated rows stay or go together."""
     return quality.score(docs, _labels(spark, sf_dir), prefix=OWN).filter(f"{OWN}predicted = 1").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id."""
-    others = jaccard_join.near_duplicates(docs).filter("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
-    repeated = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count() > 0
-    return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+    """Of each class of near duplicates the document with the least id (null last; of one id the least hash of the text).
+
+    A class is a chain of links: a text may go that is near to another that
+    goes, and not to the one that stays.  Rows that repeat id and text are one;
+    texts without words stay.
+    """
+    return jaccard_join.keep_first(docs)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the strings of 100 bytes that an earlier text holds; n_chars follows."""
+    """Texts without the strings of 100 bytes that an earlier text holds; n_chars follows.  A null text stays null; rows that repeat id and text are one document listed twice."""
     cut = suffix_dedup.deduplicate(docs, prefix=OWN)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
@@ -50,7 +55,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all pieces in sequences of 4096 tokens."""
+    """Places of all pieces in sequences of 4096 tokens; each row is packed for itself, one without text as its end id."""
     return packing.pack(docs, TOKENIZER, capacity=4096, end_id=1)
 
 
@@ -62,7 +67,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: The classifiers' fits and the tokenizer are beyond SQL; the stages are tested against brute force.
+#: The classifiers' fits and the tokenizer are beyond SQL; tests/llm holds each stage against a brute-force version on its own input.
 ORACLE_SQL = None
 
 
