@@ -52,29 +52,35 @@ def chosen_paths(messages: DataFrame, branches: int = 1, rounds: int = 40) -> Da
     `messages` has conv, node, parent and score.  A parent that isn't in the
     conversation counts as none.  Paths rank by the sum of their scores, ties
     by the smaller leaf.  Messages that are their own ancestors have no root
-    and take no part.
+    and take no part.  Of rows that repeat a message the one with the least
+    parent (null first), then the least score, counts; a null node is no
+    message, and a null conv no conversation.
     """
     spark = messages.sparkSession
     folder = shared_dir(spark, "reply-trees")
-    nodes = messages.select("conv", "node", "parent", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")
+    nodes = messages.filter("conv is not null and node is not null").groupBy("conv", "node").agg(F.min(F.struct("parent", score)).alias("_m")).select("conv", "node", "_m.parent", "_m.score")
     there = nodes.select("conv", F.col("node").alias("parent"), F.col("node").alias("hop"))
     linked = nodes.join(there, ["conv", "parent"], "left")
     jump = linked.select("conv", "node", "hop", F.lit(1).cast("long").alias("turns"), F.col("score").alias("total"))
-    levels, schema, before = [], jump.schema, None
+    # Messages that have met their root lie apart, so that each round reads of the earlier ones these alone.
+    schema = jump.withColumn("rooted", F.lit(True)).schema
+    read = lambda n: spark.read.schema(schema).parquet(*(f"{folder}/jump/{i}" for i in n))
+    levels, before = [], None
     for k in range(rounds):
-        jump.write.parquet(f"{folder}/jump/{k}")
-        jump = spark.read.schema(schema).parquet(f"{folder}/jump/{k}")
+        jump.withColumn("rooted", F.col("hop").isNull()).write.partitionBy("rooted").parquet(f"{folder}/jump/{k}")
+        jump = read([k])
         levels.append(jump)
-        todo = jump.filter("hop is not null")
+        todo = jump.filter("not rooted")
         left = todo.count()
         if left == 0 or left == before:  # none, or only those of circles
             break
         before = left
         # Only messages that haven't met their root go on; those that have are still met by others.
-        met = spark.read.schema(schema).parquet(*(f"{folder}/jump/{i}" for i in range(k))).filter("hop is null").unionByName(jump) if k else jump
+        met = read(range(k)).filter("rooted").unionByName(jump) if k else jump
         on = met.select("conv", F.col("node").alias("hop"), F.col("hop").alias("_hop"), F.col("turns").alias("_turns"), F.col("total").alias("_total"))
         jump = todo.join(on, ["conv", "hop"]).select("conv", "node", F.col("_hop").alias("hop"), (F.col("turns") + F.col("_turns")).alias("turns"), (F.col("total") + F.col("_total")).alias("total"))
-    rooted = spark.read.schema(schema).parquet(*(f"{folder}/jump/{i}" for i in range(len(levels)))).filter("hop is null")
+    rooted = read(range(len(levels))).filter("rooted")
     parents = nodes.select("conv", F.col("parent").alias("node")).filter("node is not null").distinct()
     best = Window.partitionBy("conv").orderBy(F.col("total").desc(), "node")
     path = rooted.join(parents, ["conv", "node"], "left_anti").withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("conv", "branch", "node", "turns", F.lit(0).cast("long").alias("back"))
@@ -83,7 +89,7 @@ def chosen_paths(messages: DataFrame, branches: int = 1, rounds: int = 40) -> Da
     schema = path.schema
     for k, level in enumerate(levels[:-1]):
         path = spark.read.schema(schema).parquet(*(f"{folder}/path/{i}" for i in range(k + 1)))
-        above = path.join(level.filter("hop is not null").select("conv", "node", "hop"), ["conv", "node"]).select("conv", "branch", F.col("hop").alias("node"), "turns", (F.col("back") + (1 << k)).alias("back"))
+        above = path.join(level.filter("not rooted").select("conv", "node", "hop"), ["conv", "node"]).select("conv", "branch", F.col("hop").alias("node"), "turns", (F.col("back") + (1 << k)).alias("back"))
         above.select(*schema.fieldNames()).write.parquet(f"{folder}/path/{k + 1}")
     path = spark.read.schema(schema).parquet(*(f"{folder}/path/{i}" for i in range(len(levels))))
     return path.select("conv", "branch", (F.col("turns") - 1 - F.col("back")).alias("position"), "node")
@@ -117,9 +123,16 @@ def by_turn(conversations: DataFrame) -> DataFrame:
     return numbered.select("conv", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), F.lit(0.0).alias("score"), "role", "text")
 
 
-def format_trees(messages: DataFrame, folder: str, branches: int = 1) -> None:
-    """Write the best paths of each conversation, in order, as Parquet."""
+def format_trees(messages: DataFrame, folder: str, branches: int = 1, unique: bool = False) -> None:
+    """Write the best paths of each conversation, in order, as Parquet.
+
+    Of rows that repeat a message one counts, the least by parent, score, role
+    and text; `unique` says that there are none.
+    """
     spark = messages.sparkSession
+    if not unique:
+        one = F.min(F.struct("parent", "score", "role", "text")).alias("_m")
+        messages = messages.filter("conv is not null and node is not null").groupBy("conv", "node").agg(one).select("conv", "node", "_m.*")
     messages.write.parquet(f"{folder}/messages")
     staged = spark.read.parquet(f"{folder}/messages")
     turns = write_turns(staged, chosen_paths(staged, branches))

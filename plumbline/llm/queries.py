@@ -46,7 +46,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", forged), (-7, 1, "assistant", forged)], "conv_id long, turn long, role string, text string")
     rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     folder = shared_dir(spark, "chat")
-    chat.format_trees(chat.by_turn(rows), folder)
+    chat.format_trees(chat.by_turn(rows), folder, unique=True)
     conv_id = F.when(F.col("conv") != -(1 << 63), F.col("conv")).alias("conv_id")
     return chat.read_digests(spark, folder).select(conv_id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 

@@ -755,6 +755,20 @@ def test_reply_trees(spark):
     assert sorted((r["position"], r["node"]) for r in chat.chosen_paths(deep).collect()) == [(i, i) for i in range(70)]
 
 
+def test_repeated_messages_and_ranked_branches(spark):
+    rows = [(1, 1, None, 0.0, "user", "q"), (1, 2, 1, 5.0, "assistant", "good"), (1, 3, 1, 1.0, "assistant", "bad"), (1, 4, 2, 0.0, "user", "more")] * 2
+    rows += [(1, 4, 3, 9.0, "user", "late"), (1, None, 1, 99.0, "user", "no node"), (None, 1, None, 1.0, "user", "no conv"), (2, 7, None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv long, node long, parent long, score double, role string, text string")
+    got = sorted(map(tuple, chat.chosen_paths(df, branches=2).collect()))
+    assert got == [(1, 1, 0, 1), (1, 1, 1, 2), (1, 1, 2, 4), (1, 2, 0, 1), (1, 2, 1, 3), (2, 1, 0, 7)]
+    folder = shared_dir(spark, "chat")
+    chat.format_trees(df, folder, branches=2)
+    texts = {}
+    for r in spark.read.parquet(f"{folder}/formatted").orderBy("conv", "branch", "position").collect():
+        texts.setdefault((r["conv"], r["branch"]), []).append(chat.parse(r["piece"]))
+    assert texts == {(1, 1): [("user", "q"), ("assistant", "good"), ("user", "more")], (1, 2): [("user", "q"), ("assistant", "bad")], (2, 1): [("", "")]}
+
+
 # ---- media
 
 
