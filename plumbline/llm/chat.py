@@ -64,12 +64,12 @@ def chosen_paths(messages: DataFrame, branches: int = 1, rounds: int = 40) -> Da
     linked = nodes.join(there, ["conv", "parent"], "left")
     jump = linked.select("conv", "node", "hop", F.lit(1).cast("long").alias("turns"), F.col("score").alias("total"))
     # Messages that have met their root lie apart, so that each round reads of the earlier ones these alone.
-    schema = jump.withColumn("rooted", F.lit(True)).schema
-    read = lambda n: spark.read.schema(schema).parquet(*(f"{folder}/jump/{i}" for i in n))
+    schema = jump.withColumns({"level": F.lit(0), "rooted": F.lit(True)}).schema
+    read = lambda: spark.read.schema(schema).parquet(f"{folder}/jump")
     levels, before = [], None
     for k in range(rounds):
-        jump.withColumn("rooted", F.col("hop").isNull()).write.partitionBy("rooted").parquet(f"{folder}/jump/{k}")
-        jump = read([k])
+        jump.withColumn("rooted", F.col("hop").isNull()).write.partitionBy("rooted").parquet(f"{folder}/jump/level={k}")
+        jump = read().filter(F.col("level") == k)
         levels.append(jump)
         todo = jump.filter("not rooted")
         left = todo.count()
@@ -77,10 +77,10 @@ def chosen_paths(messages: DataFrame, branches: int = 1, rounds: int = 40) -> Da
             break
         before = left
         # Only messages that haven't met their root go on; those that have are still met by others.
-        met = read(range(k)).filter("rooted").unionByName(jump) if k else jump
+        met = read().filter(F.col("rooted") | (F.col("level") == k))
         on = met.select("conv", F.col("node").alias("hop"), F.col("hop").alias("_hop"), F.col("turns").alias("_turns"), F.col("total").alias("_total"))
         jump = todo.join(on, ["conv", "hop"]).select("conv", "node", F.col("_hop").alias("hop"), (F.col("turns") + F.col("_turns")).alias("turns"), (F.col("total") + F.col("_total")).alias("total"))
-    rooted = read(range(len(levels))).filter("rooted")
+    rooted = read().filter("rooted")
     parents = nodes.select("conv", F.col("parent").alias("node")).filter("node is not null").distinct()
     best = Window.partitionBy("conv").orderBy(F.col("total").desc(), "node")
     path = rooted.join(parents, ["conv", "node"], "left_anti").withColumn("branch", F.row_number().over(best)).filter(F.col("branch") <= branches).select("conv", "branch", "node", "turns", F.lit(0).cast("long").alias("back"))
