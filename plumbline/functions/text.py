@@ -214,6 +214,12 @@ def log_fold_change(share: Column, before: Column, most: float = 2.0) -> Column:
     return F.greatest(F.lit(-most), F.least(F.lit(most), F.log2(share / before)))
 
 
+def growth_line(state: Column, percent: Column, before: Column) -> Column:
+    """What a card says of a topic's growth against the decade before; the wordings are fixed values."""
+    line = F.format_string("growth vs %s: %+.0f%% of share", before, percent.cast("double"))
+    return F.when(state == "na", "growth: — (no earlier decade)").when(state == "new", F.concat(F.lit("new vs "), before)).otherwise(line)
+
+
 def text_color(color: Column) -> Column:
     """Black or white, whichever reads better on a #rrggbb or rgb(r, g, b) colour."""
     numbers = F.regexp_extract_all(color, F.lit(r"[\d.]+"), F.lit(0))

@@ -51,18 +51,19 @@ def apply_overrides(papers: DataFrame, overrides: DataFrame, key: str, value: st
     return out.withColumn(value, F.when(F.col("_has"), F.col("_o")).otherwise(F.col(value))).drop("_o", "_has")
 
 
-def match_titles(papers: DataFrame, candidates: DataFrame, id_column: str, work_id: str, compose: bool = True) -> DataFrame:
+def match_titles(papers: DataFrame, candidates: DataFrame, id_column: str, work_id: str, compose: bool = True, own: bool = False) -> DataFrame:
     """Best candidate work of each paper: (id, work, kind).
 
     Strict is an equal normalized title of the same year; loose an equal loose
     key within a year.  Strict wins, then the candidate's position, then its
     id.  Both are equi-joins: the loose one meets each candidate year in the
-    three years around it.  Empty loose keys match nothing.
+    three years around it.  Empty loose keys match nothing.  With `own`,
+    candidates name the paper that they were found for, and match it alone.
     """
     p = papers.select(F.col(id_column), F.col("year").alias("_year"), T.loose_key(F.col("title"), compose).alias("_key"), T.normalize(F.col("title"), compose).alias("_norm"))
     around = F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))
-    c = candidates.select(F.col(work_id), "position", F.col("year").alias("_work_year"), T.loose_key(F.col("title"), compose).alias("_key"), T.normalize(F.col("title"), compose).alias("_work_norm"), around.alias("_year"))
-    hits = p.filter("_key <> ''").join(c, ["_key", "_year"])
+    c = candidates.select(*([id_column] if own else []), F.col(work_id), "position", F.col("year").alias("_work_year"), T.loose_key(F.col("title"), compose).alias("_key"), T.normalize(F.col("title"), compose).alias("_work_norm"), around.alias("_year"))
+    hits = p.filter("_key <> ''").join(c, [*([id_column] if own else []), "_key", "_year"])
     strict = (F.col("_norm") == F.col("_work_norm")) & (F.col("_year") == F.col("_work_year"))
     best = Window.partitionBy(id_column).orderBy(strict.desc(), "position", work_id)
     ranked = hits.withColumn("_strict", strict).withColumn("_n", F.row_number().over(best)).filter("_n = 1")

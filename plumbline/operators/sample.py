@@ -57,6 +57,16 @@ def equal_per_group(rows: DataFrame, group: str, key: str, n: int, groups: int,
     return taken.withColumn("place", hash_order(F.col(key), f"{seed}s"))
 
 
+def examples(rows: DataFrame, group: str, key: str, value: str, k: int = 8, chars: int | None = 90, seed: int = 42) -> DataFrame:
+    """(group, place, value): k values of each group in hash order, cut to `chars` characters, as a prompt shows them.
+
+    Tasks keep their own first k of a group, so no group meets in one task.
+    """
+    order = Window.partitionBy(group).orderBy(hash_order(F.col(key), seed), key, value)
+    taken = rows.filter(F.col(group).isNotNull() & F.col(value).isNotNull()).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
+    return taken.select(group, "place", (F.substring(value, 1, chars) if chars else F.col(value)).alias(value))
+
+
 def first_by_hash(rows: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """n rows without replacement."""
     return rows.orderBy(hash_order(F.col(key), seed), key).limit(n)

@@ -35,14 +35,50 @@ def class_counts(terms: DataFrame, cls: list[str], min_df: int) -> DataFrame:
     return kept.select(*cls, "term", "n")
 
 
-def class_tfidf(counts: DataFrame, cls: list[str]) -> DataFrame:
-    """(class, term, n, w): share within the class times ln(1 + mean tokens per class / tokens of the term)."""
+def _weighted(counts: DataFrame, cls: list[str]) -> DataFrame:
     per_class = counts.groupBy(*cls).agg(F.sum("n").alias("_c"))
     whole = per_class.agg((F.sum("_c") / F.count(F.lit(1))).alias("_a"))  # one row
-    w = F.col("n") / F.col("_c") * F.log1p(F.col("_a") / F.col("_f"))
+    idf = F.log1p(F.col("_a") / F.col("_f"))
     # A class may hold a third of all terms: its total comes by a join, not by a window over it.
     by_term = counts.withColumn("_f", F.sum("n").over(Window.partitionBy("term")))
-    return by_term.join(per_class, cls).crossJoin(F.broadcast(whole)).select(*cls, "term", "n", w.alias("w"))
+    return by_term.join(per_class, cls).crossJoin(F.broadcast(whole)).select(*cls, "term", "n", idf.alias("idf"), (F.col("n") / F.col("_c") * idf).alias("w"))
+
+
+def class_tfidf(counts: DataFrame, cls: list[str]) -> DataFrame:
+    """(class, term, n, w): share within the class times ln(1 + mean tokens per class / tokens of the term)."""
+    return _weighted(counts, cls).drop("idf")
+
+
+def topic_scores(terms: DataFrame, id_column: str, topic: str, outlier) -> DataFrame:
+    """(id, topic, score) of each outlier document and each topic that shares a term with it.
+
+    The score is the cosine of the document's weights (tf times the term's
+    factor of class_tfidf) and the topic's, but for the document's own length,
+    which is the same for all topics; it counts to 9 places.  The weights of a
+    term come as one list, of at most as many entries as there are topics, so
+    a document's terms join it once.
+    """
+    weights = _weighted(class_counts(terms, [topic], 1), [topic]).filter(F.col(topic) != outlier)
+    lengths = weights.groupBy(topic).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
+    packed = weights.groupBy("term").agg(F.max("idf").alias("idf"), F.collect_list(F.struct(topic, "w")).alias("_ws"))
+    met = terms.filter(F.col(topic) == outlier).select(id_column, "term", "tf").join(packed, "term")
+    parts = met.select(id_column, (F.col("tf") * F.col("idf")).alias("_x"), F.explode("_ws").alias("_s"))
+    dots = parts.groupBy(id_column, F.col(f"_s.{topic}").alias(topic)).agg(F.sum(F.col("_x") * F.col("_s.w")).alias("_d"))
+    return dots.join(lengths, topic).select(id_column, topic, F.round(F.col("_d") / F.col("_l"), 9).alias("score"))
+
+
+def reduce_outliers(rows: DataFrame, terms: DataFrame, id_column: str, topic: str, outlier) -> DataFrame:
+    """`rows` (id, topic) with outliers moved to the topic of greatest score, ties to the least; `share` is its part of the document's scores.
+
+    An outlier that shares no term with any topic stays one.  Other rows keep
+    their topic, and have no share.
+    """
+    scores = topic_scores(terms, id_column, topic, outlier)
+    whole = Window.partitionBy(id_column)
+    ranked = scores.withColumns({"share": F.try_divide("score", F.sum("score").over(whole)), "_n": F.row_number().over(whole.orderBy(F.desc("score"), topic))})
+    best = ranked.filter("_n = 1").select(id_column, F.col(topic).alias("_best"), "share")
+    moved = F.when(F.col(topic) == outlier, F.coalesce("_best", F.col(topic))).otherwise(F.col(topic))
+    return rows.drop("share").join(best, id_column, "left").withColumn(topic, moved).drop("_best")
 
 
 def top_terms(weights: DataFrame, cls: list[str], k: int, digits: int = 9) -> DataFrame:

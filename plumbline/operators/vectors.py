@@ -94,15 +94,30 @@ def cohesion(vectors: DataFrame, topic: str, vector: str, cents: DataFrame) -> D
     return mean.join(other.select(F.col(topic), F.col("nearest").alias("nearest_topic"), F.col("sim").alias("nearest_sim")), topic)
 
 
+def _prototypes(named: DataFrame, theme: str) -> DataFrame:
+    """Mean of the centroids of each theme's topics, numbered (one row per theme)."""
+    return centroids(named, theme, "centroid").withColumn("_t", F.row_number().over(Window.orderBy(theme)))
+
+
+def theme_coherence(cents: DataFrame, topic: str, themes: DataFrame, theme: str) -> DataFrame:
+    """Per theme: its topics, their mean similarity to its prototype, the nearest other theme (null if there is none) and how many topics are misfiled."""
+    named = cents.join(themes, topic)
+    numbered = _prototypes(named, theme)
+    own = named.join(numbered.select(theme, F.col("centroid").alias("_p")), theme)
+    intra = own.groupBy(theme).agg(F.count(F.lit(1)).alias("n_topics"), F.avg(dot(F.col("centroid"), F.col("_p"))).alias("intra_sim"))
+    near = nearest(numbered.select("_t", F.col("_t").alias("_self"), "centroid"), "_self", "centroid", numbered.select("_t", "centroid"), "_t", exclude="_t").filter("nearest <> _self")
+    other = near.join(numbered.select(F.col("_t").alias("_self"), theme), "_self").join(numbered.select(F.col("_t").alias("nearest"), F.col(theme).alias("nearest_theme")), "nearest").select(theme, "nearest_theme", F.col("sim").alias("nearest_sim"))
+    wrong = misfiled(cents, topic, themes, theme).groupBy(theme).agg(F.count_if("misfiled").alias("n_misfiled"))
+    return intra.join(other, theme, "left").join(wrong, theme, "left")
+
+
 def misfiled(cents: DataFrame, topic: str, themes: DataFrame, theme: str) -> DataFrame:
     """Per topic: the theme whose prototype (mean of its topics' centroids) is nearest, and whether that is another than its own.
 
     Themes join on the topic's id, never on row order.
     """
     named = cents.join(themes, topic)
-    prototypes = centroids(named, theme, "centroid")
-    order = Window.orderBy(theme)
-    numbered = prototypes.withColumn("_t", F.row_number().over(order))  # one row per theme
+    numbered = _prototypes(named, theme)
     near = nearest(named, topic, "centroid", numbered.select("_t", "centroid"), "_t")
     return near.join(numbered.select(F.col("_t").alias("nearest"), F.col(theme).alias("nearest_theme")), "nearest").join(themes, topic).select(topic, theme, "nearest_theme", F.col("sim"), (F.col(theme) != F.col("nearest_theme")).alias("misfiled"))
 

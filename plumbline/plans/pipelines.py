@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import text as T
 from plumbline.operators import clean, match, review, sample, temporal, terms, vectors
 from plumbline.schemas import PAPERS, require_columns
-from plumbline.storage import overwrite
+from plumbline.storage import exists, overwrite
 
 
 def venue(papers: DataFrame, conf: str, slug: str, out: str, include_companion: bool = False) -> DataFrame:
@@ -45,6 +45,21 @@ def topics(fit: DataFrame, everything: DataFrame, k: int, words: int = 10, seed:
     return table, vectors.nearest(everything, "id", "vector", cents, "topic_id").withColumnRenamed("nearest", "topic_id")
 
 
+def assign_all(rows: DataFrame, id_column: str, vector: str, cents: DataFrame, topic: str, out: str, parts: int = 16) -> DataFrame:
+    """(id, topic, sim) of every row's nearest centroid, written part by part by hash of the id.
+
+    A run that was cut off goes on with the parts that aren't whole; a part
+    reads the two columns again, so `parts` should be small.
+    """
+    spark = rows.sparkSession
+    paths = [f"{out}/part={i}" for i in range(parts)]
+    for i, path in enumerate(paths):
+        if not exists(spark, f"{path}/_SUCCESS"):
+            mine = rows.filter(F.pmod(F.xxhash64(id_column), F.lit(parts)) == i)
+            vectors.nearest(mine, id_column, vector, cents, topic).withColumnRenamed("nearest", topic).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(*paths)
+
+
 def apply_groups(topic_table: DataFrame, paper_topics: DataFrame, groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Topics and papers with their theme, and the theme registry; every label must be in the grouping and the other way round."""
     match.assert_references(topic_table, members, "llm_label")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import sample
 from plumbline.operators import terms as O
 from plumbline.plans.registry import query, table
 from plumbline.sources import html
@@ -90,6 +91,26 @@ def cooccurrence_npmi_umass(spark, sf_dir):
     return O.coherence(top, "source", df, pairs, n_docs)
 
 
+_OUTLIERS = f"""{_TERMS}, g AS (SELECT doc_id, CASE WHEN n_chars < 500 THEN '-1' ELSE lang END AS topic FROM documents),
+n AS (SELECT topic, term, sum(tf) AS n FROM t JOIN g USING (doc_id) GROUP BY 1, 2), c AS (SELECT topic, sum(n) AS c FROM n GROUP BY 1), a AS (SELECT sum(c) / count(*) AS a FROM c),
+i AS (SELECT term, ln(1 + any_value(a.a) / sum(n)) AS idf FROM n CROSS JOIN a GROUP BY 1), x AS (SELECT n.topic, n.term, n.n / c.c * idf AS w FROM n JOIN c ON c.topic = n.topic JOIN i ON i.term = n.term WHERE n.topic <> '-1'),
+l AS (SELECT topic, sqrt(sum(w * w)) AS l FROM x GROUP BY 1), s AS (SELECT t.doc_id, x.topic, round(sum(tf * idf * w) / any_value(l), 9) AS s FROM t JOIN g ON g.doc_id = t.doc_id AND g.topic = '-1' JOIN i ON i.term = t.term JOIN x ON x.term = t.term JOIN l ON l.topic = x.topic GROUP BY 1, 2),
+b AS (SELECT doc_id, topic, s / sum(s) OVER (PARTITION BY doc_id) AS share, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, topic) AS k FROM s)"""
+
+
+@query(f"WITH {_OUTLIERS} SELECT g.doc_id, coalesce(b.topic, g.topic) AS topic, round(b.share, 6) AS share FROM g LEFT JOIN b ON b.doc_id = g.doc_id AND b.k = 1")
+def outlier_reduction(spark, sf_dir):
+    """Topics are languages; texts under 500 characters are the outliers that go to the topic of most like terms."""
+    d = table(spark, sf_dir, "documents").withColumn("topic", F.when(F.col("n_chars") < 500, "-1").otherwise(F.col("lang")))
+    out = O.reduce_outliers(d.select("doc_id", "topic"), O.doc_terms(d, "doc_id", "text", ["topic"]), "doc_id", "topic", "-1")
+    return out.select("doc_id", "topic", F.round("share", 6).alias("share"))
+
+
+@query("SELECT source, place, text FROM (SELECT source, text, CAST(row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '42'), doc_id, text) AS INTEGER) AS place FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) WHERE place <= 8")
+def topic_examples(spark, sf_dir):
+    return sample.examples(table(spark, sf_dir, "documents"), "source", "doc_id", "text", chars=None)
+
+
 _WINDOWS = f"""{_TERMS}, b AS (SELECT doc_id, lang, term, tf, CAST(2000 + doc_id % 35 // 5 * 5 AS INTEGER) AS win FROM t), n AS (SELECT lang, win, term, sum(tf) AS n FROM b GROUP BY 1, 2, 3),
 l AS (SELECT lang, win, list(term ORDER BY n DESC, term)[1:8] AS words FROM n GROUP BY 1, 2), p AS (SELECT *, lag(words) OVER (PARTITION BY lang ORDER BY win) AS before, lag(win) OVER (PARTITION BY lang ORDER BY win) AS since FROM l),
 to_ AS (SELECT lang, since, win, round(1 - len(list_intersect(words, before)) / len(list_distinct(list_concat(words, before))), 6) AS turnover,

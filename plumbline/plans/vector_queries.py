@@ -50,14 +50,29 @@ def topic_cohesion_margin(spark, sf_dir):
     return out.select("label", "n", F.round("cohesion", 6).alias("cohesion"), "nearest_topic", F.round("nearest_sim", 6).alias("nearest_sim"), F.round(F.col("cohesion") - F.col("nearest_sim"), 6).alias("margin"))
 
 
-@query(f"""WITH {_CENTROIDS}, t AS (SELECT label, c, CAST(label % 3 AS INTEGER) AS theme FROM c), tu AS (SELECT theme, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM t), tm AS (SELECT theme, i, avg(x) AS m FROM tu GROUP BY 1, 2),
+_THEMES = f"""{_CENTROIDS}, t AS (SELECT label, c, CAST(label % 3 AS INTEGER) AS theme FROM c), tu AS (SELECT theme, unnest(c) AS x, generate_subscripts(c, 1) AS i FROM t), tm AS (SELECT theme, i, avg(x) AS m FROM tu GROUP BY 1, 2),
 tn AS (SELECT theme, sqrt(sum(m * m)) AS n FROM tm GROUP BY 1), p AS (SELECT theme, list(m / n ORDER BY i) AS p FROM tm JOIN tn USING (theme) GROUP BY theme),
-s AS (SELECT label, t.theme, p.theme AS nearest_theme, round(list_inner_product(c, p.p), 12) AS sim FROM t CROSS JOIN p), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, nearest_theme) AS k FROM s)
-SELECT label, theme, nearest_theme, round(sim, 6) AS sim, theme <> nearest_theme AS misfiled FROM k WHERE k = 1""")
+s AS (SELECT label, t.theme, p.theme AS nearest_theme, round(list_inner_product(c, p.p), 12) AS sim FROM t CROSS JOIN p), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sim DESC, nearest_theme) AS k FROM s)"""
+
+
+def _themes(cents):
+    return cents.select("label", (F.col("label") % 3).cast("int").alias("theme"))
+
+
+@query(f"""WITH {_THEMES} SELECT label, theme, nearest_theme, round(sim, 6) AS sim, theme <> nearest_theme AS misfiled FROM k WHERE k = 1""")
 def misfiled_topics(spark, sf_dir):
     cents = _centroids(spark, sf_dir)
-    themes = cents.select("label", (F.col("label") % 3).cast("int").alias("theme"))
-    return O.misfiled(cents, "label", themes, "theme").withColumn("sim", F.round("sim", 6))
+    return O.misfiled(cents, "label", _themes(cents), "theme").withColumn("sim", F.round("sim", 6))
+
+
+@query(f"""WITH {_THEMES}, own AS (SELECT t.theme, count(*) AS n_topics, round(avg(list_inner_product(t.c, p.p)), 6) AS intra_sim FROM t JOIN p ON p.theme = t.theme GROUP BY 1),
+o AS (SELECT a.theme, b.theme AS nearest_theme, round(list_inner_product(a.p, b.p), 12) AS sim FROM p a JOIN p b ON a.theme <> b.theme), ko AS (SELECT *, row_number() OVER (PARTITION BY theme ORDER BY sim DESC, nearest_theme) AS k FROM o),
+w AS (SELECT theme, count(*) FILTER (theme <> nearest_theme) AS n_misfiled FROM k WHERE k = 1 GROUP BY 1)
+SELECT own.theme, n_topics, intra_sim, ko.nearest_theme, round(ko.sim, 6) AS nearest_sim, n_misfiled FROM own LEFT JOIN ko ON ko.theme = own.theme AND ko.k = 1 LEFT JOIN w ON w.theme = own.theme""")
+def theme_coherence(spark, sf_dir):
+    cents = _centroids(spark, sf_dir)
+    out = O.theme_coherence(cents, "label", _themes(cents), "theme")
+    return out.select("theme", "n_topics", F.round("intra_sim", 6).alias("intra_sim"), "nearest_theme", F.round("nearest_sim", 6).alias("nearest_sim"), "n_misfiled")
 
 
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS r FROM embeddings), l AS (SELECT vec_id, label, r, sqrt(list_inner_product(r, r)) AS n FROM e),

@@ -15,7 +15,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as T
+from plumbline.operators import match
 from plumbline.operators.match import batches
+from plumbline.schemas import WORKS
+from plumbline.storage import exists, overwrite, shared_dir
 
 #: Given the values of a batch: (status, body or None, seconds to wait before another try or None).
 Fetcher = Callable[[list[str]], tuple[int, str | None, float | None]]
@@ -73,11 +77,66 @@ def scan(requests: DataFrame, fetch: Fetcher, per_second: float = 8.0, lanes: in
     return requests.repartition(lanes).mapInPandas(run, "cache_key string, status int, body string")
 
 
+ANSWERS = "cache_key string, status int, body string"
+
+
+def scan_rounds(requests: DataFrame, path: str, fetch: Fetcher, most: int = 10, **options) -> DataFrame:
+    """The table of answers at `path`, after asking for what it lacks, round by round.
+
+    A round's answers are written before any of them is looked at, so nothing
+    is asked twice.  A request is kept when all its parts are answered (or
+    refused for good); others are asked in the next round.  When the budget is
+    spent no further round begins, and a later call goes on from there.
+    """
+    spark = requests.sparkSession
+    read = lambda: spark.read.schema(ANSWERS).parquet(path) if exists(spark, path) else spark.createDataFrame([], ANSWERS)
+    for _ in range(most):
+        todo = pending(requests, read())
+        if todo.isEmpty():
+            break
+        folder = shared_dir(spark, "answers")
+        scan(todo, fetch, **options).write.parquet(folder)
+        answers = spark.read.schema(ANSWERS).parquet(folder)
+        failed = answers.filter("status not in (200, 400, 404)")
+        answers.join(failed.select("cache_key").distinct(), "cache_key", "left_anti").write.mode("append").parquet(path)
+        if not failed.filter("status = 429").isEmpty():
+            break
+    return read()
+
+
+def scan_summary(requests: DataFrame, answers: DataFrame, path: str) -> DataFrame:
+    """(doi, has_abstract) of all works answered.
+
+    Kept below `path` under the numbers of requests and of their values, and
+    read from there while these are the same; written only when nothing is
+    pending.
+    """
+    spark = requests.sparkSession
+    n = requests.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("values")), F.lit(0))).first()
+    kept = f"{path}/requests={n[0]}/values={n[1]}"
+    if exists(spark, kept):
+        return spark.read.parquet(kept)
+    found = match.works(parsed(answers)).filter("doi is not null").groupBy("doi").agg(F.max(F.col("abstract").isNotNull()).alias("has_abstract"))
+    return overwrite(found, kept) if pending(requests, answers).isEmpty() else found
+
+
+def title_requests(rows: DataFrame, id_column: str, title: str = "title", year: str = "year") -> DataFrame:
+    """(id, cache_key, values): the search by title and year for each row that has both; rows of one title and year share their request."""
+    t, y = F.col(title), F.col(year).cast("string")
+    safe = F.replace(t, F.lit('"'), F.lit('\\"'))
+    search = F.concat(F.lit('title.search:"'), safe, F.lit('",publication_year:'), y)
+    return rows.filter(t.isNotNull() & y.isNotNull()).select(id_column, F.concat(F.lit("title_"), T.cache_key(t, F.lit("|"), y)).alias("cache_key"), F.array(search).alias("values"))
+
+
+def title_candidates(requests: DataFrame, answers: DataFrame, id_column: str) -> DataFrame:
+    """(id, openalex_id, position, title, year) of the works found for each row, for match_titles with own=True."""
+    found = answers.filter("status = 200").select("cache_key", F.posexplode(F.from_json("body", WORKS)["results"]).alias("position", "w"))
+    return requests.select(id_column, "cache_key").join(found, "cache_key").select(id_column, F.col("w.id").alias("openalex_id"), "position", F.col("w.display_name").alias("title"), F.col("w.publication_year").alias("year"))
+
+
 def parsed(answers: DataFrame) -> DataFrame:
     """Answers as rows with the schema of works."""
-    from plumbline import schemas
-
-    return answers.filter("status = 200").select(F.from_json("body", schemas.WORKS).alias("r")).select("r.results")
+    return answers.filter("status = 200").select(F.from_json("body", WORKS).alias("r")).select("r.results")
 
 
 def stored(path_rows: list[dict]) -> Fetcher:
