@@ -8,10 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import bpe, chat, jaccard_join, media, packing, quality, suffix_dedup, token_store, topk, toxicity
+from plumbline.llm import align, bpe, chat, exact_dedup, jaccard_join, media, packing, quality, spelling, suffix_dedup, token_store, topk, toxicity
 from plumbline.storage import shared_dir
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+BYTES_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES_TOKENIZER = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -69,7 +71,19 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(quality.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), keep=["doc_id"]))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_top_k, op4_suffix_dedup, op5_token_store, op6_chat, op7_jaccard_join, op8_bpe, op9_media, op10_quality)}
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_read(spark, sf_dir, "documents"), one_in=31)
+
+
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(_read(spark, sf_dir, "documents"), BYTES_TOKENIZER, PIECES_TOKENIZER, with_groups=False)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(_read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_top_k, op4_suffix_dedup, op5_token_store, op6_chat, op7_jaccard_join, op8_bpe, op9_media, op10_quality, op11_spelling, op12_align, op13_exact_dedup)}
 
 #: The others are tested against brute force: SQL has no form for them, or none that whole tables allow.
 ORACLE_SQL: dict[str, str] = {
