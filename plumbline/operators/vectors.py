@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: Most centroids that are sent to every task (64 dimensions: 5 MB).
 MAX_BROADCAST = 10_000
@@ -25,6 +28,25 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of vectors of one length, as rows of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def usable(vectors: DataFrame, vector: str, size: int | None = None) -> DataFrame:
+    """Rows whose vector is there, of `size` components, none of them null, infinite or not a number.
+
+    Without `size` the commonest length counts (of equally common ones the greatest).
+    """
+    if size is None:
+        common = vectors.filter(F.size(vector) > 0).groupBy(F.size(vector).alias("s")).count().orderBy(F.desc("count"), F.desc("s")).first()
+        size = common["s"] if common else 0
+    finite = lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf"))
+    return vectors.filter((F.size(vector) == size) & F.forall(vector, finite))
+
+
 def centroids(vectors: DataFrame, topic: str, vector: str) -> DataFrame:
     """Mean vector of each topic, scaled to length 1 (a zero mean stays).
 

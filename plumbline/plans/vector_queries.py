@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
+from plumbline.operators import density, neighbours
 from plumbline.operators import vectors as O
 from plumbline.plans.registry import query, table
 
@@ -116,3 +117,44 @@ def lda_topics(spark, sf_dir):
 @query()
 def term_embeddings(spark, sf_dir):
     return O.embed_terms(table(spark, sf_dir, "documents"), "text").select("doc_id", "vector")
+
+
+_GRAPH = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM u),
+d AS (SELECT a.id, b.id AS near, round(greatest(1 - list_inner_product(a.v, b.v), 0), 9) AS distance FROM n a JOIN n b ON a.id <> b.id),
+g AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, near) AS INTEGER) AS rank FROM d) WHERE rank <= 10)"""
+
+
+def _graph(spark, sf_dir):
+    """The ten nearest rows of every row: all rows are the queries, block by block."""
+    rows = neighbours.prepared(_embeddings(spark, sf_dir), "vec_id", "embedding")
+    return neighbours.nearest_of(rows, rows, 10)
+
+
+@query(f"WITH {_GRAPH} SELECT id AS vec_id, near, round(distance, 6) AS distance, rank FROM g")
+def nearest_rows(spark, sf_dir):
+    return _graph(spark, sf_dir).select(F.col("id").alias("vec_id"), "near", F.round("distance", 6).alias("distance"), "rank")
+
+
+@query(f"""WITH {_GRAPH}, c AS (SELECT id, max(distance) AS core FROM g WHERE rank <= 5 GROUP BY 1), p AS (SELECT least(id, near) AS a, greatest(id, near) AS b, min(distance) AS d FROM g GROUP BY 1, 2)
+SELECT a, b, round(greatest(d, x.core, y.core), 6) AS w FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b""")
+def mutual_reachability(spark, sf_dir):
+    return density.mutual_reachability(_graph(spark, sf_dir), 5).withColumn("w", F.round("w", 6))
+
+
+@query()
+def density_topics(spark, sf_dir):
+    """Topics of the whole chain: neighbour graph, layout, clusters by density in it."""
+    table_ = _embeddings(spark, sf_dir)
+    reduced = neighbours.reduce(table_, "vec_id", "embedding")
+    graph = neighbours.descend(reduced, "vec_id", "reduced", 15, "euclidean")
+    return density.cluster(graph, reduced.select(F.col("vec_id").alias("id")), 15).withColumnRenamed("id", "vec_id")
+
+
+@query()
+def neighbour_layout(spark, sf_dir):
+    return neighbours.reduce(_embeddings(spark, sf_dir), "vec_id", "embedding")
+
+
+@query()
+def neighbour_descent(spark, sf_dir):
+    return neighbours.descend(_embeddings(spark, sf_dir), "vec_id", "embedding", 15).withColumnRenamed("id", "vec_id")
