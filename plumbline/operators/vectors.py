@@ -1,8 +1,7 @@
 """Vectors: centroids, nearest centroid, cohesion and margins, coverage, clustering.
 
-Centroids are few and fixed in number by the model, not by the data; where a
-table of them is broadcast its size is checked first, and a larger one is
-shuffled in cells instead.
+Tables of topics are sent to tasks in blocks of a fixed size, one after the
+other, so rows are never moved to meet them.
 """
 
 from __future__ import annotations
@@ -10,12 +9,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-#: Most centroids that are sent to every task (64 dimensions: 5 MB).
+from plumbline.operators import ranks
+from plumbline.storage import shared_dir
+
+#: Topics that are sent to every task at a time (64 dimensions: 5 MB).
 MAX_BROADCAST = 10_000
 
 
@@ -47,71 +50,135 @@ def usable(vectors: DataFrame, vector: str, size: int | None = None) -> DataFram
     return vectors.filter((F.size(vector) == size) & F.forall(vector, finite))
 
 
-def centroids(vectors: DataFrame, topic: str, vector: str) -> DataFrame:
-    """Mean vector of each topic, scaled to length 1 (a zero mean stays).
+def sums_by(vectors: DataFrame, topic: str, vector: str, most: int = 4096) -> DataFrame:
+    """(topic, n, s): how many vectors of one length each topic has, and their sum.
 
-    Components are averaged with partial aggregation by (topic, place), so no
-    topic's rows meet in one task.
+    A task adds up its own rows, holding `most` topics at most, and passes on
+    one sum for each; so neither a topic's rows nor its components meet.
     """
-    parts = vectors.filter(F.col(topic).isNotNull()).select(topic, F.posexplode(vector).alias("i", "x")).groupBy(topic, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    mean = parts.groupBy(topic).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("_v"))
-    length = norm(F.col("_v"))
-    return mean.select(topic, F.when(length > 0, F.transform("_v", lambda x: x / length)).otherwise(F.col("_v")).alias("centroid"))
+    kind = vectors.schema[topic].dataType.simpleString()
+    out = StructType.fromDDL(f"topic {kind}, n long, s array<double>")
 
+    def add(batches):
+        schema = to_arrow_schema(out)
+        held: dict = {}
 
-def nearest(vectors: DataFrame, id_column: str, vector: str, cents: DataFrame, topic: str, exclude: str | None = None) -> DataFrame:
-    """(id, exclude, nearest, sim): the centroid of greatest inner product, ties to the least topic.
+        def passed():
+            names = list(held)
+            return pa.RecordBatch.from_arrays([pa.array(names, schema.field(0).type), pa.array([held[t][0] for t in names], pa.int64()), pa.array([held[t][1] for t in names], schema.field(2).type)], schema=schema)
 
-    The matrix of centroids goes to every task when it is small; rows stream
-    past it in Arrow batches, one matrix product each.  `exclude` names a
-    column whose topic is passed over.
-    """
-    spark = vectors.sparkSession
-    rows = cents.orderBy(topic).limit(MAX_BROADCAST + 1).collect()
-    n = len(rows)
-    frame = vectors.select(id_column, *([exclude] if exclude else []), vector)
-    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]]
-    schema = ", ".join([*kinds, f"nearest {cents.schema[topic].dataType.simpleString()}", "sim double"])
-    if n > MAX_BROADCAST:
-        return _nearest_in_cells(frame, id_column, vector, cents, topic, exclude)
-    names = np.array([r[topic] for r in rows])
-    table = spark.sparkContext.broadcast((names, np.array([r["centroid"] for r in rows], dtype=np.float64).reshape(n, -1)))
-
-    def run(batches):
-        ids, matrix = table.value
         for batch in batches:
-            batch = batch[batch[vector].notna()]
-            if not len(batch) or not len(ids):
+            if not batch.num_rows:
                 continue
-            x = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            sims = np.round(x @ matrix.T, 12)
-            if exclude:
-                sims[ids[None, :] == batch[exclude].to_numpy()[:, None]] = -np.inf
-            best = sims.argmax(axis=1)
-            out = batch.drop(columns=[vector]).assign(nearest=ids[best], sim=sims[np.arange(len(best)), best])
-            yield out
-
-    return frame.mapInPandas(run, schema)
+            x, names = matrix(batch.column(1)), batch.column(0).dictionary_encode()
+            own, at = names.dictionary.to_pylist(), names.indices.to_numpy()
+            order = np.argsort(at, kind="stable")
+            first = np.searchsorted(at[order], np.arange(len(own)))
+            for t, n, total in zip(own, np.diff(np.r_[first, len(at)]).tolist(), np.add.reduceat(x[order], first, axis=0), strict=True):
+                before = held.get(t)
+                held[t] = (n, total) if before is None else (before[0] + n, before[1] + total)
+            if len(held) > most:
+                yield passed()
+                held.clear()
+        if held:
+            yield passed()
+
+    parts = vectors.filter(F.col(topic).isNotNull()).select(F.col(topic).alias("topic"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(add, out)
+    by_place = parts.select("topic", "n", F.posexplode("s").alias("i", "x")).groupBy("topic", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+    whole = by_place.groupBy("topic").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("s"))
+    return whole.withColumnRenamed("topic", topic)
+
+
+def centroids(vectors: DataFrame, topic: str, vector: str, size: int | None = None) -> DataFrame:
+    """(topic, centroid): mean of each topic's usable vectors (see `usable`), scaled to length 1 (a zero mean stays)."""
+    sums = sums_by(usable(vectors, vector, size), topic, vector)
+    mean = sums.select(topic, F.transform("s", lambda x: x / F.col("n")).alias("_v"))
+    length = norm(F.col("_v"))
+    return mean.select(topic, F.when(length > 0, F.transform("_v", lambda x: x / length)).otherwise(F.col("_v")).alias("centroid"))
 
 
-def _nearest_in_cells(frame, id_column, vector, cents, topic, exclude):
-    """Each row meets the centroids of one cell at a time; the best of the cells wins."""
-    cells = -(-cents.count() // MAX_BROADCAST)
-    packed = cents.groupBy(F.pmod(F.xxhash64(topic), F.lit(cells)).cast("long").alias("cell")).agg(F.array_sort(F.collect_list(F.struct(F.col(topic).alias("t"), F.col("centroid").alias("c")))).alias("cs"))
-    rows = frame.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))).join(packed, "cell")
-    allowed = F.filter("cs", lambda s: s["t"] != F.col(exclude)) if exclude else F.col("cs")
-    scored = F.transform(allowed, lambda s: F.struct(F.round(dot(F.col(vector), s["c"]), 12).alias("sim"), (-s["t"]).alias("o"), s["t"].alias("t")))
-    best = rows.select(id_column, *([exclude] if exclude else []), F.array_max(scored).alias("b"))
-    keys = [id_column, *([exclude] if exclude else [])]
-    return best.groupBy(*keys).agg(F.max("b").alias("b")).select(*keys, F.col("b.t").alias("nearest"), F.col("b.sim").alias("sim"))
+def _blocks(cents: DataFrame, topic: str, columns: list[str], block: int) -> list:
+    """A table of topics as broadcast blocks (topics, columns ...), in the order of the topic; the driver holds one block at a time."""
+    spark = cents.sparkSession
+    folder = shared_dir(spark, "centroids")
+    cents.filter(F.col(topic).isNotNull()).select(topic, *columns).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    n = rows.count()
+    numbered = rows
+    if n > block:
+        place = F.row_number().over(Window.partitionBy("_r").orderBy(topic))
+        ranged = rows.repartitionByRange(-(-n // block), topic).withColumn("_r", F.spark_partition_id())
+        ranged.write.parquet(f"{folder}-ranges")
+        numbered = spark.read.parquet(f"{folder}-ranges").withColumn("_c", F.floor((place - 1) / block))
+    keys = numbered.select("_r", "_c").distinct().orderBy("_r", "_c").collect() if n > block else [None]
+    out = []
+    for k in keys:
+        mine = numbered if k is None else numbered.filter((F.col("_r") == k["_r"]) & (F.col("_c") == k["_c"]))
+        got = mine.orderBy(topic).select(topic, *columns).toArrow().combine_chunks()
+        if got.num_rows:
+            values = [matrix(got.column(c)) if pa.types.is_list(got.schema.field(c).type) else got.column(c).to_numpy() for c in columns]
+            out.append(spark.sparkContext.broadcast((got.column(topic).to_pylist(), *values)))
+    return out
+
+
+def nearest(vectors: DataFrame, id_column: str, vector: str, cents: DataFrame, topic: str, exclude: str | None = None, block: int = MAX_BROADCAST) -> DataFrame:
+    """(id, exclude, nearest, sim): the centroid of greatest inner product, to 12 places; ties to the least topic.
+
+    Centroids go to every task in blocks of `block` topics (64 dimensions and
+    10,000 topics: 5 MB), and rows stream past each block in Arrow batches, one
+    matrix product each, without being moved.  `exclude` names a column whose
+    topic is passed over.  Each row counts for itself, ids may repeat or be
+    null; rows without a vector of the centroids' length, or with a null or
+    non-finite component, are left out, as are centroids that aren't usable.
+    Where no topic is left for a row, `nearest` and `sim` are null.
+    """
+    kept = usable(cents, "centroid")
+    blocks = _blocks(kept, topic, ["centroid"], block)
+    size = blocks[0].value[1].shape[1] if blocks else 0
+    extra = [exclude] if exclude else []
+    kind = cents.schema[topic].dataType.simpleString()
+    frame = usable(vectors, vector, size).select(F.col(id_column), *extra, F.col(vector).alias("_vector"), F.lit(None).cast(kind).alias("nearest"), F.lit(None).cast("double").alias("sim"))
+    names = [id_column, *extra, "nearest", "sim"]
+    if not blocks:
+        return frame.drop("_vector").limit(0)
+    schema = frame.schema
+
+    def pass_of(table):
+        def run(batches):
+            topics, rows = table.value
+            place = {t: i for i, t in enumerate(topics)}
+            arrow = to_arrow_schema(schema)
+            at = len(schema) - 3
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                sims = np.round(matrix(batch.column(at)) @ rows.T, 12)
+                if exclude:
+                    own = [(i, place[t]) for i, t in enumerate(batch.column(1).to_pylist()) if t in place]
+                    if own:
+                        sims[tuple(np.array(own).T)] = -np.inf
+                best = sims.argmax(axis=1)
+                found = sims[np.arange(len(best)), best]
+                before = batch.column(at + 2).to_numpy(zero_copy_only=False).astype(np.float64)
+                better = np.isfinite(found) & ~(found <= before)  # a topic of an earlier block wins ties
+                chosen = pa.array([topics[i] for i in best.tolist()], arrow.field(at + 1).type)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], pc.if_else(pa.array(better), chosen, batch.column(at + 1)), pc.if_else(pa.array(better), pa.array(found), batch.column(at + 2))], schema=arrow)
+
+        return run
+
+    for table in blocks:
+        frame = frame.mapInArrow(pass_of(table), schema)
+    return frame.select(*names)
 
 
 def cohesion(vectors: DataFrame, topic: str, vector: str, cents: DataFrame) -> DataFrame:
-    """Per topic: mean cosine to its own centroid, that of the nearest other centroid, and the margin of rows."""
-    own = vectors.join(F.broadcast(cents) if cents.count() <= MAX_BROADCAST else cents, topic)
+    """Per topic: mean cosine of its usable rows to its centroid, that of the nearest other centroid, and the margin of rows.
+
+    The mean of x.c over unit vectors x is their mean times c, so topic sums do.
+    """
     length = norm(F.col(vector))
-    sims = own.select(topic, (dot(F.col(vector), F.col("centroid")) / F.when(length > 0, length).otherwise(1.0)).alias("own"))
-    mean = sims.groupBy(topic).agg(F.count(F.lit(1)).alias("n"), F.avg("own").alias("cohesion"))
+    unit = usable(vectors, vector).select(topic, F.transform(vector, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0)).alias("_u"))
+    mean = sums_by(unit, topic, "_u").join(cents, topic).select(topic, "n", (dot(F.col("s"), F.col("centroid")) / F.col("n")).alias("cohesion"))
     other = nearest(cents.withColumnRenamed("centroid", "v").withColumn("_self", F.col(topic)), "_self", "v", cents, topic, exclude=topic)
     return mean.join(other.select(F.col(topic), F.col("nearest").alias("nearest_topic"), F.col("sim").alias("nearest_sim")), topic)
 
@@ -144,48 +211,58 @@ def misfiled(cents: DataFrame, topic: str, themes: DataFrame, theme: str) -> Dat
     return near.join(numbered.select(F.col("_t").alias("nearest"), F.col(theme).alias("nearest_theme")), "nearest").join(themes, topic).select(topic, theme, "nearest_theme", F.col("sim"), (F.col(theme) != F.col("nearest_theme")).alias("misfiled"))
 
 
-def silhouette(vectors: DataFrame, topic: str, vector: str) -> DataFrame:
-    """Mean cosine silhouette by topic, from topic sums.
+def silhouette(vectors: DataFrame, topic: str, vector: str, block: int = MAX_BROADCAST, size: int | None = None) -> DataFrame:
+    """(topic, n, silhouette): mean cosine silhouette of each topic's usable rows, from topic sums.
 
     The mean cosine distance of a row to a topic is 1 - x.S/n with S the sum
-    of the topic's unit vectors, so no pairs are made.
+    of the topic's unit vectors, so no pairs are made.  Sums go out in blocks
+    of `block` topics; rows stream past each and keep the least distance to
+    another topic.  A row that is alone in its topic, or has no other, counts 0.
     """
     length = norm(F.col(vector))
-    rows = vectors.filter(F.col(topic).isNotNull() & F.col(vector).isNotNull()).select(topic, F.transform(vector, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0)).alias("_u"))
-    sums = rows.select(topic, F.posexplode("_u").alias("i", "x")).groupBy(topic, "i").agg(F.sum("x").alias("s"), F.count(F.lit(1)).alias("n"))
-    stats = sums.groupBy(topic).agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda t: t["s"]).alias("s")).orderBy(topic).limit(MAX_BROADCAST + 1).collect()
-    if len(stats) > MAX_BROADCAST:
-        raise ValueError("too many topics for a silhouette by topic sums")
-    names, sizes = np.array([r[topic] for r in stats]), np.array([r["n"] for r in stats], dtype=np.float64)
-    table = vectors.sparkSession.sparkContext.broadcast((names, sizes, np.array([r["s"] for r in stats], dtype=np.float64).reshape(len(stats), -1)))
-
-    def run(batches):
-        names, n, s = table.value
-        for batch in batches:
-            if not len(batch):
-                continue
-            own = np.searchsorted(names, batch[topic].to_numpy())
-            at = np.arange(len(batch))
-            near = np.stack(batch["_u"].to_numpy()) @ s.T
-            rest = 1 - near / n
-            a = (n[own] - near[at, own]) / np.maximum(n[own] - 1, 1)
-            rest[at, own] = np.inf
-            b = rest.min(axis=1)
-            alone = (n[own] < 2) | ~np.isfinite(b)
-            top = np.maximum(a, b)
-            value = np.where(alone | (top == 0), 0.0, (b - a) / np.where(alone | (top == 0), 1.0, top))
-            yield pd.DataFrame({topic: batch[topic].to_numpy(), "value": value})
-
-    scored = rows.mapInPandas(run, f"{topic} {vectors.schema[topic].dataType.simpleString()}, value double")
-    return scored.groupBy(topic).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("silhouette"))
+    kind = vectors.schema[topic].dataType.simpleString()
+    rows = usable(vectors, vector, size).filter(F.col(topic).isNotNull()).select(topic, F.transform(vector, lambda x: x.cast("double") / F.when(length > 0, length).otherwise(1.0)).alias("_u"))
+    blocks = _blocks(sums_by(rows, topic, "_u"), topic, ["n", "s"], block)
+    frame = rows.select(topic, "_u", *(F.lit(None).cast("double").alias(c) for c in ("own", "other")))
+    schema = StructType.fromDDL(f"topic {kind}, u array<double>, own double, other double")
+    frame = frame.toDF("topic", "u", "own", "other")
+
+    def pass_of(table):
+        def run(batches):
+            topics, n, sums = table.value
+            place = {t: i for i, t in enumerate(topics)}
+            arrow = to_arrow_schema(schema)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                near = matrix(batch.column(1)) @ sums.T
+                rest = 1 - near / n
+                own = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64).copy()
+                mine = [(i, place[t]) for i, t in enumerate(batch.column(0).to_pylist()) if t in place]
+                if mine:
+                    i, j = np.array(mine).T
+                    own[i] = np.where(n[j] > 1, (n[j] - near[i, j]) / np.maximum(n[j] - 1, 1), -1)  # -1: alone
+                    rest[i, j] = np.inf
+                other = np.fmin(batch.column(3).to_numpy(zero_copy_only=False).astype(np.float64), rest.min(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own), pa.array(other)], schema=arrow)
+
+        return run
+
+    for table in blocks:
+        frame = frame.mapInArrow(pass_of(table), schema)
+    a, b = F.col("own"), F.col("other")
+    top = F.greatest(a, b)
+    value = F.when((a == -1) | ~(b < float("inf")) | (top == 0), 0.0).otherwise((b - a) / top)
+    return frame.select(F.col("topic").alias(topic), value.alias("value")).groupBy(topic).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("silhouette"))
 
 
 def coverage(sims: DataFrame, sim: str = "sim", below: tuple[float, ...] = (0.2, 0.3, 0.4)) -> DataFrame:
-    """Percentiles of similarity to the nearest centroid and the shares below some values."""
-    p = F.percentile(F.col(sim), F.array(*map(F.lit, (0.1, 0.25, 0.5, 0.75, 0.9))))
-    out = sims.agg(F.count(F.lit(1)).alias("n"), p.alias("p"), *(F.avg((F.col(sim) < t).cast("double")).alias(f"below_{int(t * 100):02d}") for t in below))
-    names = ("p10", "p25", "p50", "p75", "p90")
-    return out.select("n", *(F.round(F.col("p")[i], 6).alias(n) for i, n in enumerate(names)), *(F.round(f"below_{int(t * 100):02d}", 6).alias(f"below_{int(t * 100):02d}") for t in below))
+    """Percentiles of similarity to the nearest centroid and the shares below some values; null and NaN don't count."""
+    rows = sims.filter(F.col(sim).isNotNull() & ~F.isnan(sim))
+    names = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
+    found = ranks.percentiles(rows, sim, list(names.values()))
+    out = rows.agg(F.count(F.lit(1)).alias("n"), *(F.round(F.avg((F.col(sim) < t).cast("double")), 6).alias(f"below_{int(t * 100):02d}") for t in below))
+    return out.select("n", *(F.round(F.lit(found[p]).cast("double"), 6).alias(n) for n, p in names.items()), *(f"below_{int(t * 100):02d}" for t in below))
 
 
 def embed_terms(docs: DataFrame, text: str, size: int = 256) -> DataFrame:

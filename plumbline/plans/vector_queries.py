@@ -8,6 +8,7 @@ from plumbline.functions import text as T
 from plumbline.operators import density, neighbours
 from plumbline.operators import vectors as O
 from plumbline.plans.registry import query, table
+from plumbline.storage import shared_dir
 
 _CENTROIDS = """e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 u AS (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e), m AS (SELECT label, i, avg(x) AS m FROM u GROUP BY 1, 2),
@@ -19,7 +20,10 @@ def _embeddings(spark, sf_dir):
 
 
 def _centroids(spark, sf_dir):
-    return O.centroids(_embeddings(spark, sf_dir), "label", "embedding")
+    """Written, as most queries use the table several times."""
+    folder = shared_dir(spark, "label-centroids")
+    O.centroids(_embeddings(spark, sf_dir), "label", "embedding").write.parquet(folder)
+    return spark.read.parquet(folder)
 
 
 @query(f"WITH {_CENTROIDS} SELECT label, i AS place, round(m / n, 6) AS component FROM (SELECT label, CAST(i - 1 AS INTEGER) AS i, m, n FROM m JOIN n USING (label))")

@@ -138,12 +138,11 @@ def test_shares_sum_to_one(spark, rows):
     assert out["papers"].sum() == len(rows)
 
 
-def test_nearest_paths_agree(spark, monkeypatch):
+def test_nearest_paths_agree(spark):
     v = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
     cents = vectors.centroids(v, "label", "embedding")
     near = vectors.nearest(v, "vec_id", "embedding", cents, "label").toPandas()
-    monkeypatch.setattr(vectors, "MAX_BROADCAST", 3)
-    cells = vectors.nearest(v, "vec_id", "embedding", cents, "label").toPandas()
+    cells = vectors.nearest(v, "vec_id", "embedding", cents, "label", block=3).toPandas()
     both = near.merge(cells, on="vec_id")
     assert len(both) == len(near) and (both.nearest_x == both.nearest_y).all() and (abs(both.sim_x - both.sim_y) < 1e-9).all()
 
