@@ -12,19 +12,18 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import match
 from plumbline.operators.match import batches
 from plumbline.schemas import WORKS
+from plumbline.sources import answers
+from plumbline.sources.answers import ANSWERS, FINAL, Fetcher, ask  # noqa: F401
 from plumbline.storage import exists, overwrite, shared_dir
 
-#: Given the values of a batch: (status, body or None, seconds to wait before another try or None).
-Fetcher = Callable[[list[str]], tuple[int, str | None, float | None]]
-
-
 def plan(values: DataFrame, column: str, most: int = 100, max_chars: int = 4000) -> DataFrame:
     """(cache_key, values): one row per request, keyed by its content."""
     packed = batches(values.filter(F.col(column).isNotNull()).select(column).distinct(), column, most, max_chars)
@@ -37,69 +36,57 @@ def pending(requests: DataFrame, cache: DataFrame) -> DataFrame:
     return requests.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
-def ask(fetch: Fetcher, values: list[str], attempts: int = 4, sleep: Callable[[float], None] = time.sleep) -> list[tuple[int, str | None]]:
-    """Answers for a batch: waits and tries again when told to, halves a batch that is refused as malformed, stops when the budget is spent (429 without a wait)."""
-    for k in range(attempts):
-        status, body, wait = fetch(values)
-        if status == 200:
-            return [(status, body)]
-        if status == 400 and len(values) > 1:
-            half = len(values) // 2
-            return ask(fetch, values[:half], attempts, sleep) + ask(fetch, values[half:], attempts, sleep)
-        if status in (400, 404) or (status == 429 and wait is None):
-            return [(status, None)]
-        sleep(min(60.0, wait if wait is not None else 2.0**k))
-    return [(status, None)]
-
-
-def scan(requests: DataFrame, fetch: Fetcher, per_second: float = 8.0, lanes: int = 4, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def scan(requests: DataFrame, fetch: Fetcher, per_second: float = 8.0, lanes: int = 4, sleep: Callable[[float], None] = time.sleep, keep: str | None = None) -> DataFrame:
     """(cache_key, status, body) of each request.
 
-    Requests go through `lanes` tasks, each at its share of `per_second`, so
-    the rate holds for the whole job.  A lane whose budget is spent (429
-    without a wait) asks no more: its other requests have no row and stay
-    pending.
+    Requests go through `lanes` tasks that take turns in time slots, one
+    request a slot, so `per_second` holds for the whole job, also while a batch
+    is halved or tried again.  When the budget is spent (429 without a wait) a
+    lane asks no more: its other requests have no row and stay pending.  With
+    `keep`, a folder that all executors share, each request's answers are
+    written there at once, a lost task asks for nothing again, and a spent
+    budget stops all lanes (see sources.answers).
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spent = False
-        for frame in frames:
-            rows = []
-            for key, values in zip(frame["cache_key"], frame["values"], strict=True):
-                if spent:
-                    break
-                for status, body in ask(fetch, list(values)):
-                    rows.append((key, status, body))
-                    spent |= status == 429
-                    sleep(lanes / per_second)
-            yield pd.DataFrame(rows, columns=["cache_key", "status", "body"])
-
-    return requests.repartition(lanes).mapInPandas(run, "cache_key string, status int, body string")
-
+        kept = answers.Kept(keep) if keep else None
+        pace = answers.Pace(per_second, TaskContext.get().partitionId() % lanes, lanes, sleep=sleep)
+        mine = ((key, list(values)) for frame in frames for key, values in zip(frame["cache_key"], frame["values"], strict=True))
+        rows: list[tuple] = []
+        for row in answers.answered(mine, fetch, kept, pace, sleep):
+            rows.append(row)
+            if len(rows) >= 100:
+                yield pd.DataFrame(rows, columns=["cache_key", "status", "body"])
+                rows = []
+        yield pd.DataFrame(rows, columns=["cache_key", "status", "body"])
 
-ANSWERS = "cache_key string, status int, body string"
+    return requests.repartition(lanes).mapInPandas(run, ANSWERS)
 
 
 def scan_rounds(requests: DataFrame, path: str, fetch: Fetcher, most: int = 10, **options) -> DataFrame:
     """The table of answers at `path`, after asking for what it lacks, round by round.
 
     A round's answers are written before any of them is looked at, so nothing
-    is asked twice.  A request is kept when all its parts are answered (or
+    is asked twice; where executors may be lost, `keep` (see scan) holds them
+    request by request.  A request is kept when all its parts are answered (or
     refused for good); others are asked in the next round.  When the budget is
     spent no further round begins, and a later call goes on from there.
     """
     spark = requests.sparkSession
     read = lambda: spark.read.schema(ANSWERS).parquet(path) if exists(spark, path) else spark.createDataFrame([], ANSWERS)
+    if options.get("keep"):
+        answers.Kept(options["keep"]).go_on()
     for _ in range(most):
         todo = pending(requests, read())
-        if todo.isEmpty():
+        n = todo.count()
+        if not n:
             break
         folder = shared_dir(spark, "answers")
         scan(todo, fetch, **options).write.parquet(folder)
-        answers = spark.read.schema(ANSWERS).parquet(folder)
-        failed = answers.filter("status not in (200, 400, 404)")
-        answers.join(failed.select("cache_key").distinct(), "cache_key", "left_anti").write.mode("append").parquet(path)
-        if not failed.filter("status = 429").isEmpty():
+        got = spark.read.schema(ANSWERS).parquet(folder)
+        failed = got.filter(~F.col("status").isin(*FINAL))
+        got.join(failed.select("cache_key").distinct(), "cache_key", "left_anti").write.mode("append").parquet(path)
+        if got.select("cache_key").distinct().count() < n or not failed.filter("status = 429").isEmpty():  # the budget is spent
             break
     return read()
 
@@ -149,6 +136,50 @@ def stored(path_rows: list[dict]) -> Fetcher:
     return fetch
 
 
-def cached_pages(targets: DataFrame, cache: DataFrame, url: str = "ee") -> DataFrame:
-    """Targets with their cached page; a cached miss (no html) isn't asked again."""
-    return targets.join(cache.select(F.col("url").alias(url), "status", "html"), url, "left").withColumn("state", F.when(F.col("status").isNull(), "unasked").when(F.col("html").isNull(), "missing").otherwise("found"))
+def cached_pages(targets: DataFrame, cache: DataFrame, url: str = "ee", order: Column | None = None) -> DataFrame:
+    """Targets with their cached page and its state; each target once, as of several pages of a url the first by `order` counts.
+
+    By default that is one with a page, then that of the greatest status and
+    page.  States: found; missing (a final miss: not asked again); no_access
+    (the session was refused: the scan has to stop and be given a new one);
+    later (the service was busy or failed); unasked.
+    """
+    preferred = [order] if order is not None else [F.col("html").isNull(), F.col("status").desc_nulls_last(), F.col("html").desc_nulls_last()]
+    one = match.latest(cache, "url", preferred).select(F.col("url").alias(url), "status", "html", F.lit(True).alias("_hit"))
+    s = F.col("status")
+    state = F.when(F.col("_hit").isNull(), "unasked").when(F.col("html").isNotNull(), "found").when(s.isin(*answers.NO_ACCESS), "no_access").when(s.isin(*BUSY), "later").otherwise("missing")
+    return targets.drop("status", "html").join(one, url, "left").withColumn("state", state).drop("_hit")
+
+
+# Statuses after which a page is asked for again, and the seconds before the first of four tries; the next waits twice as long.
+BUSY = (429, 503)
+FIRST_WAIT, PAGE_ATTEMPTS = 3.0, 4
+
+
+def fetch_pages(targets: DataFrame, cache: DataFrame, get: Callable[[str], tuple[int, str | None]], url: str = "ee", per_second: float = 0.5, lanes: int = 1, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """(url, status, html) of the pages that the cache lacks or has as busy, to be added to it.
+
+    A busy service is waited for and tried again; another status than 200 is a
+    miss, with no html.  Refused access, or a service that stays busy, ends
+    the job, as going on would cost the session; pages that came before are
+    lost with it unless they were cached, so a long list should go in parts.
+    """
+    todo = cached_pages(targets, cache, url).filter("state in ('unasked', 'later', 'no_access')").filter(F.col(url).isNotNull()).select(F.col(url).alias("url")).distinct()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = answers.Pace(per_second, TaskContext.get().partitionId() % lanes, lanes, sleep=sleep)
+        for frame in frames:
+            for u in frame["url"]:
+                for k in range(PAGE_ATTEMPTS):
+                    pace.wait()
+                    status, html = get(u)
+                    if status in answers.NO_ACCESS:
+                        raise PermissionError(f"status {status}: the session isn't valid")
+                    if status not in BUSY:
+                        break
+                    sleep(FIRST_WAIT * 2**k)
+                else:
+                    raise RuntimeError(f"status {status} again and again: stopped")
+                yield pd.DataFrame({"url": [u], "status": [status], "html": [html if status == 200 else None]}).astype({"html": object})
+
+    return todo.repartition(lanes).mapInPandas(run, "url string, status int, html string")
