@@ -3,9 +3,11 @@
 One edit touches at most two bigrams of a word.  So of two words one edit
 apart, any three bigrams of the one hold one that the edit left alone; with
 bigrams in one global order (rarest first, then by name and place) the first
-such bigram is among the first three of both words.  Each word is listed under
-its three rarest bigrams alone, and two words meet under a bigram at the same
-place, or one further on where the second word is a letter longer.  Pairs that
+such bigram is among the first three of both words, at the same place, or one
+further on in a word that is a letter longer.  Each word is listed under its
+three rarest bigrams alone.  As the edit is on one side of the bigram, what
+stands on the other side is the same in both, and goes into the key with the
+place; so a list stays short however many words share a bigram.  Pairs that
 meet are verified.
 
 All steps are DataFrame expressions.  Words are counted with partial
@@ -22,6 +24,8 @@ from plumbline.storage import shared_dir
 
 #: Bigrams that one edit touches at most, and one more.
 PREFIX = 3
+#: Hash buckets in which bigrams are counted.
+BUCKETS = 1 << 14
 #: How often a root's chain doubles at most: each form is `ratio` times as frequent as its word, so 2**5 steps of ten are beyond any count.
 DOUBLINGS = 6
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,26 +52,63 @@ def word_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
+def _rare(words: DataFrame) -> DataFrame:
+    """(w, len, rare): each word with its `PREFIX` rarest bigrams as (gram, p), p from 0.
+
+    The order is by frequency, then by bigram and place.  Frequencies are those
+    of BUCKETS hash buckets, so the table of them is of one size whatever the
+    alphabet; any fixed order is right.
+    """
+    spark = words.sparkSession
+    bucket = lambda gram: F.pmod(F.hash(gram), F.lit(BUCKETS))
+    grams = lambda w, n: F.transform(F.sequence(F.lit(1), n - 1), lambda p: F.substr(w, p, F.lit(2)))
+    counts = words.select(F.explode(grams(F.col("w"), F.col("len"))).alias("gram")).groupBy(bucket(F.col("gram")).alias("id")).agg(F.count(F.lit(1)).alias("f"))
+    dense = spark.range(BUCKETS).join(F.broadcast(counts), "id", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.coalesce("f", F.lit(0)).alias("f")))), lambda s: s["f"]).alias("fs"))  # one row
+    ordered = F.array_sort(F.transform(F.col("_grams"), lambda g, i: F.struct(F.get("fs", bucket(g)).alias("f"), g.alias("gram"), i.alias("p"))))
+    return words.withColumn("_grams", grams(F.col("w"), F.col("len"))).crossJoin(F.broadcast(dense)).select("w", "len", F.transform(F.slice(ordered, 1, PREFIX), lambda s: s["p"]).alias("rare"))
+
+
+def _keys(longer: bool) -> Column:
+    """For each rare bigram of a word, hashes of what stays the same if one edit is made elsewhere.
+
+    The edit is on one side of the bigram; the other side is the same.  Where
+    that is no more than half the word, so is one half of the edited side.
+    Keys hold the places, counted in the shorter word: a word joins as itself,
+    or (`longer`) as one that is a letter longer than its partner.
+    """
+    w, size = F.col("w"), F.col("len")
+    n = size - 1 if longer else size
+    enough = F.floor((n + 1) / 2) + 1
+    sub = lambda start, count: F.substr(w, (start + 1).cast("int"), count.cast("int"))  # noqa: E731  # from 0
+
+    def of(p: Column) -> Column:
+        before, after = p + 2, size - p  # letters up to the end of the bigram, and from its begin
+        right, left = n - before, n - after  # letters beside it, in the shorter word
+        key = lambda place, kind, *parts: F.xxhash64(n, place, F.lit(kind), *parts)
+        h = F.floor(right / 2)
+        edit_right = F.when(before >= enough, F.array(key(p, 0, sub(F.lit(0), before)))).otherwise(F.array(key(p, 1, sub(F.lit(0), before + h)), key(p, 2, sub(F.lit(0), before), sub(size - (right - h), right - h))))
+        k = F.floor(left / 2)
+        edit_left = F.when(after >= enough, F.array(key(left, 3, sub(p, after)))).otherwise(F.array(key(left, 4, sub(F.lit(0), k), sub(p, after)), key(left, 5, sub(p - (left - k), after + left - k))))
+        none = F.array().cast("array<bigint>")
+        return F.concat(F.when(right >= 0, edit_right).otherwise(none), F.when(left >= 0, edit_left).otherwise(none))
+
+    return F.array_distinct(F.flatten(F.transform("rare", of)))
+
+
 def near_pairs(words: DataFrame, word: str = "word") -> DataFrame:
     """(a, b) of all words one edit apart, each pair once (a is the shorter, or of equal length the lesser).
 
-    Words of fewer than four letters, which may share no bigram, aren't handled:
-    an error is not raised, they are left out.
+    Words of fewer than four letters, which may share no bigram with a near
+    one, are left out.
     """
-    w = words.select(F.col(word).alias("w"), F.char_length(word).alias("len")).filter("len >= 4")
-    places = F.sequence(F.lit(1), F.col("len") - 1)
-    grams = w.select("w", "len", F.explode(F.transform(places, lambda p: F.struct(F.substr("w", p, F.lit(2)).alias("gram"), p.alias("place")))).alias("g")).select("w", "len", "g.*")
-    frequency = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
-    # Bigrams of a vocabulary: each is one row, however many words hold it.
-    ordered = grams.join(frequency, "gram").groupBy("w", "len").agg(F.slice(F.array_sort(F.collect_list(F.struct("f", "gram", "place"))), 1, PREFIX).alias("rare"))
     folder = shared_dir(words.sparkSession, "spelling")
-    ordered.select("w", "len", F.transform("rare", lambda s: F.struct(s["gram"].alias("gram"), s["place"].alias("place"))).alias("rare")).write.parquet(folder)
-    listed = words.sparkSession.read.parquet(folder).select("w", "len", F.explode("rare").alias("g")).select("w", "len", "g.gram", "g.place")
-    right = listed.select(F.col("w").alias("b"), "len", "gram", "place")
-    # A word meets words of its own length at the same place, and longer ones there or one on.
-    meets = F.explode(F.array(F.struct(F.col("len").alias("l"), F.col("place").alias("p")), F.struct((F.col("len") + 1).alias("l"), F.col("place").alias("p")), F.struct((F.col("len") + 1).alias("l"), (F.col("place") + 1).alias("p"))))
-    left = listed.select(F.col("w").alias("a"), F.col("len").alias("la"), "gram", meets.alias("m")).select("a", "la", "gram", F.col("m.l").alias("len"), F.col("m.p").alias("place"))
-    met = left.join(right, ["gram", "len", "place"]).filter((F.col("len") > F.col("la")) | (F.col("a") < F.col("b")))
+    _rare(words.select(F.col(word).alias("w"), F.char_length(word).alias("len")).filter("len >= 4").distinct()).write.parquet(folder)
+    rare = words.sparkSession.read.parquet(folder)
+    own = rare.select("w", "len", F.explode(_keys(False)).alias("key"))
+    longer = rare.select("w", "len", F.explode(_keys(True)).alias("key"))
+    left = own.select("key", F.col("w").alias("a"), F.col("len").alias("la"))
+    right = own.unionByName(longer).select("key", F.col("w").alias("b"), F.col("len").alias("lb"))
+    met = left.join(right, "key").filter(((F.col("lb") == F.col("la")) & (F.col("a") < F.col("b"))) | (F.col("lb") == F.col("la") + 1))
     return met.filter(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
 
 
