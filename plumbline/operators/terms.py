@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline.functions import text as T
+from plumbline.storage import shared_dir
 
 
 def doc_terms(docs: DataFrame, id_column: str, text: str, keep: list[str] | None = None, pattern: str = T.ALPHA_WORD, stop: list[str] | None = None, lemmatize: bool = False) -> DataFrame:
@@ -81,6 +85,89 @@ def reduce_outliers(rows: DataFrame, terms: DataFrame, id_column: str, topic: st
     return rows.drop("share").join(best, id_column, "left").withColumn(topic, moved).drop("_best")
 
 
+#: Numbers of a table of terms by topics that are sent to every task at a time (8 bytes each).
+TOPIC_CELLS = 4_000_000
+
+
+def window_shares(docs: DataFrame, id_column: str, text: str, weights: DataFrame, topic: str, window: int = 4, stride: int = 1, least: float = 0.1, pattern: str = T.ALPHA_WORD, cells: int = TOPIC_CELLS) -> DataFrame:
+    """(id, topic, share): how far each topic is what a text is about, window by window; the shares of a text sum to 1.
+
+    `weights` is (topic, term, idf, w), as topic_weights makes it.  A window of
+    `window` words (the whole text, if it has fewer) has the cosine of its own
+    counts times idf and each topic's weights; cosines below `least` are
+    nothing, the others are summed over all windows, `stride` words apart.
+    Running sums over a text's words give all windows at once.  Texts of which
+    no window is like any topic have no rows; repeated rows have their own.
+    The vocabulary goes to every task; topics follow in blocks, whose tables
+    have `cells` numbers, and texts stream past each without being moved.
+    """
+    spark = docs.sparkSession
+    folder = shared_dir(spark, "window-shares")
+    lengths = weights.groupBy(topic).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
+    weights.join(lengths, topic).filter("_l > 0").select(F.col(topic).alias("topic"), "term", (F.col("w") / F.col("_l")).alias("x")).write.parquet(f"{folder}/x")
+    weights.groupBy("term").agg(F.max("idf").alias("idf")).write.parquet(f"{folder}/idf")
+    vocabulary_ = spark.read.parquet(f"{folder}/idf").orderBy("term").toArrow().combine_chunks()
+    names = spark.read.parquet(f"{folder}/x").select("topic").distinct().orderBy("topic").toArrow().combine_chunks().column("topic")
+    number = {t: i for i, t in enumerate(vocabulary_.column("term").to_pylist())}
+    known = spark.sparkContext.broadcast((number, vocabulary_.column("idf").to_numpy()))
+    per_block = max(1, cells // max(1, len(number)))
+    frame = docs.select(F.col(id_column), T.tokens(F.col(text), pattern).alias("_words"), F.array().cast("array<double>").alias("_sums"))
+    schema = frame.schema
+
+    def sums(ids: np.ndarray, idf: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """Sum over all windows of a text of each topic's cosine."""
+        total, n = np.zeros(table.shape[1]), len(ids)
+        size = min(window, n)
+        starts = np.arange(0, n - size + 1, stride)
+        for a in range(0, len(starts), 8192):  # bounded numbers of windows at a time
+            some = starts[a : a + 8192]
+            mine = ids[some[0] : some[-1] + size]
+            at = some - some[0]
+            w = np.where(mine >= 0, idf[mine], 0.0)
+            dots = np.vstack([np.zeros(table.shape[1]), np.cumsum(np.where(mine[:, None] >= 0, w[:, None] * table[mine], 0.0), axis=0)])
+            square = np.r_[0.0, np.cumsum(w * w)]
+            norm = square[at + size] - square[at]
+            for gap in range(1, size):  # a word that is in a window more than once
+                twice = np.r_[0.0, np.cumsum(np.where(mine[:-gap] == mine[gap:], w[gap:] ** 2, 0.0))]
+                norm += 2 * (twice[at + size - gap] - twice[at])
+            some_known = norm > 1e-18
+            cos = (dots[at + size] - dots[at])[some_known] / np.sqrt(norm[some_known])[:, None]
+            cos = np.round(cos, 9)
+            total += np.where(cos >= least, cos, 0.0).sum(axis=0)
+        return total
+
+    def pass_of(block):
+        def run(batches):
+            (number, idf), table = known.value, block.value
+            arrow = to_arrow_schema(schema)
+            for batch in batches:
+                out = []
+                for words, before in zip(batch.column(1), batch.column(2), strict=True):
+                    ids = np.array([number.get(w, -1) for w in words.as_py()], dtype=np.int64)
+                    out.append(before.as_py() + (sums(ids, idf, table).tolist() if len(ids) else [0.0] * table.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, arrow.field(2).type)], schema=arrow)
+
+        return run
+
+    for at in range(0, len(names), per_block):
+        some = names.slice(at, per_block).to_pylist()
+        mine = spark.read.parquet(f"{folder}/x").filter(F.col("topic").isin(*some)).toArrow()
+        table = np.zeros((len(number) + 1, len(some)))
+        place = {t: i for i, t in enumerate(some)}
+        table[[number[t] for t in mine.column("term").to_pylist()], [place[t] for t in mine.column("topic").to_pylist()]] = mine.column("x").to_numpy()
+        frame = frame.mapInArrow(pass_of(spark.sparkContext.broadcast(table)), schema)
+    topics = F.array(*map(F.lit, names.to_pylist())) if len(names) else F.array().cast(f"array<{docs.schema[topic].dataType.simpleString()}>" if topic in docs.columns else "array<string>")
+    whole = F.aggregate("_sums", F.lit(0.0), lambda s, x: s + x)
+    rows = frame.withColumn("_all", whole).filter("_all > 0").select(id_column, "_all", F.explode(F.arrays_zip(topics.alias("topic"), F.col("_sums").alias("sum"))).alias("s"))
+    return rows.filter("s.sum > 0").select(id_column, F.col("s.topic").alias(topic), (F.col("s.sum") / F.col("_all")).alias("share"))
+
+
+def topic_weights(terms: DataFrame, topic: str, outlier=None, min_df: int = 1) -> DataFrame:
+    """(topic, term, idf, w) of class_tfidf with the terms' own factor; the outliers' terms count for that factor alone."""
+    weights = _weighted(class_counts(terms, [topic], min_df), [topic]).select(topic, "term", "idf", "w").filter(F.col(topic).isNotNull())
+    return weights if outlier is None else weights.filter(F.col(topic) != outlier)
+
+
 def top_terms(weights: DataFrame, cls: list[str], k: int, digits: int = 9) -> DataFrame:
     """The k terms of largest positive weight of each class, with rank; weights count to `digits` places, ties by name."""
     rounded = weights.withColumn("w", F.round("w", digits)).filter("w > 0")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
-from plumbline.operators import sample
+from plumbline.operators import meaning, sample
 from plumbline.operators import terms as O
 from plumbline.plans.registry import query, table
 from plumbline.sources import html
@@ -106,6 +106,49 @@ def outlier_reduction(spark, sf_dir):
     return out.select("doc_id", "topic", F.round("share", 6).alias("share"))
 
 
+_WINDOW_SHARES = f"""{_TERMS}, n AS (SELECT lang, term, sum(tf) AS n FROM t GROUP BY 1, 2), c AS (SELECT lang, sum(n) AS c FROM n GROUP BY 1), a AS (SELECT sum(c) / count(*) AS a FROM c), i AS (SELECT term, ln(1 + any_value(a.a) / sum(n)) AS idf FROM n CROSS JOIN a GROUP BY 1),
+x AS (SELECT n.lang, n.term, n.n / c.c * idf AS w FROM n JOIN c ON c.lang = n.lang JOIN i ON i.term = n.term), l AS (SELECT lang, sqrt(sum(w * w)) AS l FROM x GROUP BY 1), tw AS (SELECT x.lang, x.term, w / l AS w FROM x JOIN l ON l.lang = x.lang),
+ws AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}\\p{{M}}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z]+')) AS ws FROM documents),
+s AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS s FROM ws WHERE len(ws) > 0), p AS (SELECT doc_id, s, unnest(ws[s:s + 3]) AS term FROM s), f AS (SELECT doc_id, s, term, count(*) AS tf FROM p GROUP BY 1, 2, 3),
+v AS (SELECT f.doc_id, s, f.term, tf * idf AS v FROM f JOIN i ON i.term = f.term), nv AS (SELECT doc_id, s, sqrt(sum(v * v)) AS n FROM v GROUP BY 1, 2), d AS (SELECT doc_id, s, lang, sum(v * w) AS d FROM v JOIN tw ON tw.term = v.term GROUP BY 1, 2, 3),
+cs AS (SELECT d.doc_id, d.lang, round(d / n, 9) AS c FROM d JOIN nv ON nv.doc_id = d.doc_id AND nv.s = d.s), g AS (SELECT doc_id, lang, sum(c) AS c FROM cs WHERE c >= 0.1 GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_WINDOW_SHARES} SELECT doc_id, lang, round(c / sum(c) OVER (PARTITION BY doc_id), 6) AS share FROM g")
+def topic_shares_by_window(spark, sf_dir):
+    """Topics are languages; each text's share of each, from windows of four words."""
+    d = table(spark, sf_dir, "documents")
+    weights = O.topic_weights(_terms(spark, sf_dir), "lang")
+    return O.window_shares(d, "doc_id", "text", weights, "lang").withColumn("share", F.round("share", 6))
+
+
+_NEAR = r"""ws AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}\p{M}_]+'), lambda x: regexp_full_match(x, '[a-z][a-z]+')) AS ws FROM documents), p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM ws),
+near AS (SELECT word, near, count(*) AS n FROM (SELECT a.w AS word, unnest([b.w, c.w, d.w]) AS near FROM p a LEFT JOIN p b ON b.doc_id = a.doc_id AND b.i = a.i + 1 LEFT JOIN p c ON c.doc_id = a.doc_id AND c.i = a.i + 2 LEFT JOIN p d ON d.doc_id = a.doc_id AND d.i = a.i + 3) WHERE near IS NOT NULL GROUP BY 1, 2),
+both_ AS (SELECT word, near, CAST(sum(n) AS BIGINT) AS n FROM (SELECT * FROM near UNION ALL SELECT near, word, n FROM near) GROUP BY 1, 2)"""
+
+
+def _near(spark, sf_dir):
+    folder = shared_dir(spark, "near")
+    meaning.near_counts(table(spark, sf_dir, "documents"), "text", window=3).write.parquet(folder)
+    return spark.read.parquet(folder)
+
+
+@query(f"WITH {_NEAR} SELECT * FROM both_")
+def word_cooccurrence(spark, sf_dir):
+    return _near(spark, sf_dir)
+
+
+@query(f"""WITH {_NEAR}, m AS (SELECT word, sum(n) AS n FROM both_ GROUP BY 1), a AS (SELECT sum(n) AS n, sum(pow(n, 0.75)) AS s FROM m),
+v AS (SELECT b.word, b.near, ln(b.n * a.s / (x.n * pow(y.n, 0.75))) AS m FROM both_ b JOIN m x ON x.word = b.word JOIN m y ON y.word = b.near CROSS JOIN a WHERE b.n >= 3) SELECT word, near, round(m, 6) AS m FROM v WHERE m > 0""")
+def word_information(spark, sf_dir):
+    return meaning.mutual_information(_near(spark, sf_dir), 3).withColumn("m", F.round("m", 6))
+
+
+@query()
+def meaning_vectors(spark, sf_dir):
+    return meaning.embed(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("SELECT source, place, text FROM (SELECT source, text, CAST(row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || '42'), doc_id, text) AS INTEGER) AS place FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) WHERE place <= 8")
 def topic_examples(spark, sf_dir):
     return sample.examples(table(spark, sf_dir, "documents"), "source", "doc_id", "text", chars=None)

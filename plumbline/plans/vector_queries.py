@@ -124,7 +124,7 @@ def term_embeddings(spark, sf_dir):
 
 
 _GRAPH = """u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), n AS (SELECT id, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS v FROM u),
-d AS (SELECT a.id, b.id AS near, round(greatest(1 - list_inner_product(a.v, b.v), 0), 9) AS distance FROM n a JOIN n b ON a.id <> b.id),
+d AS (SELECT a.id, b.id AS near, round(greatest(1 - list_inner_product(a.v, b.v), 0), 12) AS distance FROM n a JOIN n b ON a.id <> b.id),
 g AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY distance, near) AS INTEGER) AS rank FROM d) WHERE rank <= 10)"""
 
 
