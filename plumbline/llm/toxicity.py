@@ -17,6 +17,7 @@ probability.
 
 from __future__ import annotations
 
+import math
 from hashlib import sha256
 
 import numpy as np
@@ -36,6 +37,8 @@ LONG_TERM = 7
 SPACED = 4
 #: Texts of a class in which a learned cue stands near hits, and how many times its share in the other class it has there.
 CUE_TEXTS, CUE_RATIO = 5, 6.0
+#: How often a text holds a stem that tells of its class (chance makes such a word now and then), and of such texts the least number and share of all toxic ones.
+STEM_TIMES, STEM_TEXTS, STEM_SHARE = 2, 2, 0.01
 #: Weight of a misspelled term against a right one where the sample has no say.
 MISSPELLED = 0.9
 #: Weights towards which the fit is drawn: logs and presence of exact, misspelled, stem and long misspelled hits, rate, few words.
@@ -280,11 +283,12 @@ class _Sample:
         s = self.starts[i]
         return "".join(chr(96 + c) for c in self.letters[s : s + length if length else self.ends[i]])
 
-    def table(self, keys: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
-        """Per different key of the words `at`: its first word, texts of either class, words before it and words in toxic texts."""
+    def table(self, keys: np.ndarray, at: np.ndarray, times: int = 1) -> dict[str, np.ndarray]:
+        """Per different key of the words `at`: its first word, texts of either class that hold it `times` times or more, words before it and words in toxic texts."""
         uniq, first, group = np.unique(keys, return_index=True, return_inverse=True)
         group = group.astype(np.int32)
-        pair = np.unique(group.astype(np.int64) * len(self.y) + self.rows[at])
+        pair, many = np.unique(group.astype(np.int64) * len(self.y) + self.rows[at], return_counts=True)
+        pair = pair[many >= times]
         label = self.y[pair % len(self.y)]
         out = {"first": at[first], "group": group}
         out["toxic"], out["other"] = (np.bincount(pair[label == k] // len(self.y), minlength=len(uniq)) for k in (1, 0))
@@ -303,17 +307,18 @@ def learn_lexicon(sample: pa.Table, least: int = 4, ratio: float = 30.0) -> tupl
     Equal texts count once, and a word needs at least `least` different words
     before it in toxic texts, so that copies of one text lend no weight.  A
     stem is the shortest beginning (4 to 8 letters) of many different words
-    that holds to the same measure, lengthened as far as nearly all of them
-    agree; words that a stem covers are no terms.
+    that holds to the same measure in texts with two such words or more,
+    lengthened as far as nearly all of them agree; words that a stem covers
+    are no terms.
     """
     w = _Sample(sample)
     n = [int((w.y == k).sum()) for k in (0, 1)]
     if not n[0] or not n[1]:
         return [], []
 
-    def telling(t: dict[str, np.ndarray]) -> np.ndarray:
+    def telling(t: dict[str, np.ndarray], least: int = least, more: float = 1.0) -> np.ndarray:
         seen = np.minimum(t["contexts"], t["toxic"])
-        return (seen >= least) & (seen / n[1] >= ratio * (t["other"] + 1) / n[0])
+        return (seen >= least) & (seen / n[1] >= ratio * (t["other"] + more) / n[0])
 
     long = np.flatnonzero(w.lens > 3).astype(np.int32)
     if not len(long):
@@ -328,11 +333,11 @@ def learn_lexicon(sample: pa.Table, least: int = 4, ratio: float = 30.0) -> tupl
         at = left[w.lens[left] >= size]
         if not len(at):
             break
-        t = w.table(hash_words(w.letters, w.starts[at], w.starts[at] + size), at)
+        t = w.table(hash_words(w.letters, w.starts[at], w.starts[at] + size), at, STEM_TIMES)
         most = np.zeros(len(t["first"]), dtype=np.int64)
         np.maximum.at(most, t["group"], common[at])
-        # Met in far more texts than its commonest word: else that word is the term.
-        chosen = telling(t) & (t["words"] >= least) & (t["toxic"] >= 2 * most)
+        # Met in more texts than its commonest word: else that word is the term.
+        chosen = telling(t, max(STEM_TEXTS, math.ceil(STEM_SHARE * n[1])), 0.4) & (t["words"] >= least) & (t["toxic"] > most)
         for k in np.flatnonzero(chosen):
             head = w.text(t["first"][k], size)
             if head in terms:
@@ -342,9 +347,9 @@ def learn_lexicon(sample: pa.Table, least: int = 4, ratio: float = 30.0) -> tupl
                 fits = mine[w.lens[mine] >= longer]
                 if not len(fits):
                     break
-                u = w.table(hash_words(w.letters, w.starts[fits], w.starts[fits] + longer), fits)
+                u = w.table(hash_words(w.letters, w.starts[fits], w.starts[fits] + longer), fits, STEM_TIMES)
                 best = int(u["toxic"].argmax())
-                if u["toxic"][best] < 0.98 * t["toxic"][k]:
+                if u["toxic"][best] < 0.98 * t["toxic"][k] or u["words"][best] < 0.9 * t["words"][k]:
                     break
                 head = w.text(u["first"][best], longer)
             stems.append(head)
@@ -445,6 +450,7 @@ def features(lexicon: Lexicon, data: np.ndarray, offsets: np.ndarray) -> np.ndar
     rows, kind, weight, words = hits(lexicon, data, offsets)
     n = len(offsets) - 1
     sums = np.stack([np.bincount(rows[kind == k], weights=weight[kind == k], minlength=n) for k in (1, 2, 3, 4)], axis=1)
+    sums[:, 2] = np.maximum(0, sums[:, 2] - 1)  # one word with a stem is chance
     rate = sums.sum(axis=1, keepdims=True) / np.maximum(1, words)[:, None]
     return np.concatenate([np.log1p(sums), np.minimum(sums, 1), np.sqrt(rate), (words[:, None] < 10)], axis=1).astype(float)
 

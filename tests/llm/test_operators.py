@@ -551,6 +551,16 @@ def test_held_out_accuracy(spark, op, target, least):
     assert len(scored) > 50 and (scored["predicted"] == scored[target]).mean() >= least
 
 
+@pytest.mark.parametrize("scale", ["0.01", "0.1"])
+def test_held_out_toxic_texts_are_found(spark, scale):
+    """Of the toxic texts and of the alarms: a score that is the same for all texts has no recall."""
+    sf = SF.replace("0.001", scale)
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    s = quality.digest(toxicity.score(docs, labels, keep=["doc_id"])).join(labels, "doc_id").filter("held_out").toPandas()
+    found = ((s["predicted"] == 1) & (s["toxic"] == 1)).sum()
+    assert found >= 0.85 * (s["toxic"] == 1).sum() > 0 and found >= 0.85 * (s["predicted"] == 1).sum()
+
+
 def test_held_out_labels_are_not_read(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     from plumbline.llm.labelled import held_out
