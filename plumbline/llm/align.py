@@ -127,7 +127,8 @@ class Units:
         spaced = b"".join(b" " + raw[a:b] for a, b in zip(offsets[some].tolist(), offsets[some + 1].tolist(), strict=True))
         begins = offsets[some] + np.arange(len(some))
         starts = unit_starts(np.frombuffer(spaced, np.uint8), begins)
-        units = [spaced[a:b] for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(spaced)], strict=True)]
+        ends = np.r_[starts[1:], len(spaced)][: len(starts)]  # none where all texts are empty
+        units = [spaced[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
         rows = some[np.searchsorted(begins, starts, side="right") - 1]
         if len(self.number) > UNITS or self.held > UNIT_BYTES:
             self.clear()
