@@ -127,7 +127,7 @@ def forms(words: DataFrame, ratio: int = 10) -> DataFrame:
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
     best = F.min(F.struct((-F.col("near_n")).alias("o"), "near"))
     near = both.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), best.alias("best"))
-    enough = -F.col("best.o") >= F.col("n") * ratio
+    enough = F.expr(f"-best.o div {int(ratio)}") >= F.col("n")
     words.join(near, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.o")).alias("form_n")).write.parquet(f"{folder}/forms")
     found = spark.read.parquet(f"{folder}/forms")
     step = found.filter("form is not null").select("word", F.col("form").alias("root"))
