@@ -11,6 +11,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text handled at a time inside a task.
 CHUNK_BYTES = 2 << 20
@@ -37,6 +39,25 @@ BYTE_CODE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.
 HASH_BLOCK = 256
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and ticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def aside(docs: DataFrame, names: list[str], without: tuple[str, ...] = ()) -> tuple[list[Column], list[tuple[str, str]]]:
+    """Columns of a table under names of their own (c0, c1, ...), that no operator's columns clash with, and these names with the old ones.
+
+    Those in `without` are left out, however they are spelled.
+    """
+    gone = {w.casefold() for w in without}
+    kept = [n for n in names if n.casefold() not in gone]
+    return [column(n).alias(f"c{i}") for i, n in enumerate(kept)], [(f"c{i}", n) for i, n in enumerate(kept)]
+
+
+def back(kept: list[tuple[str, str]]) -> list[Column]:
+    return [F.col(mine).alias(name) for mine, name in kept]
+
+
 def partitions(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

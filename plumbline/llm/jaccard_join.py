@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._text import hash_words, mix, slices, split_words, string_bytes
+from plumbline.llm._text import column, hash_words, mix, slices, split_words, string_bytes
 from plumbline.operators.graph import components
 from plumbline.storage import shared_dir
 
@@ -359,10 +359,10 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, recall: float =
     full, _, classes = _classes(docs, similarity, recall)
     row = full.select("node", F.struct(_no_id().alias("no_id"), "doc", "text_key").alias("row"))
     later = row.join(classes.select("node", "first"), "node").filter("row <> first").select("row.doc", "row.text_key").distinct()
-    keyed = docs.withColumns({f"__{k}": v for k, v in _keys().items()})
-    kept = keyed.join(later.select(F.col("doc").alias("__doc"), F.col("text_key").alias("__text_key")), ["__doc", "__text_key"], "left_anti")
-    repeated = keyed.groupBy("__doc", "__text_key").count().filter("count > 1").limit(1).count() > 0
-    return (kept.dropDuplicates(["__doc", "__text_key"]) if repeated else kept).select(*docs.columns)
+    keyed = docs.select(F.struct(*map(column, docs.columns)).alias("row"), *(v.alias(k) for k, v in _keys().items()))
+    kept = keyed.join(later, ["doc", "text_key"], "left_anti")
+    repeated = keyed.groupBy("doc", "text_key").count().filter("count > 1").limit(1).count() > 0
+    return (kept.dropDuplicates(["doc", "text_key"]) if repeated else kept).select("row.*")
 
 
 def _no_id():

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._text import hash_words, mix, slices, split_words, string_bytes
+from plumbline.llm._text import aside, back, hash_words, mix, slices, split_words, string_bytes
 from plumbline.llm.labelled import MAX_CHARS, MAX_ROWS, fit_sample, held_out, release
 
 BITS = 20
@@ -139,16 +139,17 @@ def apply_scores(docs: DataFrame, rate, threshold: float, keep: list[str] | None
     """Add score and predicted from `rate(bytes, offsets)` over each chunk of whole texts."""
     from pyspark.sql.types import StructType
 
-    names = [c for c in (docs.columns if keep is None else keep) if c not in (f"{prefix}score", f"{prefix}predicted")]
-    frame = docs.select(*names, F.col("text").cast("string").alias("__plumbline_text"))
-    out = StructType(frame.schema.fields[:-1] + StructType.fromDDL(f"{prefix}score double, {prefix}predicted int").fields)
+    added = (f"{prefix}score", f"{prefix}predicted")
+    columns, kept = aside(docs, docs.columns if keep is None else keep, added)
+    frame = docs.select(*columns, F.col("text").cast("string").alias("text"))
+    out = StructType(frame.schema.fields[:-1] + StructType.fromDDL("score double, predicted int").fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "__plumbline_text"):
-            p = rate(*string_bytes(part.column(len(names))))
+        for part in slices(batches):
+            p = rate(*string_bytes(part.column(len(kept))))
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], names=out.fieldNames())
 
-    return frame.mapInArrow(run, out)
+    return frame.mapInArrow(run, out).select(*back(kept), *(F.col(c).alias(n) for c, n in zip(("score", "predicted"), added, strict=True)))
 
 
 def digest(scored: DataFrame) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm._text import BYTE_CODE, expand, hash_words, mix, partitions, slices, string_bytes
+from plumbline.llm._text import BYTE_CODE, aside, expand, hash_words, mix, partitions, slices, string_bytes
 
 LENGTH, GRAM = 100, 32
 #: Different runs of one anchor within a task that make the anchor a common one.
@@ -612,10 +612,10 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
     from pyspark.sql.types import StructType
 
     spark = docs.sparkSession
-    added = tuple(prefix + c for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256"))
-    names = [c for c in docs.columns if c not in added] if with_text else ["doc_id"]
-    frame = docs.select(*dict.fromkeys([*names, "text"]))
-    frame = frame.withColumn("text", F.col("text").cast("string"))
+    added = ("n_bytes", "n_removed", "n_spans", "kept_sha256")
+    others, kept = aside(docs, docs.columns if with_text else [], ("doc_id", "text", *(prefix + c for c in added)))
+    names = ["doc_id", *(["text"] if with_text else []), *(c for c, _ in kept)]
+    frame = docs.select("doc_id", F.col("text").cast("string").alias("text"), *others)
     # Buckets of some MB, however few shuffle partitions the session asks for.
     n = max(partitions(spark), -(-(frame.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES))
     marked = _mark(frame, 4 * n)
@@ -671,4 +671,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_te
         columns |= dict(zip(added, map(pa.array, (sizes, n_removed, n_spans, digests)), strict=True))
         return pa.table({f.name: columns[f.name].cast(f.type) for f in schema}, schema=schema)
 
-    return marked.groupBy("__slot").cogroup(spans.groupBy("bucket")).applyInArrow(cut, out)
+    done = marked.groupBy("__slot").cogroup(spans.groupBy("bucket")).applyInArrow(cut, out)
+    mine = {"doc_id": "doc_id"} | ({"text": "text"} if with_text else {}) | {name: c for c, name in kept}
+    order = [c for c in docs.columns if c in mine] if with_text else ["doc_id"]
+    return done.select(*(F.col(mine[c]).alias(c) for c in order), *(F.col(c).alias(prefix + c) for c in added))
