@@ -14,11 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import jaccard_join, packing, quality, suffix_dedup, toxicity
+from plumbline.llm._text import column
 from plumbline.llm.queries import TOKENIZER
 from plumbline.storage import shared_dir
 
-#: Goes before the columns that a stage adds for its own use, so that those of the documents stay as they are.
-OWN = "__stage_"
+
+def _own(docs: DataFrame) -> str:
+    """What goes before the columns that a stage adds for its own use: no column of the documents begins so, however it is spelled."""
+    prefix = "__stage_"
+    while any(c.casefold().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,12 +33,14 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below its threshold; repeated rows stay or go together."""
-    return toxicity.score(docs, _labels(spark, sf_dir), prefix=OWN).filter(f"{OWN}predicted = 0").select(*docs.columns)
+    own = _own(docs)
+    return toxicity.score(docs, _labels(spark, sf_dir), prefix=own).filter(f"{own}predicted = 0").select(*map(column, docs.columns))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches its threshold; repeated rows stay or go together."""
-    return quality.score(docs, _labels(spark, sf_dir), prefix=OWN).filter(f"{OWN}predicted = 1").select(*docs.columns)
+    own = _own(docs)
+    return quality.score(docs, _labels(spark, sf_dir), prefix=own).filter(f"{own}predicted = 1").select(*map(column, docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +55,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of 100 bytes that an earlier text holds; n_chars follows.  A null text stays null; rows that repeat id and text are one document listed twice."""
-    cut = suffix_dedup.deduplicate(docs, prefix=OWN)
+    own = _own(docs)
+    cut = suffix_dedup.deduplicate(docs, prefix=own)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col(f"{OWN}n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
-    return cut.select(*docs.columns)
+        cut = cut.withColumn("n_chars", F.when(F.col(f"{own}n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(kind))
+    return cut.select(*map(column, docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
