@@ -9,7 +9,7 @@ from plumbline.storage import shared_dir
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
-    """(node, root) of every node of an edge: root is the least node of its component.
+    """(node, root) of every node of an edge: root is the least node of its component.  A node that has no edge but to itself, or to null, is its own root.
 
     Each round links every larger neighbour, then every smaller one, of a node
     to the least of them (large star, small star).  Least neighbours come from
@@ -39,4 +39,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         before = state
     else:
         raise RuntimeError(f"components didn't settle within {rounds} rounds")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    joined = now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    ends = edges.filter((F.col(a) == F.col(b)) | F.col(a).isNull() | F.col(b).isNull()).select(F.coalesce(a, b).alias("node")).filter("node is not null").distinct()
+    return joined.unionByName(ends.join(joined.select("node"), "node", "left_anti").withColumn("root", F.col("node")))

@@ -72,22 +72,29 @@ def summary(log: DataFrame, group: str = "group") -> DataFrame:
 
 # Fixed value: how a note names the group that a row should be in.
 NOTE = r"[Ss]hould be\s+([^:;]+?)(?:\s+or\s+|\s*[:;]|$)"
-#: Most groups of a registry; it is a list that people keep by hand.
-MAX_GROUPS = 1000
-
-
 def suggested_group(log: DataFrame, registry: DataFrame, key: str, notes: str = "notes") -> DataFrame:
-    """(key, suggestion): the first group in registry order that a note's "should be X" names, or that names it."""
+    """(key, suggestion): the first group in registry order that a note's "should be X" names, or that names it.
+
+    Different notes meet the registry once each: they are few beside the log,
+    and stream past the names, which go to every task in blocks of NAMES.
+    """
+    spark = log.sparkSession
     said = log.select(key, F.lower(F.trim(F.regexp_extract(notes, NOTE, 1))).alias("_s")).filter("_s <> ''")
-    groups = [(r[0], r[1]) for r in registry.select("group", "order").filter("`group` is not null").orderBy("order", "group").limit(MAX_GROUPS + 1).collect()]
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"a registry of more than {MAX_GROUPS} groups")
-    if not groups:
-        return said.select(key, F.lit(None).cast("string").alias("suggestion")).limit(0)
-    # The registry as one array: the first of its names that fits, without pairs of notes and groups.
-    names = F.array(*(F.lit(g) for g, _ in groups))
-    fits = F.filter(names, lambda g: F.col("_s").contains(F.lower(g)) | F.lower(g).contains(F.col("_s")))
-    return said.filter(F.size(fits) > 0).select(key, fits[0].alias("suggestion"), F.array_position(names, fits[0]).alias("_o")).groupBy(key).agg(F.min_by("suggestion", "_o").alias("suggestion"))
+    names = registry.select(F.col("group").alias("g"), "order").filter("g is not null")
+    count = names.count()
+    found = said.select("_s").distinct().withColumn("_best", F.lit(None).cast("struct<o:bigint,g:string>"))
+    for k in range(-(-count // NAMES)):
+        some = names.filter(F.pmod(F.xxhash64("g", "order"), F.lit(-(-count // NAMES))) == k).select(F.col("order").cast("long").alias("o"), "g", F.lower("g").alias("l"))
+        block = spark.createDataFrame([([tuple(r) for r in some.orderBy("o", "g").collect()],)], "_names array<struct<o:bigint,g:string,l:string>>")  # one row
+        fits = F.filter("_names", lambda n: F.col("_s").contains(n["l"]) | n["l"].contains(F.col("_s")))
+        first = F.transform(F.slice(fits, 1, 1), lambda n: F.struct(n["o"].alias("o"), n["g"].alias("g")))
+        found = found.crossJoin(F.broadcast(block)).select("_s", F.array_min(F.concat(first, F.filter(F.array("_best"), lambda b: b.isNotNull()))).alias("_best"))
+    named = found.filter("_best is not null")
+    return said.join(named, "_s").groupBy(key).agg(F.min("_best").alias("_best")).select(key, F.col("_best.g").alias("suggestion"))
+
+
+#: Names of groups that go to every task at a time.
+NAMES = 1000
 
 
 def milestones(log: DataFrame) -> DataFrame:

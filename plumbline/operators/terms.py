@@ -205,6 +205,23 @@ def cooccurrence(terms: DataFrame, id_column: str, words: DataFrame) -> tuple[Da
     return df, pairs
 
 
+def cooccurrence_in_texts(docs: DataFrame, text: str, words: DataFrame, pattern: str = T.ALPHA_WORD) -> tuple[DataFrame, DataFrame]:
+    """As `cooccurrence`, from texts: each row is cut to the given words before anything is made of it, so only these are shuffled.
+
+    `words` are few: the lists of topics, which go to every task as one array.
+    Each row is a document of its own, also where ids repeat.
+    """
+    spark = docs.sparkSession
+    folder = shared_dir(spark, "cooccurrence")
+    known = words.agg(F.array_sort(F.collect_set("term")).alias("_known"))
+    docs.select(F.col(text).alias("_text")).crossJoin(F.broadcast(known)).select(F.array_sort(F.array_intersect(T.tokens(F.col("_text"), pattern), F.col("_known"))).alias("ws")).filter("size(ws) > 0").write.parquet(folder)
+    used = spark.read.parquet(folder)
+    df = used.select(F.explode("ws").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    two = F.flatten(F.transform("ws", lambda w, i: F.transform(F.slice("ws", i + 2, F.greatest(F.size("ws") - i - 1, F.lit(0))), lambda v: F.struct(w.alias("w1"), v.alias("w2")))))
+    pairs = used.select(F.explode(two).alias("p")).groupBy("p.w1", "p.w2").agg(F.count(F.lit(1)).alias("co"))
+    return df, pairs
+
+
 def coherence(top: DataFrame, topic: str, df: DataFrame, pairs: DataFrame, n_docs: DataFrame) -> DataFrame:
     """NPMI and UMass of each topic: means over its word pairs.
 

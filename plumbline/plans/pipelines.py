@@ -46,18 +46,26 @@ def topics(fit: DataFrame, everything: DataFrame, k: int, words: int = 10, seed:
 
 
 def assign_all(rows: DataFrame, id_column: str, vector: str, cents: DataFrame, topic: str, out: str, parts: int = 16) -> DataFrame:
-    """(id, topic, sim) of every row's nearest centroid, written part by part by hash of the id.
+    """(id, topic, sim) of every row's nearest centroid, written by hash of the id in `parts` parts.
 
-    A run that was cut off goes on with the parts that aren't whole; a part
-    reads the two columns again, so `parts` should be small.
+    All parts that aren't whole yet are written in one pass over the rows; a
+    part counts as whole when its mark is there, which is set after the pass.
+    A run that was cut off leaves none of its own parts marked, but those of
+    runs before.  What lies there of another table of centroids is made anew.
     """
     spark = rows.sparkSession
-    paths = [f"{out}/part={i}" for i in range(parts)]
-    for i, path in enumerate(paths):
-        if not exists(spark, f"{path}/_SUCCESS"):
-            mine = rows.filter(F.pmod(F.xxhash64(id_column), F.lit(parts)) == i)
-            vectors.nearest(mine, id_column, vector, cents, topic).withColumnRenamed("nearest", topic).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(*paths)
+    state = cents.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(topic, "centroid"))).first()
+    model = f"{out}/model={state[0]}-{(state[1] or 0) & ((1 << 64) - 1):016x}"
+    missing = [i for i in range(parts) if not exists(spark, f"{model}/done-{parts}-{i}/_SUCCESS")]
+    part = F.pmod(F.xxhash64(id_column), F.lit(parts)).cast("int")
+    if missing:
+        mine = rows if len(missing) == parts else rows.filter(part.isin(*missing))
+        found = vectors.nearest(mine, id_column, vector, cents, topic).withColumnRenamed("nearest", topic).withColumn("part", part)
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(f"{model}/parts-{parts}")
+        for i in missing:
+            spark.range(0).write.mode("overwrite").parquet(f"{model}/done-{parts}-{i}")
+    kinds = f"{id_column} {rows.schema[id_column].dataType.simpleString()}, {topic} {cents.schema[topic].dataType.simpleString()}, sim double, part int"
+    return spark.read.schema(kinds).parquet(f"{model}/parts-{parts}").drop("part")
 
 
 def apply_groups(topic_table: DataFrame, paper_topics: DataFrame, groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -85,8 +85,7 @@ q AS (SELECT a.source, a.term AS t1, b.term AS t2, f1.df AS d1, f2.df AS d2, coa
 round(avg(ln((co + 1) / greatest(d1, 1))), 6) AS umass FROM q, d GROUP BY source""")
 def cooccurrence_npmi_umass(spark, sf_dir):
     top = _source_top(spark, sf_dir)
-    terms = _terms(spark, sf_dir)
-    df, pairs = O.cooccurrence(terms, "doc_id", top)
+    df, pairs = O.cooccurrence_in_texts(table(spark, sf_dir, "documents"), "text", top)
     n_docs = table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_docs"))
     return O.coherence(top, "source", df, pairs, n_docs)
 
@@ -162,8 +161,8 @@ array_to_string(list_filter(words, lambda x: NOT list_contains(before, x)), ',')
 
 def _turnover(spark, sf_dir):
     t = _terms(spark, sf_dir).withColumn("win", (2000 + F.floor(F.col("doc_id") % 35 / 5) * 5).cast("int"))
-    n = t.groupBy("lang", "win", "term").agg(F.sum("tf").alias("n"))
-    lists = n.groupBy("lang", "win").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "term"))), 1, 8), lambda s: s["term"]).alias("words"))
+    n = t.groupBy("lang", "win", "term").agg(F.sum("tf").alias("w"))
+    lists = O.word_lists(O.top_terms(n, ["lang", "win"], 8), ["lang", "win"]).withColumnRenamed("top_words", "words")
     return O.turnover(lists, "lang", "win")
 
 
@@ -192,17 +191,12 @@ def props_json_extract(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k INT")["k"].alias("k"))
 
 
-def _reindexed(d, text):
-    words = d.select("doc_id", F.posexplode(F.filter(F.split(text, r"\s+"), lambda w: w != "")).alias("p", "w"))
-    lists = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps"))
-    index = lists.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
-    return d.select("doc_id").join(index, "doc_id", "left").select("doc_id", T.inverted_index_text(F.coalesce("index", F.create_map().cast("map<string,array<int>>"))).alias("rebuilt"))
-
-
 @query("SELECT doc_id, nullif(array_to_string(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), ' '), '') AS rebuilt FROM documents")
 def inverted_index_reconstruct(spark, sf_dir):
-    """Every word of every text, by way of its inverted index."""
-    return _reindexed(table(spark, sf_dir, "documents"), F.col("text"))
+    """Every word of every text, by way of its inverted index, which is built within the row."""
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    indexed = table(spark, sf_dir, "documents").select("doc_id", T.inverted_index(words).alias("index"))
+    return indexed.select("doc_id", T.inverted_index_text(F.col("index")).alias("rebuilt"))
 
 
 @query("WITH c AS (SELECT doc_id, x.k AS name, CASE WHEN x.k = 'c' THEN NULL ELSE (doc_id % 10) / 10 + x.b END AS score, x.i FROM documents, (VALUES ('a', 0, 0.0), ('b', 1, -0.2), ('c', 2, 0.0)) x(k, i, b)) SELECT doc_id, coalesce(string_agg(name, '; ' ORDER BY i) FILTER (coalesce(score, 0) >= 0.3), '') AS concepts FROM c GROUP BY 1")

@@ -129,10 +129,17 @@ def ask(fetch: Fetcher, values: list[str], attempts: int = 4, sleep: Callable[[f
     """Answers for a batch; `pace` is called before each request.
 
     Waits and tries again when told to (at most 60 s; 2**k s where no time is
-    given), halves a batch that is refused as malformed, and raises Spent when
-    the budget is (429 without a wait), PermissionError when access is denied.
-    The last status counts when all attempts failed.
+    given) and halves a batch that is refused as malformed.  The last status
+    counts when all attempts failed; 429 alone when the budget is spent (429
+    without a wait).  Denied access is a PermissionError.
     """
+    try:
+        return _ask(fetch, values, attempts, sleep, pace)
+    except Spent:
+        return [(SPENT, None)]
+
+
+def _ask(fetch: Fetcher, values: list[str], attempts: int, sleep: Callable[[float], None], pace: Callable[[], None]) -> list[tuple[int, str | None]]:
     for k in range(attempts):
         pace()
         status, body, wait = fetch(values)
@@ -140,7 +147,7 @@ def ask(fetch: Fetcher, values: list[str], attempts: int = 4, sleep: Callable[[f
             return [(status, body)]
         if status == 400 and len(values) > 1:
             half = len(values) // 2
-            return ask(fetch, values[:half], attempts, sleep, pace) + ask(fetch, values[half:], attempts, sleep, pace)
+            return _ask(fetch, values[:half], attempts, sleep, pace) + _ask(fetch, values[half:], attempts, sleep, pace)
         if status in REFUSED_FOR_GOOD:
             return [(status, None)]
         if status in NO_ACCESS:
@@ -165,7 +172,7 @@ def answered(requests: Iterator[tuple[str, list[str]]], fetch: Fetcher, kept: Ke
             if kept and kept.spent():
                 continue  # later requests may be kept
             try:
-                got = ask(fetch, values, sleep=sleep, pace=pace.wait)
+                got = _ask(fetch, values, 4, sleep, pace.wait)
             except Spent:
                 yield key, SPENT, None
                 if kept:
@@ -239,7 +246,7 @@ class AnswersReader(_Lanes, DataSourceReader):
                 self.keys = keys if self.keys is None else self.keys & keys
 
     def partitions(self) -> list[Lane]:
-        return [Lane(i) for i, n in enumerate(self.sizes()) if n]
+        return [Lane(i) for i, n in enumerate(self.sizes()) if n] or [Lane(0)]
 
 
 class AnswersStream(_Lanes, DataSourceStreamReader):
