@@ -179,7 +179,7 @@ def tokens(c: Column, pattern: str = ALPHA_WORD) -> Column:
 # Shorthand words and their base forms.
 SHORTHAND = {"apps": "app", "devs": "dev", "libs": "lib", "repos": "repo", "vms": "vm", "uis": "ui", "guis": "gui", "apis": "api", "ides": "ide", "llms": "llm", "dnns": "dnn", "cnns": "cnn", "rnns": "rnn", "asts": "ast"}
 # Words whose base form the rules below would miss.
-IRREGULAR = SHORTHAND | {"data": "data", "criteria": "criterion", "analyses": "analysis", "hypotheses": "hypothesis", "children": "child", "people": "people", "series": "series", "species": "species", "wrote": "write", "written": "write", "built": "build", "made": "make", "found": "find", "software": "software"}
+IRREGULAR = SHORTHAND | {"using": "use", "used": "use", "data": "data", "criteria": "criterion", "analyses": "analysis", "hypotheses": "hypothesis", "children": "child", "people": "people", "series": "series", "species": "species", "wrote": "write", "written": "write", "built": "build", "made": "make", "found": "find", "software": "software"}
 
 
 def lemma(word: str) -> str:

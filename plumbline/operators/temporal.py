@@ -179,7 +179,11 @@ def citation_panel(rows: DataFrame, per: list[str], cites: str) -> DataFrame:
     All come from the counts of rows by group and number of citations, so no
     group's rows meet in one task.
     """
-    counted = rows.groupBy(*per, F.col(cites).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return _panel(rows.groupBy(*per, F.col(cites).alias("_v")).agg(F.count(F.lit(1)).alias("_n")), per)
+
+
+def _panel(counted: DataFrame, per: list[str]) -> DataFrame:
+    """citation_panel from rows (per, _v citations, _n rows)."""
     known = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
     up = Window.partitionBy(*per).orderBy(F.col("_v").asc_nulls_first())
     placed = counted.withColumns({"_upto": F.sum(known).over(up), "_all": F.sum(known).over(Window.partitionBy(*per))})
@@ -196,6 +200,42 @@ def citation_panel(rows: DataFrame, per: list[str], cites: str) -> DataFrame:
     )
 
 
+def _at_every_level(counted: DataFrame, levels: list[str], keep: list[str]) -> DataFrame:
+    """Counts (levels, keep, _n) summed for the whole (_level 0), the first level, the first two, and so on; levels below are null."""
+    sets = [[*levels[:i], *keep] for i in range(len(levels) + 1)]
+    # One bit for each grouping column, the first the highest: set where it is summed over.
+    gid = F.grouping_id(*levels, *keep)
+    summed = counted.groupingSets([[F.col(c) for c in s] for s in sets], *levels, *keep).agg(F.sum("_n").alias("_n"), gid.alias("_g"))
+    level = F.lit(0)
+    for i in range(len(levels) + 1):
+        open_bits = sum(1 << (len(levels) + len(keep) - 1 - j) for j in range(i, len(levels)))
+        level = F.when(F.col("_g") == open_bits, i).otherwise(level)
+    return summed.withColumn("_level", level.cast("int")).drop("_g")
+
+
+def impact_panel(rows: DataFrame, levels: list[str], cites: str, authors: str | None = None, k: int = 5) -> DataFrame:
+    """citation_panel of the whole, and of each group at every level: (level, levels ..., statistics), levels below null.
+
+    `rows` are counted once by all levels and citations; one pass of grouping
+    sets over these counts gives all levels.  With `authors`, a column of
+    lists, top_authors has the `k` names of most rows of each group (ties: by
+    name; a row counts once for a name), also from counts; each task passes on
+    `k` names of a group at most.
+    """
+    per = ["_level", *levels]
+    counted = rows.groupBy(*levels, F.col(cites).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    panel = _panel(_at_every_level(counted, levels, ["_v"]), per)
+    if authors:
+        names = rows.select(*levels, F.explode(F.array_distinct(authors)).alias("_a")).filter("_a is not null")
+        by = _at_every_level(names.groupBy(*levels, "_a").agg(F.count(F.lit(1)).alias("_n")), levels, ["_a"])
+        best = by.withColumn("_k", F.row_number().over(Window.partitionBy(*per).orderBy(F.desc("_n"), "_a"))).filter(F.col("_k") <= k)
+        lists = best.groupBy(*per).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "_a"))), lambda s: s["_a"]).alias("top_authors"))
+        same = [F.col(f"p.{c}").eqNullSafe(F.col(f"l.{c}")) for c in per]  # a level's own null is a group too
+        joined = panel.alias("p").join(lists.alias("l"), same, "left")
+        panel = joined.select("p.*", F.coalesce("l.top_authors", F.array().cast("array<string>")).alias("top_authors"))
+    return panel.withColumnRenamed("_level", "level")
+
+
 def number_by_size(counted: DataFrame, item: str, value: str) -> DataFrame:
     """Items numbered from 0, the largest first; ties by name.  One row per item comes in."""
     return counted.withColumn("topic_id", F.row_number().over(Window.orderBy(F.desc(value), item)) - 1)

@@ -195,6 +195,23 @@ def citation_panel(spark, sf_dir):
     return O.citation_panel(table(spark, sf_dir, "part").select(F.col("p_brand").alias("brand"), F.col("p_size").alias("cites")), ["brand"], "cites")
 
 
+@query("""WITH r AS (SELECT CAST(floor(year(l_shipdate) / 5) * 5 AS INTEGER) AS bucket, p_type AS theme, p_brand AS topic, CAST(l_quantity AS INTEGER) AS c, 'S' || (l_suppkey % 37) AS a FROM lineitem JOIN part ON p_partkey = l_partkey),
+g AS (SELECT CASE grouping(bucket, theme, topic) WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS level, bucket, theme, topic, c, count(*) AS n FROM r GROUP BY GROUPING SETS ((c), (bucket, c), (bucket, theme, c), (bucket, theme, topic, c))),
+m AS (SELECT *, sum(n) OVER (PARTITION BY level, bucket, theme, topic ORDER BY c DESC) AS above FROM g), h AS (SELECT level, bucket, theme, topic, max(least(above, c)) AS h_index FROM m GROUP BY 1, 2, 3, 4),
+s AS (SELECT CASE grouping(bucket, theme, topic) WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS level, bucket, theme, topic, count(*) AS n, median(c) AS med, avg(c) AS mean, sum(c) AS total FROM r GROUP BY GROUPING SETS ((), (bucket), (bucket, theme), (bucket, theme, topic))),
+an AS (SELECT CASE grouping(bucket, theme, topic) WHEN 7 THEN 0 WHEN 3 THEN 1 WHEN 1 THEN 2 ELSE 3 END AS level, bucket, theme, topic, a, count(*) AS n FROM r GROUP BY GROUPING SETS ((a), (bucket, a), (bucket, theme, a), (bucket, theme, topic, a))),
+ak AS (SELECT *, row_number() OVER (PARTITION BY level, bucket, theme, topic ORDER BY n DESC, a) AS k FROM an), t AS (SELECT level, bucket, theme, topic, string_agg(a, ',' ORDER BY k) AS top FROM ak WHERE k <= 3 GROUP BY 1, 2, 3, 4)
+SELECT CAST(s.level AS INTEGER) AS level, s.bucket, s.theme, s.topic, s.n, round(CAST(med AS DOUBLE), 6) AS median_cites, round(mean, 6) AS mean_cites, CAST(total AS BIGINT) AS total_cites, CAST(h_index AS BIGINT) AS h_index, top
+FROM s JOIN h ON s.level = h.level AND s.bucket IS NOT DISTINCT FROM h.bucket AND s.theme IS NOT DISTINCT FROM h.theme AND s.topic IS NOT DISTINCT FROM h.topic
+JOIN t ON s.level = t.level AND s.bucket IS NOT DISTINCT FROM t.bucket AND s.theme IS NOT DISTINCT FROM t.theme AND s.topic IS NOT DISTINCT FROM t.topic""")
+def impact_panel(spark, sf_dir):
+    """Quantities stand for citations, suppliers for authors; periods of five years, types, brands."""
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", T.bucket(F.year("l_shipdate")).alias("bucket"), F.col("l_quantity").cast("int").alias("cites"), F.array(F.concat(F.lit("S"), (F.col("l_suppkey") % 37).cast("string"))).alias("authors"))
+    rows = line.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("theme"), F.col("p_brand").alias("topic")), "l_partkey")
+    out = O.impact_panel(rows, ["bucket", "theme", "topic"], "cites", "authors", 3)
+    return out.drop("uncited").withColumn("top", F.array_join("top_authors", ",")).drop("top_authors")
+
+
 @query("""SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
 def events_tumbling(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -228,7 +245,7 @@ def drift_series(spark, sf_dir):
     return r.groupBy("theme").agg(series.alias("series")).join(O.peak(r, "theme", "y").select("theme", "peak"), "theme")
 
 
-@query()
+@query(f"WITH {_RANKED} SELECT CAST(to_json(list({{'theme': theme, 'y': y, 'papers': papers, 'share': share}} ORDER BY theme, y)) AS VARCHAR) AS payload FROM r")
 def streamgraph_payload(spark, sf_dir):
     from plumbline.sources.io import payload
 

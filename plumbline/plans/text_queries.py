@@ -199,10 +199,12 @@ def inverted_index_reconstruct(spark, sf_dir):
     return indexed.select("doc_id", T.inverted_index_text(F.col("index")).alias("rebuilt"))
 
 
-@query("WITH c AS (SELECT doc_id, x.k AS name, CASE WHEN x.k = 'c' THEN NULL ELSE (doc_id % 10) / 10 + x.b END AS score, x.i FROM documents, (VALUES ('a', 0, 0.0), ('b', 1, -0.2), ('c', 2, 0.0)) x(k, i, b)) SELECT doc_id, coalesce(string_agg(name, '; ' ORDER BY i) FILTER (coalesce(score, 0) >= 0.3), '') AS concepts FROM c GROUP BY 1")
+@query("""WITH c AS (SELECT doc_id, x.i, CASE x.i WHEN 0 THEN lang WHEN 1 THEN source ELSE 'none' END AS name, CASE x.i WHEN 0 THEN (n_chars % 100) / 100 WHEN 1 THEN (n_chars % 7) / 7 END AS score FROM documents, (VALUES (0), (1), (2)) x(i))
+SELECT doc_id, coalesce(string_agg(name, '; ' ORDER BY i) FILTER (coalesce(score, 0) >= 0.3), '') AS concepts FROM c GROUP BY doc_id""")
 def concept_filter(spark, sf_dir):
-    share = (F.col("doc_id") % 10) / 10
-    concepts = F.array(*(F.struct(F.lit(n).alias("display_name"), s.cast("double").alias("score")) for n, s in (("a", share + 0.0), ("b", share - 0.2), ("c", F.lit(None)))))
+    """Each document's language and source as concepts, scored by its length."""
+    scored = (("lang", F.col("n_chars") % 100 / 100), ("source", F.col("n_chars") % 7 / 7))
+    concepts = F.array(*(F.struct(F.col(n).alias("display_name"), s.cast("double").alias("score")) for n, s in scored), F.struct(F.lit("none").alias("display_name"), F.lit(None).cast("double").alias("score")))
     return table(spark, sf_dir, "documents").select("doc_id", T.joined(T.strong_concepts(concepts)).alias("concepts"))
 
 
@@ -235,8 +237,13 @@ def topic_labels(spark, sf_dir):
     return lists.select("source", O.fallback_label(F.col("top_words")).alias("label"), T.clean_label(F.array_join("top_words", " ")).alias("clean"))
 
 
-@query("""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_extract('<section id="abstract"><h2>Abstract</h2>' || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || '</section>', '<section id="abstract">(.*?)</section>', 1), '<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\\s+', ' ', 'g'))[10:], '') AS abstract FROM pages""")
+_PAGE = r"""w AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style>', ' ', 'g'), '(?is)<!--.*?-->', ' ', 'g') AS html FROM pages),
+s AS (SELECT page_id, regexp_extract(replace(replace(html, '<article>', '<section id="abstract"><h2>Abstract</h2>'), '</article>', '</section>'), '(?is)<section\b[^>]*\bid=["'']abstract["''][^>]*>(.*?)</section>', 1) AS t FROM w),
+u AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(regexp_replace(t, '(?s)<[^>]+>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' '), '&amp;', '&') AS t FROM s)"""
+
+
+@query(f"WITH {_PAGE} SELECT page_id, nullif(trim(regexp_replace(trim(regexp_replace(t, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')), '(?i)^abstract', '')), '') AS abstract FROM u")
 def page_abstract_extract(spark, sf_dir):
-    """The abstract of a page built around each page's heading."""
-    page = F.concat(F.lit('<script>x</script><section id="abstract"><h2>Abstract</h2>'), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), F.lit("</section>"))
+    """The whole article of each page, marked as its abstract."""
+    page = F.replace(F.replace("html", F.lit("<article>"), F.lit('<section id="abstract"><h2>Abstract</h2>')), F.lit("</article>"), F.lit("</section>"))
     return table(spark, sf_dir, "pages").select("page_id", html.abstract(page).alias("abstract"))
