@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import cleaning_queries, temporal_queries, text_queries, vector_queries  # noqa: F401
+from plumbline.plans import cleaning_queries, record_queries, temporal_queries, text_queries, vector_queries  # noqa: F401
 from plumbline.plans.registry import ORACLE_SQL, QUERIES
 
 FLAGSHIP = "theme_share_rank_by_year"

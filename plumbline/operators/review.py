@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from plumbline.functions import stats
-
+from plumbline.operators import match
 from plumbline.storage import shared_dir
 
 
@@ -40,6 +40,21 @@ def ends(rates: DataFrame, venue: str, n: int, least: int) -> DataFrame:
     return best.unionByName(worst)
 
 
+def raters(a: DataFrame, b: DataFrame, key: str, suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
+    """Two raters' tables as one row per item that both rated, with their columns under suffixes.
+
+    Of several rows of an item the one with the highest values, column by
+    column, counts; items without key go.
+    """
+
+    def one(t: DataFrame, suffix: str) -> DataFrame:
+        columns = [c for c in t.columns if c != key]
+        kept = match.latest(t, key, [F.col(c).desc_nulls_last() for c in columns])
+        return kept.select(key, *(F.col(c).alias(c + suffix) for c in columns))
+
+    return one(a, suffixes[0]).join(one(b, suffixes[1]), key)
+
+
 def agreement(ratings: DataFrame, a: str, b: str) -> DataFrame:
     """One row: n, agreement, Cohen's kappa and Gwet's AC1 of two 0/1 ratings of the same items."""
     r = ratings.filter(F.col(a).isNotNull() & F.col(b).isNotNull())

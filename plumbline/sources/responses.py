@@ -136,6 +136,19 @@ def stored(path_rows: list[dict]) -> Fetcher:
     return fetch
 
 
+def generated(wanted: DataFrame, path: str, make: Callable[[DataFrame], DataFrame], key: str = "cache_key") -> DataFrame:
+    """(key, value) of all wanted keys, from the table at `path`; what it lacks is made by `make` and added first.
+
+    Keys are made once, however often they are wanted; null keys go.
+    """
+    spark = wanted.sparkSession
+    have = spark.read.parquet(path) if exists(spark, path) else None
+    lacking = match.latest(wanted, key, [F.lit(1).asc()]) if have is None else match.latest(wanted, key, [F.lit(1).asc()]).join(have.select(key), key, "left_anti")
+    if have is None or not lacking.isEmpty():
+        make(lacking).select(key, "value").write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(wanted.select(key).distinct(), key, "left_semi")
+
+
 def cached_pages(targets: DataFrame, cache: DataFrame, url: str = "ee", order: Column | None = None) -> DataFrame:
     """Targets with their cached page and its state; each target once, as of several pages of a url the first by `order` counts.
 
