@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text as T
 from plumbline.operators import clean, match, review, sample, temporal, terms, vectors
+from plumbline import schemas
 from plumbline.schemas import PAPERS, require_columns
-from plumbline.storage import exists, overwrite
+from plumbline.sources import io
+from plumbline.storage import exists, overwrite, shared_dir
 
 
 def venue(papers: DataFrame, conf: str, slug: str, out: str, include_companion: bool = False) -> DataFrame:
@@ -102,31 +104,110 @@ def migrations(papers: DataFrame, authors: DataFrame, width: int = 5) -> tuple[D
     return flows, temporal.net_flow(flows, "bucket")
 
 
+def scope_payloads(rows: DataFrame, groups: DataFrame, scopes: dict[str, list[str] | str], width: int = 5) -> DataFrame:
+    """(scope, payload): what a figure of a scope shows, as JSON that can stand in a script element.
+
+    `rows` are papers (conf, year, group, llm_label), `groups` the registry
+    (group, order); a scope is a list of venues, or a word for all.  The JSON
+    has groups (those with papers, in order), buckets, share and freq (by
+    group, one number for each bucket) and topics (by group and bucket: name,
+    papers, share of the group; most papers first, ties by name).  Rows
+    without group or year don't count; a scope without rows has no payload.
+    All comes from one count by scope, group, bucket and label.
+    """
+    spark = rows.sparkSession
+    kept = rows.filter("`group` is not null and year is not null").withColumn("bucket", T.bucket(F.col("year"), width))
+    parts = [clean.scope_filter(kept, scope).withColumn("scope", F.lit(name)).groupBy("scope", "group", "bucket", "llm_label").agg(F.count(F.lit(1)).alias("papers")) for name, scope in scopes.items()]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    folder = shared_dir(spark, "scope-counts")
+    whole.join(groups.select("group", "order"), "group").write.parquet(folder)
+    counted = spark.read.parquet(folder)  # groups x buckets x topics, however many papers there are
+    by_group = counted.groupBy("scope", "group", "order", "bucket").agg(F.sum("papers").alias("freq"))
+    by_bucket = by_group.groupBy("scope", "bucket").agg(F.sum("freq").alias("all_"))
+    buckets = by_bucket.groupBy("scope").agg(F.sort_array(F.collect_list(F.struct("bucket", "all_"))).alias("bs"))
+    lists = by_group.groupBy("scope", "group", "order").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "freq"))).alias("m")).join(buckets, "scope")
+    at = lambda b: F.coalesce(F.try_element_at("m", b["bucket"]), F.lit(0))
+    series = lists.select("scope", "group", "order", F.transform("bs", at).alias("freq"), F.transform("bs", lambda b: at(b) / b["all_"]).alias("share"))
+    named = counted.join(by_group, ["scope", "group", "order", "bucket"])
+    entry = F.struct((-F.col("papers")).alias("o"), F.coalesce("llm_label", F.lit("")).alias("name"), "papers", F.round(F.col("papers") / F.col("freq"), 4).alias("share"))
+    topics = named.groupBy("scope", "group", "bucket").agg(F.transform(F.sort_array(F.collect_list(entry)), lambda e: e.dropFields("o")).alias("l"))
+    topics = topics.groupBy("scope", "group").agg(F.map_from_entries(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "l"))), lambda e: F.struct(e["bucket"].cast("string"), e["l"]))).alias("topics"))
+    rows_ = series.join(topics, ["scope", "group"]).groupBy("scope").agg(F.sort_array(F.collect_list(F.struct("order", "group", "freq", "share"))).alias("g"), F.collect_list(F.struct("group", "topics")).alias("t")).join(buckets, "scope")
+    by = lambda name: F.map_from_entries(F.transform("g", lambda x: F.struct(x["group"], x[name]))).alias(name)
+    body = F.struct(F.transform("g", lambda x: x["group"]).alias("groups"), F.transform("bs", lambda b: b["bucket"]).alias("buckets"), by("share"), by("freq"), F.map_from_entries("t").alias("topics"))
+    return rows_.select("scope", T.escape_script(F.to_json(body)).alias("payload"))
+
+
+def registry_report(papers: DataFrame, groups: DataFrame, out: str) -> str:
+    """The registry of groups with their papers and shares: a CSV below `out`, and the Markdown that is returned."""
+    table = review.registry(papers, groups)
+    io.write_csv(table, f"{out}/registry")
+    return io.markdown(table.select("order", "group", "papers", "share"), ["order", "group"])
+
+
+def validation_report(ratings: DataFrame, group: str, out: str, by: str = "correct") -> dict[str, DataFrame]:
+    """Verdicts per group, and accuracy with its interval: CSV tables below `out`."""
+    tables = {"summary": review.summary(ratings, group), "accuracy": review.accuracy(ratings.filter(F.col(by).isin("y", "n")), group, F.col(by) == "y")}
+    for name, table in tables.items():
+        io.write_csv(table, f"{out}/{name}")
+    return tables
+
+
 def main(argv: list[str] | None = None) -> None:
-    """Command line: venue, corpus."""
+    """Command line: venue, corpus, select, groups, figures, validate."""
     import argparse
 
     p = argparse.ArgumentParser(prog="plumbline")
     sub = p.add_subparsers(dest="what", required=True)
-    v = sub.add_parser("venue", help="clean one venue's slice")
-    v.add_argument("papers")
-    v.add_argument("out")
+
+    def command(name: str, about: str, *names: str) -> argparse.ArgumentParser:
+        c = sub.add_parser(name, help=about)
+        for n in names:
+            c.add_argument(n)
+        return c
+
+    v = command("venue", "clean one venue's slice", "papers", "out")
     v.add_argument("--conf", required=True)
     v.add_argument("--slug", required=True)
     v.add_argument("--include-companion", action="store_true")
-    c = sub.add_parser("corpus", help="pool papers with abstracts")
-    for name in ("papers", "works", "overrides", "out"):
-        c.add_argument(name)
+    command("corpus", "pool papers with abstracts", "papers", "works", "overrides", "out")
+    c = command("select", "choose venues and draw the fit sample", "corpus", "out")
+    c.add_argument("--forced", nargs="*", default=[])
+    for name, default in (("--min-papers", 50), ("--size", 120_000), ("--cap", 3_000), ("--seed", 42)):
+        c.add_argument(name, type=int, default=default)
+    c.add_argument("--min-rate", type=float, default=0.5)
+    command("groups", "give topics and papers their groups", "topics", "papers", "grouping", "out")
+    f = command("figures", "write the tables and payloads of the figures", "papers", "topics", "grouping", "out")
+    f.add_argument("--scopes", help="a YAML file of scopes: name to list of venues, or to all")
+    r = command("validate", "report on a log of reviews", "log", "out")
+    r.add_argument("--group", default="group")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("plumbline").getOrCreate()
-    papers = spark.read.parquet(a.papers)
+    read = spark.read.parquet
     if a.what == "venue":
-        venue(papers, a.conf, a.slug, a.out, a.include_companion)
+        venue(read(a.papers), a.conf, a.slug, a.out, a.include_companion)
+    elif a.what == "corpus":
+        corpus(read(a.papers), io.read_responses(spark, a.works), io.read_csv(spark, a.overrides, schemas.OVERRIDES), a.out)
+    elif a.what == "select":
+        rows, report = select_corpus(read(a.corpus), a.forced, a.min_papers, a.min_rate, a.size, a.cap, a.seed)
+        overwrite(rows, f"{a.out}/universe")
+        io.write_csv(report, f"{a.out}/venues")
+    elif a.what == "groups":
+        groups, members = io.group_table(spark, io.read_yaml(spark, a.grouping))
+        named, papers, _ = apply_groups(read(a.topics), read(a.papers), groups, members)
+        overwrite(named, f"{a.out}/topics")
+        print(registry_report(overwrite(papers, f"{a.out}/papers"), groups, a.out))
+    elif a.what == "figures":
+        groups, _ = io.group_table(spark, io.read_yaml(spark, a.grouping))
+        papers, named = read(a.papers), read(a.topics)
+        for name, table in figures(papers, named).items():
+            overwrite(table, f"{a.out}/{name}")
+        labelled = papers.join(named.select("topic_id", "llm_label"), "topic_id", "left")
+        overwrite(scope_payloads(labelled, groups, io.read_yaml(spark, a.scopes) if a.scopes else {"all": "all"}), f"{a.out}/payloads")
     else:
-        from plumbline import schemas
-        from plumbline.sources import io
-
-        corpus(papers, io.read_responses(spark, a.works), io.read_csv(spark, a.overrides, schemas.OVERRIDES), a.out)
+        validation_report(spark.read.option("header", True).csv(a.log), a.group, a.out)
 
 
 if __name__ == "__main__":

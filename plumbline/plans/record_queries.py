@@ -91,7 +91,7 @@ def two_raters(spark, sf_dir):
     a = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("rating"))
     b = a.filter("doc_id % 4 > 0").withColumn("rating", F.when(F.col("doc_id") % 9 == 0, 1 - F.col("rating")).otherwise(F.col("rating")))
     both = R.raters(a, b, "doc_id")
-    return R.agreement(both, "rating_a", "rating_b").select("n", "agreement").crossJoin(F.broadcast(both.agg(F.count_if("rating_a <> rating_b").alias("differ"))))
+    return R.agreement(both, "rating_a", "rating_b").select("n", "agreement").crossJoin(F.broadcast(both.agg(F.count_if(F.col("rating_a") != F.col("rating_b")).alias("differ"))))
 
 
 @query("""WITH t AS (SELECT doc_id, lang, source, coalesce(l.toxic, 0) AS toxic FROM documents d LEFT JOIN (SELECT doc_id AS i, max(toxic) AS toxic FROM labels GROUP BY 1) l ON l.i = d.doc_id),
