@@ -270,3 +270,23 @@ def events_stream_distinct(spark, sf_dir):
     stream = events.distinct_events(events.read_stream(spark, f"{sf_dir}/events.parquet"), late=None)
     events.run_available(stream.select("event_id", "user_id", "event_type", "value"), f"{folder}/out", f"{folder}/checkpoint")
     return spark.read.parquet(f"{folder}/out")
+
+
+@query("""WITH r AS (SELECT l_returnflag AS conf, p_type AS g, p_brand AS label, CAST(floor(year(l_shipdate) / 5) * 5 AS INTEGER) AS b FROM lineitem JOIN part ON p_partkey = l_partkey), s AS (SELECT 'all' AS scope, * FROM r UNION ALL SELECT 'some', * FROM r WHERE conf IN ('A', 'N')),
+t AS (SELECT scope, g, b, label, count(*) AS n FROM s GROUP BY 1, 2, 3, 4), f AS (SELECT scope, g, b, sum(n) AS freq FROM t GROUP BY 1, 2, 3), a AS (SELECT scope, b, sum(freq) AS all_ FROM f GROUP BY 1, 2),
+d AS (SELECT x.scope, x.g, a.b, a.all_ FROM (SELECT DISTINCT scope, g FROM f) x JOIN a ON a.scope = x.scope), l AS (SELECT scope, g, b, string_agg(label || ':' || n, ',' ORDER BY n DESC, label) AS topics FROM t GROUP BY 1, 2, 3)
+SELECT d.scope, d.g AS "group", d.b AS bucket, CAST(coalesce(f.freq, 0) AS BIGINT) AS freq, round(coalesce(f.freq, 0) / all_, 6) AS share, coalesce(l.topics, '') AS topics FROM d LEFT JOIN f ON f.scope = d.scope AND f.g = d.g AND f.b = d.b LEFT JOIN l ON l.scope = d.scope AND l.g = d.g AND l.b = d.b""")
+def scope_payloads(spark, sf_dir):
+    """Payloads of two scopes, read back: types are groups, brands topics, return flags venues."""
+    from plumbline.plans import pipelines
+
+    line = table(spark, sf_dir, "lineitem").select("l_partkey", F.col("l_returnflag").alias("conf"), F.year("l_shipdate").alias("year"))
+    rows = line.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("group"), F.col("p_brand").alias("llm_label")), "l_partkey")
+    groups = table(spark, sf_dir, "part").select(F.col("p_type").alias("group")).distinct().withColumn("order", F.length("group"))
+    kind = "struct<groups:array<string>,buckets:array<int>,share:map<string,array<double>>,freq:map<string,array<bigint>>,topics:map<string,map<string,array<struct<name:string,papers:bigint,share:double>>>>>"
+    made = pipelines.scope_payloads(rows, groups, {"all": "all", "some": ["A", "N"]}).select("scope", F.from_json("payload", kind).alias("d"))
+    one = made.select("scope", "d", F.explode("d.groups").alias("group")).select("scope", "d", "group", F.posexplode("d.buckets").alias("i", "bucket"))
+    names = F.coalesce(F.try_element_at(F.try_element_at("d.topics", F.col("group")), F.col("bucket").cast("string")), F.array().cast("array<struct<name:string,papers:bigint,share:double>>"))
+    shown = F.array_join(F.transform(names, lambda t: F.concat(t["name"], F.lit(":"), t["papers"].cast("string"))), ",")
+    at = lambda c: F.get(F.try_element_at(f"d.{c}", F.col("group")), F.col("i"))
+    return one.select("scope", "group", "bucket", at("freq").alias("freq"), F.round(at("share"), 6).alias("share"), shown.alias("topics"))
