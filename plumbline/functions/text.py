@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,29 +80,34 @@ def loose_key(c: Column, compose: bool = True) -> Column:
     return F.regexp_replace(plain, ARTICLES, "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is made once, however often it is named there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def inverted_index(words: Column) -> Column:
     """Word -> positions map of a list of words, in the order of the words; null for a null list.
 
     One sort of (word, position) and one pass over the places where a new word
     begins; nothing leaves the row.
     """
-    of = lambda ws: F.sort_array(F.transform(ws, lambda w, i: F.struct(w.alias("w"), i.alias("p"))))
 
-    def entries(s: Column) -> Column:
-        n = F.size(s)
-        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
-        runs = F.zip_with(begins, F.concat(F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0))), F.array(n)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        return F.map_from_entries(F.transform(runs, lambda r: F.struct(F.get(s, r["a"])["w"].alias("k"), F.transform(F.slice(s, r["a"] + 1, r["b"] - r["a"]), lambda x: x["p"]).alias("v"))))
+    def runs(s: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i)["w"] != F.get(s, i - 1)["w"]))
+        return _once(begins, lambda b: F.transform(b, lambda at, k: F.struct(at.alias("a"), F.coalesce(F.get(b, k + 1), F.size(s)).alias("b"))))
+
+    def index(s: Column) -> Column:
+        entry = lambda r: F.struct(F.get(s, r["a"])["w"].alias("k"), F.transform(F.slice(s, r["a"] + 1, r["b"] - r["a"]), lambda x: x["p"]).alias("v"))
+        none = F.create_map().cast("map<string,array<int>>")
+        return F.when(s.isNull(), F.lit(None)).when(F.size(s) > 0, F.map_from_entries(F.transform(runs(s), entry))).otherwise(none)
 
-    # A lambda over a list of one list: the sorted words are made once a row.
-    made = F.transform(F.array(of(words)), lambda s: F.when(F.size(s) > 0, entries(s)).otherwise(F.create_map().cast("map<string,array<int>>")))
-    return F.when(words.isNotNull(), F.get(made, F.lit(0)))
+    return _once(F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("p")))), index)
 
 
 def inverted_index_text(index: Column) -> Column:
     """Words of a word -> positions map in the order of their positions; null for an empty map."""
     pairs = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda p: F.struct(p.isNull().alias("none"), p.alias("p"), e["key"].alias("w")))))
-    return F.nullif(F.array_join(F.transform(F.sort_array(pairs), lambda s: s["w"]), " "), F.lit(""))
+    return _once(F.array_join(F.transform(F.sort_array(pairs), lambda s: s["w"]), " "), lambda t: F.when(t != "", t))
 
 
 def strong_concepts(concepts: Column, least: float = 0.3) -> Column:
