@@ -16,6 +16,7 @@ the documents in blocks of bounded size, one pass of the stored pairs each.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterable, Iterator
 from hashlib import sha256
 
@@ -82,6 +83,8 @@ class Units:
         self.a, self.a_bytes = load(a_path), byte_tokens(a_path)
         self.a.encode_special_tokens = True
         self.b, self.b_bytes = pieces(b_path)
+        self.a_sizes, self.b_sizes = (np.array(list(map(len, t)), dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
+        self.a_names, self.b_names = (list(map(str, range(len(t)))) for t in (self.a_bytes, self.b_bytes))
         self.clear()
 
     def clear(self) -> None:
@@ -92,6 +95,14 @@ class Units:
         self.same = np.zeros(0, dtype=bool)
         self.codes, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    @staticmethod
+    def _same(ids: list[list[int]], table: list[bytes], sizes: np.ndarray, units: list[bytes], wanted: np.ndarray) -> np.ndarray:
+        """Do each unit's ids give its bytes back?"""
+        flat, counts = _flat(ids)
+        if np.array_equal(row_sums(sizes[flat], np.repeat(np.arange(len(units)), counts), len(units)), wanted) and b"".join(map(table.__getitem__, flat.tolist())) == b"".join(units):
+            return np.ones(len(units), dtype=bool)
+        return np.array([b"".join(map(table.__getitem__, mine)) == u for mine, u in zip(ids, units, strict=True)], dtype=bool)
+
     def _add(self, units: list[bytes]) -> None:
         """Encode and align units; each begins with a space, which B adds by itself."""
         texts = [u.decode() for u in units]
@@ -99,25 +110,28 @@ class Units:
         b = self.b.encode([t[1:] for t in texts], num_threads=1)
         if b" " in units:  # a text's last space, to which B adds none
             b[units.index(b" ")] = self.b.encode("a ")[len(self.b.encode("a")) :]
-        same = np.ones(len(units), dtype=bool)
-        for k, u in enumerate(units):
-            if b"".join(map(self.a_bytes.__getitem__, a[k])) != u or b"".join(map(self.b_bytes.__getitem__, b[k])) != u:
-                a[k], b[k], same[k] = [], [], False
-        flat_a, flat_b = ([i for ids in rows for i in ids] for rows in (a, b))
-        at_a, at_b, cut = overlaps(np.array([len(self.a_bytes[i]) for i in flat_a], dtype=np.int64), np.array([len(self.b_bytes[i]) for i in flat_b], dtype=np.int64))
-        n_a, n_b = np.array(list(map(len, a)), dtype=np.int64), np.array(list(map(len, b)), dtype=np.int64)
+        wanted = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        right_a, right_b = self._same(a, self.a_bytes, self.a_sizes, units, wanted), self._same(b, self.b_bytes, self.b_sizes, units, wanted)
+        same = right_a & right_b
+        for k in np.flatnonzero(~same).tolist():
+            a[k], b[k] = [], []
+        (flat_a, n_a), (flat_b, n_b) = _flat(a), _flat(b)
+        at_a, at_b, cut = overlaps(self.a_sizes[flat_a], self.b_sizes[flat_b])
         unit_of = np.repeat(np.arange(len(units)), n_a)[at_a]
         n_links, n_groups = (np.bincount(x, minlength=len(units)) for x in (unit_of, unit_of[cut]))
         # A group begins with a pair where both owners change: from there to the next one are its ids.
         from_a, from_b = np.r_[at_a[cut], len(flat_a)].tolist(), np.r_[at_b[cut], len(flat_b)].tolist()
-        text_a, text_b = list(map(str, flat_a)), list(map(str, flat_b))
-        made = [f"{','.join(text_a[from_a[g] : from_a[g + 1]])}|{','.join(text_b[from_b[g] : from_b[g + 1]])}" for g in range(len(from_a) - 1)]
+        text_a, text_b = list(map(self.a_names.__getitem__, flat_a.tolist())), list(map(self.b_names.__getitem__, flat_b.tolist()))
+        made = [
+            f"{text_a[p]}|{text_b[q]}" if p2 - p == 1 == q2 - q else f"{','.join(text_a[p:p2])}|{','.join(text_b[q:q2])}"
+            for p, p2, q, q2 in zip(from_a[:-1], from_a[1:], from_b[:-1], from_b[1:], strict=True)
+        ]
         ends = np.cumsum(n_groups).tolist()
         self.groups += [";".join(made[e - n : e]) for e, n in zip(ends, n_groups.tolist(), strict=True)]
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, n_links], axis=1)])
         self.same = np.concatenate([self.same, same])
         self.start = np.concatenate([self.start, len(self.codes) + np.cumsum(n_links) - n_links])
-        self.codes = np.concatenate([self.codes, (np.array(flat_a, np.int64)[at_a] << _ID_BITS) | np.array(flat_b, np.int64)[at_b]])
+        self.codes = np.concatenate([self.codes, (flat_a[at_a] << _ID_BITS) | flat_b[at_b]])
 
     def align(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
         """Of each text, given as bytes: its numbers (A ids, B ids, groups, links) and groups; of all links the code and the text's number."""
@@ -154,6 +168,12 @@ class Units:
         return sums, groups, self.codes[expand(self.start[seq], links)], np.repeat(rows, links)
 
 
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids, and how many each list has."""
+    counts = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), dtype=np.int64, count=int(counts.sum())), counts
+
+
 def unit_starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """Places where a unit begins: a text's begin, or a space after a sign that is no white space (ASCII, or of two bytes and not below U+00C0)."""
     if not len(data):
