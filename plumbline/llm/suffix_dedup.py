@@ -416,6 +416,21 @@ def _followers(t: Table, new: np.ndarray) -> Table:
     return own | {"s" + k: t[k][first] for k in ("doc", "tie", "slot", "pos", "at") if k in t}
 
 
+def _covered(lo: np.ndarray, hi: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many of the places a to b - 1 lie within any of the intervals lo to hi - 1; nothing is as long as the text."""
+    order = np.argsort(lo, kind="stable")
+    lo, end = lo[order], np.maximum.accumulate(hi[order])
+    head = np.flatnonzero(np.r_[True, lo[1:] > end[:-1]]) if len(lo) else np.zeros(0, np.int64)
+    lo, hi = lo[head], end[np.r_[head[1:], len(end)][: len(head)] - 1]
+    before = np.r_[0, np.cumsum(hi - lo)]
+
+    def below(x: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(lo, x, side="right")
+        return before[k] - np.where(k > 0, np.maximum(hi[k - 1] - x, 0), 0) if len(lo) else np.zeros(len(x), np.int64)
+
+    return below(b) - below(a)
+
+
 def _collect_runs(length: int, gram: int, buckets: int, most: int, held: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -447,12 +462,8 @@ def _first_runs(parts: list[Table], texts: list[np.ndarray], here: int, length:
         spans = confirmed(data, follow, length)
         yield _batch(list(packed_rows(SPAN, spans, np.full(size(spans), here))))
         # What has been found needs to go no further: the first copy does.
-        gone = np.zeros(len(data) + 1, dtype=np.int32)
-        np.add.at(gone, spans["at"], 1)
-        np.add.at(gone, spans["at"] + spans["size"] - length + 1, -1)
-        done = np.r_[0, np.cumsum(np.cumsum(gone) > 0)]
         windows = t["size"] - length + 1
-        t = take(t, new | (done[t["at"] + windows] - done[t["at"]] < windows))
+        t = take(t, new | (_covered(spans["at"], spans["at"] + spans["size"] - length + 1, t["at"], t["at"] + windows) < windows))
     new = np.r_[True, t["anchor"][1:] != t["anchor"][:-1]] if size(t) else np.zeros(0, bool)
     common = group_sizes(new) > most
     asked = take(t, common) | {"common": np.ones(int(common.sum()), np.int8)}
