@@ -56,18 +56,27 @@ def match_titles(papers: DataFrame, candidates: DataFrame, id_column: str, work_
 
     Strict is an equal normalized title of the same year; loose an equal loose
     key within a year.  Strict wins, then the candidate's position, then its
-    id.  Both are equi-joins: the loose one meets each candidate year in the
-    three years around it.  Empty loose keys match nothing.  With `own`,
-    candidates name the paper that they were found for, and match it alone.
+    id.  Empty loose keys match nothing.  With `own`, candidates name the paper
+    that they were found for, and match it alone.
+
+    Of candidates alike only the first can be a paper's best, so there is one
+    for each normalized title and year, and one for each loose key and each of
+    the three years around, before papers meet them: a title that very many
+    papers and candidates share makes no pairs.  A paper that is listed more
+    than once has the best of all its titles.
     """
-    p = papers.select(F.col(id_column), F.col("year").alias("_year"), T.loose_key(F.col("title"), compose).alias("_key"), T.normalize(F.col("title"), compose).alias("_norm"))
-    around = F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1))
-    c = candidates.select(*([id_column] if own else []), F.col(work_id), "position", F.col("year").alias("_work_year"), T.loose_key(F.col("title"), compose).alias("_key"), T.normalize(F.col("title"), compose).alias("_work_norm"), around.alias("_year"))
-    hits = p.filter("_key <> ''").join(c, [*([id_column] if own else []), "_key", "_year"])
-    strict = (F.col("_norm") == F.col("_work_norm")) & (F.col("_year") == F.col("_work_year"))
-    best = Window.partitionBy(id_column).orderBy(strict.desc(), "position", work_id)
-    ranked = hits.withColumn("_strict", strict).withColumn("_n", F.row_number().over(best)).filter("_n = 1")
-    return ranked.select(id_column, work_id, F.when(F.col("_strict"), "strict").otherwise("loose").alias("kind"))
+    mine = [id_column] if own else []
+
+    def titled(rows: DataFrame, *columns: Column | str) -> DataFrame:
+        return rows.select(*columns, F.col("year").alias("_year"), T.loose_key(F.col("title"), compose).alias("_key"), T.normalize(F.col("title"), compose).alias("_norm")).filter("_key <> '' AND _year IS NOT NULL")
+
+    c = titled(candidates, *mine, F.struct("position", work_id).alias("_place"))
+    strict = c.groupBy(*mine, "_norm", "_year").agg(F.min("_place").alias("_strict"))  # equal normalized titles have equal keys
+    around = F.explode(F.array(F.col("_year") - 1, F.col("_year"), F.col("_year") + 1)).alias("_year")
+    loose = c.select(*mine, "_key", "_place", around).groupBy(*mine, "_key", "_year").agg(F.min("_place").alias("_loose"))
+    hits = titled(papers, id_column).join(loose, [*mine, "_key", "_year"]).join(strict, [*mine, "_norm", "_year"], "left")
+    best = F.min(F.struct(F.col("_strict").isNull().alias("loose"), F.coalesce("_strict", "_loose").alias("place"))).alias("_best")
+    return hits.groupBy(id_column).agg(best).select(id_column, F.col(f"_best.place.{work_id}").alias(work_id), F.when(F.col("_best.loose"), "loose").otherwise("strict").alias("kind"))
 
 
 def upsert(rows: DataFrame, recovered: DataFrame, key: str, columns: list[str], keep_old_if_null: tuple[str, ...] = ("doi",)) -> DataFrame:
