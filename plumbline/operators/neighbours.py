@@ -55,40 +55,102 @@ def _top(frame: DataFrame, k: int, *extra: str) -> DataFrame:
     return frame.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "near"))).filter(F.col("rank") <= k).select("id", "near", "distance", *extra, "rank")
 
 
-def nearest_of(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", block: int = 2048) -> DataFrame:
+def _nearer(ids: np.ndarray, q: np.ndarray, k: int, metric: str, batches: Iterable[tuple[np.ndarray, np.ndarray]], tile: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the query, id and distance of the k nearest rows of each query, from batches (ids, vectors) of rows.
+
+    A product in single precision, with a bound on its error, leaves the pairs
+    that may be among the k nearest so far; their distances are then exact.
+    """
+    cosine = metric == "cosine"
+    floor, step = (-1.0, 1e-12) if cosine else (0.0, 1e-9)  # least value of what is compared (-product, or squared distance); places of distances
+    square = (q * q).sum(1)
+    bound = np.full(len(q), np.inf)  # of what is compared, for the k-th nearest
+    at, names, far = np.zeros(0, np.int64), ids[:0], np.zeros(0)
+    for name, y in batches:
+        square_y = (y * y).sum(1)
+        most = max(square.max(initial=0), square_y.max(initial=0))
+        kind, unit = (np.float32, 2.0**-23) if most < 1e30 else (np.float64, 2.0**-51)
+        slack = unit * (q.shape[1] + 4) * 4 * most + 2 * step
+        a, b = q.astype(kind), y.astype(kind)
+        found = []
+        for lo in range(0, len(q), tile):
+            for start in range(0, len(y), tile):
+                e = a[lo : lo + tile] @ b[start : start + tile].T
+                if cosine:
+                    np.negative(e, out=e)
+                else:
+                    e *= -2
+                    e += square[lo : lo + tile, None].astype(kind)
+                    e += square_y[None, start : start + tile].astype(kind)
+                mine = bound[lo : lo + tile]
+                if e.shape[1] > k and np.isinf(mine).any():  # k + 1, as one may be the query itself
+                    np.minimum(mine, np.maximum(np.partition(e, k, axis=1)[:, k], floor) + slack, out=mine)
+                limit = np.nextafter((mine + slack).astype(kind), kind(np.inf))
+                i, j = np.nonzero(e <= limit[:, None])
+                i, j = i + lo, j + start
+                other = name[j] != ids[i]
+                i, j = i[other], j[other]
+                for c in range(0, len(i), 16384):
+                    u, v = i[c : c + 16384], j[c : c + 16384]
+                    product = np.einsum("ij,ij->i", q[u], y[v])
+                    d = np.round(np.maximum(1 - product, 0), 12) if cosine else np.round(np.sqrt(np.maximum(square[u] + square_y[v] - 2 * product, 0)), 9)
+                    found.append((u, name[v], d))
+        at, names, far = (np.concatenate(x) for x in zip((at, names, far), *found, strict=True))
+        order = np.lexsort((names if names.dtype != object else np.unique(names, return_inverse=True)[1], far, at))
+        at, names, far = at[order], names[order], far[order]
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+        place = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        last = place == k - 1
+        d = far[last] + step
+        bound[at[last]] = np.minimum(bound[at[last]], d - 1 if cosine else d * d)
+        at, names, far = at[place < k], names[place < k], far[place < k]
+    return at, names, far
+
+
+def _named(column: pa.Array) -> np.ndarray:
+    """Ids as an array: numbers as such, others as objects."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False)
+    out = np.empty(len(column), dtype=object)
+    out[:] = column.to_pylist()
+    return out
+
+
+def nearest_of(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosine", block: int = 8192) -> DataFrame:
     """(id, near, distance, rank) of given queries (id, v) against all rows (id, v), exactly.
 
-    Queries go out in blocks of `block` rows; all rows stream past each block,
-    and a task passes on k rows of each query.
+    Both are written first.  Queries go out in blocks of `block` rows; all rows
+    stream past each block, and a task passes on k rows of each query.  The
+    more blocks there are, the fewer tasks share one, so what is shuffled stays
+    near k rows of each query.
     """
     spark = rows.sparkSession
     kind = _kinds(rows, "id")
     out = StructType.fromDDL(f"id {kind}, near {kind}, distance double")
+    folder = shared_dir(spark, "nearest")
+    rows.select("id", "v").write.parquet(f"{folder}/rows")
+    rows = spark.read.schema(f"id {kind}, v array<double>").parquet(f"{folder}/rows")
+    queries.select("id", "v").write.parquet(f"{folder}/queries")
+    queries = spark.read.schema(f"id {kind}, v array<double>").parquet(f"{folder}/queries")
     blocks = max(1, -(-queries.count() // block))
+    queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition("_b").write.partitionBy("_b").parquet(f"{folder}/blocks")
+    dealt = spark.read.schema(f"id {kind}, v array<double>, _b int").parquet(f"{folder}/blocks")
+    share = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))
     parts = []
     for b in range(blocks):
-        mine = queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).select("id", "v").toArrow().combine_chunks()
-        asked = spark.sparkContext.broadcast((mine.column("id").to_pylist(), matrix(mine.column("v")) if mine.num_rows else None))
+        mine = dealt.filter(F.col("_b") == b).select("id", "v").toArrow().combine_chunks()
+        asked = spark.sparkContext.broadcast((_named(mine.column("id").combine_chunks()), matrix(mine.column("v")) if mine.num_rows else None))
 
         def run(batches: Iterable[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
             ids, q = asked.value
-            schema = to_arrow_schema(out)
-            best: list[list[tuple]] = [[] for _ in ids]
-            for batch in batches:
-                if not batch.num_rows or not ids:
-                    continue
-                names, d = batch.column(0).to_pylist(), distances(q, matrix(batch.column(1)), metric)
-                few = min(k + 1, d.shape[1])
-                edge = np.partition(d, few - 1, axis=1)[:, few - 1]
-                for i, j in zip(*(x.tolist() for x in np.nonzero(d <= edge[:, None])), strict=True):
-                    if names[j] != ids[i]:
-                        best[i].append((d[i, j], names[j]))
-                best = [sorted(b)[:k] for b in best]
-            flat = [(ids[i], n, x) for i, b in enumerate(best) for x, n in b]
-            if flat:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*flat, strict=True), schema, strict=True)], schema=schema)
-
-        parts.append(rows.select("id", "v").mapInArrow(run, out))
+            if len(ids):
+                at, names, d = _nearer(ids, q, k, metric, ((_named(x.column(0)), matrix(x.column(1))) for x in batches if x.num_rows))
+                schema = to_arrow_schema(out)
+                for lo in range(0, len(at), 10_000):
+                    some = slice(lo, lo + 10_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip((ids[at[some]], names[some], d[some]), schema, strict=True)], schema=schema)
+
+        parts.append(rows.coalesce(share).mapInArrow(run, out))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
