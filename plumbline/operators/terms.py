@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -63,7 +65,7 @@ def topic_scores(terms: DataFrame, id_column: str, topic: str, outlier) -> DataF
     a document's terms join it once.
     """
     weights = _weighted(class_counts(terms, [topic], 1), [topic]).filter(F.col(topic) != outlier)
-    lengths = weights.groupBy(topic).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
+    lengths = weights.filter(F.col(topic).isNotNull()).groupBy(topic).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
     packed = weights.groupBy("term").agg(F.max("idf").alias("idf"), F.collect_list(F.struct(topic, "w")).alias("_ws"))
     met = terms.filter(F.col(topic) == outlier).select(id_column, "term", "tf").join(packed, "term")
     parts = met.select(id_column, (F.col("tf") * F.col("idf")).alias("_x"), F.explode("_ws").alias("_s"))
@@ -85,78 +87,165 @@ def reduce_outliers(rows: DataFrame, terms: DataFrame, id_column: str, topic: st
     return rows.drop("share").join(best, id_column, "left").withColumn(topic, moved).drop("_best")
 
 
-#: Numbers of a table of terms by topics that are sent to every task at a time (8 bytes each).
+#: Numbers of a table of terms by topics that a task holds at a time (8 bytes each).
 TOPIC_CELLS = 4_000_000
-
-
-def window_shares(docs: DataFrame, id_column: str, text: str, weights: DataFrame, topic: str, window: int = 4, stride: int = 1, least: float = 0.1, pattern: str = T.ALPHA_WORD, cells: int = TOPIC_CELLS) -> DataFrame:
+#: Terms that go to every task, the most frequent ones; and words that a group of texts brings to the others, at most.
+COMMON_TERMS, GROUP_WORDS = 200_000, 200_000
+
+
+def _window_sums(ids: np.ndarray, idf: np.ndarray, table: np.ndarray, starts: np.ndarray, size: int, least: float) -> np.ndarray:
+    """Sum over the windows of `size` words that begin at `starts` of each topic's cosine; running sums over the words give all windows at once."""
+    total = np.zeros(table.shape[1])
+    for a in range(0, len(starts), 8192):  # bounded numbers of windows at a time
+        some = starts[a : a + 8192]
+        mine = ids[some[0] : some[-1] + size]
+        at = some - some[0]
+        w = np.where(mine >= 0, idf[mine], 0.0)
+        dots = np.vstack([np.zeros(table.shape[1]), np.cumsum(np.where(mine[:, None] >= 0, w[:, None] * table[mine], 0.0), axis=0)])
+        square = np.r_[0.0, np.cumsum(w * w)]
+        norm = square[at + size] - square[at]
+        for gap in range(1, size):  # a word that is in a window more than once
+            twice = np.r_[0.0, np.cumsum(np.where(mine[:-gap] == mine[gap:], w[gap:] ** 2, 0.0))]
+            norm += 2 * (twice[at + size - gap] - twice[at])
+        some_known = norm > 1e-18
+        cos = (dots[at + size] - dots[at])[some_known] / np.sqrt(norm[some_known])[:, None]
+        cos = np.round(cos, 9)
+        total += np.where(cos >= least, cos, 0.0).sum(axis=0)
+    return total
+
+
+def _frequent(terms: DataFrame, most: int) -> DataFrame:
+    """The terms of least idf, at most so many and all that have the same one to 2 places, by counts for each of these."""
+    step = F.floor(F.col("idf") * 100)
+    counts = sorted(map(tuple, terms.groupBy(step.alias("step")).count().collect()))
+    n, last = 0, None
+    for at, count in counts:
+        n += count
+        if n > most:
+            break
+        last = at
+    return terms.filter(step <= last) if last is not None else terms.limit(0)
+
+
+def _place_terms(lists: pa.Array, rows: np.ndarray, table: np.ndarray) -> None:
+    """Lists of (topic number, weight) into rows of a table."""
+    flat = lists.flatten()
+    table[np.repeat(rows, pc.list_value_length(lists).to_numpy(zero_copy_only=False)), flat.field("t").to_numpy()] = flat.field("x").to_numpy()
+
+
+def window_shares(docs: DataFrame, id_column: str, text: str, weights: DataFrame, topic: str, window: int = 4, stride: int = 1, least: float = 0.1, pattern: str = T.ALPHA_WORD, cells: int = TOPIC_CELLS, common: int = COMMON_TERMS) -> DataFrame:
     """(id, topic, share): how far each topic is what a text is about, window by window; the shares of a text sum to 1.
 
     `weights` is (topic, term, idf, w), as topic_weights makes it.  A window of
     `window` words (the whole text, if it has fewer) has the cosine of its own
     counts times idf and each topic's weights; cosines below `least` are
     nothing, the others are summed over all windows, `stride` words apart.
-    Running sums over a text's words give all windows at once.  Texts of which
-    no window is like any topic have no rows; repeated rows have their own.
-    The vocabulary goes to every task; topics follow in blocks, whose tables
-    have `cells` numbers, and texts stream past each without being moved.
+    Texts of which no window is like any topic have no rows; repeated rows have
+    their own.
+
+    The most frequent terms, at most `common` and as few as keep to `cells`
+    numbers, go to every task, which sums the windows that have no others.
+    The words of the other windows are written, texts in groups of bounded
+    size; the rest of the vocabulary comes to these by joins on the term, so
+    no task and not the driver holds more of it than one group's words.
     """
     spark = docs.sparkSession
     folder = shared_dir(spark, "window-shares")
-    lengths = weights.groupBy(topic).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
-    weights.join(lengths, topic).filter("_l > 0").select(F.col(topic).alias("topic"), "term", (F.col("w") / F.col("_l")).alias("x")).write.parquet(f"{folder}/x")
-    weights.groupBy("term").agg(F.max("idf").alias("idf")).write.parquet(f"{folder}/idf")
-    vocabulary_ = spark.read.parquet(f"{folder}/idf").orderBy("term").toArrow().combine_chunks()
-    names = spark.read.parquet(f"{folder}/x").select("topic").distinct().orderBy("topic").toArrow().combine_chunks().column("topic")
-    number = {t: i for i, t in enumerate(vocabulary_.column("term").to_pylist())}
-    known = spark.sparkContext.broadcast((number, vocabulary_.column("idf").to_numpy()))
-    per_block = max(1, cells // max(1, len(number)))
-    frame = docs.select(F.col(id_column), T.tokens(F.col(text), pattern).alias("_words"), F.array().cast("array<double>").alias("_sums"))
-    schema = frame.schema
-
-    def sums(ids: np.ndarray, idf: np.ndarray, table: np.ndarray) -> np.ndarray:
-        """Sum over all windows of a text of each topic's cosine."""
-        total, n = np.zeros(table.shape[1]), len(ids)
-        size = min(window, n)
-        starts = np.arange(0, n - size + 1, stride)
-        for a in range(0, len(starts), 8192):  # bounded numbers of windows at a time
-            some = starts[a : a + 8192]
-            mine = ids[some[0] : some[-1] + size]
-            at = some - some[0]
-            w = np.where(mine >= 0, idf[mine], 0.0)
-            dots = np.vstack([np.zeros(table.shape[1]), np.cumsum(np.where(mine[:, None] >= 0, w[:, None] * table[mine], 0.0), axis=0)])
-            square = np.r_[0.0, np.cumsum(w * w)]
-            norm = square[at + size] - square[at]
-            for gap in range(1, size):  # a word that is in a window more than once
-                twice = np.r_[0.0, np.cumsum(np.where(mine[:-gap] == mine[gap:], w[gap:] ** 2, 0.0))]
-                norm += 2 * (twice[at + size - gap] - twice[at])
-            some_known = norm > 1e-18
-            cos = (dots[at + size] - dots[at])[some_known] / np.sqrt(norm[some_known])[:, None]
-            cos = np.round(cos, 9)
-            total += np.where(cos >= least, cos, 0.0).sum(axis=0)
-        return total
-
-    def pass_of(block):
-        def run(batches):
-            (number, idf), table = known.value, block.value
-            arrow = to_arrow_schema(schema)
-            for batch in batches:
-                out = []
-                for words, before in zip(batch.column(1), batch.column(2), strict=True):
-                    ids = np.array([number.get(w, -1) for w in words.as_py()], dtype=np.int64)
-                    out.append(before.as_py() + (sums(ids, idf, table).tolist() if len(ids) else [0.0] * table.shape[1]))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, arrow.field(2).type)], schema=arrow)
-
-        return run
-
-    for at in range(0, len(names), per_block):
-        some = names.slice(at, per_block).to_pylist()
-        mine = spark.read.parquet(f"{folder}/x").filter(F.col("topic").isin(*some)).toArrow()
-        table = np.zeros((len(number) + 1, len(some)))
-        place = {t: i for i, t in enumerate(some)}
-        table[[number[t] for t in mine.column("term").to_pylist()], [place[t] for t in mine.column("topic").to_pylist()]] = mine.column("x").to_numpy()
-        frame = frame.mapInArrow(pass_of(spark.sparkContext.broadcast(table)), schema)
-    topics = F.array(*map(F.lit, names.to_pylist())) if len(names) else F.array().cast(f"array<{docs.schema[topic].dataType.simpleString()}>" if topic in docs.columns else "array<string>")
+    weights.write.parquet(f"{folder}/weights")
+    weights = spark.read.parquet(f"{folder}/weights")
+    lengths = weights.filter(F.col(topic).isNotNull()).groupBy(topic).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l")).filter("_l > 0").orderBy(topic).toArrow()
+    names = lengths.column(topic).to_pylist()
+    n_topics = len(names)
+    place = F.array_position(F.array(*map(F.lit, names)), F.col(topic)).cast("int") - 1 if names else F.lit(-1)
+    length = F.get(F.array(*map(F.lit, lengths.column("_l").to_pylist())), F.col("t")) if names else F.lit(1.0)
+    numbered = weights.withColumn("t", place)
+    on = F.collect_list(F.when(F.col("t") >= 0, F.struct("t", (F.col("w") / length).alias("x"))))
+    numbered.groupBy("term").agg(F.max("idf").alias("idf"), on.alias("xs")).write.parquet(f"{folder}/terms")
+    terms = spark.read.parquet(f"{folder}/terms")
+    most = min(common, cells // max(1, n_topics))
+    first = _frequent(terms, most).toArrow().combine_chunks()
+    known_table = np.zeros((first.num_rows + 1, n_topics))  # the last row is that of unknown words
+    if first.num_rows:
+        _place_terms(first.column("xs").combine_chunks(), np.arange(first.num_rows), known_table)
+    known = spark.sparkContext.broadcast((first.column("term").combine_chunks(), np.r_[first.column("idf").to_numpy(), 0.0], known_table))
+    per_group = max(1, min(GROUP_WORDS, cells // max(1, n_topics)))
+
+    words = docs.select(F.col(id_column), T.tokens(F.col(text), pattern).alias("_words"))
+    half = words.select(id_column).withColumns({"_sums": F.array().cast("array<double>"), "_group": F.lit(None).cast("long"), "_n": F.lit(0), "_at": F.array().cast("array<int>"), "_ids": F.array().cast("array<int>"), "_rare": F.array().cast("array<string>")})
+    half_schema = half.schema
+
+    def frequent_alone(batches):
+        """Each text's sums over windows of frequent terms; of the others the words: their places, their numbers or -1, and what those are."""
+        (names_, idf, table), arrow = known.value, to_arrow_schema(half_schema)
+        base, n_groups, held = TaskContext.get().partitionId() << 32, 0, 0
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten()
+            found = pc.index_in(flat, value_set=names_).fill_null(-1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            out = {c: [] for c in ("sums", "group", "n", "at", "ids", "rare")}
+            for a, b in zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True):
+                ids = found[a:b]
+                n = b - a
+                size = min(window, n)
+                starts = np.arange(0, n - size + 1, stride) if n else np.zeros(0, np.int64)
+                unknown = np.r_[0, np.cumsum(ids < 0)]
+                open_ = unknown[starts + size] > unknown[starts]
+                total = np.zeros(n_topics)
+                for i in range(0, len(starts), 8192):  # near ones together, also where few are left
+                    part = starts[i : i + 8192]
+                    total += _window_sums(ids, idf, table, part[~open_[i : i + 8192]], size, least)
+                edge = np.zeros(n + 1, np.int64)
+                np.add.at(edge, starts[open_], 1)
+                np.add.at(edge, starts[open_] + size, -1)
+                at = np.flatnonzero(np.cumsum(edge)[:-1])
+                if len(at):
+                    if held and held + len(at) > per_group:
+                        n_groups, held = n_groups + 1, 0
+                    held += len(at)
+                out["sums"].append(np.round(total, 9).tolist())
+                out["group"].append(base + n_groups if len(at) else None)
+                out["n"].append(n)
+                out["at"].append(at.astype(np.int32))
+                out["ids"].append(ids[at].astype(np.int32))
+                out["rare"].append(flat.take(pa.array(a + at[ids[at] < 0])).to_pylist())
+            columns = [pa.array(x, field.type) for x, field in zip(out.values(), list(arrow)[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=arrow)
+
+    words.mapInArrow(frequent_alone, half_schema).write.parquet(f"{folder}/half")
+    half = spark.read.parquet(f"{folder}/half")
+    left = half.filter("_group IS NOT NULL")
+    asked = left.select(F.col("_group").alias("_asks"), F.explode(F.array_distinct("_rare")).alias("term")).distinct()
+    answers = asked.join(terms, "term").select("_asks", "term", "idf", "xs")
+
+    def rest(texts: pa.Table, found: pa.Table) -> pa.Table:
+        """The sums of a group's texts, with those over the windows that wait for other terms."""
+        names_, idf, table = known.value
+        n_known, n_found = len(names_), found.num_rows
+        more = np.zeros((n_found + 1, n_topics))
+        if n_found:
+            _place_terms(found.column("xs").combine_chunks(), np.arange(n_found), more)
+        table = np.vstack([table[:-1], more])
+        idf = np.r_[idf[:-1], found.column("idf").to_numpy(), 0.0]
+        number = {t: n_known + i for i, t in enumerate(found.column("term").to_pylist())}
+        out = []
+        for sums, n, at, ids, rare in zip(*(texts.column(c).to_pylist() for c in ("_sums", "_n", "_at", "_ids", "_rare")), strict=True):
+            at, ids = np.array(at), np.array(ids, dtype=np.int64)
+            size = min(window, n)
+            waits = ids < 0
+            ids[waits] = [number.get(w, -1) for w in rare]
+            # Windows whose words are all here, and one of them a word that was waited for.
+            i = np.flatnonzero((at % stride == 0) & (at <= n - size))
+            i = i[i + size <= len(at)]
+            i = i[at[i + size - 1] - at[i] == size - 1]
+            before = np.r_[0, np.cumsum(waits)]
+            i = i[before[i + size] > before[i]]
+            out.append(np.round(np.array(sums) + _window_sums(ids, idf, table, i, size, least), 9).tolist())  # sums of numbers of 9 places
+        return pa.table({id_column: texts.column(id_column), "_sums": pa.array(out, pa.list_(pa.float64()))})
+
+    done = half.filter("_group IS NULL").select(id_column, "_sums")
+    frame = done.unionByName(left.groupBy("_group").cogroup(answers.groupBy("_asks")).applyInArrow(rest, done.schema))
+    topics = F.array(*map(F.lit, names)) if names else F.array().cast(f"array<{docs.schema[topic].dataType.simpleString()}>" if topic in docs.columns else "array<string>")
     whole = F.aggregate("_sums", F.lit(0.0), lambda s, x: s + x)
     rows = frame.withColumn("_all", whole).filter("_all > 0").select(id_column, "_all", F.explode(F.arrays_zip(topics.alias("topic"), F.col("_sums").alias("sum"))).alias("s"))
     return rows.filter("s.sum > 0").select(id_column, F.col("s.topic").alias(topic), (F.col("s.sum") / F.col("_all")).alias("share"))

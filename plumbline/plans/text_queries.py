@@ -117,7 +117,9 @@ cs AS (SELECT d.doc_id, d.lang, round(d / n, 9) AS c FROM d JOIN nv ON nv.doc_id
 def topic_shares_by_window(spark, sf_dir):
     """Topics are languages; each text's share of each, from windows of four words."""
     d = table(spark, sf_dir, "documents")
-    weights = O.topic_weights(_terms(spark, sf_dir), "lang")
+    # Every word counts, however few texts have it, so words are summed by language without counts for each text.
+    words = d.select("lang", F.explode(T.tokens(F.col("text"))).alias("term"), F.lit(1).alias("tf"))
+    weights = O.topic_weights(words, "lang")
     return O.window_shares(d, "doc_id", "text", weights, "lang").withColumn("share", F.round("share", 6))
 
 
