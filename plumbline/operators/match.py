@@ -51,7 +51,7 @@ def apply_overrides(papers: DataFrame, overrides: DataFrame, key: str, value: st
     return out.withColumn(value, F.when(F.col("_has"), F.col("_o")).otherwise(F.col(value))).drop("_o", "_has")
 
 
-def match_titles(papers: DataFrame, candidates: DataFrame, id_column: str, work_id: str, compose: bool = True, own: bool = False) -> DataFrame:
+def match_titles(papers: DataFrame, candidates: DataFrame, id_column: str, work_id: str, compose: bool = True, own: bool = False, strict_only: bool = False) -> DataFrame:
     """Best candidate work of each paper: (id, work, kind).
 
     Strict is an equal normalized title of the same year; loose an equal loose
@@ -63,7 +63,8 @@ def match_titles(papers: DataFrame, candidates: DataFrame, id_column: str, work_
     for each normalized title and year, and one for each loose key and each of
     the three years around, before papers meet them: a title that very many
     papers and candidates share makes no pairs.  A paper that is listed more
-    than once has the best of all its titles.
+    than once has the best of all its titles.  With `strict_only`, the strict
+    matches alone: as these come first, no loose ones are looked for.
     """
     mine = [id_column] if own else []
 
@@ -72,6 +73,9 @@ def match_titles(papers: DataFrame, candidates: DataFrame, id_column: str, work_
 
     c = titled(candidates, *mine, F.struct("position", work_id).alias("_place"))
     strict = c.groupBy(*mine, "_norm", "_year").agg(F.min("_place").alias("_strict"))  # equal normalized titles have equal keys
+    if strict_only:
+        hits = titled(papers, id_column).drop("_key").join(strict, [*mine, "_norm", "_year"])
+        return hits.groupBy(id_column).agg(F.min("_strict").alias("_best")).select(id_column, F.col(f"_best.{work_id}").alias(work_id), F.lit("strict").alias("kind"))
     around = F.explode(F.array(F.col("_year") - 1, F.col("_year"), F.col("_year") + 1)).alias("_year")
     loose = c.select(*mine, "_key", "_place", around).groupBy(*mine, "_key", "_year").agg(F.min("_place").alias("_loose"))
     hits = titled(papers, id_column).join(loose, [*mine, "_key", "_year"]).join(strict, [*mine, "_norm", "_year"], "left")

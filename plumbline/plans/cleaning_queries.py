@@ -136,7 +136,7 @@ def loose_title_match(spark, sf_dir):
 
 @query(f"WITH {_MATCHED} SELECT dblp_key, work_id FROM b WHERE r = 1 AND strict")
 def strict_title_match(spark, sf_dir):
-    return loose_title_match(spark, sf_dir).filter("kind = 'strict'").select("dblp_key", "work_id")
+    return M.match_titles(_papers(spark, sf_dir), _works(spark, sf_dir), "dblp_key", "work_id", compose=False, strict_only=True).select("dblp_key", "work_id")
 
 
 @query(f"""WITH t AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS a, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS b FROM pages)
