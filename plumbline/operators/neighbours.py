@@ -55,39 +55,56 @@ def _top(frame: DataFrame, k: int, *extra: str) -> DataFrame:
     return frame.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("distance", "near"))).filter(F.col("rank") <= k).select("id", "near", "distance", *extra, "rank")
 
 
-def _nearer(ids: np.ndarray, q: np.ndarray, k: int, metric: str, batches: Iterable[tuple[np.ndarray, np.ndarray]], tile: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _growing(batches: Iterable[tuple[np.ndarray, np.ndarray]], least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The batches in parts of as many rows as came before (`least` or more), so that bounds are near early."""
+    seen = 0
+    for names, y in batches:
+        at = 0
+        while at < len(y):
+            to = min(len(y), at + max(least, seen))
+            yield names[at:to], y[at:to]
+            seen, at = seen + to - at, to
+
+
+def _nearer(ids: np.ndarray, q: np.ndarray, k: int, metric: str, batches: Iterable[tuple[np.ndarray, np.ndarray]], tile: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place of the query, id and distance of the k nearest rows of each query, from batches (ids, vectors) of rows.
 
     A product in single precision, with a bound on its error, leaves the pairs
     that may be among the k nearest so far; their distances are then exact.
+    The product's tiles stay in the cache, and of a tile only queries are
+    looked at whose least value is within their bound: few, once many rows
+    have passed.
     """
     cosine = metric == "cosine"
     floor, step = (-1.0, 1e-12) if cosine else (0.0, 1e-9)  # least value of what is compared (-product, or squared distance); places of distances
     square = (q * q).sum(1)
     bound = np.full(len(q), np.inf)  # of what is compared, for the k-th nearest
+    room = {}
     at, names, far = np.zeros(0, np.int64), ids[:0], np.zeros(0)
-    for name, y in batches:
+    for name, y in _growing(batches, tile):
         square_y = (y * y).sum(1)
         most = max(square.max(initial=0), square_y.max(initial=0))
         kind, unit = (np.float32, 2.0**-23) if most < 1e30 else (np.float64, 2.0**-51)
         slack = unit * (q.shape[1] + 4) * 4 * most + 2 * step
-        a, b = q.astype(kind), y.astype(kind)
+        a, b = (-q if cosine else -2 * q).astype(kind), np.ascontiguousarray(y.T.astype(kind))
+        if not cosine:  # squares are two more components
+            one = np.ones((len(q), 1), kind), np.ones((1, len(y)), kind)
+            a, b = np.hstack([a, square[:, None].astype(kind), one[0]]), np.vstack([b, one[1], square_y[None].astype(kind)])
+        if kind not in room:
+            room = {kind: np.empty(tile * tile, kind)}
         found = []
-        for lo in range(0, len(q), tile):
-            for start in range(0, len(y), tile):
-                e = a[lo : lo + tile] @ b[start : start + tile].T
-                if cosine:
-                    np.negative(e, out=e)
-                else:
-                    e *= -2
-                    e += square[lo : lo + tile, None].astype(kind)
-                    e += square_y[None, start : start + tile].astype(kind)
+        for start in range(0, len(y), tile):
+            right = np.ascontiguousarray(b[:, start : start + tile])
+            for lo in range(0, len(q), tile):
+                left = a[lo : lo + tile]
+                e = np.matmul(left, right, out=room[kind][: len(left) * right.shape[1]].reshape(len(left), -1))
                 mine = bound[lo : lo + tile]
                 if e.shape[1] > k and np.isinf(mine).any():  # k + 1, as one may be the query itself
                     np.minimum(mine, np.maximum(np.partition(e, k, axis=1)[:, k], floor) + slack, out=mine)
                 limit = np.nextafter((mine + slack).astype(kind), kind(np.inf))
-                i, j = np.nonzero(e <= limit[:, None])
-                i, j = i + lo, j + start
+                some = np.flatnonzero(~(e.min(axis=1) > limit))  # with those that hold no number
+                i, j = np.divmod(np.flatnonzero(e[some] <= limit[some, None]), e.shape[1])
+                i, j = some[i] + lo, j + start
                 other = name[j] != ids[i]
                 i, j = i[other], j[other]
                 for c in range(0, len(i), 16384):
@@ -121,8 +138,9 @@ def nearest_of(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosin
 
     Both are written first.  Queries go out in blocks of `block` rows; all rows
     stream past each block, and a task passes on k rows of each query.  The
-    more blocks there are, the fewer tasks share one, so what is shuffled stays
-    near k rows of each query.
+    more blocks there are, the fewer tasks share one, but two at least: were
+    each block's part a single partition, Spark would take their union as one
+    too, and all blocks would be one task's work.
     """
     spark = rows.sparkSession
     kind = _kinds(rows, "id")
@@ -135,7 +153,7 @@ def nearest_of(queries: DataFrame, rows: DataFrame, k: int, metric: str = "cosin
     blocks = max(1, -(-queries.count() // block))
     queries.withColumn("_b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition("_b").write.partitionBy("_b").parquet(f"{folder}/blocks")
     dealt = spark.read.schema(f"id {kind}, v array<double>, _b int").parquet(f"{folder}/blocks")
-    share = max(1, -(-2 * spark.sparkContext.defaultParallelism // blocks))
+    share = max(2, -(-2 * spark.sparkContext.defaultParallelism // blocks))
     parts = []
     for b in range(blocks):
         mine = dealt.filter(F.col("_b") == b).select("id", "v").toArrow().combine_chunks()
